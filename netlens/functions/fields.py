@@ -35,9 +35,8 @@ def u16(raw: Column, offset) -> Column:
 
 def mac_text(raw: Column, offset: int) -> Column:
     """Six bytes as lower-case hex pairs joined by colons."""
-    return F.concat_ws(
-        ":", *[F.lower(F.hex(_slice(raw, offset + i, 1))) for i in range(6)]
-    )
+    pairs = [F.hex(_slice(raw, offset + i, 1)) for i in range(6)]
+    return F.lower(F.concat_ws(":", *pairs))
 
 
 def ipv4_text(raw: Column, offset: int) -> Column:
@@ -49,6 +48,6 @@ def ipv4_text(raw: Column, offset: int) -> Column:
 
 def ipv6_text(raw: Column, offset: int) -> Column:
     """Sixteen bytes as eight lower-case groups, without ``::`` shortening."""
-    return F.concat_ws(
-        ":", *[F.lower(F.hex(u16(raw, offset + 2 * i))) for i in range(8)]
-    )
+    # From base 16 to base 16: drops leading zeros and keeps a single one.
+    groups = [F.conv(F.hex(_slice(raw, offset + 2 * i, 2)), 16, 16) for i in range(8)]
+    return F.lower(F.concat_ws(":", *groups))

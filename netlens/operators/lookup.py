@@ -15,6 +15,7 @@ list of salted keys itself stays small enough to broadcast.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ def planned_size(df: DataFrame) -> int | None:
     """Catalyst's size estimate in bytes, or None where it cannot be read."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:  # no JVM behind this session
+        return int(str(stats.sizeInBytes()))
+    except (AttributeError, PySparkException):  # no JVM behind this session
         return None
 
 

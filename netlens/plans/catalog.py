@@ -26,7 +26,7 @@ from ..operators.decode import fields, protocol_name, resolve_ips
 from ..operators.enrich import enrich_both_ends, enrich_ip
 from ..operators.ids import assign_ids
 from ..operators.keyed import append_status, insert_if_absent, key_exists
-from ..session import scratch_dir
+from ..session import scratch_dir, tune
 from ..streaming import Capture, stream_packets
 from . import fixture
 from .fixture import packets_raw, table
@@ -37,7 +37,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
         return fn
 
     return register
@@ -105,7 +105,7 @@ def _bytes_query(name: str, **columns) -> None:
             "packet_id", *[make(raw).alias(column) for column, make in columns.items()]
         )
 
-    QUERIES[name] = run
+    query(name)(run)
 
 
 _bytes_query("hex_stream", hex_stream=hex_stream)
@@ -219,7 +219,7 @@ def _rule_query(name: str, rule) -> None:
     def run(spark, sf_dir):
         return fields(packets_raw(spark, sf_dir)).select("packet_id", rule().alias("hit"))
 
-    QUERIES[name] = run
+    query(name)(run)
 
 
 _rule_query("rule_size_base", rules.size_rule_base)
@@ -241,7 +241,7 @@ def _arp_query(mode: str) -> None:
         df = arp_untrusted(packets_raw(spark, sf_dir), mode=mode)
         return df.select("packet_id", F.col("arp_untrusted").alias("hit"))
 
-    QUERIES[f"rule_arp_{mode}"] = run
+    query(f"rule_arp_{mode}")(run)
 
 
 for _mode in ("source", "all_arp", "corrected"):
@@ -259,9 +259,9 @@ def _set_queries(name: str) -> None:
     def records(spark, sf_dir):
         return views.log_records(packets_raw(spark, sf_dir), name, keep=["packet_id"])
 
-    QUERIES[f"anomalies_{name}"] = anomalies
-    QUERIES[f"first_rule_{name}"] = first
-    QUERIES[f"log_records_{name}"] = records
+    query(f"anomalies_{name}")(anomalies)
+    query(f"first_rule_{name}")(first)
+    query(f"log_records_{name}")(records)
 
 
 _set_queries("base")
