@@ -42,18 +42,25 @@ def with_defaults(df: DataFrame) -> DataFrame:
     )
 
 
-def violations() -> Column:
-    """Names of the broken column constraints, e.g. ``sourceip not null``."""
-    missing = [F.when(F.col(c).isNull(), F.lit(f"{c} not null")) for c in LOG_NOT_NULL]
+def violations(columns: list[str]) -> Column:
+    """Names of the broken column constraints, e.g. ``sourceip not null``.
+
+    A column that is not in ``columns`` counts as null.
+    """
+
+    def value(c: str) -> Column:
+        return F.col(c) if c in columns else F.lit(None).cast("string")
+
+    missing = [F.when(value(c).isNull(), F.lit(f"{c} not null")) for c in LOG_NOT_NULL]
     too_long = [
-        F.when(F.length(c) > n, F.lit(f"{c} max {n}")) for c, n in LOG_MAX_LENGTH.items()
+        F.when(F.length(value(c)) > n, F.lit(f"{c} max {n}")) for c, n in LOG_MAX_LENGTH.items()
     ]
     return F.array_compact(F.array(*missing, *too_long))
 
 
 def validate_logs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejected)``; the rejected rows keep their ``violations``."""
-    checked = df.withColumn("violations", violations())
+    checked = df.withColumn("violations", violations(df.columns))
     valid = checked.filter(F.size("violations") == 0).drop("violations")
     return valid, checked.filter(F.size("violations") > 0)
 

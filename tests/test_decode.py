@@ -1,0 +1,159 @@
+from frames import ACK, PSH, arp, eth, in_order, ipv4, ipv6, packets, tcp, udp
+
+from netlens.operators.decode import decode, decode_fields, fields, pack_layers, unpack_layers
+from netlens.schema import LAYERS
+
+LAYER_NAMES = list(LAYERS)
+
+
+def layers_of(spark, frames):
+    df = decode(packets(spark, frames))
+    rows = df.select("packet_id", *LAYER_NAMES).orderBy("packet_id").collect()
+    return [{n for n in LAYER_NAMES if r[n] is not None} for r in rows]
+
+
+def test_layers_present(spark):
+    frames = [
+        eth(0x0800, ipv4(6, tcp())),
+        eth(0x0800, ipv4(17, udp())),
+        eth(0x0800, ipv4(1, b"\x08\x00\x00\x00")),
+        eth(0x86DD, ipv6(6, tcp())),
+        eth(0x86DD, ipv6(17, udp())),
+        eth(0x86DD, ipv6(58, b"\x80\x00\x00\x00")),
+        eth(0x0806, arp("10.0.0.1", "00:11:22:33:44:55")),
+        eth(0x0026, b"\x42\x42\x03" + bytes(35)),
+        eth(0x8100, bytes(46)),
+        eth(0x88CC, bytes(46)),
+    ]
+    assert layers_of(spark, frames) == [
+        {"eth", "ipv4", "tcp"},
+        {"eth", "ipv4", "udp"},
+        {"eth", "ipv4"},
+        {"eth", "ipv6", "tcp"},
+        {"eth", "ipv6", "udp"},
+        {"eth", "ipv6"},
+        {"eth", "arp"},
+        {"eth", "llc"},
+        {"eth"},
+        {"eth"},
+    ]
+
+
+def test_ethertype_boundary(spark):
+    frames = [eth(kind, bytes(46)) for kind in (1500, 1501)]
+    assert layers_of(spark, frames) == [{"eth", "llc"}, {"eth"}]
+
+
+def test_truncation_makes_layers_absent(spark):
+    full = eth(0x0800, ipv4(6, tcp(payload=b"abc")))
+    v6 = eth(0x86DD, ipv6(17, udp()))
+    request = eth(0x0806, arp("10.0.0.1", "00:11:22:33:44:55"))
+    llc = eth(0x0026, b"\x42\x42\x03")
+    frames = [b"", full[:13], full[:14], full[:33], full[:34], full[:53], full[:54], full]
+    frames += [v6[:53], v6[:54], v6[:61], v6, request[:41], request, llc[:16], llc]
+    assert layers_of(spark, frames) == [
+        set(),
+        set(),
+        {"eth"},
+        {"eth"},
+        {"eth", "ipv4"},
+        {"eth", "ipv4"},
+        {"eth", "ipv4", "tcp"},
+        {"eth", "ipv4", "tcp"},
+        {"eth"},
+        {"eth", "ipv6"},
+        {"eth", "ipv6"},
+        {"eth", "ipv6", "udp"},
+        {"eth"},
+        {"eth", "arp"},
+        {"eth"},
+        {"eth", "llc"},
+    ]
+
+
+def test_null_raw(spark):
+    df = packets(spark, [b"x"]).selectExpr(
+        "packet_id", "ts", "iface", "cast(null as binary) as raw"
+    )
+    row = decode(df).first()
+    assert all(row[n] is None for n in LAYER_NAMES) and row["len"] is None
+
+
+def test_header_options_and_payload(spark):
+    frames = [
+        eth(0x0800, ipv4(6, tcp(payload=b"abc")), pad_to=80),
+        eth(0x0800, ipv4(6, tcp(payload=b"abc"), options=bytes(4)), pad_to=80),
+        eth(0x0800, ipv4(6, tcp(payload=b"abc", options=b"\x01" * 12)), pad_to=90),
+        eth(0x0800, ipv4(6, tcp(options=b"\x01" * 8)), pad_to=90),
+        eth(0x0800, ipv4(6, tcp()), pad_to=60),
+        eth(0x0800, ipv4(6, tcp(payload=b"to the end"), total=0)),
+        eth(0x86DD, ipv6(6, tcp(payload=b"six")), pad_to=100),
+        eth(0x0800, ipv4(6, tcp(payload=b"cut off")))[:57],
+    ]
+    df = fields(packets(spark, frames))
+    got = in_order(df, "tcp_src_port", "tcp_dst_port", "tcp_payload", "ipv4_ihl")
+    payloads = [None if r[2] is None else bytes(r[2]) for r in got]
+    assert payloads == [b"abc", b"abc", b"abc", None, None, b"to the end", b"six", b"cut"]
+    assert all(r[:2] == (1024, 8080) for r in got)
+    assert [r[3] for r in got] == [20, 24, 20, 20, 20, 20, None, 20]
+
+
+def test_malformed_headers(spark):
+    good = ipv4(6, tcp())
+    frames = [
+        eth(0x0800, bytes([0x44]) + good[1:]),  # header length 16
+        eth(0x0800, bytes([0x55]) + good[1:]),  # version 5
+        eth(0x0800, bytes([0x4F]) + good[1:]),  # header longer than the frame
+        eth(0x0800, good[:32] + b"\x40" + good[33:]),  # data offset 16
+        eth(0x0800, good[:32] + b"\xf0" + good[33:]),  # data offset beyond the end
+        eth(0x0800, ipv4(6, tcp(), total=30)),  # datagram ends inside the TCP header
+        eth(0x86DD, b"\x40" + ipv6(6, tcp())[1:]),  # version 4 under the IPv6 type
+    ]
+    assert layers_of(spark, frames) == [
+        {"eth"}, {"eth"}, {"eth"}, {"eth", "ipv4"}, {"eth", "ipv4"}, {"eth", "ipv4"}, {"eth"},
+    ]
+
+
+def test_fragments(spark):
+    frames = [
+        eth(0x0800, ipv4(6, tcp(), fragment=0x2000)),  # first, more to come
+        eth(0x0800, ipv4(6, tcp(), fragment=0x2001)),
+        eth(0x0800, ipv4(6, tcp(), fragment=0x00B9)),
+        eth(0x0800, ipv4(6, tcp(), fragment=0x4000)),  # do not fragment
+    ]
+    assert layers_of(spark, frames) == [
+        {"eth", "ipv4", "tcp"},
+        {"eth", "ipv4"},
+        {"eth", "ipv4"},
+        {"eth", "ipv4", "tcp"},
+    ]
+
+
+def test_address_text(spark):
+    frames = [
+        eth(0x0800, ipv4(17, udp(), src="0.0.0.0", dst="255.10.1.0")),
+        eth(0x86DD, ipv6(17, udp(), src="::", dst="fe80::a0:ff:0:1")),
+        eth(0x0806, arp("10.0.0.2", "66:77:88:99:AA:BB", op=2)),
+    ]
+    df = fields(packets(spark, frames))
+    got = in_order(df, "ipv4_src", "ipv4_dst", "ipv6_src", "ipv6_dst", "eth_src", "eth_dst")
+    macs = ("02:00:00:00:00:01", "02:00:00:00:00:c8")
+    assert got[0] == ("0.0.0.0", "255.10.1.0", None, None, *macs)
+    assert got[1] == (None, None, "0:0:0:0:0:0:0:0", "fe80:0:0:0:a0:ff:0:1", *macs)
+    sender = in_order(df, "arp_spa", "arp_sha", "arp_tpa", "arp_tha", "arp_op")[2]
+    assert sender == ("10.0.0.2", "66:77:88:99:aa:bb", "10.0.0.77", "00:00:00:00:00:00", 2)
+
+
+def test_flags(spark):
+    df = fields(packets(spark, [eth(0x0800, ipv4(6, tcp(flags))) for flags in range(64)]))
+    got = in_order(df, "tcp_fin", "tcp_syn", "tcp_psh", "tcp_ack")
+    bits = (0x01, 0x02, 0x08, 0x10)
+    assert got == [tuple(bool(flags & bit) for bit in bits) for flags in range(64)]
+
+
+def test_forms_are_equivalent(spark):
+    df = packets(spark, [eth(0x0800, ipv4(6, tcp(ACK | PSH, payload=b"x"))), b"", eth(0x0806, b"")])
+    flat = decode_fields(df)
+    back = unpack_layers(pack_layers(flat)).select(flat.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, flat.collect()))
+    assert fields(flat) is flat

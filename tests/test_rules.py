@@ -1,0 +1,233 @@
+import pytest
+from conftest import SF_DIR
+from frames import ACK, FIN, PSH, RST, SYN, URG, arp, eth, in_order, ipv4, ipv6, packets, tcp, udp
+from pyspark.sql import functions as F
+
+from netlens.operators import rules
+from netlens.operators.arp import arp_untrusted
+from netlens.operators.decode import fields
+from netlens.operators.filters import (
+    host_filter,
+    host_set_filter,
+    list_interfaces,
+    select_interface,
+    truncate_snaplen,
+)
+from netlens.operators.logs import validate_logs
+from netlens.operators.views import log_records
+from netlens.plans.fixture import interfaces, packets_raw
+from netlens.sources.packets import stored_packets
+
+PING = ipv4(1, b"\x08\x00\x00\x00")
+
+
+def hits(spark, frames, rule):
+    df = fields(packets(spark, frames)).withColumn("hit", rule())
+    return [r[0] for r in in_order(df, "hit")]
+
+
+def first_rules(spark, frames, name, **options):
+    return [r[0] for r in in_order(rules.flag(packets(spark, frames), name, **options), "first_rule")]
+
+
+def test_size_bounds(spark):
+    frames = [eth(0x0800, PING, pad_to=n) for n in (53, 54, 58, 59, 63, 64, 1500, 1501)]
+    expected = [True] * 5 + [False, False, True]
+    assert hits(spark, frames, rules.size_rule_base) == expected
+    assert hits(spark, frames, rules.size_rule_ip) == expected
+    assert hits(spark, [b""], rules.size_rule_base) == [True]
+
+
+def test_small_packet_exemption(spark):
+    flags = [f | extra for f in range(32) for extra in (0, RST, URG)]
+    for wrap in (lambda f: eth(0x0800, ipv4(6, tcp(f))), lambda f: eth(0x86DD, ipv6(6, tcp(f)))):
+        got = hits(spark, [wrap(f) for f in flags], rules.valid_small_packet)
+        assert got == [f & (ACK | SYN | FIN | PSH) == ACK for f in flags]
+    dns = [eth(0x0800, ipv4(17, udp(s, d))) for s, d in ((53, 9), (9, 53), (9, 9))]
+    dns += [eth(0x86DD, ipv6(17, udp(53, 9))), eth(0x0800, PING), eth(0x0800, ipv4(6, tcp(SYN, 53)))]
+    assert hits(spark, dns, rules.valid_small_packet) == [True, True, False, True, False, False]
+    assert hits(spark, dns[:3], rules.size_rule_base) == [False, False, True]
+    assert hits(spark, dns[:3], rules.size_rule_ip) == [True, True, True]
+
+
+def test_exemption_is_for_small_packets_only(spark):
+    frames = [eth(0x0800, ipv4(6, tcp(ACK)), pad_to=n) for n in (54, 1501)]
+    assert hits(spark, frames, rules.size_rule_base) == [False, True]
+
+
+def test_protocol_and_syn(spark):
+    frames = [eth(0x0800, ipv4(p, bytes(30)), pad_to=70) for p in (1, 6, 17, 47, 58)]
+    frames += [eth(0x86DD, ipv6(p, bytes(30)), pad_to=90) for p in (1, 6, 17, 47, 58)]
+    frames += [eth(0x0806, arp("10.0.0.9", "02:00:00:00:00:01"), pad_to=64)]
+    v4 = hits(spark, frames, rules.uncommon_protocol_v4)
+    v6 = hits(spark, frames, rules.uncommon_protocol_v6)
+    assert v4 == [False, False, False, True, True] + [False] * 6
+    assert v6 == [False] * 5 + [False, False, False, True, True] + [False]
+
+    syn = [eth(0x0800, ipv4(6, tcp(f))) for f in (SYN, SYN | ACK, ACK, 0)]
+    syn += [eth(0x86DD, ipv6(6, tcp(f))) for f in (SYN, SYN | ACK, ACK, 0)]
+    assert hits(spark, syn, rules.syn_only_v4) == [True] + [False] * 7
+    assert hits(spark, syn, rules.syn_only_v6) == [False] * 4 + [True] + [False] * 3
+
+
+def test_certificate_hook(spark):
+    frames = [eth(0x0800, ipv4(6, tcp(ACK, s, d, b"\x16\x03"))) for s, d in ((443, 9), (9, 443), (9, 9))]
+    frames += [eth(0x0800, ipv4(17, udp(443, 443)))]
+    assert hits(spark, frames, rules.unusual_certificate) == [False] * 4
+
+    def handshake():
+        return rules.unusual_certificate(lambda payload: F.startswith(payload, F.lit(b"\x16")))
+
+    assert hits(spark, frames, handshake) == [True, True, False, False]
+
+
+def arp_frames():
+    pairs = [
+        ("10.0.0.1", "00:11:22:33:44:55"),
+        ("10.0.0.1", "02:00:00:00:00:ee"),
+        ("10.0.0.2", "66:77:88:99:aa:bb"),
+        ("10.0.0.2", "02:00:00:00:00:ee"),
+        ("10.0.0.9", "02:00:00:00:00:09"),
+    ]
+    return [eth(0x0806, arp(ip, mac), pad_to=64) for ip, mac in pairs] + [eth(0x0800, PING, pad_to=64)]
+
+
+@pytest.mark.parametrize(
+    "mode, expected",
+    [
+        ("source", [True, False, False, False, True, False]),
+        ("all_arp", [True] * 5 + [False]),
+        ("corrected", [False, True, False, True, False, False]),
+    ],
+)
+def test_arp_modes(spark, mode, expected):
+    df = arp_untrusted(packets(spark, arp_frames()), mode=mode)
+    assert [r[0] for r in in_order(df, "arp_untrusted")] == expected
+    assert rules.anomalies(packets(spark, arp_frames()), "base", arp_mode=mode).count() == sum(expected)
+
+
+def test_arp_with_large_known_table(spark, monkeypatch):
+    monkeypatch.setattr("netlens.operators.lookup.BROADCAST_LIMIT", 0)
+    df = arp_untrusted(packets(spark, arp_frames()))
+    assert [r[0] for r in in_order(df, "arp_untrusted")] == [True, False, False, False, True, False]
+
+
+def test_unknown_names_are_errors(spark):
+    with pytest.raises(ValueError, match="rule set"):
+        rules.is_anomalous("other")
+    with pytest.raises(ValueError, match="ARP mode"):
+        arp_untrusted(packets(spark, [b""]), mode="other")
+
+
+def test_rule_sets_differ(spark):
+    frames = [
+        eth(0x0800, ipv4(6, tcp(ACK))),  # small, exempt in base only
+        eth(0x86DD, ipv6(6, tcp(SYN)), pad_to=80),  # IPv6 SYN, by-IP only
+        eth(0x86DD, ipv6(58, bytes(20)), pad_to=80),  # ICMPv6, by-IP only
+        eth(0x0806, arp("10.0.0.9", "02:00:00:00:00:09"), pad_to=64),  # ARP, base only
+        eth(0x0800, ipv4(47, bytes(40))),
+        eth(0x0800, ipv4(6, tcp(SYN)), pad_to=64),
+    ]
+    assert first_rules(spark, frames, "base") == [None, None, None, "arp", "protocol_v4", "syn_v4"]
+    assert first_rules(spark, frames, "ip") == [
+        "size", "syn_v6", "protocol_v6", None, "protocol_v4", "syn_v4",
+    ]
+
+
+def test_gate_and_rejects(spark):
+    frames = [
+        eth(0x0806, arp("10.0.0.9", "02:00:00:00:00:09")),
+        eth(0x0026, b"\x42\x42\x03"),
+        eth(0x0800, ipv4(47, bytes(40))),
+    ]
+    base = log_records(packets(spark, frames), "base", keep=["packet_id"])
+    assert in_order(base, "protocol") == [("GRE",)]
+    ip = log_records(packets(spark, frames), "ip", keep=["packet_id"])
+    assert ip.count() == 3
+    valid, rejected = validate_logs(ip)
+    assert in_order(valid, "protocol") == [("GRE",)]
+    assert in_order(rejected, "protocol", "sourcemac", "ipversion") == [("Unknown Protocol", None, None)] * 2
+    assert [r[0] for r in in_order(rejected, "violations")] == [
+        ["sourceip not null", "destinationip not null"]
+    ] * 2
+
+
+def test_own_rule(spark):
+    telnet = [*rules.BASE_RULES, ("telnet", lambda: F.coalesce(F.col("tcp_dst_port") == 23, F.lit(False)))]
+    frames = [eth(0x0800, ipv4(6, tcp(ACK, dst=23)), pad_to=64), eth(0x0800, PING, pad_to=64)]
+    assert first_rules(spark, frames, telnet) == ["telnet", None]
+    assert log_records(packets(spark, frames), telnet, gate=True).count() == 1
+
+
+def test_established_counts(spark):
+    df = packets_raw(spark, SF_DIR)
+    flat = fields(df).cache()
+
+    def count(rule):
+        return flat.filter(rule).count()
+
+    assert count(F.col("len") > 1500) == 1428
+    assert count(F.col("len") < 64) == 3737
+    assert count((F.col("len") < 64) & ~rules.valid_small_packet()) == 2373
+    assert count(F.col("len").between(59, 63)) == 2542
+    assert count(rules.uncommon_protocol_v4()) == 636
+    assert count(rules.uncommon_protocol_v6()) == 364
+    assert count(rules.syn_only_v4()) == 344
+    assert count(rules.syn_only_v6()) == 98
+    assert count(F.col("arp_op").isNotNull()) == 500
+    assert count(F.col("llc_dsap").isNotNull()) == 500
+    flagged = {m: rules.anomalies(flat, "base", arp_mode=m).count() for m in ("all_arp", "source", "corrected")}
+    assert flagged == {"all_arp": 4428, "source": 4322, "corrected": 4285}
+    assert rules.loggable(flat, "base").count() == 3642
+    by_ip = rules.anomalies(flat, "ip")
+    assert (by_ip.count(), by_ip.filter(rules.has_source_ip()).count()) == (5823, 5251)
+    flat.unpersist()
+
+
+def test_stored_packets_give_the_same_verdicts(spark):
+    df = packets_raw(spark, SF_DIR)
+    for name in ("base", "ip"):
+        want = rules.flag(df, name).select("packet_id", "anomalous", "first_rule")
+        got = rules.flag(stored_packets(df), name).select("packet_id", "anomalous", "first_rule")
+        assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_interfaces(spark):
+    df = packets(spark, [b"a", b"b"], iface="eth1").unionByName(packets(spark, [b"c"], iface="eth9"))
+    assert select_interface(df, "eth1", interfaces(spark)).count() == 2
+    assert select_interface(df, "eth0", interfaces(spark)).count() == 0
+    with pytest.raises(ValueError, match="No such interface found: eth9"):
+        select_interface(df, "eth9", interfaces(spark))
+    labels = {r["name"]: r["label"] for r in list_interfaces(interfaces(spark)).collect()}
+    assert labels == {"eth0": "uplink", "eth1": "eth1", "eth2": "eth2"}
+
+
+def test_snaplen(spark):
+    frame = eth(0x0800, ipv4(6, tcp(ACK, payload=bytes(100))))
+    got = fields(truncate_snaplen(packets(spark, [frame, b"ab"]), 54))
+    assert in_order(got, "len") == [(54,), (2,)]
+    assert in_order(truncate_snaplen(packets(spark, [frame])).selectExpr("packet_id", "length(raw) n"), "n") == [(154,)]
+
+
+def test_host_filters(spark):
+    frames = [
+        eth(0x0800, ipv4(17, udp(), src="10.0.0.5", dst="10.0.0.6")),
+        eth(0x0800, ipv4(17, udp(), src="10.0.0.6", dst="10.0.0.7")),
+        eth(0x86DD, ipv6(17, udp(), src="2001:db8::5")),
+        eth(0x0806, arp("10.0.0.5", "02:00:00:00:00:01")),
+        eth(0x0026, b"\x42\x42\x03"),
+    ]
+    df = packets(spark, frames)
+
+    def ids(rows):
+        return sorted(r["packet_id"] for r in rows.collect())
+
+    for form in (df, stored_packets(df)):
+        assert ids(host_filter(form, "10.0.0.5")) == [0, 3]
+        assert ids(host_filter(form, "10.0.0.6")) == [0, 1]
+        assert ids(host_filter(form, "2001:db8:0:0:0:0:0:5")) == [2]
+        assert ids(host_filter(form, "10.0.0.77")) == [3]
+        assert ids(host_filter(form, None)) == ids(host_filter(form, "")) == [0, 1, 2, 3, 4]
+        hosts = spark.createDataFrame([("10.0.0.5",), ("10.0.0.5",), ("10.0.0.7",), (None,)], "ip string")
+        assert ids(host_set_filter(form, hosts)) == [0, 1, 3]
+        assert ids(host_set_filter(form, hosts, limit=0, hot_rows=1)) == [0, 1, 3]
