@@ -131,7 +131,7 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(spark, sf_dir, HOSTS_SQL, "supplier", "nation")
 
 
-def lookups(spark: SparkSession, sf_dir: str) -> Lookups:
+def build_lookups(spark: SparkSession, sf_dir: str) -> Lookups:
     """Lookup tables with deliberate gaps (see FIXTURES.md, section 4)."""
     text = FRAMES_SQL[: FRAMES_SQL.index("c as (")].rstrip().rstrip(",") + SOURCES_SQL
     sources = spark_sql(spark, sf_dir, text, "events")
@@ -165,6 +165,16 @@ def lookups(spark: SparkSession, sf_dir: str) -> Lookups:
     return Lookups(ptr, whois, geo)
 
 
+def lookups(spark: SparkSession, sf_dir: str) -> Lookups:
+    """The lookup tables as they lie on disk."""
+
+    def stored(name: str) -> DataFrame:
+        build = lambda *where: getattr(build_lookups(*where), name)
+        return spark.read.parquet(_written(spark, sf_dir, f"lookup-{name}", build))
+
+    return Lookups(stored("ptr"), stored("whois"), stored("geo"))
+
+
 def build_page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as IPv4 TCP payloads; every second one carries an HTTP status line.
 
