@@ -10,36 +10,44 @@ from ..session import ensure_checkpoint_dir
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id: row number in the low 33 bits
 
 
-def assign_ids(df: DataFrame, last_id: int, order_by: list[str], id_col: str = "id") -> DataFrame:
-    """Add ids ``last_id + 1, last_id + 2, ...`` in the order of ``order_by``.
-
-    A range-partitioned sort puts the rows in order; within a partition the row
-    number gives the rest.  The sorted rows are checkpointed, so the counts and
-    the rows come from the same written data even if a task is repeated.  Only
-    one count per partition passes through a single task.  ``order_by`` should
-    identify a row, so that no range is one value.
+def assign_ids(
+    df: DataFrame,
+    last_id: int,
+    order_by: list[str] | None = None,
+    id_col: str = "id",
+    stable: bool = False,
+) -> DataFrame:
+    """Add ids ``last_id + 1, last_id + 2, ...``.
+
+    Without ``order_by`` the ids follow the partitions of ``df`` and no row is
+    moved.  With it they follow that order, by a range-partitioned sort; it
+    should then identify a row, so that no range is one value.
+
+    Within a partition the row number counts, and one count per partition gives
+    where it starts; only these counts pass through a single task.  Counts and
+    rows must come from the same data even if a task is repeated, so the rows
+    are checkpointed first, unless the caller says that they already lie on
+    shared storage (``stable``).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ranked = (
-        df.orderBy(*order_by)
-        .withColumns(
-            {
-                "_part": F.spark_partition_id(),
-                "_pos": F.monotonically_increasing_id().bitwiseAND(_ROW_BITS),
-            }
-        )
-        .checkpoint()
+    ranked = (df.orderBy(*order_by) if order_by else df).withColumns(
+        {
+            "_part": F.spark_partition_id(),
+            "_pos": F.monotonically_increasing_id().bitwiseAND(_ROW_BITS),
+        }
     )
+    if order_by or not stable:
+        ensure_checkpoint_dir(df.sparkSession)
+        ranked = ranked.checkpoint()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranked.groupBy("_part")
         .agg(F.count("*").alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select("_part", "_start")
+        .select(F.col("_part").alias("_of"), "_start")
     )
-    # One row per partition of the sort: bounded by the shuffle width.
+    # One row per partition: bounded by the number of tasks.
     return (
-        ranked.join(F.broadcast(starts), "_part")
+        ranked.join(F.broadcast(starts), F.col("_part") == F.col("_of"))
         .withColumn(id_col, F.lit(last_id) + F.col("_start") + F.col("_pos") + 1)
-        .drop("_part", "_pos", "_start")
+        .drop("_part", "_pos", "_start", "_of")
     )

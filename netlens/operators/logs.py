@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LOG_MAX_LENGTH, LOG_NOT_NULL, LOGS
+from ..session import ensure_checkpoint_dir
 from .ids import assign_ids
 from .lookup import exists_flag, small_side
 
@@ -58,16 +59,29 @@ def violations(columns: list[str]) -> Column:
     return F.array_compact(F.array(*missing, *too_long))
 
 
-def validate_logs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(valid, rejected)``; the rejected rows keep their ``violations``."""
+def validate_logs(df: DataFrame, store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejected)``; the rejected rows keep their ``violations``.
+
+    With ``store`` the checked rows are checkpointed, so that using both
+    outputs computes the rows once.
+    """
     checked = df.withColumn("violations", violations(df.columns))
+    if store:
+        ensure_checkpoint_dir(df.sparkSession)
+        checked = checked.checkpoint()
     valid = checked.filter(F.size("violations") == 0).drop("violations")
     return valid, checked.filter(F.size("violations") > 0)
 
 
-def insert_logs(rows: DataFrame, last_id: int, order_by: list[str]) -> DataFrame:
-    """New log rows with ids after ``last_id``; any id they carry is replaced."""
-    return assign_ids(with_defaults(rows.drop("id")), last_id, order_by).select(LOG_COLUMNS)
+def insert_logs(
+    rows: DataFrame, last_id: int, order_by: list[str] | None = None, stable: bool = False
+) -> DataFrame:
+    """New log rows with ids after ``last_id``; any id they carry is replaced.
+
+    Options as for :func:`netlens.operators.ids.assign_ids`.
+    """
+    numbered = assign_ids(rows.drop("id"), last_id, order_by, stable=stable)
+    return with_defaults(numbered).select(LOG_COLUMNS)
 
 
 def _touched(logs: DataFrame, wanted: DataFrame) -> DataFrame:

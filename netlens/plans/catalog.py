@@ -26,6 +26,7 @@ from ..operators.decode import fields, protocol_name, resolve_ips
 from ..operators.enrich import enrich_both_ends, enrich_ip
 from ..operators.ids import assign_ids
 from ..operators.keyed import append_status, insert_if_absent, key_exists
+from ..schema import LOG_BODY
 from ..session import scratch_dir, tune
 from ..streaming import Capture, stream_packets
 from . import fixture
@@ -446,7 +447,7 @@ def stream_detect(spark, sf_dir):
     packets_raw(spark, sf_dir).write.parquet(f"{out}/landing")
     capture = Capture(spark, f"detect-{out[-8:]}", out)
     capture.start(stream_packets(spark, f"{out}/landing"), available_now=True).awaitTermination()
-    return capture.logs().select(SHOWN)
+    return capture.logs().select(LOG_BODY)
 
 
 @query("packet_buffer")

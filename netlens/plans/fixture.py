@@ -102,7 +102,9 @@ def _written(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _FOLDERS:
         folder = scratch_dir(spark, name)
-        build(spark, sf_dir).write.parquet(folder)
+        # The driver tables are single files; a capture lies in many.
+        parts = spark.sparkContext.defaultParallelism
+        build(spark, sf_dir).repartition(parts).write.parquet(folder)
         _FOLDERS[key] = folder
     return _FOLDERS[key]
 

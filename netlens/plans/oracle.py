@@ -310,7 +310,7 @@ ORACLE_SQL: dict[str, str] = {
     "trusted_issuer": (
         "select c_custkey, 'TrustedCA' || c_nationkey as issuer, c_nationkey in (1, 2, 3) as trusted from customer"
     ),
-    "stream_detect": f"{_LOGS} select id, {_BODY} from logs",
+    "stream_detect": f"{_LOGS} select {_BODY} from logs",
     "packet_buffer": _frames(
         "packet_id, cast(len as int) as len, src_ip, dst_ip, 'eth0' as iface, raw_hex"
     ),

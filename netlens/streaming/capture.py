@@ -88,8 +88,8 @@ class Capture:
             tag = f"{self.name}-{batch_id}"
             folder = append_packets(host_filter(batch, host), f"{self.out}/packets", tag)
             stored = read_buffer(batch.sparkSession, folder)
-            rows = log_records(stored, self.rules, keep=["packet_id"], **self.rule_options)
-            rejected = self.log_table.append(rows, ["timestamp", "packet_id"], tag)
+            rows = log_records(stored, self.rules, **self.rule_options)
+            rejected = self.log_table.append(rows, tag=tag)
             rejected.write.mode("overwrite").parquet(f"{self.out}/rejected/batch={tag}")
 
         return write

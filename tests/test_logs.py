@@ -171,3 +171,11 @@ def test_jdbc_options():
     assert jdbc_options("jdbc:postgresql://db/monitor", "logs", batchsize=5000) == {
         "url": "jdbc:postgresql://db/monitor", "dbtable": "logs", "batchsize": "5000",
     }
+
+
+def test_append_without_order(spark, table):
+    more = bodies(spark, *[f"more {i}" for i in range(100)]).repartition(5)
+    table.append(more)
+    got = details(table)
+    assert sorted(got) == list(range(1, 109))
+    assert {v for v in got.values() if v.startswith("more")} == {f"more {i}" for i in range(100)}
