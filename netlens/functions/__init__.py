@@ -1,6 +1,5 @@
 """Column functions: byte access, text rendering, names and JSON fields."""
 
-from .fields import ipv4_text, ipv6_text, mac_text, u8, u16
 from .names import ethertype_text, octet_text, protocol_text
 from .render import ethernet_pad, ethernet_pad_hex, hex_stream, hex_to_bytes, payload_text, printable
 from .text import geo_fields, is_json_object, trusted_issuer
@@ -12,15 +11,10 @@ __all__ = [
     "geo_fields",
     "hex_stream",
     "hex_to_bytes",
-    "ipv4_text",
-    "ipv6_text",
     "is_json_object",
-    "mac_text",
     "octet_text",
     "payload_text",
     "printable",
     "protocol_text",
     "trusted_issuer",
-    "u16",
-    "u8",
 ]

@@ -1,53 +1,46 @@
-"""Reading integers and addresses out of a BINARY column.
+"""SQL text for reading integers and addresses out of a BINARY column.
 
-``conv(hex(substring(...)))`` stays inside whole-stage codegen and was the
-fastest of the built-in ways measured.  Offsets are 1-based, as in SQL, and
-may be columns.  Past the end of the bytes the result is NULL; a field that
-would be cut in two is the caller's business (see the length gates in
+``conv(hex(substring(...)))`` stays on the JVM and was the fastest of the
+built-in ways measured.  Offsets are 1-based, as in SQL, and may be
+expressions.  Past the end of the bytes the result is NULL; a field that would
+be cut in two is the caller's business (see the length gates in
 ``operators.decode``).
+
+These are texts and not Columns because a decode has some hundred of them, and
+a Column costs several calls into the JVM where a text is parsed at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def _slice(raw: Column, offset, n: int) -> Column:
-    if isinstance(offset, int):
-        return F.substring(raw, offset, n)
-    return F.substring(raw, offset, F.lit(n))
-
-
-def _uint(raw: Column, offset, n: int) -> Column:
-    return F.conv(F.hex(_slice(raw, offset, n)), 16, 10).cast("int")
 
-
-def u8(raw: Column, offset) -> Column:
+def u8(raw: str, offset: int | str) -> str:
     """Unsigned byte at ``offset``."""
-    return _uint(raw, offset, 1)
+    return f"cast(conv(hex(substring({raw}, {offset}, 1)), 16, 10) as int)"
 
 
-def u16(raw: Column, offset) -> Column:
+def u16(raw: str, offset: int | str) -> str:
     """Unsigned big-endian 16-bit integer at ``offset``."""
-    return _uint(raw, offset, 2)
+    return f"cast(conv(hex(substring({raw}, {offset}, 2)), 16, 10) as int)"
 
 
-def mac_text(raw: Column, offset: int) -> Column:
+def mac_text(raw: str, offset: int) -> str:
     """Six bytes as lower-case hex pairs joined by colons."""
-    pairs = [F.hex(_slice(raw, offset + i, 1)) for i in range(6)]
-    return F.lower(F.concat_ws(":", *pairs))
+    pairs = ", ".join(f"hex(substring({raw}, {offset + i}, 1))" for i in range(6))
+    return f"lower(concat_ws(':', {pairs}))"
 
 
-def ipv4_text(raw: Column, offset: int) -> Column:
+def ipv4_text(raw: str, offset: int) -> str:
     """Four bytes as a dotted quad."""
-    return F.concat_ws(
-        ".", *[F.conv(F.hex(_slice(raw, offset + i, 1)), 16, 10) for i in range(4)]
-    )
+    quad = ", ".join(f"conv(hex(substring({raw}, {offset + i}, 1)), 16, 10)" for i in range(4))
+    return f"concat_ws('.', {quad})"
 
 
-def ipv6_text(raw: Column, offset: int) -> Column:
-    """Sixteen bytes as eight lower-case groups, without ``::`` shortening."""
-    # From base 16 to base 16: drops leading zeros and keeps a single one.
-    groups = [F.conv(F.hex(_slice(raw, offset + 2 * i, 2)), 16, 16) for i in range(8)]
-    return F.lower(F.concat_ws(":", *groups))
+def ipv6_text(raw: str, offset: int) -> str:
+    """Sixteen bytes as eight lower-case groups, without ``::`` shortening.
+
+    From base 16 to base 16 drops leading zeros and keeps a single one.
+    """
+    groups = ", ".join(
+        f"conv(hex(substring({raw}, {offset + 2 * i}, 2)), 16, 16)" for i in range(8)
+    )
+    return f"lower(concat_ws(':', {groups}))"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,8 +49,8 @@ ETHERTYPES = {
 
 
 def _lookup(names: dict[int, str], key: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(names.items())])
-    return F.try_element_at(table, key)
+    pairs = ", ".join(f"{number}, '{name}'" for number, name in names.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def protocol_text(number: Column) -> Column:

@@ -48,104 +48,97 @@ def packet_length(raw: Column) -> Column:
     return F.length(raw)
 
 
+def _add(df: DataFrame, **columns: str) -> DataFrame:
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
+
+
 def _numbers(df: DataFrame) -> DataFrame:
     """Add the columns of ``_NUMBERS``."""
-    raw, size, kind = F.col("raw"), F.col("len"), F.col("eth_type")
-    df = df.withColumn("len", packet_length(raw))
-    df = df.withColumn("eth_type", F.when(size >= 14, u16(raw, 13)))
+    df = _add(df, len="length(raw)")
+    df = _add(df, eth_type=f"if(len >= 14, {u16('raw', 13)}, null)")
 
     # Network layer: presence, where the transport header starts, and where the
     # datagram ends (trailing link padding is not payload).
-    long_enough = (kind == 0x0800) & (size >= 34) | (kind == 0x86DD) & (size >= 54)
-    df = df.withColumn("_first", F.when(long_enough, u8(raw, 15)))
-    first = F.col("_first")
-    header = F.when((kind == 0x0800) & first.between(0x45, 0x4F), (first - 0x40) * 4)
-    df = df.withColumns(
-        {
-            "ipv4_ihl": F.when(header + 14 <= size, header),
-            "_v6": (kind == 0x86DD) & first.between(0x60, 0x6F),
-        }
+    df = _add(
+        df,
+        _first=f"""if(eth_type = {0x0800} and len >= 34 or eth_type = {0x86DD} and len >= 54,
+            {u8('raw', 15)}, null)""",
+    )
+    df = _add(
+        df,
+        _header=f"if(eth_type = {0x0800} and _first between {0x45} and {0x4F}, (_first - 64) * 4, null)",
+        _v6=f"eth_type = {0x86DD} and _first between {0x60} and {0x6F}",
     )
-    ihl, v6 = F.col("ipv4_ihl"), F.col("_v6")
-    v4 = ihl.isNotNull()
-    df = df.withColumns(
-        {
-            "ipv4_proto": F.when(v4, u8(raw, 24)),
-            "ipv6_next_header": F.when(v6, u8(raw, 21)),
-            "_l4": F.when(v4 & (u16(raw, 21).bitwiseAND(0x1FFF) == 0), ihl + 15).when(v6, 55),
-            # Total length 0 is written by offloading hardware: up to the end.
-            "_end": F.least(
-                size,
-                F.when(v4, F.coalesce(F.nullif(u16(raw, 17), F.lit(0)) + 14, size)).when(
-                    v6, u16(raw, 19) + 54
-                ),
-            ),
-        }
+    df = _add(df, ipv4_ihl="if(_header + 14 <= len, _header, null)")
+    # Total length 0 is written by offloading hardware: up to the end.
+    df = _add(
+        df,
+        ipv4_proto=f"if(ipv4_ihl is not null, {u8('raw', 24)}, null)",
+        ipv6_next_header=f"if(_v6, {u8('raw', 21)}, null)",
+        _l4=f"""case when ipv4_ihl is not null and {u16('raw', 21)} & {0x1FFF} = 0 then ipv4_ihl + 15
+            when _v6 then 55 end""",
+        _end=f"""least(len, case
+            when ipv4_ihl is not null then coalesce(nullif({u16('raw', 17)}, 0) + 14, len)
+            when _v6 then {u16('raw', 19)} + 54 end)""",
     )
 
     # Transport layer.
-    proto = F.coalesce("ipv4_proto", "ipv6_next_header")
-    l4, end = F.col("_l4"), F.col("_end")
-    df = df.withColumns(
-        {
-            "_doff": F.when(
-                (proto == 6) & (end >= l4 + 19),
-                F.shiftright(u8(raw, l4 + 12), 4) * 4,
-            ),
-            "_udp": (proto == 17) & (end >= l4 + 7),
-        }
+    df = _add(
+        df,
+        _doff=f"""if(coalesce(ipv4_proto, ipv6_next_header) = 6 and _end >= _l4 + 19,
+            shiftright({u8('raw', '_l4 + 12')}, 4) * 4, null)""",
+        _udp="coalesce(ipv4_proto, ipv6_next_header) = 17 and _end >= _l4 + 7",
     )
-    doff, udp = F.col("_doff"), F.col("_udp")
-    tcp = (doff >= 20) & (end >= l4 - 1 + doff)
-    return df.withColumns(
-        {
-            "tcp_src_port": F.when(tcp, u16(raw, l4)),
-            "tcp_dst_port": F.when(tcp, u16(raw, l4 + 2)),
-            "_flags": F.when(tcp, u8(raw, l4 + 13)),
-            "_data": F.when(tcp, l4 + doff),
-            "udp_src_port": F.when(udp, u16(raw, l4)),
-            "udp_dst_port": F.when(udp, u16(raw, l4 + 2)),
-        }
+    df = _add(df, _tcp="_doff >= 20 and _end >= _l4 - 1 + _doff")
+    return _add(
+        df,
+        tcp_src_port=f"if(_tcp, {u16('raw', '_l4')}, null)",
+        tcp_dst_port=f"if(_tcp, {u16('raw', '_l4 + 2')}, null)",
+        _flags=f"if(_tcp, {u8('raw', '_l4 + 13')}, null)",
+        _data="if(_tcp, _l4 + _doff, null)",
+        udp_src_port=f"if(_udp, {u16('raw', '_l4')}, null)",
+        udp_dst_port=f"if(_udp, {u16('raw', '_l4 + 2')}, null)",
     )
 
 
-def _has(flag: int) -> Column:
-    return F.col("_flags").bitwiseAND(flag) == flag
-
-
 def decode_fields(df: DataFrame) -> DataFrame:
     """Add ``len`` and the flat header fields to a DataFrame with ``raw``."""
-    raw, size, kind = F.col("raw"), F.col("len"), F.col("eth_type")
-    df = _numbers(df).select(*df.columns, F.inline(F.array(F.struct(*_NUMBERS))))
-
-    has_eth = kind.isNotNull()
-    is_llc = (kind <= 1500) & (size >= 17)
-    is_arp = (kind == 0x0806) & (size >= 42)
-    v4 = F.col("ipv4_proto").isNotNull()
-    v6 = F.col("ipv6_next_header").isNotNull()
-    data, end = F.col("_data"), F.col("_end")
-    return df.withColumns(
-        {
-            "eth_dst": F.when(has_eth, mac_text(raw, 1)),
-            "eth_src": F.when(has_eth, mac_text(raw, 7)),
-            "llc_dsap": F.when(is_llc, u8(raw, 15)),
-            "llc_ssap": F.when(is_llc, u8(raw, 16)),
-            "llc_control": F.when(is_llc, u8(raw, 17)),
-            "ipv4_src": F.when(v4, ipv4_text(raw, 27)),
-            "ipv4_dst": F.when(v4, ipv4_text(raw, 31)),
-            "ipv6_src": F.when(v6, ipv6_text(raw, 23)),
-            "ipv6_dst": F.when(v6, ipv6_text(raw, 39)),
-            "arp_op": F.when(is_arp, u16(raw, 21)),
-            "arp_sha": F.when(is_arp, mac_text(raw, 23)),
-            "arp_spa": F.when(is_arp, ipv4_text(raw, 29)),
-            "arp_tha": F.when(is_arp, mac_text(raw, 33)),
-            "arp_tpa": F.when(is_arp, ipv4_text(raw, 39)),
-            "tcp_syn": _has(0x02),
-            "tcp_ack": _has(0x10),
-            "tcp_fin": _has(0x01),
-            "tcp_psh": _has(0x08),
-            "tcp_payload": F.when(end >= data, F.substring(raw, data, end - data + 1)),
-        }
+    fence = F.expr(f"inline(array(struct({', '.join(_NUMBERS)})))")
+    df = _numbers(df).select(*df.columns, fence)
+
+    def only(condition: str, **columns: str) -> dict[str, str]:
+        return {name: f"if({condition}, {text}, null)" for name, text in columns.items()}
+
+    return _add(
+        df,
+        **only("eth_type is not null", eth_dst=mac_text("raw", 1), eth_src=mac_text("raw", 7)),
+        **only(
+            "eth_type <= 1500 and len >= 17",
+            llc_dsap=u8("raw", 15),
+            llc_ssap=u8("raw", 16),
+            llc_control=u8("raw", 17),
+        ),
+        **only(
+            "ipv4_proto is not null", ipv4_src=ipv4_text("raw", 27), ipv4_dst=ipv4_text("raw", 31)
+        ),
+        **only(
+            "ipv6_next_header is not null",
+            ipv6_src=ipv6_text("raw", 23),
+            ipv6_dst=ipv6_text("raw", 39),
+        ),
+        **only(
+            f"eth_type = {0x0806} and len >= 42",
+            arp_op=u16("raw", 21),
+            arp_sha=mac_text("raw", 23),
+            arp_spa=ipv4_text("raw", 29),
+            arp_tha=mac_text("raw", 33),
+            arp_tpa=ipv4_text("raw", 39),
+        ),
+        tcp_syn="_flags & 2 = 2",
+        tcp_ack="_flags & 16 = 16",
+        tcp_fin="_flags & 1 = 1",
+        tcp_psh="_flags & 8 = 8",
+        tcp_payload="if(_end >= _data, substring(raw, _data, _end - _data + 1), null)",
     ).drop("_flags", "_data", "_end")
 
 
@@ -157,25 +150,22 @@ def has_layer(layer: str) -> Column:
 def pack_layers(df: DataFrame) -> DataFrame:
     """Flat form to layered form: one nullable struct per layer."""
     rest = [c for c in df.columns if c not in FLAT_FIELDS]
-    structs = [
-        F.when(
-            has_layer(layer),
-            F.struct(*[F.col(f"{layer}_{f.name}").alias(f.name) for f in fields]),
-        ).alias(layer)
-        for layer, fields in LAYERS.items()
-    ]
-    return df.select(*rest, *structs)
+    structs = []
+    for layer, parts in LAYERS.items():
+        named = ", ".join(f"'{p.name}', {layer}_{p.name}" for p in parts)
+        structs.append(
+            f"if({LAYER_MARK[layer]} is not null, named_struct({named}), null) as {layer}"
+        )
+    return df.select(*rest, *map(F.expr, structs))
 
 
 def unpack_layers(df: DataFrame) -> DataFrame:
     """Layered form to flat form."""
     rest = [c for c in df.columns if c not in LAYERS]
     flat = [
-        F.col(f"{layer}.{f.name}").alias(f"{layer}_{f.name}")
-        for layer, fields in LAYERS.items()
-        for f in fields
+        f"{layer}.{p.name} as {layer}_{p.name}" for layer, parts in LAYERS.items() for p in parts
     ]
-    return df.select(*rest, *flat)
+    return df.select(*rest, *map(F.expr, flat))
 
 
 def fields(df: DataFrame) -> DataFrame:
