@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LOG_MAX_LENGTH, LOG_NOT_NULL, LOGS
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from .ids import assign_ids
 from .lookup import exists_flag, small_side
 
@@ -144,8 +144,13 @@ def apply_changes(logs: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def upsert_logs(logs: DataFrame, updates: DataFrame, last_id: int, seq: str = "seq") -> DataFrame:
-    """The table after a batch of updates."""
-    return apply_changes(logs, upsert_changes(logs, updates, last_id, seq))
+    """The table after a batch of updates.
+
+    The changes are stored first: a small batch is then known to be small, and
+    the table meets it in a broadcast join instead of a shuffle.
+    """
+    changes = stored(upsert_changes(logs, updates, last_id, seq), "log-changes")
+    return apply_changes(logs, changes)
 
 
 def delete_logs(logs: DataFrame, ids: DataFrame) -> DataFrame:
