@@ -37,8 +37,9 @@ def arp_untrusted(
         return df.withColumn("arp_untrusted", has_layer("arp"))
 
     if known_mac is None:
-        known_mac = known_mac_table(df.sparkSession)
-    known = known_mac.groupBy("ip").agg(F.min("mac").alias("_known_mac"))
+        known = known_mac_table(df.sparkSession).withColumnRenamed("mac", "_known_mac")
+    else:
+        known = known_mac.groupBy("ip").agg(F.min("mac").alias("_known_mac"))
     if fits_broadcast(known):
         joined = lookup_join(df, known, "arp_spa", "ip", "packet_id")
     else:

@@ -22,9 +22,14 @@ def list_interfaces(df: DataFrame) -> DataFrame:
     )
 
 
-def select_interface(df: DataFrame, name: str, interfaces: DataFrame) -> DataFrame:
-    """Packets of one interface; an unknown name is an error, not an empty result."""
-    if interfaces.filter(F.col("name") == name).isEmpty():
+def select_interface(
+    df: DataFrame, name: str, interfaces: DataFrame | None = None
+) -> DataFrame:
+    """Packets of one interface.
+
+    With a table of interfaces an unknown name is an error, not an empty result.
+    """
+    if interfaces is not None and interfaces.filter(F.col("name") == name).isEmpty():
         raise ValueError(f"No such interface found: {name}")
     return df.filter(F.col("iface") == name)
 

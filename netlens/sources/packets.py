@@ -31,11 +31,7 @@ def read_packets(
     """
     df = spark.read.schema(PACKETS_RAW).parquet(path)
     if iface is not None:
-        df = (
-            df.filter(F.col("iface") == iface)
-            if interfaces is None
-            else select_interface(df, iface, interfaces)
-        )
+        df = select_interface(df, iface, interfaces)
     return truncate_snaplen(df, snaplen)
 
 

@@ -53,6 +53,12 @@ def test_listing(captures):
         list_captures("/tmp/no-such-folder-here")
 
 
+def test_uri_paths(spark, captures):
+    root, rows = captures
+    assert [p for p, _ in list_captures(f"file://{root}")] == [f"file://{p}" for p, _ in list_captures(root)]
+    assert content(read_captures(spark, f"file://{root}", split_bytes=300_000)) == sorted(rows)
+
+
 def test_data_source(pcap, captures):
     root, rows = captures
     df = pcap(root)
