@@ -28,6 +28,7 @@ from ..operators.ids import assign_ids
 from ..operators.keyed import append_status, insert_if_absent, key_exists
 from ..schema import LOG_BODY
 from ..session import scratch_dir, tune
+from ..sources import LogTable, append_packets, read_buffer, read_logs, write_logs
 from ..streaming import Capture, stream_packets
 from . import fixture
 from .fixture import packets_raw, table
@@ -353,10 +354,26 @@ def log_upsert(spark, sf_dir):
     return changed.select(SHOWN)
 
 
+def deleted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids to delete, some of them unknown."""
+    return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3 - 6).alias("id"))
+
+
 @query("log_delete")
 def log_delete(spark, sf_dir):
-    ids = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3 - 6).alias("id"))
-    return logs.delete_logs(base_logs(spark, sf_dir), ids).select(SHOWN)
+    return logs.delete_logs(base_logs(spark, sf_dir), deleted_ids(spark, sf_dir)).select(SHOWN)
+
+
+@query("log_table")
+def log_table(spark, sf_dir):
+    """The stored table after an append, a batch of updates and a batch of deletes."""
+    path = scratch_dir(spark, "log-table")
+    rows = views.log_records(packets_raw(spark, sf_dir), "base", keep=["packet_id"])
+    write_logs(rows, path, order_by=["timestamp", "packet_id"])
+    stored = LogTable(spark, path)
+    stored.upsert(log_updates(spark, sf_dir))
+    stored.delete(deleted_ids(spark, sf_dir))
+    return read_logs(spark, path).select(SHOWN)
 
 
 # Keyed append -----------------------------------------------------------------
@@ -453,8 +470,6 @@ def stream_detect(spark, sf_dir):
 @query("packet_buffer")
 def packet_buffer(spark, sf_dir):
     """Frames through the stored form: append, then read header columns back."""
-    from ..sources import append_packets, read_buffer
-
     out = scratch_dir(spark, "buffer")
     append_packets(packets_raw(spark, sf_dir), out)
     stored = read_buffer(spark, out)

@@ -154,6 +154,17 @@ _JSON = (
     f" || ',\"destinationIpAddress\":' || {_json_text('dst_ip')} || '}}'"
 ).replace("}}'", "}'")
 
+_UPSERTED = (
+    f"{_LOGS}, upd as (select *, case c_nationkey when 4 then null when 5 then seq + 2 when 6 then seq + 10000000 "
+    "else seq end as body_id from bodies where c_nationkey <> 3 and seq in (select id from logs)), "
+    "rep as (select * from upd where body_id in (select id from logs) "
+    "qualify row_number() over (partition by body_id order by seq desc) = 1), "
+    "fresh as (select * from upd where body_id is null or body_id not in (select id from logs)) "
+    f"select id, {_BODY} from logs where id not in (select body_id from rep) "
+    f"union all select body_id, {_BODY} from rep "
+    f"union all select last_id + row_number() over (order by seq), {_BODY} from fresh, top"
+)
+
 _ACCOUNTS = """
 with target as (select c_custkey as key, c_custkey as seq from customer),
 batch as (
@@ -273,15 +284,9 @@ ORACLE_SQL: dict[str, str] = {
         f"{_LOGS} select id, {_BODY} from logs union all "
         f"select last_id + row_number() over (order by seq), {_BODY} from bodies, top"
     ),
-    "log_upsert": (
-        f"{_LOGS}, upd as (select *, case c_nationkey when 4 then null when 5 then seq + 2 when 6 then seq + 10000000 "
-        "else seq end as body_id from bodies where c_nationkey <> 3 and seq in (select id from logs)), "
-        "rep as (select * from upd where body_id in (select id from logs) "
-        "qualify row_number() over (partition by body_id order by seq desc) = 1), "
-        "fresh as (select * from upd where body_id is null or body_id not in (select id from logs)) "
-        f"select id, {_BODY} from logs where id not in (select body_id from rep) "
-        f"union all select body_id, {_BODY} from rep "
-        f"union all select last_id + row_number() over (order by seq), {_BODY} from fresh, top"
+    "log_upsert": _UPSERTED,
+    "log_table": (
+        f"select * from ({_UPSERTED}) where id not in (select s_suppkey * 3 - 6 from supplier)"
     ),
     "log_delete": (
         f"{_LOGS} select id, {_BODY} from logs where id not in (select s_suppkey * 3 - 6 from supplier)"

@@ -1,6 +1,7 @@
 """Sources and sinks: packets, capture files, the log table, JDBC."""
 
-from .logtable import LogTable
+from .jdbc import read_jdbc, write_jdbc
+from .logtable import LogTable, read_logs, write_logs
 from .packets import append_packets, clear_buffer, read_buffer, read_packets, stored_packets
 from .pcap import PcapDataSource, read_captures
 
@@ -11,6 +12,10 @@ __all__ = [
     "clear_buffer",
     "read_buffer",
     "read_captures",
+    "read_jdbc",
+    "read_logs",
     "read_packets",
     "stored_packets",
+    "write_jdbc",
+    "write_logs",
 ]

@@ -159,3 +159,13 @@ class LogTable:
         live = live.repartitionByRange(files_hint, "id") if files_hint else live.repartitionByRange("id")
         self._write(live.sortWithinPartitions("id"), "data", at.version + 1)
         self._next(at, "compact", floor=at.version + 1)
+
+
+def write_logs(df: DataFrame, path: str, order_by: list[str] | None = None) -> DataFrame:
+    """Append log rows to the table at ``path``; returns the rejected rows."""
+    return LogTable(df.sparkSession, path).append(df, order_by)
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log table at ``path``."""
+    return LogTable(spark, path).read()
