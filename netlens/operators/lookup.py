@@ -25,11 +25,21 @@ HOT_KEYS = 1_000
 MAX_SALT = 4_096
 
 
+# Plan nodes that may give more rows than they get without the estimate knowing.
+_GROWING = ("Generate ", "Expand ", "MapIn", "FlatMap", "MapPartitions", "MapElements")
+
+
 def planned_size(df: DataFrame) -> int | None:
-    """Catalyst's size estimate in bytes, or None where it cannot be read."""
+    """Catalyst's size estimate in bytes, or None where it is no upper bound.
+
+    Without column statistics the estimate starts at the file sizes, keeps them
+    through filters and aggregations and multiplies them in joins.
+    """
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
+        plan = df._jdf.queryExecution().optimizedPlan()
+        if any(node in plan.toString() for node in _GROWING):
+            return None
+        return int(str(plan.stats().sizeInBytes()))
     except (AttributeError, PySparkException):  # no JVM behind this session
         return None
 

@@ -119,14 +119,16 @@ class LogTable:
     ) -> DataFrame:
         """Validate and append new rows under new ids; returns the rejected rows.
 
-        Ids follow ``order_by`` if given, which costs a sort.  A tag other than the default is written once: appending it again does
-        nothing, which makes a retried micro-batch harmless.
+        Ids follow ``order_by`` if given, which costs a sort.  A tag other than
+        the default is written once: appending it again does nothing, which
+        makes a retried micro-batch harmless.
         """
         valid, rejected = validate_logs(rows, store=True)
         history = self.commits()
         if tag == "append" or all(c.tag != tag for c in history):
             at = history[-1] if history else self.current()
-            self._commit_rows(insert_logs(valid, at.last_id, order_by, stable=True), at, tag, replaces=False)
+            new = insert_logs(valid, at.last_id, order_by, stable=True)
+            self._commit_rows(new, at, tag, replaces=False)
         return rejected
 
     def save(self, rows: DataFrame, seq: str = "seq") -> None:

@@ -10,7 +10,6 @@ the packets and skips log rows that are already there.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.filters import DEFAULT_SNAPLEN, host_filter, select_interface, truncate_snaplen

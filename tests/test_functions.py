@@ -1,5 +1,5 @@
 import pytest
-from frames import ACK, eth, in_order, ipv4, ipv6, packets, tcp, udp
+from frames import eth, in_order, ipv4, ipv6, packets, tcp, udp
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

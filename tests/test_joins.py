@@ -30,6 +30,10 @@ def test_salted_join_equals_plain_join(spark):
 def test_size_check(spark):
     assert fits_broadcast(spark.sql("select * from values ('a') as t(x)"))
     assert not fits_broadcast(spark.range(10**9))
+    # An estimate that cannot see the growth is not trusted.
+    grown = spark.range(10).select(F.explode(F.sequence(F.lit(0), F.col("id") * 1_000_000)).alias("x"))
+    assert not fits_broadcast(grown)
+    assert not fits_broadcast(spark.range(10).mapInPandas(lambda it: it, "id long"))
 
 
 GEO = json.dumps({"country": "Testland", "city": "T", "lat": 1.5, "lon": -2.0})
