@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings that can be changed while a session runs.  The JVM does not compile
 # methods beyond 8000 bytes; with this limit Spark splits a long projection into
-# several methods instead (measured on the full decode: 2.9 times faster).
+# several methods instead (the full decode ran two to three times faster).
 RUNTIME_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
