@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,26 @@ def id_remainder(modulus: int, name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string")) % modulus
 
 
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size with the bits at ``place`` set (the first bit of a byte is its highest).
+
+    Tasks put it together in pieces of 64 kB at most, so what the driver gets is its size and no
+    more, however many rows there are.
+    """
+    piece_bits = min(bits, 1 << 19)
+
+    def put(rows: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(piece_bits, dtype=np.uint8)
+        flags[rows["place"].to_numpy() % piece_bits] = 1
+        return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "bits": [np.packbits(flags).tobytes()]})
+
+    dealt = places.select("place").distinct().withColumn("piece", F.col("place").bitwiseAND(~(piece_bits - 1)))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in dealt.groupBy("piece").applyInPandas(put, "piece int, bits binary").toLocalIterator():
+        out[r["piece"] // 8 : (r["piece"] + piece_bits) // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder (``spark.checkpoint.dir``)."""
     ensure_checkpoint_dir(df.sparkSession)

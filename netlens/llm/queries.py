@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import html_text, langid, packing, quality
+from netlens.llm import decontaminate, fingerprint, html_text, langid, near_dedup, packing, pii, quality, substring, toxicity
 from netlens.llm.common import id_remainder, prepare, table
 
 #: The tokenizer file; a parameter of the operators, never part of the library.
@@ -19,6 +19,52 @@ def _held_out(modulus: int, fold: int):
     return F.coalesce(id_remainder(modulus) == fold, F.lit(False))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.size("hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(decontaminate.item_list(F.col("items")), 256).alias("items_sha256"),
+        (F.size("hit") > 0).alias("contaminated"),
+    )
+
+
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.with_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("fingerprint")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprint.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels.where(id_remainder(5) != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -26,6 +72,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +97,48 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_language_id, op8_quality, op9_packing, op10_html_text)
+    f.__name__: f for f in (
+        op1_decontamination, op2_fingerprint, op3_pii, op4_toxicity, op5_substring_dedup,
+        op6_language_id, op7_near_dedup, op8_quality, op9_packing, op10_html_text,
+    )
+}
+#: For DuckDB on the same tables, where SQL can express the query.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null and item_id is not null),
+p as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g
+      from (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+s as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+      from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d cross join (select distinct n from p) where len(w) >= n)),
+h as (select doc_id, i, s.n, item_id from s join p using (g, n)),
+c as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as items from (select distinct doc_id, item_id::varchar as k from h) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join t using (doc_id)""",
+    "op5_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+m as (select g, min(doc_id) as least from s group by g),
+r as (select distinct doc_id, unnest(range(i, i + 13)) as j from s join m using (g) where least < doc_id),
+k as (select doc_id, count(*) as n_removed, list(j) as js from r group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+       sha256(case when js is null then array_to_string(w, ' ')
+              else array_to_string([w[x] for x in range(1, len(w) + 1) if not list_contains(js, x)], ' ') end) as kept_sha256
+from d left join k using (doc_id)""",
+    "op7_near_dedup": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as n_both from s a join s b using (g) where a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * n_both >= 75 * (a.n + b.n - n_both)),
+e as (select x, y from l union all select y, x from l),
+c as (select doc_id as node, doc_id as root from d union select y, root from c join e on node = x)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from (select node as doc_id, min(root) as component_id from c group by node) left join n using (doc_id)""",
 }
-ORACLE_SQL: dict[str, str] = {}
