@@ -12,6 +12,7 @@ packed row by row. An empty table gives no pieces.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from array import array
@@ -45,6 +46,7 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(",.!?;:", self._encode(list(",.!?;:")), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -64,14 +66,24 @@ class PartEncoder:
         for parts in split:
             del parts[0]
             new.update(p for p in parts if p not in known)
+        # a mark after a letter or digit is a word of its own
+        marked = [p for p in new if len(p) > 1 and p[-1] in self.marks and p[-2].isalnum()]
+        new.difference_update(marked)
+        new.update(b for p in marked if (b := p[:-1]) not in known)
         order = list(new)
         known.update(zip(order, self._encode([f" {p}" for p in order]), strict=True))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
         return [head + b"".join(map(known.__getitem__, parts)) for head, parts in zip(first, split, strict=True)]
 
 
 @functools.cache
 def encoder(path: str) -> PartEncoder:
-    """The encoder of this Python worker; its memory serves one task after another."""
+    """The encoder of this Python worker; its memory serves one task after another.
+
+    Spark runs a task on each core, so the tokenizer's own threads would only contend.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return PartEncoder(path)
 
 
