@@ -1,0 +1,72 @@
+"""Every operator on awkward rows, on an empty table, and with clashing extra columns."""
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tables import DOCS, odd_rows, rows_of, with_clashes
+
+from netlens.llm import decontaminate, fingerprint, html_text, langid, near_dedup, packing, pii, quality, substring, toxicity
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def items(spark):
+    return spark.createDataFrame([(1, "one two"), (None, "x y"), (3, None), (4, "")], "item_id long, text string")
+
+
+def labels(spark, column):
+    rows = [(2, 0), (4, 1), (5, 1), (6, 0), (7, 1), (None, 1), (99, 0), (4, None)]
+    return spark.createDataFrame(rows, "doc_id long, label int")
+
+
+OPERATORS = {
+    "decontaminate": lambda s, d: decontaminate.scan(d, items(s)),
+    "keep_clean": lambda s, d: decontaminate.keep_clean(d, items(s)).select("doc_id"),
+    "fingerprint": lambda s, d: fingerprint.with_edits(d),
+    "pii": lambda s, d: pii.find(d),
+    "sanitise": lambda s, d: pii.sanitise(d).select("doc_id", "text"),
+    "toxicity": lambda s, d: toxicity.score(d, toxicity.fit(d, labels(s, "toxic"))),
+    "substring": lambda s, d: substring.remove_repeats(d),
+    "langid": lambda s, d: langid.predict(d, langid.fit(d)),
+    "near_dedup": lambda s, d: near_dedup.classes(d),
+    "quality": lambda s, d: quality.score(d, quality.fit(d, labels(s, "quality"))),
+    "packing": lambda s, d: packing.pack(d, TOKENIZER).drop("sequence_id"),
+}
+ONE_ROW_EACH = ["decontaminate", "fingerprint", "pii", "sanitise", "toxicity", "substring", "langid", "near_dedup", "quality"]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, name):
+    df = OPERATORS[name](spark, spark.createDataFrame([], DOCS))
+    assert df.count() == 0
+    assert "doc_id" in df.columns
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows(spark, name):
+    docs = odd_rows(spark)
+    got = OPERATORS[name](spark, docs)
+    rows = rows_of(got)
+    if name in ONE_ROW_EACH:
+        assert sorted(map(str, (r["doc_id"] for r in got.collect()))) == sorted(map(str, (r["doc_id"] for r in docs.collect())))
+    assert rows_of(OPERATORS[name](spark, with_clashes(docs))) == rows
+
+
+def test_pages_odd_and_empty(spark):
+    kind = "page_id long, url string, html string"
+    assert html_text.extract(spark.createDataFrame([], kind)).count() == 0
+    rows = [(None, None, None), (1, "u", ""), (2, None, "<p>"), (3, "u", "&am"), (4, "u", "<" * 2_000), (4, "u", "<" * 2_000), (5, "u", "<div>" * 20_000 + "deep, text")]
+    got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, kind)).collect()}
+    assert got[None]["text"] == got[1]["text"] == got[2]["text"] == ""
+    assert got[5]["text"] == "deep, text"
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_keep_columns_and_types(spark):
+    docs = with_clashes(odd_rows(spark))
+    for out in (near_dedup.keep_one(docs), decontaminate.keep_clean(docs, items(spark)), pii.sanitise(docs)):
+        assert out.schema.simpleString() == docs.schema.simpleString()
+    kept = near_dedup.keep_one(docs)
+    assert kept.where(F.col("doc_id") == 5).count() == 1
+    assert kept.where(F.col("doc_id").isNull()).count() == 1
+    assert pii.sanitise(docs).where("text is null").count() == 1
