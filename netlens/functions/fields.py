@@ -23,24 +23,28 @@ def u16(raw: str, offset: int | str) -> str:
     return f"cast(conv(hex(substring({raw}, {offset}, 2)), 16, 10) as int)"
 
 
-def mac_text(raw: str, offset: int) -> str:
+def _at(offset: int | str, by: int) -> str:
+    return str(offset + by) if isinstance(offset, int) else f"{offset} + {by}"
+
+
+def mac_text(raw: str, offset: int | str) -> str:
     """Six bytes as lower-case hex pairs joined by colons."""
-    pairs = ", ".join(f"hex(substring({raw}, {offset + i}, 1))" for i in range(6))
+    pairs = ", ".join(f"hex(substring({raw}, {_at(offset, i)}, 1))" for i in range(6))
     return f"lower(concat_ws(':', {pairs}))"
 
 
-def ipv4_text(raw: str, offset: int) -> str:
+def ipv4_text(raw: str, offset: int | str) -> str:
     """Four bytes as a dotted quad."""
-    quad = ", ".join(f"conv(hex(substring({raw}, {offset + i}, 1)), 16, 10)" for i in range(4))
+    quad = ", ".join(f"conv(hex(substring({raw}, {_at(offset, i)}, 1)), 16, 10)" for i in range(4))
     return f"concat_ws('.', {quad})"
 
 
-def ipv6_text(raw: str, offset: int) -> str:
+def ipv6_text(raw: str, offset: int | str) -> str:
     """Sixteen bytes as eight lower-case groups, without ``::`` shortening.
 
     From base 16 to base 16 drops leading zeros and keeps a single one.
     """
     groups = ", ".join(
-        f"conv(hex(substring({raw}, {offset + 2 * i}, 2)), 16, 16)" for i in range(8)
+        f"conv(hex(substring({raw}, {_at(offset, 2 * i)}, 2)), 16, 16)" for i in range(8)
     )
     return f"lower(concat_ws(':', {groups}))"

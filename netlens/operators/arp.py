@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decode import fields, has_layer
-from .lookup import fits_broadcast, lookup_join
+from .lookup import lookup_join
 
 ARP_MODES = ("source", "all_arp", "corrected")
 
@@ -38,12 +38,10 @@ def arp_untrusted(
 
     if known_mac is None:
         known = known_mac_table(df.sparkSession).withColumnRenamed("mac", "_known_mac")
-    else:
-        known = known_mac.groupBy("ip").agg(F.min("mac").alias("_known_mac"))
-    if fits_broadcast(known):
         joined = lookup_join(df, known, "arp_spa", "ip", "packet_id")
     else:
-        # Only ARP frames meet the big table; the rest is not shuffled.
+        # A table may be of any size: only ARP frames meet it, the others are never shuffled.
+        known = known_mac.groupBy(F.trim("ip").alias("ip")).agg(F.min("mac").alias("_known_mac"))
         arp = lookup_join(df.filter(has_layer("arp")), known, "arp_spa", "ip", "packet_id")
         joined = df.filter(~has_layer("arp")).unionByName(arp, allowMissingColumns=True)
 

@@ -11,8 +11,10 @@ a query does not use them, so a query on ports renders no address.
 
 A layer is present only if all of its fixed header lies inside the captured
 bytes; a truncated header makes the layer absent, never half filled.
-Non-first IPv4 fragments have no transport layer.  802.1Q tags and IPv6
-extension headers are not followed.
+Up to two 802.1Q or 802.1ad tags are stepped over: ``eth_type`` is the type in
+the Ethernet header, the layers are those behind the tags.  IPv6 extension
+headers are followed to their end; ``ipv6_next_header`` is the field of the
+fixed header.  Non-first fragments have no transport layer.
 """
 
 from __future__ import annotations
@@ -40,8 +42,36 @@ _NUMBERS = [
     "_flags",
     "_data",
     "_end",
+    "_type",
+    "_net",
 ]
 
+# Tag types, and IPv6 extension headers by the unit of their length.
+TAGS = f"({0x8100}, {0x88A8})"
+OPTIONS, FRAGMENT, AUTHENTICATION = (0, 43, 60, 135), 44, 51
+EXTENSIONS = str((*OPTIONS, FRAGMENT, AUTHENTICATION))
+
+
+def _last_header(start: str) -> str:
+    """The chain of extension headers from offset ``start``, walked to its end.
+
+    Gives the number of the first header that is none (``n``), its offset (``o``) and whether the
+    packet is a later fragment (``f``).  A header takes eight bytes at least, which bounds the
+    steps by the length of the frame; a truncated one ends the walk.
+    """
+    n, size = u8("raw", "s.o"), u8("raw", "s.o + 1")
+
+    def moved(by: str, fragment: str = "s.f") -> str:
+        return f"named_struct('n', {n}, 'o', s.o + {by}, 'f', {fragment})"
+
+    return f"""aggregate(sequence(1, greatest(1, (len - {start}) div 8)),
+        named_struct('n', ipv6_next_header, 'o', {start}, 'f', false),
+        (s, i) -> case
+            when s.n in {OPTIONS} and s.o + 7 <= len then {moved(f'({size} + 1) * 8')}
+            when s.n = {FRAGMENT} and s.o + 7 <= len then {moved('8', f"s.f or {u16('raw', 's.o + 2')} >= 8")}
+            when s.n = {AUTHENTICATION} and s.o + 7 <= len then {moved(f'({size} + 2) * 4')}
+            else s end)"""
+
 
 def packet_length(raw: Column) -> Column:
     """Captured length in bytes, link header included."""
@@ -57,37 +87,52 @@ def _numbers(df: DataFrame) -> DataFrame:
     df = _add(df, len="length(raw)")
     df = _add(df, eth_type=f"if(len >= 14, {u16('raw', 13)}, null)")
 
+    # Tags: the type behind them, and where the network layer starts.
+    df = _add(df, _inner=f"if(eth_type in {TAGS} and len >= 18, {u16('raw', 17)}, null)")
+    df = _add(
+        df,
+        _net=f"case when _inner in {TAGS} then 23 when eth_type in {TAGS} then 19 else 15 end",
+        _type=f"""case when _inner in {TAGS} then if(len >= 22, {u16('raw', 21)}, null)
+            when eth_type in {TAGS} then _inner else eth_type end""",
+    )
+
     # Network layer: presence, where the transport header starts, and where the
     # datagram ends (trailing link padding is not payload).
     df = _add(
         df,
-        _first=f"""if(eth_type = {0x0800} and len >= 34 or eth_type = {0x86DD} and len >= 54,
-            {u8('raw', 15)}, null)""",
+        _first=f"""if(_type = {0x0800} and len >= _net + 19 or _type = {0x86DD} and len >= _net + 39,
+            {u8('raw', '_net')}, null)""",
     )
     df = _add(
         df,
-        _header=f"if(eth_type = {0x0800} and _first between {0x45} and {0x4F}, (_first - 64) * 4, null)",
-        _v6=f"eth_type = {0x86DD} and _first between {0x60} and {0x6F}",
+        _header=f"if(_type = {0x0800} and _first between {0x45} and {0x4F}, (_first - 64) * 4, null)",
+        _v6=f"_type = {0x86DD} and _first between {0x60} and {0x6F}",
     )
-    df = _add(df, ipv4_ihl="if(_header + 14 <= len, _header, null)")
-    # Total length 0 is written by offloading hardware: up to the end.
+    df = _add(df, ipv4_ihl="if(_header + _net - 1 <= len, _header, null)")
+    # Length 0 is written by offloading hardware and for jumbograms: up to the end.
     df = _add(
         df,
-        ipv4_proto=f"if(ipv4_ihl is not null, {u8('raw', 24)}, null)",
-        ipv6_next_header=f"if(_v6, {u8('raw', 21)}, null)",
-        _l4=f"""case when ipv4_ihl is not null and {u16('raw', 21)} & {0x1FFF} = 0 then ipv4_ihl + 15
-            when _v6 then 55 end""",
+        ipv4_proto=f"if(ipv4_ihl is not null, {u8('raw', '_net + 9')}, null)",
+        ipv6_next_header=f"if(_v6, {u8('raw', '_net + 6')}, null)",
         _end=f"""least(len, case
-            when ipv4_ihl is not null then coalesce(nullif({u16('raw', 17)}, 0) + 14, len)
-            when _v6 then {u16('raw', 19)} + 54 end)""",
+            when ipv4_ihl is not null then coalesce(nullif({u16('raw', '_net + 2')}, 0) + _net - 1, len)
+            when _v6 then coalesce(nullif({u16('raw', '_net + 4')}, 0) + _net + 39, len) end)""",
+    )
+    df = _add(df, _ext=f"if(ipv6_next_header in {EXTENSIONS}, {_last_header('_net + 40')}, null)")
+    df = _add(
+        df,
+        _proto="coalesce(ipv4_proto, _ext.n, ipv6_next_header)",
+        _l4=f"""case when ipv4_ihl is not null and {u16('raw', '_net + 6')} & {0x1FFF} = 0 then ipv4_ihl + _net
+            when _ext is not null then if(_ext.f, null, _ext.o)
+            when _v6 then _net + 40 end""",
     )
 
     # Transport layer.
     df = _add(
         df,
-        _doff=f"""if(coalesce(ipv4_proto, ipv6_next_header) = 6 and _end >= _l4 + 19,
+        _doff=f"""if(_proto = 6 and _end >= _l4 + 19,
             shiftright({u8('raw', '_l4 + 12')}, 4) * 4, null)""",
-        _udp="coalesce(ipv4_proto, ipv6_next_header) = 17 and _end >= _l4 + 7",
+        _udp="_proto = 17 and _end >= _l4 + 7",
     )
     df = _add(df, _tcp="_doff >= 20 and _end >= _l4 - 1 + _doff")
     return _add(
@@ -113,33 +158,35 @@ def decode_fields(df: DataFrame) -> DataFrame:
         df,
         **only("eth_type is not null", eth_dst=mac_text("raw", 1), eth_src=mac_text("raw", 7)),
         **only(
-            "eth_type <= 1500 and len >= 17",
-            llc_dsap=u8("raw", 15),
-            llc_ssap=u8("raw", 16),
-            llc_control=u8("raw", 17),
+            "_type <= 1500 and len >= _net + 2",
+            llc_dsap=u8("raw", "_net"),
+            llc_ssap=u8("raw", "_net + 1"),
+            llc_control=u8("raw", "_net + 2"),
         ),
         **only(
-            "ipv4_proto is not null", ipv4_src=ipv4_text("raw", 27), ipv4_dst=ipv4_text("raw", 31)
+            "ipv4_proto is not null",
+            ipv4_src=ipv4_text("raw", "_net + 12"),
+            ipv4_dst=ipv4_text("raw", "_net + 16"),
         ),
         **only(
             "ipv6_next_header is not null",
-            ipv6_src=ipv6_text("raw", 23),
-            ipv6_dst=ipv6_text("raw", 39),
+            ipv6_src=ipv6_text("raw", "_net + 8"),
+            ipv6_dst=ipv6_text("raw", "_net + 24"),
         ),
         **only(
-            f"eth_type = {0x0806} and len >= 42",
-            arp_op=u16("raw", 21),
-            arp_sha=mac_text("raw", 23),
-            arp_spa=ipv4_text("raw", 29),
-            arp_tha=mac_text("raw", 33),
-            arp_tpa=ipv4_text("raw", 39),
+            f"_type = {0x0806} and len >= _net + 27",
+            arp_op=u16("raw", "_net + 6"),
+            arp_sha=mac_text("raw", "_net + 8"),
+            arp_spa=ipv4_text("raw", "_net + 14"),
+            arp_tha=mac_text("raw", "_net + 18"),
+            arp_tpa=ipv4_text("raw", "_net + 24"),
         ),
         tcp_syn="_flags & 2 = 2",
         tcp_ack="_flags & 16 = 16",
         tcp_fin="_flags & 1 = 1",
         tcp_psh="_flags & 8 = 8",
         tcp_payload="if(_end >= _data, substring(raw, _data, _end - _data + 1), null)",
-    ).drop("_flags", "_data", "_end")
+    ).drop("_flags", "_data", "_end", "_type", "_net")
 
 
 def has_layer(layer: str) -> Column:

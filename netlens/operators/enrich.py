@@ -7,51 +7,46 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.addresses import normal_ip
 from ..functions.text import geo_fields
-from .lookup import fits_broadcast, lookup_join
+from .lookup import lookup_join
 
 
 @dataclass(frozen=True)
 class Lookups:
-    """``ptr(ip, domain)``, ``whois(ip, whois)``, ``geo(ip, geo_json)``."""
+    """``ptr(ip, domain)``, ``whois(ip, whois)``, ``geo(ip, geo_json)``; ``ip`` in any spelling."""
 
     ptr: DataFrame
     whois: DataFrame
     geo: DataFrame
 
-    def answers(self, prefix: str = "") -> list[DataFrame]:
-        """The three tables, one row per ``ip``; geo JSON is parsed once per IP."""
-        ptr = self.ptr.groupBy("ip").agg(F.min("domain").alias(f"{prefix}domainName"))
-        whois = self.whois.groupBy("ip").agg(F.min("whois").alias(f"{prefix}whoisData"))
-        geo = (
-            self.geo.groupBy("ip")
-            .agg(F.min("geo_json").alias(f"{prefix}geoJson"))
-            .withColumn(f"{prefix}geoData", geo_fields(F.col(f"{prefix}geoJson")))
+    def answers(self, prefix: str = "") -> DataFrame:
+        """All three answers, one row per ``ip``, gathered in one aggregation.
+
+        So packets meet one table per end.  Geo JSON is parsed once per address.
+        """
+        ip = normal_ip(F.col("ip")).alias("ip")
+        every = (
+            self.ptr.select(ip, "domain")
+            .unionByName(self.whois.select(ip, "whois"), allowMissingColumns=True)
+            .unionByName(self.geo.select(ip, "geo_json"), allowMissingColumns=True)
+        )
+        info = every.filter(F.col("ip").isNotNull()).groupBy("ip").agg(
+            F.min("domain").alias(f"{prefix}domainName"),
+            F.min("whois").alias(f"{prefix}whoisData"),
+            F.min("geo_json").alias(f"{prefix}geoJson"),
         )
-        return [ptr, whois, geo]
+        return info.withColumn(f"{prefix}geoData", geo_fields(F.col(f"{prefix}geoJson")))
 
 
 def ip_info(ips: DataFrame, lookups: Lookups, prefix: str = "") -> DataFrame:
     """One information row per distinct ``ip`` of ``ips``."""
-    info = ips.select("ip").filter(F.col("ip").isNotNull()).distinct()
-    for answer in lookups.answers(prefix):
-        info = info.join(answer, "ip", "left")
-    return info
+    info = ips.select(normal_ip(F.col("ip")).alias("ip")).filter(F.col("ip").isNotNull()).distinct()
+    return info.join(lookups.answers(prefix), "ip", "left")
 
 
-def _attach(
-    df: DataFrame, ip_col: str, lookups: Lookups, prefix: str, spread_by: str, ips: DataFrame | None, options: dict
-) -> DataFrame:
-    answers = lookups.answers(prefix)
-    if all(fits_broadcast(a, options.get("limit")) for a in answers):
-        for answer in answers:
-            df = lookup_join(df, answer, ip_col, "ip", spread_by, **options)
-    else:
-        # Large tables first shrink to the addresses that occur, so the packets
-        # are shuffled once per end and not once per table.
-        if ips is None:
-            ips = df.select(F.col(ip_col).alias("ip"))
-        df = lookup_join(df, ip_info(ips, lookups, prefix), ip_col, "ip", spread_by, **options)
+def _attach(df: DataFrame, ip_col: str, lookups: Lookups, prefix: str, spread_by: str, options: dict) -> DataFrame:
+    df = lookup_join(df, lookups.answers(prefix), ip_col, "ip", spread_by, **options)
     asked, answered = F.col(ip_col).isNotNull(), F.col(f"{prefix}geoData").isNotNull()
     return df.withColumn(
         f"{prefix}status", F.when(asked, F.when(answered, F.lit("ok")).otherwise(F.lit("error")))
@@ -73,7 +68,7 @@ def enrich_ip(
     geolocation makes the request an error: ``status`` says so, or the row is
     left out with ``drop_errors``.  ``status`` is null where there is no IP.
     """
-    df = _attach(df, ip_col, lookups, prefix, spread_by, None, options)
+    df = _attach(df, ip_col, lookups, prefix, spread_by, options)
     return df.filter(F.col(f"{prefix}status") == "ok") if drop_errors else df
 
 
@@ -86,6 +81,5 @@ def enrich_both_ends(
     **options,
 ) -> DataFrame:
     """Enrich source and destination, prefixed ``src_`` and ``dst_``."""
-    ips = df.select(F.explode(F.array(src_col, dst_col)).alias("ip"))
-    df = _attach(df, src_col, lookups, "src_", spread_by, ips, options)
-    return _attach(df, dst_col, lookups, "dst_", spread_by, ips, options)
+    df = _attach(df, src_col, lookups, "src_", spread_by, options)
+    return _attach(df, dst_col, lookups, "dst_", spread_by, options)

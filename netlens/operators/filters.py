@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.addresses import ip_argument, normal_ip
 from .decode import destination_ip, fields, has_layer, source_ip
 from .lookup import exists_flag
 
-DEFAULT_SNAPLEN = 65536
-
 
 def list_interfaces(df: DataFrame) -> DataFrame:
     """Interfaces with the label shown for them: description, or name if empty."""
@@ -25,18 +24,25 @@ def list_interfaces(df: DataFrame) -> DataFrame:
 def select_interface(
     df: DataFrame, name: str, interfaces: DataFrame | None = None
 ) -> DataFrame:
-    """Packets of one interface.
+    """Packets of one interface; a name that the table of interfaces lacks is an error.
 
-    With a table of interfaces an unknown name is an error, not an empty result.
+    Without a table the interfaces are those that occur in ``df``, which costs a scan of that
+    column until the first packet is found.  A stream has no such list and needs the table.
     """
-    if interfaces is not None and interfaces.filter(F.col("name") == name).isEmpty():
-        raise ValueError(f"No such interface found: {name}")
+    if interfaces is None:
+        if df.isStreaming:
+            raise ValueError("choosing an interface of a stream needs the table of interfaces")
+        known = df.select(F.col("iface").alias("name"))
+    else:
+        known = interfaces
+    if known.filter(F.col("name") == name).isEmpty():
+        raise ValueError(f"interface {name!r} is not among the known ones")
     return df.filter(F.col("iface") == name)
 
 
-def truncate_snaplen(df: DataFrame, n: int = DEFAULT_SNAPLEN) -> DataFrame:
-    """Keep at most ``n`` bytes of each frame; decode afterwards sees only those."""
-    return df.withColumn("raw", F.substring("raw", 1, n))
+def truncate_snaplen(df: DataFrame, n: int | None) -> DataFrame:
+    """Keep at most ``n`` bytes of each frame, all of it for None; decode sees only those."""
+    return df if n is None else df.withColumn("raw", F.substring("raw", 1, n))
 
 
 def _stored_addresses(df: DataFrame) -> bool:
@@ -59,10 +65,11 @@ def _touches(df: DataFrame, ip: str) -> Column:
 def host_filter(df: DataFrame, ip: str | None) -> DataFrame:
     """Frames to or from ``ip``, ARP included; no filter for null or empty.
 
-    On stored packets the test is on plain columns and is pushed to the scan.
+    The address may be in any usual spelling; a text that is none is an error.  On stored packets the test is on plain columns and is pushed to the scan.
     """
     if not ip:
         return df
+    ip = ip_argument(ip)
     if not _stored_addresses(df):
         df = fields(df)
     return df.filter(_touches(df, ip))
@@ -71,7 +78,7 @@ def host_filter(df: DataFrame, ip: str | None) -> DataFrame:
 def host_set_filter(df: DataFrame, hosts: DataFrame, ip_col: str = "ip", **options) -> DataFrame:
     """Frames to or from any of many hosts, as two equi joins without a union.
 
-    A frame is IP or ARP, never both, so each end is one key.
+    A frame is IP or ARP, never both, so each end is one key.  Hosts may be in any spelling.
     """
     stored = _stored_addresses(df)
     if stored:
@@ -79,6 +86,7 @@ def host_set_filter(df: DataFrame, hosts: DataFrame, ip_col: str = "ip", **optio
     else:
         df = fields(df)
         src, dst = F.coalesce(source_ip(), "arp_spa"), F.coalesce(destination_ip(), "arp_tpa")
+    hosts = hosts.select(normal_ip(F.col(ip_col)).alias(ip_col))
     df = df.withColumns({"_src": src, "_dst": dst})
     df = exists_flag(df, hosts, "_src", ip_col, "_src_hit", "packet_id", **options)
     df = exists_flag(df, hosts, "_dst", ip_col, "_dst_hit", "packet_id", **options)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import exists_flag, small_side
+from .lookup import exists_flag
 
 
-def key_exists(keys: DataFrame, target: DataFrame, key: str, target_key: str, spread_by: str) -> DataFrame:
+def key_exists(keys: DataFrame, target: DataFrame, key: str, target_key: str, spread_by: str, **options) -> DataFrame:
     """Add ``exists``: does any row of ``target`` have the key?"""
-    return exists_flag(keys, target.select(target_key), key, target_key, "exists", spread_by)
+    return exists_flag(keys, target.select(target_key), key, target_key, "exists", spread_by, **options)
 
 
 def append_status(target: DataFrame, batch: DataFrame, key: str, seq: str) -> DataFrame:
@@ -24,7 +24,7 @@ def append_status(target: DataFrame, batch: DataFrame, key: str, seq: str) -> Da
     taken = (
         target.select(F.col(key).alias("_key"))
         .filter(F.col("_key").isNotNull())
-        .join(small_side(first.select("_key")), "_key", "left_semi")
+        .join(first.select("_key"), "_key", "left_semi")
     )
     fresh = first.join(taken, "_key", "left_anti").select("_first")
     marked = batch.join(

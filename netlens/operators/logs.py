@@ -1,13 +1,13 @@
 """Changes to the log table as DataFrame operations.
 
 Every function takes the current table and a batch of changes and returns
-DataFrames; storing the result is the business of ``sources.logtable``.  A
-batch is applied as a whole: path ids are checked against the table as it was
-before the batch, and of several changes to one row the last one stays.
+DataFrames; the caller writes the result to a new folder.  A batch is applied
+as a whole: path ids are checked against the table as it was before the batch,
+and of several changes to one row the last one stays.
 
 Changes are small next to the table, so the table is reduced to the touched
-ids by a semi join with the batch (broadcast if its size is checked to be
-small) and is never shuffled for a small batch.
+ids by a semi join with the batch.  Batches are stored first where the table
+meets them: Spark then knows their size and broadcasts a small one.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LOG_MAX_LENGTH, LOG_NOT_NULL, LOGS
-from ..session import ensure_checkpoint_dir, stored
+from ..session import stored
 from .ids import assign_ids
-from .lookup import exists_flag, small_side
+from .lookup import exists_flag
 
 LOG_COLUMNS = [f.name for f in LOGS]
 
@@ -59,35 +59,23 @@ def violations(columns: list[str]) -> Column:
     return F.array_compact(F.array(*missing, *too_long))
 
 
-def validate_logs(df: DataFrame, store: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(valid, rejected)``; the rejected rows keep their ``violations``.
-
-    With ``store`` the checked rows are checkpointed, so that using both
-    outputs computes the rows once.
-    """
+def validate_logs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejected)``; the rejected rows keep their ``violations``."""
     checked = df.withColumn("violations", violations(df.columns))
-    if store:
-        ensure_checkpoint_dir(df.sparkSession)
-        checked = checked.checkpoint()
     valid = checked.filter(F.size("violations") == 0).drop("violations")
     return valid, checked.filter(F.size("violations") > 0)
 
 
-def insert_logs(
-    rows: DataFrame, last_id: int, order_by: list[str] | None = None, stable: bool = False
-) -> DataFrame:
-    """New log rows with ids after ``last_id``; any id they carry is replaced.
-
-    Options as for :func:`netlens.operators.ids.assign_ids`.
-    """
-    numbered = assign_ids(rows.drop("id"), last_id, order_by, stable=stable)
+def insert_logs(rows: DataFrame, last_id: int, order_by: list[str] | None = None) -> DataFrame:
+    """New log rows with ids after ``last_id``; any id they carry is replaced."""
+    numbered = assign_ids(rows.drop("id"), last_id, order_by)
     return with_defaults(numbered).select(LOG_COLUMNS)
 
 
 def _touched(logs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Those ids of ``wanted(id)`` that exist in the table."""
     ids = wanted.filter(F.col("id").isNotNull()).distinct()
-    return logs.select("id").join(small_side(ids), "id", "left_semi")
+    return logs.select("id").join(ids, "id", "left_semi")
 
 
 def save_changes(
@@ -135,7 +123,7 @@ def upsert_changes(
 
 def without_ids(logs: DataFrame, ids: DataFrame) -> DataFrame:
     """The table without the given ids."""
-    return logs.join(small_side(ids.select("id").distinct()), "id", "left_anti")
+    return logs.join(ids.select("id").distinct(), "id", "left_anti")
 
 
 def apply_changes(logs: DataFrame, changes: DataFrame) -> DataFrame:
@@ -143,14 +131,26 @@ def apply_changes(logs: DataFrame, changes: DataFrame) -> DataFrame:
     return without_ids(logs, changes).select(LOG_COLUMNS).unionByName(changes)
 
 
-def upsert_logs(logs: DataFrame, updates: DataFrame, last_id: int, seq: str = "seq") -> DataFrame:
-    """The table after a batch of updates.
+def upsert_logs(
+    logs: DataFrame, updates: DataFrame, last_id: int, seq: str = "seq"
+) -> tuple[DataFrame, DataFrame]:
+    """``(the table after a batch of updates, rejected updates)``.
 
-    The changes are stored first: a small batch is then known to be small, and
-    the table meets it in a broadcast join instead of a shuffle.
+    An update that breaks a column constraint changes nothing and comes back with its
+    ``violations``.
     """
-    changes = stored(upsert_changes(logs, updates, last_id, seq), "log-changes")
-    return apply_changes(logs, changes)
+    valid, rejected = validate_logs(updates)
+    changes = stored(upsert_changes(logs, valid, last_id, seq), "log-changes")
+    return apply_changes(logs, changes), rejected
+
+
+def save_logs(
+    logs: DataFrame, rows: DataFrame, last_id: int, seq: str = "seq"
+) -> tuple[DataFrame, DataFrame]:
+    """``(the table after full rows are saved, rejected rows)``: by existing id, else as new rows."""
+    valid, rejected = validate_logs(rows)
+    changes = stored(save_changes(logs, valid, last_id, seq), "log-changes")
+    return apply_changes(logs, changes), rejected
 
 
 def delete_logs(logs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -1,130 +1,40 @@
-"""Equi joins against lookup tables, safe in size and under skew.
+"""Equi joins against lookup tables.
 
-``lookup_join`` is the one join used for ARP mappings, enrichment and host
-sets.  A lookup is broadcast only if its planned size is within
-``BROADCAST_LIMIT`` bytes.  Beyond that the join shuffles on the key, and
+``lookup_join`` is the one join used for ARP mappings, enrichment and host sets.  It is a plain
+left join that reads the left side once and carries no hint: Spark's own threshold decides on a
+broadcast, adaptive execution converts a join whose side turned out small and splits partitions
+of a hot key by their size.  A hint would forbid that, and no estimate made before the query runs
+bounds a compressed table.
 
-* rows without a key are spread over the partitions instead of meeting in one;
-* keys with more than ``hot_rows`` rows are salted: the left rows of such a key
-  are spread over several partitions and only that key's lookup row is copied.
-
-At most ``HOT_KEYS`` keys are salted.  That is no cut in the result: any key
-behind the first ``HOT_KEYS`` holds less than 1/HOT_KEYS of all rows, and the
-list of salted keys itself stays small enough to broadcast.
+Rows without a key match nothing and would all meet in one partition.  They carry a second join
+key, a hash of ``spread_by``, and so go evenly to all partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 16 * 1024 * 1024
-HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-MAX_SALT = 4_096
-
-
-# Plan nodes that may give more rows than they get without the estimate knowing.
-_GROWING = ("Generate ", "Expand ", "MapIn", "FlatMap", "MapPartitions", "MapElements")
-
-
-def planned_size(df: DataFrame) -> int | None:
-    """Catalyst's size estimate in bytes, or None where it is no upper bound.
-
-    Without column statistics the estimate starts at the file sizes, keeps them
-    through filters and aggregations and multiplies them in joins.
-    """
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        if any(node in plan.toString() for node in _GROWING):
-            return None
-        return int(str(plan.stats().sizeInBytes()))
-    except (AttributeError, PySparkException):  # no JVM behind this session
-        return None
-
-
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    size = planned_size(df)
-    return size is not None and size <= (BROADCAST_LIMIT if limit is None else limit)
-
-
-def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if its size was checked, else as it is."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(_hot, _fan)``: the heaviest keys and how many ways to split each."""
-    return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("_hot"))
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), "_hot")
-        .limit(HOT_KEYS)
-        .select(
-            "_hot",
-            F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SALT)).cast("int").alias("_fan"),
-        )
-    )
-
 
 def lookup_join(
-    left: DataFrame,
-    lookup: DataFrame,
-    left_key: str,
-    lookup_key: str,
-    spread_by: str,
-    hot_rows: int = HOT_ROWS,
-    limit: int | None = None,
+    left: DataFrame, lookup: DataFrame, left_key: str, lookup_key: str, spread_by: str, strategy: str | None = None
 ) -> DataFrame:
     """Left join of ``left`` with a lookup that has one row per key.
 
-    ``spread_by`` names a high-cardinality column of ``left`` (such as the
-    packet id); it picks the salt, so that a repeated task gives the same rows.
-    The lookup's key column is dropped.
+    ``spread_by`` names a high-cardinality column of ``left`` (such as the packet id).
+    The lookup's key column is dropped.  ``strategy`` is a join hint of Spark's, for a caller
+    who knows better; none is given otherwise.
     """
-    right = lookup.withColumnRenamed(lookup_key, "_key")
-    if fits_broadcast(lookup, limit):
-        return left.join(
-            F.broadcast(right), F.col(left_key) == F.col("_key"), "left"
-        ).drop("_key")
-
-    hot = F.broadcast(hot_keys(left, left_key, hot_rows))
-    spread = F.xxhash64(spread_by)
-    salted_left = (
-        left.join(hot, F.col(left_key) == F.col("_hot"), "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col(left_key).isNull(), F.pmod(spread, F.lit(MAX_SALT)))
-            .otherwise(F.pmod(spread, F.coalesce("_fan", F.lit(1))))
-            .cast("int"),
-        )
-        .drop("_hot", "_fan")
+    spread = F.when(F.col(left_key).isNull(), F.xxhash64(spread_by)).otherwise(F.lit(0).cast("long"))
+    right = lookup.withColumnRenamed(lookup_key, "_key").withColumn("_same", F.lit(0).cast("long"))
+    right = right.hint(strategy) if strategy else right
+    joined = left.withColumn("_spread", spread).join(
+        right, (F.col(left_key) == F.col("_key")) & (F.col("_spread") == F.col("_same")), "left"
     )
-    copies = F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)
-    salted_right = (
-        right.join(hot, F.col("_key") == F.col("_hot"), "left")
-        .withColumn("_copy", F.explode(copies))
-        .drop("_hot", "_fan")
-    )
-    return salted_left.join(
-        salted_right,
-        (F.col(left_key) == F.col("_key")) & (F.col("_salt") == F.col("_copy")),
-        "left",
-    ).drop("_key", "_salt", "_copy")
+    return joined.drop("_key", "_spread", "_same")
 
 
-def exists_flag(
-    left: DataFrame,
-    keys: DataFrame,
-    left_key: str,
-    keys_key: str,
-    flag: str,
-    spread_by: str,
-    **options,
-) -> DataFrame:
+def exists_flag(left: DataFrame, keys: DataFrame, left_key: str, keys_key: str, flag: str, spread_by: str, **options) -> DataFrame:
     """Add boolean ``flag``: does the row's key occur in ``keys``?  Never null."""
     marked = (
         keys.select(F.col(keys_key).alias("_member"))

@@ -39,11 +39,11 @@ def valid_small_packet() -> Column:
 
 def size_rule_base() -> Column:
     size = F.col("len")
-    return (size > MAX_LENGTH) | ((size < MIN_LENGTH) & ~valid_small_packet())
+    return _true((size > MAX_LENGTH) | ((size < MIN_LENGTH) & ~valid_small_packet()))
 
 
 def size_rule_ip() -> Column:
-    return ~F.col("len").between(MIN_LENGTH, MAX_LENGTH)
+    return _true(~F.col("len").between(MIN_LENGTH, MAX_LENGTH))
 
 
 def uncommon_protocol_v4() -> Column:

@@ -28,7 +28,7 @@ from ..operators.ids import assign_ids
 from ..operators.keyed import append_status, insert_if_absent, key_exists
 from ..schema import LOG_BODY
 from ..session import scratch_dir, tune
-from ..sources import LogTable, append_packets, read_buffer, read_logs, write_logs
+from ..sources import append_packets, clear_buffer, merge_date, read_buffer, read_captures, read_logs, write_table
 from ..streaming import Capture, stream_packets
 from . import fixture
 from .fixture import packets_raw, table
@@ -74,6 +74,40 @@ _layer(
 )
 
 
+@query("decode_tagged")
+def decode_tagged(spark, sf_dir):
+    df = resolve_ips(fixture.packets_tagged(spark, sf_dir))
+    shown = ["packet_id", "eth_type", "llc_control", "arp_spa", "arp_sha", "tcp_dst_port", "tcp_syn", "udp_dst_port"]
+    return df.select(*shown, F.col("sourceIp").alias("src"), F.col("destinationIp").alias("dst"))
+
+
+@query("anomalies_ip_tagged")
+def anomalies_ip_tagged(spark, sf_dir):
+    return rules.anomalies(fixture.packets_tagged(spark, sf_dir), "ip").select("packet_id")
+
+
+@query("decode_ipv6_ext")
+def decode_ipv6_ext(spark, sf_dir):
+    df = filters.only_layer(fixture.packets_extended(spark, sf_dir), "ipv6")
+    payload = F.coalesce(F.lower(F.hex("tcp_payload")), F.lit("none")).alias("payload_hex")
+    return df.select("packet_id", "ipv6_next_header", "tcp_dst_port", "tcp_syn", "udp_dst_port", payload)
+
+
+@query("long_frames")
+def long_frames(spark, sf_dir):
+    """Frames of more than 65,536 bytes are read and decoded whole."""
+    df = fields(fixture.long_frames(spark, sf_dir))
+    body = F.sha2("tcp_payload", 256).alias("payload_sha256")
+    return df.select(F.col("packet_id").alias("doc_id"), "len", F.length("tcp_payload").alias("payload_bytes"), body)
+
+
+@query("pcap_frames")
+def pcap_frames(spark, sf_dir):
+    """Frames written as capture files, read back in ranges and decoded."""
+    df = fields(read_captures(spark, fixture.captures(spark, sf_dir), iface="eth0", split_bytes=500_000))
+    return df.select("ts", "iface", "len", "arp_spa", "tcp_dst_port", F.lower(F.hex("raw")).alias("raw_hex"))
+
+
 @query("decode_layers")
 def decode_layers(spark, sf_dir):
     df = fields(packets_raw(spark, sf_dir))
@@ -208,12 +242,29 @@ def host_filter_arp(spark, sf_dir):
     return filters.host_filter(packets_raw(spark, sf_dir), "10.0.0.2").select("packet_id")
 
 
+@query("host_filter_ipv6")
+def host_filter_ipv6(spark, sf_dir):
+    return filters.host_filter(packets_raw(spark, sf_dir), "2001:DB8::004").select("packet_id")
+
+
 @query("host_set_filter")
 def host_set_filter(spark, sf_dir):
     hosts = fixture.hosts(spark, sf_dir)
     return filters.host_set_filter(packets_raw(spark, sf_dir), hosts).select("packet_id")
 
 
+@query("host_set_filter_shuffled")
+def host_set_filter_shuffled(spark, sf_dir):
+    hosts = fixture.hosts(spark, sf_dir)
+    return filters.host_set_filter(packets_raw(spark, sf_dir), hosts, strategy="merge").select("packet_id")
+
+
+@query("host_set_filter_ipv6")
+def host_set_filter_ipv6(spark, sf_dir):
+    hosts = fixture.hosts_ipv6(spark, sf_dir)
+    return filters.host_set_filter(packets_raw(spark, sf_dir), hosts).select("packet_id")
+
+
 # Rules ------------------------------------------------------------------------
 
 
@@ -350,10 +401,38 @@ def log_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("log_upsert")
 def log_upsert(spark, sf_dir):
     current = base_logs(spark, sf_dir)
-    changed = logs.upsert_logs(current, log_updates(spark, sf_dir), _last_id(current))
+    changed, _ = logs.upsert_logs(current, log_updates(spark, sf_dir), _last_id(current))
     return changed.select(SHOWN)
 
 
+@query("upsert_rejected")
+def upsert_rejected(spark, sf_dir):
+    """Updates that break a column constraint come back and change nothing."""
+    nation = F.regexp_extract("details", r"(\d+)", 1).cast("int")
+    updates = log_updates(spark, sf_dir).withColumns(
+        {
+            "destinationip": F.when(nation != 7, F.col("destinationip")),
+            "protocol": F.when(nation == 8, F.repeat("protocol", 26)).otherwise(F.col("protocol")),
+        }
+    )
+    _, rejected = logs.upsert_logs(base_logs(spark, sf_dir), updates, 0)
+    return rejected.select("seq", F.array_join("violations", ", ").alias("violations"))
+
+
+@query("logs_too_long")
+def logs_too_long(spark, sf_dir):
+    """Documents as log details: those over the column's limit are rejected."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.col("lang").alias("sourceip"),
+        F.col("source").alias("destinationip"),
+        F.lit("HTTP").alias("protocol"),
+        F.col("text").alias("details"),
+    )
+    rejected = logs.validate_logs(rows)[1]
+    return rejected.select("doc_id", F.array_join("violations", ", ").alias("violations"))
+
+
 def deleted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids to delete, some of them unknown."""
     return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3 - 6).alias("id"))
@@ -366,14 +445,13 @@ def log_delete(spark, sf_dir):
 
 @query("log_table")
 def log_table(spark, sf_dir):
-    """The stored table after an append, a batch of updates and a batch of deletes."""
+    """The table stored, then a batch of updates and one of deletes, each result in a new folder."""
     path = scratch_dir(spark, "log-table")
-    rows = views.log_records(packets_raw(spark, sf_dir), "base", keep=["packet_id"])
-    write_logs(rows, path, order_by=["timestamp", "packet_id"])
-    stored = LogTable(spark, path)
-    stored.upsert(log_updates(spark, sf_dir))
-    stored.delete(deleted_ids(spark, sf_dir))
-    return read_logs(spark, path).select(SHOWN)
+    write_table(base_logs(spark, sf_dir), f"{path}/first")
+    first = read_logs(spark, f"{path}/first")
+    write_table(logs.upsert_logs(first, log_updates(spark, sf_dir), _last_id(first))[0], f"{path}/second")
+    write_table(logs.delete_logs(read_logs(spark, f"{path}/second"), deleted_ids(spark, sf_dir)), f"{path}/third")
+    return read_logs(spark, f"{path}/third").select(SHOWN)
 
 
 # Keyed append -----------------------------------------------------------------
@@ -410,6 +488,13 @@ def key_exists_rows(spark, sf_dir):
     return flagged.select("c_custkey", "exists")
 
 
+@query("key_exists_shuffled")
+def key_exists_shuffled(spark, sf_dir):
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    flagged = key_exists(customer, orders, "c_custkey", "o_custkey", "c_custkey", strategy="merge")
+    return flagged.select("c_custkey", "exists")
+
+
 # Enrichment -------------------------------------------------------------------
 
 
@@ -440,6 +525,15 @@ def enrich_ends(spark, sf_dir):
     )
 
 
+@query("enrich_both_ends_shuffled")
+def enrich_ends_shuffled(spark, sf_dir):
+    rows = views.log_records(packets_raw(spark, sf_dir), "base", keep=["packet_id"])
+    rich = enrich_both_ends(rows, fixture.lookups(spark, sf_dir), spread_by="packet_id", strategy="merge")
+    return rich.select(
+        "packet_id", "sourceip", "destinationip", *_shown_info("src_"), *_shown_info("dst_")
+    )
+
+
 @query("geo_fields")
 def geo_answers(spark, sf_dir):
     geo = fixture.lookups(spark, sf_dir).geo.withColumn("g", geo_fields(F.col("geo_json")))
@@ -467,6 +561,58 @@ def stream_detect(spark, sf_dir):
     return capture.logs().select(LOG_BODY)
 
 
+@query("stream_two_captures")
+def stream_two_captures(spark, sf_dir):
+    """Both rule sets capture the same frames at once into one log folder."""
+    out = scratch_dir(spark, "two-captures")
+    packets_raw(spark, sf_dir).write.parquet(f"{out}/landing")
+    both = [Capture(spark, f"{r}-{out[-8:]}", f"{out}/{r}", rules=r, logs=f"{out}/logs") for r in ("base", "ip")]
+    running = [c.start(stream_packets(spark, f"{out}/landing", max_files=3), available_now=True) for c in both]
+    for query_ in running:
+        query_.awaitTermination()
+    return both[0].logs().select(LOG_BODY)
+
+
+@query("stream_restart")
+def stream_restart(spark, sf_dir):
+    """A capture that ends, and goes on after more files arrived: nothing lost, nothing twice."""
+    out = scratch_dir(spark, "restart")
+    frames = packets_raw(spark, sf_dir)
+    capture = Capture(spark, f"restart-{out[-8:]}", out, rules="ip")
+    for part in (frames.filter("packet_id % 2 = 0"), frames.filter("packet_id % 2 = 1")):
+        part.write.mode("append").parquet(f"{out}/landing")
+        capture.start(stream_packets(spark, f"{out}/landing"), available_now=True).awaitTermination()
+        capture.stop()
+    return capture.logs().select(LOG_BODY)
+
+
+@query("stream_snapshot")
+def stream_snapshot(spark, sf_dir):
+    """All packets captured so far, asked while the capture runs and after it was stopped."""
+    out = scratch_dir(spark, "snapshot")
+    packets_raw(spark, sf_dir).write.parquet(f"{out}/landing")
+    capture = Capture(spark, f"snapshot-{out[-8:]}", out)
+    running = capture.start(stream_packets(spark, f"{out}/landing"), every="0 seconds")
+    running.processAllAvailable()
+    seen = capture.packets().count()
+    capture.stop()
+    return capture.packets().select("packet_id", "len", "src_ip", F.lit(seen).alias("seen_running"))
+
+
+@query("buffer_clear")
+def buffer_clear(spark, sf_dir):
+    """Frames appended, cleared away, appended again and merged by date: each is there once."""
+    out = scratch_dir(spark, "cleared")
+    append_packets(packets_raw(spark, sf_dir), out)
+    clear_buffer(spark, out)
+    left = read_buffer(spark, out).count()
+    append_packets(packets_raw(spark, sf_dir), out, batch="again")
+    append_packets(packets_raw(spark, sf_dir), out, batch="again")
+    for row in read_buffer(spark, out).select("dt").distinct().collect():  # the dates of a buffer, one merge each
+        merge_date(spark, out, row["dt"])
+    return read_buffer(spark, out).select("packet_id", "len", "src_ip", F.lit(left).alias("left"))
+
+
 @query("packet_buffer")
 def packet_buffer(spark, sf_dir):
     """Frames through the stored form: append, then read header columns back."""

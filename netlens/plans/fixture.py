@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.enrich import Lookups
 from ..session import scratch_dir
 from ..sources.packets import read_packets
+from ..sources.pcap import write_captures
 
 # Field values of each frame (CTE k) and the frame as hex text (CTE frames).
 FRAMES_SQL = """
@@ -63,6 +64,34 @@ frames as (
   select *, rpad(head, cast(greatest(length(head), want_len * 2) as int), 'A5') as raw_hex from f)
 """
 
+# Every third frame has one tag, every third two: CTE tagged, after frames.
+TAGGED_SQL = """,
+tags as (
+  select *, case packet_id % 3 when 1 then '81000064' when 2 then '88A8006481000065' else '' end as tag from frames),
+tagged as (select *, concat(left(raw_hex, 24), tag, substring(raw_hex, 25)) as tagged_hex from tags)
+"""
+
+# IPv6 frames with no, one or three extension headers, or as a later fragment: CTE extended.
+EXTENDED_SQL = """,
+chains as (
+  select *, case when kind = 'ipv6' then packet_id % 4 else 0 end as chain, lpad(hex(ip_proto), 2, '0') as proto_hex,
+    length(l4) // 2 + length(body_hex) // 2 as payload_bytes from frames),
+headers as (
+  select *, case chain when 1 then concat(proto_hex, '00010400000000')
+    when 2 then concat('3C00010400000000', '2C01010C', repeat('00', 12), proto_hex, '00000000000001')
+    when 3 then concat('2C00010400000000', proto_hex, '00000800000001') else '' end as ext from chains),
+extended as (
+  select *, case when chain = 0 then raw_hex else concat(left(raw_hex, 36),
+    lpad(hex(payload_bytes + length(ext) // 2), 4, '0'), '00', substring(raw_hex, 43, 66), ext, substring(raw_hex, 109))
+    end as extended_hex from headers)
+"""
+
+# Hosts in several spellings of IPv6, and as upper-case text.
+HOSTS_IPV6_SQL = """
+select concat('2001:DB8::', upper(hex(s_suppkey))) as ip from supplier
+union select concat('2001:0db8:0000:0000:0001::0', lower(hex(n_nationkey + 16))) from nation
+"""
+
 HOSTS_SQL = """
 select concat('10.0.', cast(s_suppkey % 4 as string), '.', cast(s_suppkey as string)) as ip from supplier
 union select concat('192.168.1.', cast(n_nationkey as string)) from nation
@@ -97,6 +126,14 @@ def build_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(spark, sf_dir, text, "events")
 
 
+def _variant(text: str, column: str):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        select = f"select packet_id, ts, 'eth0' as iface, unhex({column}_hex) as raw from {column}"
+        return spark_sql(spark, sf_dir, (FRAMES_SQL.rstrip() + text + select).replace("//", "div"), "events")
+
+    return build
+
+
 def _written(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     """Folder of a derived table, written once per application and input."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -117,6 +154,41 @@ def packets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packets(spark, _written(spark, sf_dir, "packets-raw", build_frames))
 
 
+def packets_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_packets(spark, _written(spark, sf_dir, "packets-tagged", _variant(TAGGED_SQL, "tagged")))
+
+
+def packets_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_packets(spark, _written(spark, sf_dir, "packets-extended", _variant(EXTENDED_SQL, "extended")))
+
+
+def build_long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, repeated to over 65,536 bytes, as an IPv4 TCP payload (total length 0)."""
+    docs = table(spark, sf_dir, "documents")
+    body = F.expr("repeat(text, cast(70000 div length(text) + 1 as int))").cast("binary")
+    header = F.lit("02000000C801020000000001080045000000000040004006" + "00000A000001C0A80101" + "01BB1F9000000001000000005018FFFF00000000")
+    return docs.select(
+        F.col("doc_id").alias("packet_id"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+        F.lit("eth0").alias("iface"),
+        F.concat(F.unhex(header), body).alias("raw"),
+    )
+
+
+def long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_packets(spark, _written(spark, sf_dir, "long-frames", build_long_frames))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the frames as capture files, written by Spark tasks."""
+    key = (spark.sparkContext.applicationId, sf_dir, "captures")
+    if key not in _FOLDERS:
+        folder = scratch_dir(spark, "captures")
+        write_captures(packets_raw(spark, sf_dir).repartition(3, "packet_id"), folder)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
 def packets_three_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("eth"), (F.col("packet_id") % 3).cast("string"))
     return packets_raw(spark, sf_dir).withColumn("iface", name)
@@ -129,6 +201,10 @@ def interfaces(spark: SparkSession) -> DataFrame:
     )
 
 
+def hosts_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_sql(spark, sf_dir, HOSTS_IPV6_SQL, "supplier", "nation")
+
+
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(spark, sf_dir, HOSTS_SQL, "supplier", "nation")
 

@@ -6,7 +6,7 @@ never the bytes, so a decoded value is compared with an independent one.
 
 from __future__ import annotations
 
-from .fixture import FRAMES_SQL, HOSTS_SQL, SOURCES_SQL
+from .fixture import EXTENDED_SQL, FRAMES_SQL, HOSTS_SQL, SOURCES_SQL
 
 # Known field values per frame; null where the layer is absent.
 _KNOWN = (
@@ -203,6 +203,32 @@ ORACLE_SQL: dict[str, str] = {
         "kind = 'arp' as has_arp, is_tcp as has_tcp, is_udp as has_udp"
     ),
     "resolve_ips": _frames('packet_id, src_ip as "sourceIp", dst_ip as "destinationIp"'),
+    "decode_tagged": _frames(
+        "packet_id, cast(case packet_id % 3 when 1 then 33024 when 2 then 34984 else eth_type end as int) as eth_type, "
+        "case when kind = 'llc' then 3 end as llc_control, spa as arp_spa, sha as arp_sha, "
+        "case when is_tcp then cast(dst_port as int) end as tcp_dst_port, case when is_tcp then syn end as tcp_syn, "
+        "case when is_udp then cast(dst_port as int) end as udp_dst_port, src_ip as src, dst_ip as dst"
+    ),
+    "anomalies_ip_tagged": _frames(
+        "packet_id",
+        "len + 4 * (packet_id % 3) > 1500 or len + 4 * (packet_id % 3) < 64 or proto_v4 or syn_v4 or proto_v6 or syn_v6",
+    ),
+    "decode_ipv6_ext": (
+        FRAMES_SQL.rstrip() + EXTENDED_SQL + "select packet_id, cast(case chain when 0 then ip_proto else 0 end as int) as ipv6_next_header, "
+        "case when ip_proto = 6 and chain <> 3 then cast(dst_port as int) end as tcp_dst_port, "
+        "case when ip_proto = 6 and chain <> 3 then tcp_flags in (2, 18) end as tcp_syn, "
+        "case when ip_proto = 17 and chain <> 3 then cast(dst_port as int) end as udp_dst_port, "
+        "case when ip_proto = 6 and chain <> 3 and body_hex <> '' then lower(body_hex) else 'none' end as payload_hex "
+        "from extended where kind = 'ipv6'"
+    ),
+    "long_frames": (
+        "with b as (select doc_id, repeat(text, 70000 // length(text) + 1) as body from documents) select doc_id, "
+        "cast(strlen(body) + 54 as int) as len, cast(strlen(body) as int) as payload_bytes, sha256(body) as payload_sha256 from b"
+    ),
+    "pcap_frames": _frames(
+        "ts, 'eth0' as iface, cast(len as int) as len, spa as arp_spa, "
+        "case when is_tcp then cast(dst_port as int) end as tcp_dst_port, hex_text as raw_hex"
+    ),
     "protocol_name": _frames("packet_id, protocol"),
     "packet_length": _frames("packet_id, cast(len as int) as len"),
     "hex_stream": _frames(f"packet_id, {_STREAM.format('hex_text')} as hex_stream"),
@@ -244,6 +270,12 @@ ORACLE_SQL: dict[str, str] = {
     "host_filter_arp": _frames(
         "packet_id", "src_ip = '10.0.0.2' or dst_ip = '10.0.0.2' or spa = '10.0.0.2'"
     ),
+    "host_filter_ipv6": _frames("packet_id", "src_ip = '2001:db8:0:0:0:0:0:4' or dst_ip = '2001:db8:0:0:0:0:0:4'"),
+    "host_set_filter_ipv6": (
+        f"{_KNOWN}, hosts as (select '2001:db8:0:0:0:0:0:' || lower(hex(s_suppkey)) as ip from supplier "
+        "union select '2001:db8:0:0:1:0:0:' || lower(hex(n_nationkey + 16)) from nation) "
+        f"select packet_id from t where src_ip {_IN_HOSTS} or dst_ip {_IN_HOSTS}"
+    ),
     "host_set_filter": (
         f"{_KNOWN}, hosts as ({HOSTS_SQL}) select packet_id from t where src_ip {_IN_HOSTS} or dst_ip {_IN_HOSTS} "
         f"or (kind = 'arp' and (spa {_IN_HOSTS} or '192.168.1.' || dn {_IN_HOSTS}))"
@@ -291,6 +323,11 @@ ORACLE_SQL: dict[str, str] = {
     "log_delete": (
         f"{_LOGS} select id, {_BODY} from logs where id not in (select s_suppkey * 3 - 6 from supplier)"
     ),
+    "upsert_rejected": (
+        "select c_custkey as seq, case c_nationkey when 7 then 'destinationip not null' else 'protocol max 100' end as violations "
+        "from customer where c_nationkey in (7, 8)"
+    ),
+    "logs_too_long": "select doc_id, 'details max 2000' as violations from documents where length(text) > 2000",
     "insert_if_absent": (
         f"{_ACCOUNTS} select coalesce(key, -1) as key, seq from target union all "
         "select coalesce(key, -1), seq from judged where accepted"
@@ -316,7 +353,20 @@ ORACLE_SQL: dict[str, str] = {
         "select c_custkey, 'TrustedCA' || c_nationkey as issuer, c_nationkey in (1, 2, 3) as trusted from customer"
     ),
     "stream_detect": f"{_LOGS} select {_BODY} from logs",
+    "stream_restart": _frames(_RECORD.replace("packet_id, ", "", 1), "ip_hit and src_ip is not null"),
+    "stream_two_captures": (
+        f"{_KNOWN}, u as (select *, 1 as side from t where base_hit and src_ip is not null "
+        "union all select *, 2 from t where ip_hit and src_ip is not null) "
+        f"select {_RECORD.replace('packet_id, ', '', 1)} from u"
+    ),
+    "stream_snapshot": _frames(
+        "packet_id, cast(len as int) as len, src_ip, (select count(*) from events) as seen_running"
+    ),
+    "buffer_clear": _frames("packet_id, cast(len as int) as len, src_ip, cast(0 as int) as left"),
     "packet_buffer": _frames(
         "packet_id, cast(len as int) as len, src_ip, dst_ip, 'eth0' as iface, raw_hex"
     ),
 }
+
+for _name in ("enrich_both_ends", "host_set_filter", "key_exists"):
+    ORACLE_SQL[f"{_name}_shuffled"] = ORACLE_SQL[_name]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 # several methods instead (the full decode ran two to three times faster).
 RUNTIME_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
+#: Folders given out by ``scratch_dir`` and not removed yet.
+_SCRATCH: list[str] = []
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings."""
@@ -21,6 +25,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _in_one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -33,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not _in_one_process(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="netlens-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -48,8 +57,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, removed by ``remove_scratch`` or when Python ends."""
+    if not _SCRATCH:
+        atexit.register(_at_exit)
+    _SCRATCH.append(f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove what this application wrote to scratch folders; DataFrames that read them end."""
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        remove_scratch(spark)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -1,21 +1,24 @@
 """Sources and sinks: packets, capture files, the log table, JDBC."""
 
 from .jdbc import read_jdbc, write_jdbc
-from .logtable import LogTable, read_logs, write_logs
-from .packets import append_packets, clear_buffer, read_buffer, read_packets, stored_packets
-from .pcap import PcapDataSource, read_captures
+from .logtable import clear_logs, read_logs, stored_logs, write_logs, write_table
+from .packets import append_packets, clear_buffer, merge_date, read_buffer, read_packets, stored_packets
+from .pcap import read_captures, write_captures
 
 __all__ = [
-    "LogTable",
-    "PcapDataSource",
     "append_packets",
     "clear_buffer",
+    "clear_logs",
+    "merge_date",
     "read_buffer",
     "read_captures",
     "read_jdbc",
     "read_logs",
     "read_packets",
+    "stored_logs",
     "stored_packets",
+    "write_captures",
     "write_jdbc",
     "write_logs",
+    "write_table",
 ]

@@ -1,29 +1,10 @@
-"""Small file-system helpers over the Hadoop API, for any path Spark can read."""
+"""A small file-system helper over the Hadoop API, for any path Spark can read."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 
-def _fs(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, jpath = _fs(spark, path)
-    return fs.exists(jpath)
-
-
-def list_names(spark: SparkSession, path: str) -> list[str]:
-    """Names directly under ``path``; empty if it does not exist."""
-    fs, jpath = _fs(spark, path)
-    if not fs.exists(jpath):
-        return []
-    return sorted(status.getPath().getName() for status in fs.listStatus(jpath))
-
-
-def create_marker(spark: SparkSession, path: str) -> None:
-    """Create an empty file; fails if it is already there."""
-    fs, jpath = _fs(spark, path)
-    fs.create(jpath, False).close()
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)

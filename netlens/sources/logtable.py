@@ -1,173 +1,84 @@
-"""The log table as plain parquet.
-
-Each change writes one version: new rows under ``data/v=<n>`` and, for updates
-and deletes, the ids they replace under ``dead/v=<n>``.  A read leaves out rows
-whose id is dead in a later version, so the cost of a change follows the size
-of the change and not the size of the table.  ``compact`` folds the versions.
-
-A version counts once its marker exists in ``commits``; the marker name holds
-the version, the oldest version still read, the last id given out and a tag.
-Data of a version without marker is ignored and overwritten by the next try.
-There may be one writer at a time; with a table format that has MERGE (none is
-available here) this class would shrink to that statement.
+"""The log table as plain parquet folders.
+
+Every batch of log rows is a folder of its own, ``dt=<date>/writer=<n>/source=<id>/batch=<n>``,
+written by Spark's overwrite of exactly these partitions.  A repeated batch replaces itself, two
+sources never touch the same folder, and a reader needs no list of commits.  An id is made of
+batch, writer and position, so it is unique, and rises within a source, without asking the table.
+
+Updates and deletes are the DataFrame operations of ``operators.logs``; ``write_table`` stores
+their result in a new folder, which ``read_logs`` reads as well.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.logs import (
-    LOG_COLUMNS,
-    insert_logs,
-    save_changes,
-    upsert_changes,
-    validate_logs,
-)
-from ..operators.lookup import small_side
+from ..operators.ids import number_in_place
+from ..operators.logs import LOG_COLUMNS, validate_logs, with_defaults
 from ..schema import LOGS
-from . import files
-
-_VERSION = T.StructField("v", T.LongType())
-_DATA = T.StructType([*LOGS, _VERSION])
-_DEAD = T.StructType([T.StructField("id", T.LongType()), _VERSION])
-
-
-@dataclass(frozen=True)
-class Commit:
-    version: int
-    floor: int
-    last_id: int
-    tag: str
-
-    @property
-    def name(self) -> str:
-        return f"{self.version:012d}.{self.floor}.{self.last_id}.{self.tag}"
-
-    @staticmethod
-    def parse(name: str) -> Commit:
-        version, floor, last_id, tag = name.split(".", 3)
-        return Commit(int(version), int(floor), int(last_id), tag)
-
-
-class LogTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path.rstrip("/")
-
-    def commits(self) -> list[Commit]:
-        names = files.list_names(self.spark, f"{self.path}/commits")
-        return sorted(
-            (Commit.parse(n) for n in names if not n.startswith(".")), key=lambda c: c.version
-        )
-
-    def current(self) -> Commit:
-        return (self.commits() or [Commit(0, 1, 0, "")])[-1]
-
-    def read(self) -> DataFrame:
-        """All live rows; no order is promised."""
-        return self._read(self.current())
-
-    def _versions(self, kind: str, schema: T.StructType, at: Commit) -> DataFrame | None:
-        folder = f"{self.path}/{kind}"
-        if not files.exists(self.spark, folder):
-            return None
-        df = self.spark.read.schema(schema).parquet(folder)
-        return df.filter(F.col("v").between(at.floor, at.version))
-
-    def _read(self, at: Commit) -> DataFrame:
-        data = self._versions("data", _DATA, at)
-        if data is None:
-            return self.spark.createDataFrame([], LOGS)
-        dead = self._versions("dead", _DEAD, at)
-        if dead is not None:
-            last = dead.groupBy(F.col("id").alias("_dead")).agg(F.max("v").alias("_upto"))
-            data = data.join(
-                small_side(last),
-                (F.col("id") == F.col("_dead")) & (F.col("v") < F.col("_upto")),
-                "left_anti",
-            )
-        return data.select(LOG_COLUMNS)
-
-    def _next(self, at: Commit, tag: str, last_id: int | None = None, floor: int | None = None) -> None:
-        commit = Commit(
-            at.version + 1,
-            at.floor if floor is None else floor,
-            at.last_id if last_id is None else last_id,
-            tag,
-        )
-        files.create_marker(self.spark, f"{self.path}/commits/{commit.name}")
-
-    def _write(self, df: DataFrame, kind: str, version: int) -> str:
-        folder = f"{self.path}/{kind}/v={version}"
-        df.write.mode("overwrite").parquet(folder)
-        return folder
-
-    def _commit_rows(self, rows: DataFrame, at: Commit, tag: str, replaces: bool) -> None:
-        folder = self._write(rows, "data", at.version + 1)
-        written = self.spark.read.schema(LOGS).parquet(folder)
-        if replaces:
-            self._write(written.select("id"), "dead", at.version + 1)
-        top = written.agg(F.max("id")).first()[0]
-        self._next(at, tag, last_id=max(at.last_id, top or 0))
-
-    def append(
-        self, rows: DataFrame, order_by: list[str] | None = None, tag: str = "append"
-    ) -> DataFrame:
-        """Validate and append new rows under new ids; returns the rejected rows.
-
-        Ids follow ``order_by`` if given, which costs a sort.  A tag other than
-        the default is written once: appending it again does nothing, which
-        makes a retried micro-batch harmless.
-        """
-        valid, rejected = validate_logs(rows, store=True)
-        history = self.commits()
-        if tag == "append" or all(c.tag != tag for c in history):
-            at = history[-1] if history else self.current()
-            new = insert_logs(valid, at.last_id, order_by, stable=True)
-            self._commit_rows(new, at, tag, replaces=False)
-        return rejected
-
-    def save(self, rows: DataFrame, seq: str = "seq") -> None:
-        """Save full rows: replace by existing id, else insert under a new id."""
-        at = self.current()
-        valid, _ = validate_logs(rows)
-        self._commit_rows(save_changes(self._read(at), valid, at.last_id, seq), at, "save", True)
-
-    def upsert(self, updates: DataFrame, seq: str = "seq") -> None:
-        """Apply a batch of updates ``(path_id, id, body...)``."""
-        at = self.current()
-        valid, _ = validate_logs(updates)
-        self._commit_rows(upsert_changes(self._read(at), valid, at.last_id, seq), at, "upsert", True)
-
-    def delete(self, ids: DataFrame) -> None:
-        """Delete by id; unknown ids change nothing."""
-        at = self.current()
-        self._write(ids.select(F.col("id").cast("long")).distinct(), "dead", at.version + 1)
-        self._next(at, "delete")
-
-    def clear(self) -> None:
-        """Empty the table; ids go on from where they were."""
-        at = self.current()
-        self._next(at, "clear", floor=at.version + 1)
-
-    def compact(self, files_hint: int | None = None) -> None:
-        """Rewrite the live rows as one version, sorted by id within files."""
-        at = self.current()
-        live = self._read(at)
-        live = live.repartitionByRange(files_hint, "id") if files_hint else live.repartitionByRange("id")
-        self._write(live.sortWithinPartitions("id"), "data", at.version + 1)
-        self._next(at, "compact", floor=at.version + 1)
-
-
-def write_logs(df: DataFrame, path: str, order_by: list[str] | None = None) -> DataFrame:
-    """Append log rows to the table at ``path``; returns the rejected rows."""
-    return LogTable(df.sparkSession, path).append(df, order_by)
+
+#: Layout of an id, from high to low: batch (28 bits), writer (4 bits), position in the batch.
+POSITION_BITS, WRITER_BITS, BATCH_BITS = 31, 4, 28
+
+_PARTS = [
+    T.StructField("dt", T.DateType()),
+    T.StructField("writer", T.IntegerType()),
+    T.StructField("source", T.StringType()),
+    T.StructField("batch", T.LongType()),
+]
+_STORED = T.StructType([*LOGS, *_PARTS])
+
+
+def first_id(batch: int, writer: int) -> int:
+    """The id before the first one of a batch."""
+    if not (0 <= batch < 1 << BATCH_BITS and 0 <= writer < 1 << WRITER_BITS):
+        raise ValueError(f"no ids for batch {batch} of writer {writer}")
+    return (batch << WRITER_BITS | writer) << POSITION_BITS
+
+
+def write_logs(df: DataFrame, path: str, source: str, batch: int = 0, writer: int = 0) -> DataFrame:
+    """Write one batch of new log rows under new ids; returns the rejected rows.
+
+    ``df`` is evaluated more than once and must give the same partitions each time (stored or
+    cached rows).  Sources that share a folder take different writer numbers.
+    """
+    valid, rejected = validate_logs(df)
+    rows = with_defaults(number_in_place(valid.drop("id"), first_id(batch, writer) + 1)).select(LOG_COLUMNS)
+    parts = {"dt": F.to_date("timestamp"), "writer": F.lit(writer), "source": F.lit(source), "batch": F.lit(batch)}
+    (
+        rows.withColumns(parts)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*parts)
+        .parquet(path)
+    )
+    return rejected
+
+
+def write_table(logs: DataFrame, path: str) -> None:
+    """Store a whole log table in a new folder, ids as they are."""
+    logs.select(LOG_COLUMNS).write.parquet(path)
+
+
+def stored_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Log rows with the date, writer, source and batch that they were written under."""
+    return spark.read.schema(_STORED).parquet(path)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The whole log table at ``path``."""
-    return LogTable(spark, path).read()
+    """All log rows at ``path``; no order is promised."""
+    return spark.read.schema(LOGS).parquet(path)
+
+
+def other_source(spark: SparkSession, path: str, source: str, writer: int) -> str | None:
+    """Another source that has written to ``path`` under the same writer number."""
+    rows = stored_logs(spark, path).filter((F.col("writer") == writer) & (F.col("source") != source))
+    found = rows.select("source").first()
+    return found["source"] if found else None
+
+
+def clear_logs(spark: SparkSession, path: str) -> None:
+    """Empty the log table."""
+    spark.createDataFrame([], LOGS).write.mode("overwrite").parquet(path)

@@ -1,28 +1,29 @@
 """Capture files (classic pcap, Ethernet) as packets.
 
-``spark.read.format("pcap")`` gives one partition per file, because record
-framing is sequential.  ``read_captures`` also splits large files: a first job
-walks only the record headers, one task per file, and notes where a range of
-about ``split_bytes`` begins; a second job reads the ranges in parallel.
-
-``packet_id`` is the number of the file in the sorted listing times 2^40 plus
-the byte offset of the record, so it does not depend on how files are split.
-The interface is the ``iface`` option or an ``iface=<name>`` folder in the path.
+Spark lists the files, through whatever file system the path names (its default one for a path
+without scheme).  Large files are read in ranges of about ``split_bytes``.  A first job finds, for
+each split, where a record begins: the place from which a long chain of record headers makes
+sense.  A second job reads every range from its first record to the next range's; a range that
+does not end exactly there is an error, so a mistaken place is never passed over in silence.  No
+file is walked by one task, and only a few kilobytes are read twice.
+
+``file`` and ``offset`` identify a packet; ``packet_id`` is a 64-bit hash of both and so does not
+change when other files arrive.  The interface is the ``iface`` argument or an ``iface=<name>``
+folder in the path.
+
+A damaged or cut record is an error that names file and offset.  With ``permissive`` it becomes a
+row with ``damage`` set and without ``raw``, and reading goes on with the next range.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
-
-from ..schema import PACKETS_RAW
+from pyspark.sql import functions as F
 
 # Magic numbers of the file header -> (byte order, ticks per second).
 MAGIC = {
@@ -35,209 +36,207 @@ FILE_HEADER, RECORD_HEADER, LINK_ETHERNET = 24, 16, 1
 
 BATCH_BYTES = 8 * 1024 * 1024
 SPLIT_BYTES = 128 * 1024 * 1024
-MAX_TASKS = 20_000
-
-ARROW_SCHEMA = pa.schema(
-    [
-        ("packet_id", pa.int64()),
-        ("ts", pa.timestamp("us")),
-        ("iface", pa.string()),
-        ("raw", pa.binary()),
-    ]
+#: No Ethernet capture has longer records; a header that says so is damaged.
+MOST_BYTES = 1 << 28
+#: Record headers in a row that make a place count as the beginning of a record.
+CHAIN = 64
+
+PACKETS = "packet_id long, ts timestamp_ntz, iface string, raw binary, file string, offset long, damage string"
+ARROW = pa.schema(
+    [("ts", pa.timestamp("us")), ("iface", pa.string()), ("raw", pa.binary()), ("file", pa.string()), ("offset", pa.int64()), ("damage", pa.string())]
 )
-RANGES = "path string, file_no long, iface string, first long, last long"
-
-
-def iface_of(path: str, default: str | None = None) -> str | None:
-    found = re.search(r"(?:^|/)iface=([^/]+)/", path)
-    return found.group(1) if found else default
+ROWS = "ts timestamp_ntz, iface string, raw binary, file string, offset long, damage string"
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
-def list_captures(path: str) -> list[tuple[str, int]]:
-    """``(path, size)`` of the capture files at ``path``, sorted by path.
-
-    Names that start with ``.`` or ``_`` are skipped.
-    """
-    system, inner = _filesystem(path)
-    root = path[: len(path) - len(inner)] if path.endswith(inner) else ""
-    info = system.get_file_info(inner)
-    if info.type == pafs.FileType.NotFound:
-        raise FileNotFoundError(path)
-    if info.type == pafs.FileType.File:
-        return [(path, info.size)]
-    found = system.get_file_info(pafs.FileSelector(inner, recursive=True))
-    return sorted(
-        (root + f.path, f.size)
-        for f in found
-        if f.type == pafs.FileType.File and f.base_name[0] not in "._"
-    )
+class Damaged(ValueError):
+    """A record that cannot be read; says where."""
 
 
 def _open(path: str):
-    system, inner = _filesystem(path)
+    if "://" not in path and path.startswith("file:"):
+        path = f"file://{path.removeprefix('file:')}"
+    system, inner = pafs.FileSystem.from_uri(path)
     return system.open_input_file(inner)
 
 
-def _file_header(stream, path: str) -> tuple[str, int]:
+def _file_header(stream, path: str) -> tuple[str, int, int]:
+    """Byte order, ticks per second, and the longest record that the file announces."""
     head = stream.read(FILE_HEADER)
     if len(head) < FILE_HEADER or head[:4] not in MAGIC:
         raise ValueError(f"not a capture file: {path}")
     order, ticks = MAGIC[head[:4]]
-    if struct.unpack(order + "I", head[20:24])[0] & 0xFFFF != LINK_ETHERNET:
+    snaplen, link = struct.unpack(order + "II", head[16:24])
+    if link & 0xFFFF != LINK_ETHERNET:
         raise ValueError(f"link type is not Ethernet: {path}")
-    return order, ticks
+    return order, ticks, min(snaplen or MOST_BYTES, MOST_BYTES)
 
 
-def _frames(stream, order: str, first: int, last: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """``(offset, seconds, fraction, frame)`` of the records beginning in ``[first, last)``.
+def _is_record(buffer: bytes, at: int, order: str, ticks: int, most: int, whole: bool) -> bool | None:
+    """Does a chain of plausible records begin here?  None: the buffer is too short to tell.
 
-    Reads in large pieces; ``last`` below zero means up to the end of the file.
-    A record cut off by the end of the file is left out.
+    ``whole``: the buffer ends with the file.
     """
     unpack = struct.Struct(order + "IIII").unpack_from
+    near = None
+    for _ in range(CHAIN):
+        if at == len(buffer) and whole:
+            return True
+        if at + RECORD_HEADER > len(buffer):
+            return False if whole else None
+        seconds, fraction, kept, size = unpack(buffer, at)
+        in_time = near is None or abs(seconds - near) <= 7 * 86_400
+        if not (in_time and fraction < ticks and 0 < kept <= min(size, most) and size <= MOST_BYTES):
+            return False
+        near, at = seconds, at + RECORD_HEADER + kept
+    return True
+
+
+def first_record(path: str, split: int, size: int) -> int | None:
+    """Offset of the first record that begins at or after ``split``; None if none is found."""
+    with _open(path) as stream:
+        order, ticks, most = _file_header(stream, path)
+        reach = 1 << 20
+        while True:
+            stream.seek(split)
+            buffer = stream.read(min(reach, size - split))
+            whole = split + len(buffer) >= size
+            for at in range(len(buffer)):
+                found = _is_record(buffer, at, order, ticks, most, whole)
+                if found:
+                    return split + at
+                if found is None:
+                    break
+            if whole:
+                return None
+            reach *= 4
+
+
+def _records(stream, order: str, ticks: int, path: str, first: int, last: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """``(offset, seconds, fraction, frame)`` of the records from ``first`` to exactly ``last``."""
+    unpack = struct.Struct(order + "IIII").unpack_from
     stream.seek(first)
     buffer, base, pos = b"", first, 0
-    while last < 0 or base + pos < last:
+    while base + pos < last:
         need = RECORD_HEADER
         if len(buffer) - pos >= need:
-            seconds, fraction, size, _ = unpack(buffer, pos)
-            need += size
+            seconds, fraction, kept, size = unpack(buffer, pos)
+            if fraction >= ticks or kept > MOST_BYTES or base + pos + need + kept > last:
+                raise Damaged(f"damaged or cut record at byte {base + pos} of {path}")
+            need += kept
+        elif base + pos + need > last:
+            raise Damaged(f"damaged or cut record at byte {base + pos} of {path}")
         if len(buffer) - pos < need:
-            more = stream.read(max(BATCH_BYTES, need))
+            more = stream.read(min(max(BATCH_BYTES, need), last - base - len(buffer)))
             if not more:
-                return
+                raise Damaged(f"damaged or cut record at byte {base + pos} of {path}")
             buffer, base, pos = buffer[pos:] + more, base + pos, 0
             continue
         yield base + pos, seconds, fraction, buffer[pos + RECORD_HEADER : pos + need]
         pos += need
 
 
-def read_range(
-    path: str, file_no: int, iface: str | None, first: int, last: int
-) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of the records of one file that begin in ``[first, last)``."""
+def read_range(path: str, iface: str | None, first: int, last: int, permissive: bool = False) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of the records of one file from ``first`` to exactly ``last``."""
     with _open(path) as stream:
-        order, ticks = _file_header(stream, path)
-        ids, times, frames, held = [], [], [], 0
-        for offset, seconds, fraction, frame in _frames(stream, order, first, last):
-            ids.append((file_no << 40) + offset)
-            times.append(seconds * 1_000_000 + fraction * 1_000_000 // ticks)
-            frames.append(frame)
-            held += len(frame)
-            if held >= BATCH_BYTES:
-                yield _batch(ids, times, iface, frames)
-                ids, times, frames, held = [], [], [], 0
-        if ids:
-            yield _batch(ids, times, iface, frames)
-
-
-def _batch(ids: list, times: list, iface: str | None, frames: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids, pa.int64()),
-            pa.array(times, pa.int64()).cast(pa.timestamp("us")),
-            pa.array([iface] * len(ids), pa.string()),
-            pa.array(frames, pa.binary()),
-        ],
-        schema=ARROW_SCHEMA,
-    )
-
-
-class CaptureFile(InputPartition):
-    def __init__(self, path: str, file_no: int, iface: str | None):
-        self.path, self.file_no, self.iface = path, file_no, iface
-
-
-class PcapReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-        self.iface = options.get("iface")
-        self.only: list[str] = []
-
-    def pushFilters(self, filters):
-        """Interface equality selects files; everything else is left to Spark."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("iface",):
-                self.only.append(f.value)
-            else:
-                yield f
+        order, ticks, _ = _file_header(stream, path)
+        rows, held, at = [], 0, first
+        try:
+            for offset, seconds, fraction, frame in _records(stream, order, ticks, path, first, last):
+                rows.append((seconds * 1_000_000 + fraction * 1_000_000 // ticks, frame, offset, None))
+                at = offset + RECORD_HEADER + len(frame)
+                held += len(frame)
+                if held >= BATCH_BYTES:
+                    yield _batch(rows, iface, path)
+                    rows, held = [], 0
+        except Damaged as e:
+            if not permissive:
+                raise
+            rows.append((None, None, at, str(e)))
+        if rows:
+            yield _batch(rows, iface, path)
+
+
+def _batch(rows: list[tuple], iface: str | None, path: str) -> pa.RecordBatch:
+    times, frames, offsets, damage = zip(*rows, strict=True)
+    n = len(rows)
+    columns = [
+        pa.array(times, pa.int64()).cast(pa.timestamp("us")),
+        pa.array([iface] * n, pa.string()),
+        pa.array(frames, pa.binary()),
+        pa.array([path] * n, pa.string()),
+        pa.array(offsets, pa.int64()),
+        pa.array(damage, pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
-    def partitions(self):
-        files = [
-            CaptureFile(path, file_no, iface_of(path, self.iface))
-            for file_no, (path, _) in enumerate(list_captures(self.path))
-        ]
-        return [f for f in files if all(f.iface == name for name in self.only)]
 
-    def read(self, partition):
-        yield from read_range(
-            partition.path, partition.file_no, partition.iface, FILE_HEADER, -1
-        )
+def list_captures(spark: SparkSession, path: str, iface: str | None = None) -> DataFrame:
+    """``file, iface, size`` of the capture files at ``path``; names that start with ``.`` or ``_`` are skipped."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = F.nullif(F.regexp_extract("path", r"/iface=([^/]+)/", 1), F.lit(""))
+    return found.select(F.col("path").alias("file"), F.coalesce(named, F.lit(iface)).alias("iface"), F.col("length").alias("size"))
 
 
-class PcapDataSource(DataSource):
-    """``spark.dataSource.register(PcapDataSource)``, then ``format("pcap")``."""
+def capture_ranges(spark: SparkSession, path: str, iface: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``file, iface, first, last``: byte ranges that begin and end with a record."""
+    listed = list_captures(spark, path, iface)
+    splits = listed.withColumn(
+        "split", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes)))
+    )
 
-    @classmethod
-    def name(cls) -> str:
-        return "pcap"
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                if row["split"] == 0:
+                    with _open(row["file"]) as stream:
+                        _file_header(stream, row["file"])
+                    first = FILE_HEADER
+                else:
+                    first = first_record(row["file"], row["split"], row["size"])
+                if first is not None:
+                    rows.append(row | {"first": first})
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema.append(pa.field("first", pa.int64())))
 
-    def schema(self):
-        return PACKETS_RAW
+    pieces = _pieces(splits)
+    starts = splits.repartition(pieces, "file", "split").mapInArrow(place, "file string, iface string, size long, split long, first long")
+    # the next range's first record, or the end of the file: a window over one file's splits
+    distinct = starts.select("file", "iface", "size", "first").distinct()
+    after = F.expr("lead(first) over (partition by file order by first)")
+    return distinct.withColumn("last", F.coalesce(after, F.col("size"))).select("file", "iface", "first", "last")
 
-    def reader(self, schema):
-        return PcapReader(self.options)
 
+def _pieces(rows: DataFrame) -> int:
+    return max(1, rows.count())
 
-def _split(split_bytes: int):
-    def split(batches):
-        for files in batches:
-            ranges = []
-            for path, file_no, iface, size in files.itertuples(index=False):
-                starts = [FILE_HEADER]
-                if size > split_bytes:
-                    with _open(path) as stream:
-                        order, _ = _file_header(stream, path)
-                        for offset, *_ in _frames(stream, order, FILE_HEADER, -1):
-                            if offset - starts[-1] >= split_bytes:
-                                starts.append(offset)
-                ranges += [
-                    (path, file_no, iface, first, last)
-                    for first, last in zip(starts, [*starts[1:], -1])
-                ]
-            yield pd.DataFrame(ranges, columns=["path", "file_no", "iface", "first", "last"])
 
-    return split
+def read_captures(
+    spark: SparkSession, path: str, iface: str | None = None, split_bytes: int = SPLIT_BYTES, permissive: bool = False
+) -> DataFrame:
+    """Packets of all capture files at ``path``, large files read in parallel.
 
+    Columns: packet_id, ts, iface, raw, file, offset, damage.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from read_range(row["file"], row["iface"], row["first"], row["last"], permissive)
 
-def capture_ranges(
-    spark: SparkSession, path: str, iface: str | None = None, split_bytes: int = SPLIT_BYTES
-) -> DataFrame:
-    """Byte ranges to read: one per small file, several per large one."""
-    files = list_captures(path)
-    rows = [(p, n, iface_of(p, iface), size) for n, (p, size) in enumerate(files)]
-    listed = spark.createDataFrame(rows, "path string, file_no long, iface string, size long")
-    # A large file is walked by one task, so give every file its own if possible.
-    listed = listed.repartition(max(1, min(len(rows), MAX_TASKS)))
-    return listed.mapInPandas(_split(split_bytes), RANGES)
+    ranges = capture_ranges(spark, path, iface, split_bytes).where("first < last")
+    packets = ranges.repartition(_pieces(ranges), "file", "first").mapInArrow(read, ROWS)
+    return packets.select(F.xxhash64("file", "offset").alias("packet_id"), "ts", "iface", "raw", "file", "offset", "damage")
 
 
-def _read_ranges(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield from read_range(
-                row["path"], row["file_no"], row["iface"], row["first"], row["last"]
-            )
+def write_captures(packets: DataFrame, path: str) -> None:
+    """Write packets (ts, raw) as capture files, one per task, to a folder that executors reach."""
 
+    def write(number: int, rows) -> None:
+        system, inner = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        system.create_dir(inner, recursive=True)
+        with system.open_output_stream(f"{inner}/capture-{number:06d}.pcap") as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 18, LINK_ETHERNET))
+            for micros, raw in rows:
+                out.write(struct.pack("<IIII", micros // 1_000_000, micros % 1_000_000, len(raw), len(raw)) + bytes(raw))
 
-def read_captures(
-    spark: SparkSession, path: str, iface: str | None = None, split_bytes: int = SPLIT_BYTES
-) -> DataFrame:
-    """Packets of all capture files at ``path``, large files read in parallel."""
-    pieces = sum(size // split_bytes + 1 for _, size in list_captures(path))
-    ranges = capture_ranges(spark, path, iface, split_bytes)
-    return ranges.repartition(max(1, min(pieces, MAX_TASKS))).mapInArrow(_read_ranges, PACKETS_RAW)
+    rows = packets.select(F.unix_micros(F.col("ts").cast("timestamp")), "raw")
+    rows.rdd.mapPartitionsWithIndex(lambda n, part: [write(n, part)]).count()

@@ -1,26 +1,30 @@
 """Continuous capture: packets in, decoded buffer and log rows out.
 
-No state crosses packets, so the stream is stateless and each micro-batch is a
-small batch job.  A batch first writes its decoded packets, then detects on
-what was written: frames are decoded once, and detection reads only header
-columns.  Both outputs are named after the batch, so a repeated batch replaces
-the packets and skips log rows that are already there.
+No state crosses packets, so the stream is stateless and each micro-batch is a small batch job.
+A batch's packets are decoded once and kept while it runs; the buffer and the log rows are both
+written from them.  Both outputs are named after the streaming query, whose id stays in its
+checkpoint, and the batch, so a repeated batch replaces what it wrote.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.filters import DEFAULT_SNAPLEN, host_filter, select_interface, truncate_snaplen
+from ..operators.filters import host_filter, select_interface, truncate_snaplen
 from ..operators.views import log_records
 from ..schema import PACKETS_RAW
-from ..sources.logtable import LogTable
-from ..sources.packets import append_packets, clear_buffer, read_buffer
+from ..sources import files
+from ..sources.logtable import other_source, read_logs, write_logs
+from ..sources.packets import append_packets, clear_buffer, read_buffer, stored_packets
+
+#: Writer numbers of the two rule sets, so that both may log to one folder.
+WRITERS = {"base": 0, "ip": 1}
 
 
 def stream_packets(
-    spark: SparkSession, path: str, max_files: int = 1_000, snaplen: int = DEFAULT_SNAPLEN
+    spark: SparkSession, path: str, max_files: int = 1_000, snaplen: int | None = None
 ) -> DataFrame:
     """Raw frames from parquet files landing in ``path``, at most ``max_files`` per batch."""
     landed = (
@@ -30,9 +34,10 @@ def stream_packets(
 
 
 class Capture:
-    """One named capture with its own buffer, log table and checkpoint under ``out``.
+    """One named capture with its own buffer and checkpoint under ``out``.
 
-    ``rules`` is ``base`` or ``ip``; the host filter belongs to the by-IP form.
+    ``rules`` is ``base`` or ``ip``; the host filter belongs to the by-IP form.  ``logs`` may be
+    shared by captures whose ``writer`` numbers differ, as those of the two rule sets do.
     """
 
     def __init__(
@@ -41,12 +46,14 @@ class Capture:
         name: str,
         out: str,
         rules: str = "base",
-        logs: LogTable | None = None,
+        logs: str | None = None,
+        writer: int | None = None,
         **rule_options,
     ):
         self.spark, self.name, self.out, self.rules = spark, name, out, rules
         self.rule_options = rule_options
-        self.log_table = logs or LogTable(spark, f"{out}/logs")
+        self.log_path = logs or f"{out}/logs"
+        self.writer = WRITERS.get(rules, len(WRITERS)) if writer is None else writer
         self.host: str | None = None
 
     @property
@@ -83,13 +90,24 @@ class Capture:
         return writer.trigger(processingTime=every).start()
 
     def _batch_writer(self, host: str | None):
+        checked: set[str] = set()
+
         def write(batch: DataFrame, batch_id: int) -> None:
-            tag = f"{self.name}-{batch_id}"
-            folder = append_packets(host_filter(batch, host), f"{self.out}/packets", tag)
-            stored = read_buffer(batch.sparkSession, folder)
-            rows = log_records(stored, self.rules, **self.rule_options)
-            rejected = self.log_table.append(rows, tag=tag)
-            rejected.write.mode("overwrite").parquet(f"{self.out}/rejected/batch={tag}")
+            spark = batch.sparkSession
+            source = str(self.query.id)  # active in the session that started it
+            if source not in checked and files.exists(spark, self.log_path):
+                other = other_source(spark, self.log_path, source, self.writer)
+                if other is not None:
+                    raise RuntimeError(f"writer {self.writer} of {self.log_path} is taken by the source {other}")
+            checked.add(source)
+            packets = stored_packets(host_filter(batch, host)).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                append_packets(packets, f"{self.out}/packets", f"{source}-{batch_id}")
+                rows = log_records(packets, self.rules, **self.rule_options)
+                rejected = write_logs(rows, self.log_path, source, batch_id, self.writer)
+                rejected.write.mode("overwrite").parquet(f"{self.out}/rejected/batch={batch_id}")
+            finally:
+                packets.unpersist()
 
         return write
 
@@ -98,12 +116,12 @@ class Capture:
         if self.query is not None:
             self.query.stop()
 
-    def packets(self, ordered: bool = True) -> DataFrame:
-        """Everything captured so far, in arrival order."""
+    def packets(self, ordered: bool = False) -> DataFrame:
+        """Everything captured so far; ``ordered`` sorts it by arrival."""
         return read_buffer(self.spark, f"{self.out}/packets", ordered)
 
     def logs(self) -> DataFrame:
-        return self.log_table.read()
+        return read_logs(self.spark, self.log_path)
 
     def rejected(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.out}/rejected")

@@ -1,4 +1,6 @@
-from frames import ACK, PSH, arp, eth, in_order, ipv4, ipv6, packets, tcp, udp
+import struct
+
+from frames import ACK, PSH, SYN, arp, eth, in_order, ipv4, ipv6, packets, tcp, udp
 
 from netlens.operators.decode import decode, decode_fields, fields, pack_layers, unpack_layers
 from netlens.schema import LAYERS
@@ -22,7 +24,7 @@ def test_layers_present(spark):
         eth(0x86DD, ipv6(58, b"\x80\x00\x00\x00")),
         eth(0x0806, arp("10.0.0.1", "00:11:22:33:44:55")),
         eth(0x0026, b"\x42\x42\x03" + bytes(35)),
-        eth(0x8100, bytes(46)),
+        eth(0x8100, b"\0\0\x88\xcc" + bytes(42)),
         eth(0x88CC, bytes(46)),
     ]
     assert layers_of(spark, frames) == [
@@ -157,3 +159,61 @@ def test_forms_are_equivalent(spark):
     back = unpack_layers(pack_layers(flat)).select(flat.columns)
     assert sorted(map(str, back.collect())) == sorted(map(str, flat.collect()))
     assert fields(flat) is flat
+
+
+def tagged(frame: bytes, *tags: tuple[int, int]) -> bytes:
+    return frame[:12] + b"".join(struct.pack(">HH", *t) for t in tags) + frame[12:]
+
+
+def test_tags(spark):
+    plain = [
+        eth(0x0800, ipv4(6, tcp(SYN, payload=b"abc"))),
+        eth(0x86DD, ipv6(17, udp())),
+        eth(0x0806, arp("10.0.0.2", "66:77:88:99:AA:BB")),
+        eth(0x0026, b"\x42\x42\x03"),
+    ]
+    one = [tagged(f, (0x8100, 100)) for f in plain]
+    two = [tagged(f, (0x88A8, 100), (0x8100, 7)) for f in plain]
+    columns = ["ipv4_src", "ipv6_dst", "tcp_syn", "tcp_payload", "udp_dst_port", "arp_sha", "arp_tpa", "llc_control", "eth_src"]
+    want = in_order(fields(packets(spark, plain)), *columns)
+    for frames, kind in ((one, 0x8100), (two, 0x88A8)):
+        df = fields(packets(spark, frames))
+        assert in_order(df, *columns) == want
+        assert {r[0] for r in in_order(df, "eth_type")} == {kind}
+    cut = [one[0][:16], two[0][:20], tagged(plain[0], (0x8100, 1), (0x8100, 2), (0x8100, 3)), one[0][:30]]
+    assert layers_of(spark, cut) == [{"eth"}] * 4
+
+
+def extension(kind_after: int, size: int = 8) -> bytes:
+    return bytes([kind_after, size // 8 - 1]) + bytes(size - 2)
+
+
+def test_ipv6_extension_headers(spark):
+    body = tcp(SYN, payload=b"xyz")
+    fragment = lambda offset: bytes([6, 0]) + struct.pack(">HI", offset << 3 | 1, 9)
+    many = b"".join(extension(60) for _ in range(40)) + extension(6)
+    frames = [
+        ipv6(0, extension(6) + body),
+        ipv6(0, extension(43) + extension(60, 24) + extension(6, 16) + body),
+        ipv6(44, fragment(0) + body),
+        ipv6(44, fragment(3) + body),
+        ipv6(51, bytes([6, 4]) + bytes(22) + body),
+        ipv6(60, many + body),
+        ipv6(0, extension(17) + udp()),
+        ipv6(0, extension(59) + body),  # no next header
+        ipv6(0, extension(60)[:5]),  # cut off
+        ipv6(50, extension(6) + body),  # encrypted
+    ]
+    df = fields(packets(spark, [eth(0x86DD, f) for f in frames]))
+    got = in_order(df, "ipv6_next_header", "tcp_syn", "tcp_payload", "udp_dst_port")
+    assert [r[0] for r in got] == [0, 0, 44, 44, 51, 60, 0, 0, 0, 50]
+    assert [r[1] for r in got] == [True, True, True, None, True, True, None, None, None, None]
+    assert all(bytes(r[2]) == b"xyz" for r in got if r[1])
+    assert [r[3] is not None for r in got] == [False] * 6 + [True] + [False] * 3
+
+
+def test_ipv6_length_zero(spark):
+    frame = bytearray(eth(0x86DD, ipv6(6, tcp(SYN, payload=b"to the end"))))
+    frame[18:20] = b"\0\0"
+    (syn, payload), = in_order(fields(packets(spark, [bytes(frame)])), "tcp_syn", "tcp_payload")
+    assert syn and bytes(payload) == b"to the end"

@@ -5,8 +5,8 @@ from conftest import SF_DIR
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry_module
-
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+from netlens.plans.catalog import QUERIES
+from netlens.plans.oracle import ORACLE_SQL as SQL
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +16,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

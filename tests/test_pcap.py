@@ -7,7 +7,7 @@ from conftest import SF_DIR
 
 from netlens.operators.decode import fields
 from netlens.plans.fixture import packets_raw
-from netlens.sources.pcap import PcapDataSource, capture_ranges, list_captures, read_captures
+from netlens.sources.pcap import capture_ranges, list_captures, read_captures, write_captures
 
 EPOCH = datetime.datetime(1970, 1, 1)
 
@@ -40,41 +40,50 @@ def content(df):
     return sorted((r["ts"], bytes(r["raw"])) for r in df.select("ts", "raw").collect())
 
 
-@pytest.fixture(scope="module")
-def pcap(spark):
-    spark.dataSource.register(PcapDataSource)
-    return lambda path: spark.read.format("pcap").load(path)
-
-
-def test_listing(captures):
-    names = [os.path.basename(p) for p, _ in list_captures(captures[0])]
+def test_listing(spark, captures):
+    names = sorted(os.path.basename(r["file"]) for r in list_captures(spark, captures[0]).collect())
     assert names == ["a.pcap", "b.pcap", "c.pcap", "empty.pcap"]
-    with pytest.raises(FileNotFoundError):
-        list_captures("/tmp/no-such-folder-here")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        list_captures(spark, "/tmp/no-such-folder-here").collect()
 
 
 def test_uri_paths(spark, captures):
     root, rows = captures
-    assert [p for p, _ in list_captures(f"file://{root}")] == [f"file://{p}" for p, _ in list_captures(root)]
     assert content(read_captures(spark, f"file://{root}", split_bytes=300_000)) == sorted(rows)
 
 
-def test_data_source(pcap, captures):
-    root, rows = captures
-    df = pcap(root)
-    assert df.rdd.getNumPartitions() == 4
-    assert content(df) == sorted(rows)
-    assert df.select("packet_id").distinct().count() == len(rows)
-
-
-def test_interface_filter_is_pushed(pcap, captures):
-    root, rows = captures
-    df = pcap(root).filter("iface = 'eth1'")
-    assert content(df) == sorted(rows[7000:])
-    assert df.rdd.getNumPartitions() == 2
-    assert pcap(root).filter("iface = 'eth1' and length(raw) > 1500").count() == sum(
-        len(f) > 1500 for _, f in rows[7000:]
-    )
+def test_a_new_file_changes_no_id(spark, captures, tmp_path):
+    rows = captures[1]
+    folder = str(tmp_path / "growing")
+    write_pcap(f"{folder}/b.pcap", rows[:50])
+    before = {(r["ts"], bytes(r["raw"])): r["packet_id"] for r in read_captures(spark, folder).collect()}
+    write_pcap(f"{folder}/a.pcap", rows[50:90])
+    after = read_captures(spark, folder)
+    assert {(r["ts"], bytes(r["raw"])): r["packet_id"] for r in after.filter("file like '%b.pcap'").collect()} == before
+    assert after.select("packet_id").distinct().count() == after.select("file", "offset").distinct().count() == 90
+
+
+def test_written_captures_come_back(spark, captures, tmp_path):
+    frames = packets_raw(spark, SF_DIR)
+    folder = str(tmp_path / "written")
+    write_captures(frames.repartition(4), folder)
+    assert content(read_captures(spark, folder, split_bytes=200_000)) == sorted(captures[1])
+
+
+def test_a_capture_inside_a_capture(spark, captures, tmp_path):
+    """Frames whose payload looks like records: either read rightly or refused, never wrongly."""
+    rows = captures[1][:40]
+    inner = b"".join(struct.pack("<IIII", 1_700_000_000, 5, len(f), len(f)) + f for _, f in rows)
+    outer = [(ts, b"h" * 54 + inner[i * 1_400 : i * 1_400 + 1_400]) for i, (ts, _) in enumerate(rows * 20)]
+    folder = str(tmp_path / "nested")
+    write_pcap(f"{folder}/x.pcap", outer)
+    try:
+        got = content(read_captures(spark, folder, split_bytes=9_000))
+    except Exception as e:
+        assert "damaged or cut record" in str(e)
+    else:
+        assert got == sorted(outer)
+    assert content(read_captures(spark, folder)) == sorted(outer)
 
 
 @pytest.mark.parametrize("split_bytes", [100_000, 1_000_000, 10**12])
@@ -94,15 +103,31 @@ def test_decode_from_captures(spark, captures):
     assert df.filter("ipv6_next_header is not null").count() == 2000
 
 
-def test_record_cut_off_at_the_end(spark, tmp_path):
+def test_damage_is_an_error_or_a_row(spark, tmp_path):
     path = str(tmp_path / "x" / "cut.pcap")
     ts = datetime.datetime(2024, 1, 1, 0, 0, 0, 123456)
     write_pcap(path, [(ts, b"a" * 60), (ts, b"b" * 60)])
     with open(path, "r+b") as f:
         f.truncate(os.path.getsize(path) - 10)
-    df = read_captures(spark, path, iface="eth9")
-    assert content(df) == [(ts, b"a" * 60)]
-    assert df.first()["iface"] == "eth9"
+    with pytest.raises(Exception, match=r"damaged or cut record at byte 100 of .*cut.pcap"):
+        read_captures(spark, path, iface="eth9").count()
+    df = read_captures(spark, path, iface="eth9", permissive=True)
+    assert content(df.filter("damage is null")) == [(ts, b"a" * 60)]
+    bad = df.filter("damage is not null").first()
+    assert (bad["offset"], bad["raw"], bad["iface"]) == (100, None, "eth9")
+
+
+def test_damaged_length_in_the_middle(spark, tmp_path):
+    path = str(tmp_path / "y" / "bad.pcap")
+    ts = datetime.datetime(2024, 1, 1)
+    write_pcap(path, [(ts, bytes([i]) * 60) for i in range(10)])
+    with open(path, "r+b") as f:
+        f.seek(24 + 3 * 76 + 8)
+        f.write(struct.pack("<I", 0x7FFFFFFF))
+    with pytest.raises(Exception, match="damaged or cut record at byte 252"):
+        read_captures(spark, path).count()
+    df = read_captures(spark, path, permissive=True)
+    assert df.filter("damage is null").count() == 3 and df.filter("damage is not null").count() == 1
 
 
 def test_bad_files_are_errors(spark, tmp_path):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from netlens.operators import rules
 from netlens.operators.arp import arp_untrusted
 from netlens.operators.decode import decode, fields
-from netlens.operators.enrich import enrich_ip
+from netlens.operators.enrich import Lookups, enrich_both_ends, enrich_ip
 from netlens.operators.filters import host_filter, host_set_filter
+from netlens.operators.keyed import key_exists
 from netlens.operators.views import log_records, packet_view, readable_payload
 from netlens.plans.fixture import hosts, lookups, packets_raw
 from netlens.sources import append_packets, read_buffer
@@ -87,6 +88,42 @@ def test_decode_is_computed_once(spark):
     assert text.count("conv(") < 20
 
 
+def packet_scans(df) -> int:
+    """How often the plan that would run reads frames (the files with a column ``raw``)."""
+    return len(re.findall(r"FileScan parquet [^\n]*raw:binary", plan(df)))
+
+
+@pytest.mark.parametrize("strategy", [None, "merge"])
+def test_joins_read_packets_once(spark, strategy):
+    frames, tables = packets_raw(spark, SF_DIR), lookups(spark, SF_DIR)
+    rows = log_records(frames, "base", keep=["packet_id"])
+    assert packet_scans(enrich_both_ends(rows, tables, spread_by="packet_id", strategy=strategy)) == 1
+    assert packet_scans(host_set_filter(frames, hosts(spark, SF_DIR), strategy=strategy)) == 1
+    text = plan(key_exists(frames.select("packet_id"), spark.range(9), "packet_id", "id", "packet_id", strategy=strategy))
+    assert text.count("FileScan parquet") == 1
+
+
+def test_large_lookup_gets_no_hint(spark, tmp_path):
+    """Text that compresses well looks small before it is read; nothing here vouches for it."""
+    path = str(tmp_path / "whois")
+    spark.range(20_000).selectExpr("concat('10.0.', id div 250, '.', id % 250) as ip", "repeat('inetnum line ', 200) as whois").write.parquet(path)
+    whois = spark.read.parquet(path)
+    tables = lookups(spark, SF_DIR)
+    df = fields(packets_raw(spark, SF_DIR)).withColumn("ip", F.coalesce("ipv4_src", "ipv6_src"))
+    rich = enrich_ip(df, "ip", Lookups(tables.ptr, whois, tables.geo))
+    assert "ResolvedHint" not in rich._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint" not in rich._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_date_lists_that_date_only(spark, tmp_path):
+    path = str(tmp_path / "dated")
+    append_packets(packets_raw(spark, SF_DIR), path, batch="b")
+    df = read_buffer(spark, path).filter("dt = date'2024-01-05'")
+    assert df.inputFiles() and re.search(r"PartitionFilters: \[[^]]*dt#\d+ = 2024-01-05", plan(df.select("packet_id")))
+    top = {p.name for p in (tmp_path / "dated").iterdir() if p.is_dir()}
+    assert all(name.startswith("dt=") for name in top) and len(top) == 30
+
+
 def test_host_set_is_two_broadcast_joins(spark):
     text = plan(host_set_filter(packets_raw(spark, SF_DIR), hosts(spark, SF_DIR)).select("packet_id"))
     assert text.count("BroadcastHashJoin") == 2 and "NestedLoop" not in text

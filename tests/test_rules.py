@@ -4,7 +4,7 @@ from frames import ACK, FIN, PSH, RST, SYN, URG, arp, eth, in_order, ipv4, ipv6,
 from pyspark.sql import functions as F
 
 from netlens.operators import rules
-from netlens.operators.arp import arp_untrusted
+from netlens.operators.arp import arp_untrusted, known_mac_table
 from netlens.operators.decode import fields
 from netlens.operators.filters import (
     host_filter,
@@ -106,9 +106,8 @@ def test_arp_modes(spark, mode, expected):
     assert rules.anomalies(packets(spark, arp_frames()), "base", arp_mode=mode).count() == sum(expected)
 
 
-def test_arp_with_large_known_table(spark, monkeypatch):
-    monkeypatch.setattr("netlens.operators.lookup.BROADCAST_LIMIT", 0)
-    df = arp_untrusted(packets(spark, arp_frames()))
+def test_arp_with_a_table_of_known_pairs(spark):
+    df = arp_untrusted(packets(spark, arp_frames()), known_mac_table(spark).union(known_mac_table(spark)))
     assert [r[0] for r in in_order(df, "arp_untrusted")] == [True, False, False, False, True, False]
 
 
@@ -196,7 +195,7 @@ def test_interfaces(spark):
     df = packets(spark, [b"a", b"b"], iface="eth1").unionByName(packets(spark, [b"c"], iface="eth9"))
     assert select_interface(df, "eth1", interfaces(spark)).count() == 2
     assert select_interface(df, "eth0", interfaces(spark)).count() == 0
-    with pytest.raises(ValueError, match="No such interface found: eth9"):
+    with pytest.raises(ValueError, match="'eth9' is not among"):
         select_interface(df, "eth9", interfaces(spark))
     labels = {r["name"]: r["label"] for r in list_interfaces(interfaces(spark)).collect()}
     assert labels == {"eth0": "uplink", "eth1": "eth1", "eth2": "eth2"}
@@ -206,7 +205,7 @@ def test_snaplen(spark):
     frame = eth(0x0800, ipv4(6, tcp(ACK, payload=bytes(100))))
     got = fields(truncate_snaplen(packets(spark, [frame, b"ab"]), 54))
     assert in_order(got, "len") == [(54,), (2,)]
-    assert in_order(truncate_snaplen(packets(spark, [frame])).selectExpr("packet_id", "length(raw) n"), "n") == [(154,)]
+    assert in_order(truncate_snaplen(packets(spark, [frame]), None).selectExpr("packet_id", "length(raw) n"), "n") == [(154,)]
 
 
 def test_host_filters(spark):
@@ -230,4 +229,11 @@ def test_host_filters(spark):
         assert ids(host_filter(form, None)) == ids(host_filter(form, "")) == [0, 1, 2, 3, 4]
         hosts = spark.createDataFrame([("10.0.0.5",), ("10.0.0.5",), ("10.0.0.7",), (None,)], "ip string")
         assert ids(host_set_filter(form, hosts)) == [0, 1, 3]
-        assert ids(host_set_filter(form, hosts, limit=0, hot_rows=1)) == [0, 1, 3]
+        assert ids(host_set_filter(form, hosts, strategy="merge")) == [0, 1, 3]
+        assert ids(host_filter(form, "2001:DB8::0005")) == [2]
+
+
+def test_a_null_frame_breaks_no_rule(spark):
+    df = packets(spark, [b"x"]).selectExpr("packet_id", "ts", "iface", "cast(null as binary) as raw")
+    for name in ("base", "ip"):
+        assert rules.flag(df, name).selectExpr("anomalous is null").first()[0] is False

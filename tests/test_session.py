@@ -1,4 +1,7 @@
-from netlens.session import RUNTIME_SETTINGS, scratch_dir, shared_dir, stored, tune
+import os
+
+from netlens import session
+from netlens.session import RUNTIME_SETTINGS, remove_scratch, scratch_dir, shared_dir, stored, tune
 
 
 def test_shared_folder_is_the_named_one(spark):
@@ -18,3 +21,12 @@ def test_stored_keeps_rows_and_schema(spark):
     back = stored(df, "kept")
     assert back.schema.simpleString() == df.schema.simpleString()
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_scratch_is_removed(spark, monkeypatch):
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    stored(spark.range(5), "short")
+    folder = session._SCRATCH[0]
+    assert os.path.isdir(folder)
+    remove_scratch(spark)
+    assert not os.path.exists(folder) and not session._SCRATCH

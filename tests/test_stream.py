@@ -7,7 +7,7 @@ from conftest import SF_DIR
 from netlens.operators.logs import LOG_COLUMNS, validate_logs
 from netlens.operators.views import log_records
 from netlens.plans.fixture import interfaces, packets_raw
-from netlens.sources import append_packets, clear_buffer, read_buffer, read_packets
+from netlens.sources import append_packets, clear_buffer, merge_date, read_buffer, read_packets
 from netlens.streaming import Capture, stream_packets
 
 BODY = [c for c in LOG_COLUMNS if c not in ("id", "created_at")]
@@ -35,23 +35,39 @@ def test_stream_equals_batch(spark, tmp_path, landing, rules):
     want, rejected = validate_logs(log_records(packets_raw(spark, SF_DIR), rules, keep=["packet_id"]))
     logs = run.logs()
     assert same(logs.select(BODY), want.select(BODY))
-    ids = sorted(r["id"] for r in logs.select("id").collect())
-    assert ids == list(range(1, len(ids) + 1))
+    ids = [r["id"] for r in logs.select("id").collect()]
+    assert len(set(ids)) == len(ids) == want.count()
     assert run.rejected().count() == rejected.count() == (0 if rules == "base" else 572)
     assert run.packets().count() == 10_000
-    arrival = [tuple(r) for r in run.packets().select("ts", "packet_id").collect()]
+    arrival = [tuple(r) for r in run.packets(ordered=True).select("ts", "packet_id").collect()]
     assert arrival == sorted(arrival)
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path, landing):
     run = capture(spark, tmp_path)
-    write, batch = run._batch_writer(None), read_packets(spark, landing)
-    for _ in range(2):
-        write(batch, 0)
+    run.start(stream_packets(spark, landing, max_files=2), available_now=True).awaitTermination()
+    files = sorted((tmp_path / "out" / "checkpoint" / "commits").glob("[0-9]*"))
+    files[-1].unlink()  # as if the driver was lost before the last batch was noted
+    for crc in (tmp_path / "out" / "checkpoint" / "commits").glob(".*.crc"):
+        crc.unlink()
+    run.start(stream_packets(spark, landing, max_files=2), available_now=True).awaitTermination()
     assert run.packets().count() == 10_000
     assert run.logs().count() == 3642
 
 
+def test_captures_named_alike_share_a_log(spark, tmp_path, landing):
+    """Two captures of one name, one log folder, other writers: nothing is lost."""
+    logs = str(tmp_path / "logs")
+    for number in (0, 1):
+        run = Capture(spark, "same-name", str(tmp_path / f"out-{number}"), logs=logs, writer=number)
+        run.start(stream_packets(spark, landing), available_now=True).awaitTermination()
+    assert run.logs().count() == 2 * 3642
+    assert run.logs().select("id").distinct().count() == 2 * 3642
+    third = Capture(spark, "third", str(tmp_path / "out-3"), logs=logs, writer=1)
+    with pytest.raises(Exception, match="is taken by"):
+        third.start(stream_packets(spark, landing), available_now=True).awaitTermination()
+
+
 def test_start_is_a_no_op_while_running(spark, tmp_path, landing):
     run = capture(spark, tmp_path, rules="ip")
     run.stop()
@@ -89,7 +105,7 @@ def test_snapshot_grows_with_new_files(spark, tmp_path):
 
 def test_unknown_interface(spark, tmp_path, landing):
     run = capture(spark, tmp_path)
-    with pytest.raises(ValueError, match="No such interface"):
+    with pytest.raises(ValueError, match="is not among"):
         run.start(stream_packets(spark, landing), iface="eth7", interfaces=interfaces(spark))
     assert run.query is None
 
@@ -110,8 +126,31 @@ def test_buffer_append_read_clear(spark, tmp_path):
 
 def test_read_packets_options(spark, landing):
     assert read_packets(spark, landing, iface="eth0").count() == 10_000
-    assert read_packets(spark, landing, iface="eth5").count() == 0
-    with pytest.raises(ValueError, match="No such interface"):
-        read_packets(spark, landing, iface="eth5", interfaces=interfaces(spark))
+    for known in (None, interfaces(spark)):
+        with pytest.raises(ValueError, match="is not among"):
+            read_packets(spark, landing, iface="eth5", interfaces=known)
     longest = read_packets(spark, landing, snaplen=96).selectExpr("max(length(raw)) as n").first()["n"]
     assert longest == 96
+
+
+def test_nothing_is_cut_unless_asked(spark, tmp_path):
+    path = str(tmp_path / "long")
+    long = packets_raw(spark, SF_DIR).limit(1).selectExpr("packet_id", "ts", "iface", "cast(repeat('x', 70000) as binary) as raw")
+    long.write.parquet(path)
+    assert len(read_packets(spark, path).first()["raw"]) == 70_000
+    assert len(read_packets(spark, path, snaplen=65_536).first()["raw"]) == 65_536
+
+
+def test_merge_keeps_the_rows_of_a_date(spark, tmp_path):
+    import datetime
+
+    path = str(tmp_path / "buffer")
+    frames = packets_raw(spark, SF_DIR)
+    for i in range(3):
+        append_packets(frames.filter(f"packet_id % 3 = {i}"), path, batch=f"b{i}")
+    before = read_buffer(spark, path).drop("batch").collect()
+    merge_date(spark, path, datetime.date(2024, 1, 5))
+    merge_date(spark, path, datetime.date(1999, 1, 1))
+    assert sorted(before, key=lambda r: r["packet_id"]) == sorted(read_buffer(spark, path).drop("batch").collect(), key=lambda r: r["packet_id"])
+    names = {p.name for p in (tmp_path / "buffer" / "dt=2024-01-05" / "iface=eth0").iterdir() if p.is_dir()}
+    assert names == {"batch=merged"}
