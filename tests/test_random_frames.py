@@ -22,6 +22,17 @@ def v6_text(b: bytes) -> str:
     return ":".join(f"{u16(b, i):x}" for i in range(0, 16, 2))
 
 
+def last_header(frame: bytes, at: int, kind: int) -> tuple[int, int, bool]:
+    """Number and place of the header after the IPv6 extension headers; is it a later fragment?"""
+    later = False
+    while kind in (0, 43, 44, 51, 60, 135) and at + 8 <= len(frame):
+        size = frame[at + 1]
+        if kind == 44:
+            later = later or u16(frame, at + 2) >= 8
+        kind, at = frame[at], at + (8 if kind == 44 else (size + 2) * 4 if kind == 51 else (size + 1) * 8)
+    return kind, at, later
+
+
 def expected(frame: bytes) -> dict:
     out = dict.fromkeys(FLAT_FIELDS)
     size = len(frame)
@@ -29,34 +40,44 @@ def expected(frame: bytes) -> dict:
         return out
     kind = u16(frame, 12)
     out.update(eth_dst=mac(frame[:6]), eth_src=mac(frame[6:12]), eth_type=kind)
-    if kind <= 1500 and size >= 17:
-        out.update(llc_dsap=frame[14], llc_ssap=frame[15], llc_control=frame[16])
-    if kind == 0x0806 and size >= 42:
+    net = 14
+    for _ in range(2):
+        if kind in (0x8100, 0x88A8):
+            net += 4
+            if size < net:
+                return out
+            kind = u16(frame, net - 2)
+    if kind <= 1500 and size >= net + 3:
+        out.update(llc_dsap=frame[net], llc_ssap=frame[net + 1], llc_control=frame[net + 2])
+    if kind == 0x0806 and size >= net + 28:
         out.update(
-            arp_op=u16(frame, 20),
-            arp_sha=mac(frame[22:28]),
-            arp_spa=str(ipaddress.ip_address(frame[28:32])),
-            arp_tha=mac(frame[32:38]),
-            arp_tpa=str(ipaddress.ip_address(frame[38:42])),
+            arp_op=u16(frame, net + 6),
+            arp_sha=mac(frame[net + 8 : net + 14]),
+            arp_spa=str(ipaddress.ip_address(frame[net + 14 : net + 18])),
+            arp_tha=mac(frame[net + 18 : net + 24]),
+            arp_tpa=str(ipaddress.ip_address(frame[net + 24 : net + 28])),
         )
     start = end = proto = None
-    if kind == 0x0800 and size >= 34 and frame[14] >> 4 == 4:
-        ihl = (frame[14] & 15) * 4
-        if ihl >= 20 and 14 + ihl <= size:
-            proto = frame[23]
+    if kind == 0x0800 and size >= net + 20 and frame[net] >> 4 == 4:
+        ihl = (frame[net] & 15) * 4
+        if ihl >= 20 and net + ihl <= size:
+            proto = frame[net + 9]
             out.update(
-                ipv4_src=str(ipaddress.ip_address(frame[26:30])),
-                ipv4_dst=str(ipaddress.ip_address(frame[30:34])),
+                ipv4_src=str(ipaddress.ip_address(frame[net + 12 : net + 16])),
+                ipv4_dst=str(ipaddress.ip_address(frame[net + 16 : net + 20])),
                 ipv4_proto=proto,
                 ipv4_ihl=ihl,
             )
-            end = min(size, 14 + u16(frame, 16) if u16(frame, 16) else size)
-            if u16(frame, 20) & 0x1FFF == 0:
-                start = 14 + ihl
-    if kind == 0x86DD and size >= 54 and frame[14] >> 4 == 6:
-        proto = frame[20]
-        out.update(ipv6_src=v6_text(frame[22:38]), ipv6_dst=v6_text(frame[38:54]), ipv6_next_header=proto)
-        start, end = 54, min(size, 54 + u16(frame, 18))
+            end = min(size, net + u16(frame, net + 2) if u16(frame, net + 2) else size)
+            if u16(frame, net + 6) & 0x1FFF == 0:
+                start = net + ihl
+    if kind == 0x86DD and size >= net + 40 and frame[net] >> 4 == 6:
+        proto = frame[net + 6]
+        out.update(ipv6_src=v6_text(frame[net + 8 : net + 24]), ipv6_dst=v6_text(frame[net + 24 : net + 40]), ipv6_next_header=proto)
+        length = u16(frame, net + 4)
+        end = min(size, net + 40 + length) if length else size
+        proto, start, later = last_header(frame, net + 40, proto)
+        start = None if later else start
     if start is None:
         return out
     if proto == 17 and end >= start + 8:
@@ -96,6 +117,10 @@ def damaged_frames(n: int) -> list[bytes]:
                 lambda: eth(0x0800, ipv4(proto, body, options=options), pad_to=rng.choice([0, 60])),
                 lambda: eth(0x0800, ipv4(proto, body, fragment=rng.choice([0, 1, 0x2000]))),
                 lambda: eth(0x86DD, ipv6(proto, body)),
+                lambda: eth(0x86DD, ipv6(rng.choice([0, 43, 60]), bytes([proto, 0]) + rng.randbytes(6) + body)),
+                lambda: eth(0x86DD, ipv6(44, bytes([proto, 0, 0, rng.choice([0, 1, 8])]) + bytes(4) + body)),
+                lambda: eth(0x8100, b"\0\x07\x08\0" + ipv4(proto, body)),
+                lambda: eth(0x88A8, b"\0\x07\x81\0\0\x08\x86\xdd" + ipv6(proto, body)),
                 lambda: eth(0x0806, arp("10.0.0.1", "00:11:22:33:44:55")),
                 lambda: eth(rng.choice([0, 38, 1500, 1501, 0x8100]), payload),
             ]
