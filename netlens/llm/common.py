@@ -102,7 +102,31 @@ def bitmap(places: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def split_rows(df: DataFrame, place: Column, wanted: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``place`` is one of ``wanted`` (a few others with them), and rows
+    whose is certainly not. The first part is joined exactly afterwards, the second is not shuffled."""
+    sent = df.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
+
+    @F.pandas_udf("boolean")
+    def hit(places: pd.Series) -> pd.Series:
+        p = places.to_numpy()
+        return pd.Series((sent.value[p >> 3] >> (7 - (p & 7)) & 1).astype(bool))
+
+    return df.where(hit(place)), df.where(~hit(place))
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder (``spark.checkpoint.dir``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def settled(df: DataFrame, rows_per_task: int = 100_000) -> tuple[DataFrame, int]:
+    """``df`` checkpointed, and the tasks that its rows are worth, which later steps on it take.
+
+    A table of a few rows otherwise keeps the partitions of the exchange it came from, and every
+    further exchange writes files for each of them.
+    """
+    kept = stable(df)
+    tasks = max(1, kept.count() // rows_per_task)
+    return kept.coalesce(tasks), tasks

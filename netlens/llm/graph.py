@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import stable
+from netlens.llm.common import settled
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -19,15 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     of them; stars are left after a number of rounds that grows with the logarithm of the
     longest path. Counting a hot node's neighbours is partly done before the shuffle.
     """
-    edges = stable(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges, tasks = settled(edges)
     before = _signature(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = stable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges, tasks = settled(small.union(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct())
         now = _signature(edges)
         if now == before:
             break

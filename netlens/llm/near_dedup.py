@@ -6,11 +6,14 @@ chance of 3 in 10 million. All samples are also folded into an odd sketch, a bit
 sample flips one bit; the population count of two sketches' XOR estimates their similarity, and
 candidates far below the threshold are dropped. What is left is confirmed on the full sets.
 
-Equal sets meet first, by a 128-bit hash, and one document stands for them. Within a band's
-bucket no pairs are listed: first every member is tried against the bucket's smallest and largest
-member, and after components are known only members of different components are compared, in
-blocks of bounded size whatever the bucket's. So no link that joins components is lost, and a
-group of near copies costs as many comparisons as it has members.
+Equal sets meet first, by a 128-bit hash, and one document stands for them. Bands are taken in
+three rounds, and components are found after each. A round only looks at buckets that still hold
+members of different components. Members outside a bucket's largest component are compared with
+each other there, in blocks of bounded size; those of the largest component stay at home, in blocks
+of their component, and are visited by the outsiders that share a bucket with the block, once for
+all bands. A comparison goes by the sketches, and by the full sets where these allow a link; one
+link is handed on for each two components it joins. So no pairs are listed, a group of near copies
+is settled by few comparisons for each member, and no link that joins components is lost.
 
 Null and empty texts have no set and are linked with nothing. Rows that repeat an id are judged
 each by its own text; a null id stays null and is its own component.
@@ -18,16 +21,19 @@ each by its own text; a null id stays null and is its own component.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from netlens.llm.common import bitmap, map_batches, stable
+from netlens.llm.common import bitmap, map_batches, settled, split_rows, stable
 from netlens.llm.graph import components
-from netlens.llm.hashing import WordHasher, grams, mix
+from netlens.llm.hashing import batch_words, grams, mix
 
 WIDTH = 5
 BANDS = 40
@@ -37,24 +43,27 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Least estimated similarity of a candidate: seven standard deviations below 0.75.
 LEAST_ESTIMATE = 0.5
-#: Members of one bucket that are compared in one block.
-BLOCK = 1_000
+#: Members of one bucket in one block; two blocks at most meet in a task.
+BLOCK = 500
+#: Bands of each round, up to and without.
+ROUNDS = ((0, 1), (1, 4), (4, BANDS))
 #: Bits of the bitmap that picks the documents whose sets are needed.
 PICK_BITS = 1 << 23
 
+LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(_A)
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Most bits in which the sketches of a candidate pair may differ.
 MOST_DIFFERENT = int(SKETCH_BITS / 2 * (1 - np.exp(-2 * (2 * SAMPLES * (1 - LEAST_ESTIMATE)) / SKETCH_BITS)))
 
 
-def shingle_set(text: str | None, hasher: WordHasher) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(grams(hasher(words), min(WIDTH, len(words))))
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text."""
+    found = batch_words(pa.array(texts, pa.string()), lower=True)
+    out = []
+    for a, b in pairwise(found.first.tolist()):
+        out.append(np.unique(grams(found.hashes[a:b], min(WIDTH, b - a))) if b > a else found.hashes[:0])
+    return out
 
 
 def samples(shingles: np.ndarray) -> np.ndarray:
@@ -87,12 +96,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_hash (null without shingles), bands, sketch of every row."""
 
     def start():
-        hasher = WordHasher()
-
         def step(batch: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("n_shingles", "set_hash", "bands", "sketch")}
-            for text in batch["text"]:
-                shingles = shingle_set(text, hasher)
+            for shingles in shingle_sets(batch["text"]):
                 out["n_shingles"].append(len(shingles))
                 if len(shingles):
                     least = samples(shingles)
@@ -110,8 +116,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), ddl, start)
 
 
-def _place(name: str) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(PICK_BITS)).cast("int")
+def _place(key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PICK_BITS)).cast("int")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -119,15 +125,13 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(_place("id").alias("place")), PICK_BITS))
 
     def start():
-        hasher, bits = WordHasher(), sent.value
+        bits = sent.value
 
         def step(batch: dict) -> dict:
-            rows = []
-            for doc_id, place, text in zip(batch["doc_id"], batch["place"], batch["text"], strict=True):
-                if bits[place >> 3] >> (7 - (place & 7)) & 1:
-                    shingles = shingle_set(text, hasher)
-                    if len(shingles):
-                        rows.append((doc_id, xxhash.xxh3_128_hexdigest(shingles.tobytes()), shingles.tobytes()))
+            picked = [i for i, p in enumerate(batch["place"]) if bits[p >> 3] >> (7 - (p & 7)) & 1]
+            sets = shingle_sets([batch["text"][i] for i in picked])
+            full = [(batch["doc_id"][i], s.tobytes()) for i, s in zip(picked, sets, strict=True) if len(s)]
+            rows = [(d, xxhash.xxh3_128_hexdigest(s), s) for d, s in full]
             return {k: [r[i] for r in rows] for i, k in enumerate(("id", "set_hash", "set"))}
 
         return step
@@ -137,83 +141,157 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, ["id", "set_hash"], "left_semi").dropDuplicates(["id"]).select("id", "set")
 
 
-@F.pandas_udf(T.BooleanType())
-def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 * intersection >= 75 * union of two sorted sets."""
-
-    def one(x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-        if 100 * min(len(p), len(q)) < 75 * max(len(p), len(q)):
-            return False
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return 100 * both >= 75 * (len(p) + len(q) - both)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-
-def _confirmed(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are similar on their full sets."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = stable(_sets(docs, members.select("id", "set_hash").join(ids, "id", "left_semi")))
-    joined = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v")
-    joined = joined.join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u")
-    return joined.where(similar(F.col("set_u"), F.col("set_v"))).select("u", "v")
+def join_block(
+    ids: list[int], components: list[int], blocks: list[int], sketches: np.ndarray, sets: list[np.ndarray]
+) -> list[tuple[int, int]]:
+    """Links that join components of one block, or of two that meet: then only links across.
 
-
-def _different_bits(a: str, b: str) -> Column:
-    total = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
-        total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return total
-
-
-def _may_be_similar(a: str, b: str) -> Column:
-    """By the odd sketches, and by the sizes, which bound the similarity."""
-    sizes = F.lit(100) * F.least(f"n_{a}", f"n_{b}") >= F.lit(75) * F.greatest(f"n_{a}", f"n_{b}")
-    return sizes & (_different_bits(f"sketch_{a}", f"sketch_{b}") <= MOST_DIFFERENT)
-
-
-def _named(members: DataFrame, side: str) -> DataFrame:
-    return members.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("n_shingles").alias(f"n_{side}"))
+    Members of the largest component need no comparison of their own: every pair that matters has
+    a member outside.
+    """
+    root = {c: c for c in components}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    if len(root) == 1:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum([0, *sizes[:-1]])
+    values, local = np.unique(np.concatenate(sets), return_inverse=True)
+    marks = np.zeros(len(values), dtype=np.int32)
+    block, label = np.array(blocks), np.array(components)
+    across = len(set(blocks)) == 2
+    largest = Counter(components).most_common(1)[0][0]
+    links = []
+    for y in range(len(ids)):
+        if find(components[y]) == find(largest):
+            continue
+        bound = 100 * np.minimum(sizes, sizes[y]) >= 75 * np.maximum(sizes, sizes[y])
+        may = bound & (np.bitwise_count(sketches ^ sketches[y]).sum(axis=1) <= MOST_DIFFERENT) & (label != label[y])
+        if across:
+            may &= block != blocks[y]
+        if not may.any():
+            continue
+        own = local[starts[y] : starts[y] + sizes[y]]
+        marks[own] = 1
+        both = np.add.reduceat(marks[local], starts)
+        marks[own] = 0
+        for z in np.flatnonzero(may & (100 * both >= 75 * (sizes + sizes[y] - both))).tolist():
+            p, q = find(components[y]), find(components[z])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                links.append((ids[y], ids[z]))
+    return links
+
+
+def _parts(n: str) -> Column:
+    """Number of blocks that ``n`` rows take."""
+    return F.ceil(F.col(n) / BLOCK).cast("int")
+
+
+def _block(parts: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+
+
+def _every(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def _meetings(labelled: DataFrame) -> DataFrame:
+    """Which members meet in a round: group (kind, a, b, c), own, id, component. ``labelled`` has
+    key, id and component. Members of one group with the same ``own`` need no comparison where
+    there are two values of it."""
+    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
+    largest = largest.where("components > 1").select("key", F.col("top.component").alias("largest"))
+    open_, tasks = settled(labelled.join(largest, "key"))
+    outside, inside = open_.where("component <> largest"), open_.where("component = largest")
+
+    # outsiders of a bucket among themselves
+    among = outside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    among = outside.join(among.where("lo < hi").select("key", _parts("n").alias("parts")), "key").coalesce(tasks)
+    among = among.withColumn("own", _block("parts")).withColumn("other", _every("parts"))
+    blocks = [F.least("own", "other").alias("b"), F.greatest("own", "other").alias("c")]
+    among = among.select(F.lit(0).alias("kind"), F.col("key").alias("a"), *blocks, "own", "id", "component")
+
+    # blocks of largest components, and their visitors
+    home = inside.select("id", "component").distinct().coalesce(tasks)
+    sizes = home.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", _parts("n").alias("parts"))
+    home = home.join(sizes, "component").withColumn("block", _block("parts")).select("id", "component", "block").coalesce(tasks)
+    near = inside.select("key", "id").join(home.select("id", "block"), "id").select("key", "block").coalesce(tasks).distinct()
+    visits = outside.join(near.coalesce(tasks), "key").select(F.col("largest").alias("a"), F.col("block").alias("b"), "id", "component")
+    visits, _ = settled(visits.coalesce(tasks).distinct())
+    guests = visits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b", _parts("n").alias("parts"))
+    visits = visits.join(guests, ["a", "b"]).withColumn("c", _block("parts"))
+    home = home.select("id", "component", F.col("component").alias("a"), F.col("block").alias("b")).join(guests, ["a", "b"]).withColumn("c", _every("parts"))
+    group = [F.lit(1).alias("kind"), "a", "b", "c"]
+    visits = visits.select(*group, F.lit(0).alias("own"), "id", "component")
+    home = home.select(*group, F.lit(1).alias("own"), "id", "component")
+    return among.union(visits.coalesce(tasks)).union(home.coalesce(tasks))
+
+
+def _round_links(buckets: DataFrame, found: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between members of different components that share a bucket (key, id)."""
+    if found is None:
+        labelled = buckets.withColumn("component", F.col("id"))
+    else:
+        labelled = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    group = ("kind", "a", "b", "c")
+    names = ("id", "component", "own", "sketch", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def settle() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            ids, components, blocks, sketches, sets = zip(*held, strict=True)
+            full = [np.frombuffer(s, dtype=np.uint64) for s in sets]
+            return join_block(list(ids), list(components), list(blocks), np.array(sketches, dtype=np.int64).view(np.uint64), full)
+
+        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"u": [u for u, _ in links], "v": [v for _, v in links]}, schema=LINKS)
+
+        for batch in batches:
+            links = []
+            rows = batch.to_pydict()
+            for own, row in zip(zip(*[rows[n] for n in group], strict=True), zip(*[rows[n] for n in names], strict=True), strict=True):
+                if own != at:
+                    links += settle()
+                    at, held = own, []
+                held.append(row)
+            yield out(links)
+        yield out(settle())
+
+    together = _meetings(labelled).join(sets, "id").repartition(*group).sortWithinPartitions(*group, "id")
+    return together.select(*group, *names).mapInArrow(run, "u long, v long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable, its own if
     alone), kept (doc_id = component_id)."""
     rows = stable(signatures(docs))
-    stands = rows.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    stands = stable(stands)
+    stands, _ = settled(rows.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id")))
     members = rows.join(stands.withColumnRenamed("set_hash", "h"), (F.col("doc_id") == F.col("id")) & (F.col("set_hash") == F.col("h")))
-    members = stable(members.select("id", "set_hash", "n_shingles", "bands", "sketch").dropDuplicates(["id"]))
-
-    keyed = members.select(F.explode("bands").alias("key"), "id")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).where("n > 1")
-    buckets = stable(keyed.join(shared, "key"))
-
-    stars = buckets.select(F.col("first").alias("u"), F.col("id").alias("v")).union(buckets.select(F.col("id").alias("u"), F.col("last").alias("v")))
-    pairs = stars.where("u <> v").distinct().join(_named(members, "u"), "u").join(_named(members, "v"), "v")
-    links = stable(_confirmed(docs, members, stable(pairs.where(_may_be_similar("u", "v")).select("u", "v"))))
-    found = stable(components(links))
-
-    labelled = buckets.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "id"))
-    open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = labelled.join(open_keys.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(members.select("id", "sketch", "n_shingles"), "id")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-
-    def side(name: str, own: str, other: str) -> DataFrame:
-        return dealt.select(
-            "key", F.col("own").alias(own), every.alias(other), F.col("id").alias(name), F.col("component").alias(f"c_{name}"),
-            F.col("sketch").alias(f"sketch_{name}"), F.col("n_shingles").alias(f"n_{name}"),
-        )
-
-    cross = side("u", "i", "j").join(side("v", "j", "i"), ["key", "i", "j"])
-    cross = cross.where((F.col("c_u") != F.col("c_v")) & (F.col("u") < F.col("v")) & _may_be_similar("u", "v"))
-    pairs = stable(cross.select("u", "v").distinct())
-    if not pairs.isEmpty():
-        found = stable(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_confirmed(docs, members, pairs))))
+    members, _ = settled(members.select("id", "set_hash", "bands", "sketch").dropDuplicates(["id"]), 20_000)
+
+    keyed = members.select(F.posexplode("bands").alias("band", "key"), "id")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    buckets, _ = settled(keyed.join(shared, "key", "left_semi"))
+    wanted = members.select("id", "set_hash").join(buckets.select("id").distinct(), "id", "left_semi")
+    sets, _ = settled(_sets(docs, wanted).join(members.select("id", "sketch"), "id"), 10_000)
+
+    found = None
+    for first, end in ROUNDS:
+        own = buckets.where((F.col("band") >= first) & (F.col("band") < end)).select("key", "id")
+        links = _round_links(own, found, sets)
+        if found is not None:
+            links = links.union(found.select("node", "component"))
+        found, _ = settled(components(links))
 
     labels = stands.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_hash").join(labels, "set_hash", "left")
@@ -226,10 +304,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat the kept id with equal text one stays; rows without an id all stay.
     """
-    kept = classes(docs.select("doc_id", "text")).where("kept and doc_id is not null")
-    kept = kept.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_rows"))
-    with_id = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"))
-    once = with_id.where("_kept_rows = 1")
-    again = with_id.where("_kept_rows > 1").dropDuplicates(["doc_id", "text"])
+    found = classes(docs.select("doc_id", "text")).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
+    found = stable(found.agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("kept").alias("_kept")))
+    special = found.where("_rows > 1 or not _kept")
+    place = _place(F.col("doc_id").cast("long"))
+    maybe, plain = split_rows(docs, place, special.select(_place(F.col("_id")).alias("place")), PICK_BITS)
+    joined = maybe.join(found.where("_kept"), F.col("doc_id").cast("long") == F.col("_id"))
     names = [f"`{c}`" for c in docs.columns]
-    return once.select(*names).union(again.select(*names)).union(docs.where("doc_id is null"))
+    again = joined.where("_rows > 1").dropDuplicates(["doc_id", "text"])
+    no_id = maybe.where("doc_id is null")
+    return plain.select(*names).union(joined.where("_rows = 1").select(*names)).union(again.select(*names)).union(no_id.select(*names))
