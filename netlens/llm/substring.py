@@ -1,21 +1,24 @@
 """Removal of repeated passages with sharded Aho-Corasick automata.
 
 A window is 13 consecutive words of one document. A word is removed if a window that covers it
-also starts in a document with a smaller id. Four steps, each linear in the text:
+also starts in a document with a smaller id. Every step is linear in the text:
 
 1. *Candidates.* Every window has an anchor, the five-word run in it with the smallest hash; equal
-   windows have equal anchors. Tasks count in how many documents an anchor's hash occurs, and
-   leave one bitmap of fixed size for those of two or more documents and one for very common ones.
-2. *Segments.* Runs of windows that share a candidate anchor are cut out of the text, keyed by the
-   anchor. Windows of a very common anchor are cut out one by one and keyed by their own hash, so
-   that no key gathers the surroundings of a common phrase. Equal segments meet before the shuffle.
-3. *Automata.* Segments are dealt to shards by key, so all equal windows meet in one shard. Each
-   shard confirms the windows of two or more documents, compiles them, as sequences of word
-   numbers, into one automaton, and streams its segments through it. The result is, for each
-   window of a segment, the smallest document id.
-4. *Removal.* Occurrences of segments look up the result, and documents with any are rewritten.
-
-The bitmaps only save work: a false hit gives a segment without a confirmed window.
+   windows have equal anchors. A run of windows with the same anchor is a segment. Tasks count, for
+   each anchor, the documents and the different segments; what comes of it are two bitmaps of
+   fixed size: anchors of two or more documents, and anchors with very many different segments.
+2. *Segments.* All segments of candidate anchors go out as hashes with their document. The windows
+   of an anchor with very many segments (a common phrase in ever new surroundings) go out one by
+   one under their own hash, so no key gathers those surroundings.
+3. *Confirmed passages.* Where the same segment occurs in a smaller document, all its windows go.
+   What is left are the first occurrences, of anchors with several segments. Their texts are dealt
+   to shards by anchor, so equal windows meet; a shard confirms the windows of two or more
+   documents, compiles them, as sequences of word numbers, into one automaton, and streams its
+   texts through it, which finds every occurrence of them.
+4. *Removal.* Marks are gathered by document and the texts rewritten.
+
+The bitmaps only save work: a false hit gives a segment that no other document shares. Hashes of
+segments are compared under their anchor's, 128 bits together.
 
 Null and empty texts have no words. Rows that repeat an id are one document to each other: neither
 is smaller. Rows without an id keep all words and are no source. An empty table gives no rows.
@@ -24,29 +27,36 @@ is smaller. Rows without an id keep all words and are no source. An empty table
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import fold_batches, map_batches
-from netlens.llm.hashing import WordHasher, grams
+from netlens.llm.common import bitmap, map_batches
+from netlens.llm.hashing import INVERSE, Words, batch_words, grams, mix, powers
+from netlens.session import stored
 
 WIDTH = 13
 ANCHOR = 5
-#: Bits of a bitmap, 4 MB; as many as there are ranges at least, times eight.
-BITS = 1 << 25
-#: Documents from which on an anchor is very common.
-COMMON = 500
-#: Distinct segments in one shard, about.
-SHARD_SEGMENTS = 20_000
+#: Bits of a bitmap, 16 MB; as many as there are ranges at least, times eight.
+BITS = 1 << 27
+#: Bits of the bitmap of documents with something to remove.
+PICK_BITS = 1 << 23
+#: Different segments from which on an anchor's windows go out one by one.
+MANY_SEGMENTS = 5_000
+#: Texts in one shard, about.
+SHARD_TEXTS = 20_000
 #: Ranges of hashes for each partition of the input.
 RANGES_PER_PARTITION = 4
+#: Bytes of text that are hashed at once.
+CHUNK_BYTES = 4 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -54,18 +64,49 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def anchors(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window's anchor, and where the anchor starts."""
-    h = grams(hashes, ANCHOR)
+@dataclass(frozen=True)
+class Segments:
+    """The segments of a batch: text, first word (in the batch), windows, hashes of anchor and words."""
+
+    text: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    key: np.ndarray
+    segment: np.ndarray
+
+
+def _sums(hashes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that hashes the words from ``start`` to before ``end``."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes) * powers(len(hashes)), dtype=np.uint64)])
+    back = powers(len(hashes) + 1, INVERSE)
+    return lambda start, end: mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def segments_of(found: Words, width: int) -> Segments:
+    """All segments, in the order of the texts."""
+    h = grams(found.hashes, ANCHOR)
     span = width - ANCHOR + 1
     m = len(h) - span + 1
-    least, place = h[:m].copy(), np.arange(m)
+    none = np.zeros(0, dtype=np.int64)
+    if m < 1:
+        return Segments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+    least = h[:m].copy()
     for i in range(1, span):
-        other = h[i : i + m]
-        smaller = other < least
-        least[smaller] = other[smaller]
-        place[smaller] += (np.flatnonzero(smaller) + i) - place[smaller]
-    return least, place
+        np.minimum(least, h[i : i + m], out=least)
+    place = np.zeros(m, dtype=np.int64)
+    for i in reversed(range(span)):
+        place[h[i : i + m] == least] = i
+    place += np.arange(m)
+    text = found.of()
+    inside = np.flatnonzero(text[:m] == text[width - 1 : width - 1 + m])
+    if not len(inside):
+        return Segments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+    at, own = place[inside], text[inside]
+    new = np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1]) | (np.diff(inside) != 1)]
+    begin = np.flatnonzero(new)
+    n = np.diff(np.r_[begin, len(inside)])
+    start = inside[begin]
+    return Segments(own[begin], start, n, least[start], _sums(found.hashes)(start, start + n + width - 1))
 
 
 @dataclass(frozen=True)
@@ -79,7 +120,7 @@ class Slots:
         return ((h >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
 
     def within(self, low: np.ndarray) -> np.ndarray:
-        return (low >> np.uint32(32 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(low), np.int64)
+        return (low >> np.uint32(32 - self.bits)).astype(np.int64)
 
     def hits(self, bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
         place = (self.part(h) << self.bits) + self.within(h.astype(np.uint32))
@@ -90,191 +131,231 @@ class Slots:
 class Candidates:
     slots: Slots
     some: np.ndarray  # bitmap of the anchors of two or more documents
-    many: np.ndarray  # and of the very common ones
-    occurrences: int  # of the anchors in ``some``, about
-
-
-def recurring(docs: DataFrame, width: int = WIDTH, common: int = COMMON, most_bits: int = BITS) -> Candidates:
-    """Count in how many documents each anchor occurs. A task's counts go out by range of the hash;
-    there are as many ranges for each partition of the input, so a range stays of one size."""
-    rows = docs.select("text").where("text is not null")
-    ranges = RANGES_PER_PARTITION * max(1, rows.rdd.getNumPartitions())
-    slots = Slots(ranges, max(3, (most_bits // ranges).bit_length() - 1))
+    many: np.ndarray  # and of those with very many different segments
+    segments: int  # different ones of the anchors in ``some``, about
 
-    def start():
-        hasher, found = WordHasher(), []
 
-        def take(batch: dict) -> None:
-            for text in batch["text"]:
-                w = words(text)
-                if len(w) >= width:
-                    found.append(np.unique(anchors(hasher(w), width)[0]))
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of a column of about ``CHUNK_BYTES``, with the place of their first row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        base = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, base + CHUNK_BYTES)))
+        yield at, texts.slice(at, end - at)
+        at = end
 
-        def end() -> dict:
-            values, counts = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            low, counts = values.astype(np.uint32), np.minimum(counts, 65_535).astype(np.uint16)
-            cuts = np.searchsorted(slots.part(values), np.arange(ranges + 1))
-            used = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
-            return {
-                "part": used,
-                "anchors": [low[cuts[i] : cuts[i + 1]].tobytes() for i in used],
-                "counts": [counts[cuts[i] : cuts[i + 1]].tobytes() for i in used],
-            }
 
-        return take, end
+def recurring(docs: DataFrame, width: int = WIDTH, many: int = MANY_SEGMENTS, most_bits: int = BITS) -> Candidates:
+    """Count documents and different segments of each anchor. A task's counts go out by range of
+    the hash; there are as many ranges for each partition of the input, so a range keeps its size."""
+    rows = docs.where("doc_id is not null and text is not null").select("text")
+    ranges = RANGES_PER_PARTITION * max(1, rows.rdd.getNumPartitions())
+    slots = Slots(ranges, max(3, (most_bits // ranges).bit_length() - 1))
+    out = pa.schema([("part", pa.int32()), ("anchors", pa.binary()), ("segments", pa.binary()), ("documents", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # (anchor, 16 bits of the segment's hash), each once for a document
+        pairs = []
+        for batch in batches:
+            for _, texts in _chunks(batch.column(0)):
+                s = segments_of(batch_words(texts), width)
+                order = np.lexsort((s.segment, s.key, s.text))
+                key, segment, text = s.key[order], s.segment[order], s.text[order]
+                once = np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])] if len(key) else np.zeros(0, bool)
+                pairs.append((key, (segment >> np.uint64(48)).astype(np.uint16), once))
+        if not pairs:
+            return
+        key, segment, once = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        order = np.lexsort((segment, key))
+        key, segment, once = key[order], segment[order], once[order]
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])]) if len(key) else np.zeros(0, int)
+        documents = np.minimum(np.add.reduceat(once.astype(np.int64), new), 2).astype(np.uint8) if len(key) else np.zeros(0, np.uint8)
+        key, segment = key[new], segment[new]
+        cuts = np.searchsorted(slots.part(key), np.arange(ranges + 1))
+        used = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+        low = key.astype(np.uint32)
+        yield pa.RecordBatch.from_pydict(
+            {"part": used} | {k: [v[cuts[i] : cuts[i + 1]].tobytes() for i in used] for k, v in (("anchors", low), ("segments", segment), ("documents", documents))},
+            schema=out,
+        )
 
     def put(pdf: pd.DataFrame) -> pd.DataFrame:
         low = np.concatenate([np.frombuffer(b, dtype=np.uint32) for b in pdf["anchors"]])
-        counts = np.concatenate([np.frombuffer(b, dtype=np.uint16) for b in pdf["counts"]]).astype(np.int64)
-        order = np.argsort(low, kind="stable")
-        low, counts = low[order], counts[order]
+        segment = np.concatenate([np.frombuffer(b, dtype=np.uint16) for b in pdf["segments"]])
+        documents = np.concatenate([np.frombuffer(b, dtype=np.uint8) for b in pdf["documents"]]).astype(np.int64)
+        order = np.lexsort((segment, low))
+        low, segment, documents = low[order], segment[order], documents[order]
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        total = np.add.reduceat(counts, first)
+        different = np.add.reduceat(np.r_[True, (low[1:] != low[:-1]) | (segment[1:] != segment[:-1])].astype(np.int64), first)
+        shared = np.add.reduceat(documents, first) >= 2
         place = slots.within(low[first])
         flags = []
-        for least in (2, common):
+        for chosen in (shared, shared & (different >= many)):
             bits = np.zeros(1 << slots.bits, dtype=np.uint8)
-            bits[place[total >= least]] = 1
+            bits[place[chosen]] = 1
             flags.append(np.packbits(bits).tobytes())
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "some": [flags[0]], "many": [flags[1]], "n": [int(total[total >= 2].sum())]})
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "some": [flags[0]], "many": [flags[1]], "n": [int(different[shared].sum())]})
 
-    pieces = fold_batches(rows, "part int, anchors binary, counts binary", start).groupBy("part")
+    counts = rows.mapInArrow(count, "part int, anchors binary, segments binary, documents binary").groupBy("part")
     size = 1 << slots.bits >> 3
-    some, many = np.zeros(ranges * size, dtype=np.uint8), np.zeros(ranges * size, dtype=np.uint8)
-    occurrences = 0
-    for r in pieces.applyInPandas(put, "part int, some binary, many binary, n long").toLocalIterator():
+    some, very = np.zeros(ranges * size, dtype=np.uint8), np.zeros(ranges * size, dtype=np.uint8)
+    total = 0
+    for r in counts.applyInPandas(put, "part int, some binary, many binary, n long").toLocalIterator():
         some[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["some"], dtype=np.uint8)
-        many[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["many"], dtype=np.uint8)
-        occurrences += r["n"]
-    return Candidates(slots, some, many, occurrences)
-
-
-def _cut(hashes: np.ndarray, width: int, found: Candidates) -> list[tuple[int, int, int]]:
-    """Segments of a document: first window, number of windows, key."""
-    h, place = anchors(hashes, width)
-    candidate = found.slots.hits(found.some, h)
-    if not candidate.any():
-        return []
-    hot = candidate & found.slots.hits(found.many, h)
-    out = []
-    runs = np.flatnonzero(np.r_[True, (place[1:] != place[:-1])])
-    for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(h)], strict=True):
-        if candidate[a] and not hot[a]:
-            out.append((a, b - a, int(h[a].view(np.int64))))
-    single = np.flatnonzero(hot)
-    if len(single):
-        own = grams(hashes, width).view(np.int64)
-        out += [(i, 1, int(own[i])) for i in single.tolist()]
-    return out
+        very[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["many"], dtype=np.uint8)
+        total += r["n"]
+    return Candidates(slots, some, very, total)
 
 
-def segments(docs: DataFrame, candidates: Broadcast, width: int, with_words: bool) -> DataFrame:
-    """doc_id, text_hash, start (word), key, segment (128-bit hash of the words) and, if asked for, words."""
+OCCURRENCES = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("segment", pa.int64())]
+)
 
-    def start():
-        hasher = WordHasher()
-        found = candidates.value
 
-        def step(batch: dict) -> dict:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "start", "key", "segment", "words")}
-            for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"], strict=True):
-                w = words(text)
-                if len(w) < width:
-                    continue
-                for a, n, key in _cut(hasher(w), width, found):
-                    own = b" ".join(w[a : a + n + width - 1])
-                    out["doc_id"].append(doc_id)
-                    out["text_hash"].append(text_hash)
-                    out["start"].append(a)
-                    out["key"].append(key)
-                    out["segment"].append(xxhash.xxh3_128_digest(own))
-                    out["words"].append(own)
-            if not with_words:
-                del out["words"]
-            return out
-
-        return step
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null and text is not null")
-    ddl = "doc_id long, text_hash long, start int, key long, segment binary" + ", words binary" * with_words
-    return map_batches(rows, ddl, start)
-
-
-def locate(distinct: list[tuple[bytes, int, int]], width: int) -> list[list[int | None] | None]:
-    """For each distinct segment (words, smallest and largest document id): the smallest id of each
-    of its windows, None where no second document holds the window; None if that is so for all."""
+def occurrences(rows: DataFrame, candidates: Broadcast, width: int) -> DataFrame:
+    """doc_id, text_hash, start (word), n (windows), key, segment: all segments of candidate anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = candidates.value
+        for batch in batches:
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for base, texts in _chunks(batch.column(2)):
+                w = batch_words(texts)
+                s = segments_of(w, width)
+                keep = found.slots.hits(found.some, s.key)
+                many = keep & found.slots.hits(found.many, s.key)
+                one = np.flatnonzero(keep & ~many)
+                parts = [(s.text[one], s.start[one], s.n[one], s.key[one], s.segment[one])]
+                split = np.flatnonzero(many)
+                if len(split):
+                    n = s.n[split]
+                    start = np.repeat(s.start[split] - np.cumsum(np.r_[0, n[:-1]]), n) + np.arange(n.sum())
+                    own = grams(w.hashes, width)[start]
+                    parts.append((np.repeat(s.text[split], n), start, np.ones(len(start), np.int64), own, _sums(w.hashes)(start, start + width)))
+                text, start, n, key, segment = (np.concatenate(x) for x in zip(*parts, strict=True))
+                columns = [ids[base + text], hashes[base + text], start - w.first[text], n, key.view(np.int64), segment.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, OCCURRENCES, strict=True)], schema=OCCURRENCES)
+
+    return rows.where("doc_id is not null and text is not null").mapInArrow(
+        run, "doc_id long, text_hash long, start int, n int, key long, segment long"
+    )
+
+
+def locate(texts: list[tuple[list[bytes], int]], width: int) -> list[list[int]]:
+    """For each text (words, document id): the windows that a text of a smaller id holds as well."""
     numbers: dict[bytes, int] = {}
     coded = []
-    seen: dict[tuple[int, ...], list[int]] = {}
-    for text, low, high in distinct:
-        code = tuple([numbers.setdefault(w, len(numbers) + 1) for w in text.split()])
+    seen: dict[tuple[int, ...], tuple[int, int]] = {}
+    for own, doc_id in texts:
+        code = tuple([numbers.setdefault(w, len(numbers) + 1) for w in own])
         coded.append(code)
         for i in range(len(code) - width + 1):
-            both = seen.setdefault(code[i : i + width], [low, high])
-            if low < both[0]:
-                both[0] = low
-            if high > both[1]:
-                both[1] = high
+            window = code[i : i + width]
+            low, high = seen.get(window, (doc_id, doc_id))
+            seen[window] = (min(low, doc_id), max(high, doc_id))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for window, (low, high) in seen.items():
         if low < high:
             automaton.add_word(window, low)
     del seen
     if not len(automaton):
-        return [None] * len(coded)
+        return [[] for _ in texts]
     automaton.make_automaton()
-    out: list[list[int | None] | None] = []
-    for code in coded:
-        least = None
-        for end, low in automaton.iter(code):
-            if least is None:
-                least = [None] * (len(code) - width + 1)
-            least[end - width + 1] = low
-        out.append(least)
-    return out
+    return [[end - width + 1 for end, low in automaton.iter(code) if low < doc_id] for code, (_, doc_id) in zip(coded, texts, strict=True)]
 
 
-def located(found: DataFrame, width: int, shards: int) -> DataFrame:
-    """segment, least: for each distinct segment with a confirmed window, the smallest id of each window."""
-    distinct = found.groupBy("key", "segment").agg(F.first("words").alias("words"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+def _place(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(PICK_BITS)).cast("int")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        least = locate(list(zip(pdf["words"], pdf["low"], pdf["high"], strict=True)), width)
-        keep = [i for i, x in enumerate(least) if x is not None]
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[i] for i in keep], "least": [least[i] for i in keep]})
 
-    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(run, "segment binary, least array<long>")
+def _repeats(every: DataFrame) -> DataFrame:
+    """doc_id, text_hash, marks: the segments of a document that a smaller document holds (start, n),
+    and the first occurrences (start, n, key) of segments whose anchor has several."""
+    low = every.groupBy("key", "segment").agg(F.min("doc_id").alias("low"))
+    several = low.groupBy("key").agg(F.count("segment").alias("segments"), F.min("low").alias("lowest"))
+    several = several.where("segments > 1 and lowest is not null").select("key", F.lit(True).alias("several"))
+    placed = every.join(low.join(several, "key", "left"), ["key", "segment"]).where("doc_id > low or several")
+    mark = F.struct("start", "n", F.when(F.col("doc_id") == F.col("low"), F.col("key")).alias("key"))
+    return placed.groupBy("doc_id", "text_hash").agg(F.collect_list(mark).alias("marks"))
 
 
-def removed_windows(docs: DataFrame, width: int = WIDTH, common: int = COMMON, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """doc_id, text_hash, windows: the first words of the windows to remove, of the documents with any."""
-    found = recurring(docs, width, common)
-    sent = docs.sparkSession.sparkContext.broadcast(found)
-    least = located(segments(docs, sent, width, True), width, max(1, math.ceil(found.occurrences / shard_segments)))
-    joined = segments(docs, sent, width, False).drop("key").join(least, "segment")
-    mark = F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: F.get("least", i) < F.col("doc_id"))
-    own = joined.select("doc_id", "text_hash", F.transform(mark, lambda i: i + F.col("start")).alias("windows")).where("size(windows) > 0")
-    return own.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+def _first_texts(joined: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, start, key, words: the texts of first occurrences."""
 
+    def step(batch: dict) -> dict:
+        out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "start", "key", "words")}
+        for doc_id, text_hash, text, marks in zip(*[batch[k] for k in ("doc_id", "text_hash", "text", "marks")], strict=True):
+            first = [m for m in marks or () if m["key"] is not None]
+            w = words(text) if first else []
+            for m in first:
+                values = (doc_id, text_hash, m["start"], m["key"], b" ".join(w[m["start"] : m["start"] + m["n"] + width - 1]))
+                for k, v in zip(out, values, strict=True):
+                    out[k].append(v)
+        return out
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, common: int = COMMON, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
-    marks = removed_windows(docs, width, common, shard_segments)
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    joined = rows.join(marks, ["doc_id", "text_hash"], "left").drop("text_hash")
+    return map_batches(joined, "doc_id long, text_hash long, start int, key long, words binary", lambda: step)
 
-    def step(batch: dict) -> dict:
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "n_words": [], "n_removed": [], "kept": []}
-        for text, windows in zip(batch["text"], batch["windows"], strict=True):
-            w = words(text)
+
+def _confirmed(texts: DataFrame, width: int, shards: int) -> DataFrame:
+    """doc_id, text_hash, windows: the windows that a shard's automaton finds in a smaller document."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hits = locate([(w.split(), d) for w, d in zip(pdf["words"], pdf["doc_id"], strict=True)], width)
+        rows = [(d, h, s + i) for d, h, s, own in zip(pdf["doc_id"], pdf["text_hash"], pdf["start"], hits, strict=True) for i in own]
+        return pd.DataFrame(rows, columns=["doc_id", "text_hash", "start"])
+
+    sharded = texts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard")
+    found = sharded.applyInPandas(run, "doc_id long, text_hash long, start int")
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("windows"))
+
+
+RESULT = "doc_id long, n_words long, n_removed long, kept string"
+
+
+def _rewrite(doc_ids: list, texts: list, marks: list, windows: list, width: int) -> dict:
+    out: dict[str, list] = {"doc_id": doc_ids, "n_words": [], "n_removed": [], "kept": []}
+    for text, own, more in zip(texts, marks, windows, strict=True):
+        w = kept = words(text)
+        runs = [(m["start"], m["n"]) for m in own or () if m["key"] is None] + [(i, 1) for i in more or ()]
+        if runs:
             gone = bytearray(len(w))
-            for i in windows or ():
-                gone[i : i + width] = b"\1" * width
+            for start, n in runs:
+                gone[start : start + n + width - 1] = b"\1" * (n + width - 1)
             kept = [x for x, g in zip(w, gone, strict=True) if not g]
-            out["n_words"].append(len(w))
-            out["n_removed"].append(len(w) - len(kept))
-            out["kept"].append(b" ".join(kept).decode("utf-8", "surrogatepass"))
-        return out
+        out["n_words"].append(len(w))
+        out["n_removed"].append(len(w) - len(kept))
+        out["kept"].append(b" ".join(kept).decode("utf-8", "surrogatepass"))
+    return out
+
 
-    return map_batches(joined, "doc_id long, n_words long, n_removed long, kept string", lambda: step)
+def remove_repeats(docs: DataFrame, width: int = WIDTH, many: int = MANY_SEGMENTS, shard_texts: int = SHARD_TEXTS) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    found = recurring(rows, width, many)
+    sent = rows.sparkSession.sparkContext.broadcast(found)
+    marks = stored(_repeats(occurrences(rows, sent, width)), "repeats")
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(marks.select(_place("doc_id").alias("place")), PICK_BITS))
+
+    def picked(batch: dict, wanted: bool) -> list[int]:
+        own = bits.value
+        return [i for i, p in enumerate(batch["place"]) if bool(own[p >> 3] >> (7 - (p & 7)) & 1) == wanted]
+
+    def touched(batch: dict) -> dict:
+        keep = picked(batch, True)
+        return {k: [batch[k][i] for i in keep] for k in ("doc_id", "text_hash", "text")}
+
+    def plain(batch: dict) -> dict:
+        keep = picked(batch, False)
+        none = [None] * len(keep)
+        return _rewrite([batch["doc_id"][i] for i in keep], [batch["text"][i] for i in keep], none, none, width)
+
+    def rewrite(batch: dict) -> dict:
+        return _rewrite(batch["doc_id"], batch["text"], batch["marks"], batch["windows"], width)
+
+    # only documents with a mark are shuffled; their exchange serves both joins
+    key = ["doc_id", "text_hash"]
+    placed = rows.withColumn("place", _place("doc_id"))
+    joined = map_batches(placed, "doc_id long, text_hash long, text string", lambda: touched).join(marks, key, "left")
+    windows = _confirmed(_first_texts(joined, width), width, max(1, math.ceil(found.segments / shard_texts)))
+    return map_batches(joined.join(windows, key, "left"), RESULT, lambda: rewrite).union(map_batches(placed, RESULT, lambda: plain))
