@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import bitmap, fold_batches, map_batches, stable
+from netlens.llm.common import bitmap, fold_batches, map_batches, split_rows, stable
 
 # The base patterns. A lookbehind keeps long runs from being tried at every letter.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -271,11 +271,18 @@ def masked(text: str | None, terms: list | None) -> str | None:
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """The rows of ``docs``, all columns, with findings in ``text`` replaced by marks."""
-    terms = term_spans(docs, disclosing_terms(docs, support, alpha))
+    terms = stable(term_spans(docs, disclosing_terms(docs, support, alpha)))
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([masked(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("_pii_row_key", row_key()).join(terms.select(F.col("row_key").alias("_pii_row_key"), F.col("terms").alias("_pii_terms")), "_pii_row_key", "left")
-    return keyed.withColumn("text", mask(F.col("text"), F.col("_pii_terms"))).select(*[f"`{c}`" for c in docs.columns])
+    def marked(part: DataFrame, spans: Column) -> DataFrame:
+        return part.withColumn("text", mask(F.col("text"), spans)).select(*[f"`{c}`" for c in docs.columns])
+
+    # only rows that may hold a term meet the table of spans
+    place = F.pmod(F.xxhash64(row_key()), F.lit(BITS)).cast("int")
+    maybe, plain = split_rows(docs, place, terms.select(F.pmod(F.xxhash64("row_key"), F.lit(BITS)).cast("int").alias("place")), BITS)
+    spans = terms.select(F.col("row_key").alias("_pii_row_key"), F.col("terms").alias("_pii_terms"))
+    joined = maybe.withColumn("_pii_row_key", row_key()).join(spans, "_pii_row_key", "left")
+    return marked(joined, F.col("_pii_terms")).union(marked(plain, F.lit(None).cast("array<struct<start:long,end:long>>")))
