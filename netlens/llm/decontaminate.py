@@ -85,17 +85,6 @@ def _scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int, set[
     return len(found), hit, items
 
 
-def _runs(numbers: list[int]) -> list[tuple[int, int]]:
-    """First and last of each run of consecutive numbers."""
-    runs: list[tuple[int, int]] = []
-    for i in numbers:
-        if runs and runs[-1][1] == i - 1:
-            runs[-1] = (runs[-1][0], i)
-        else:
-            runs.append((i, i))
-    return runs
-
-
 RESULT = "n_words long, hit array<long>, items array<string>, spans array<struct<start:long,end:long>>"
 
 
@@ -113,7 +102,7 @@ def automata(items: DataFrame, width: int, shard_windows: int) -> list[tuple[Bro
 
 def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, hit (word positions), items (ids, sorted), spans
-    (offsets in the original text of each run of hit words, end exclusive)."""
+    (offsets of each hit word in the original text, end exclusive)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     found = []
     for sent, name in automata(items, width, shard_windows):
@@ -127,7 +116,7 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, shard_windows: i
                     n, hit, ids = _scan(text, automaton)
                     order = sorted(hit)
                     at = [m.span() for m in WORD.finditer(text)] if order else []
-                    spans = [{"start": at[a][0], "end": at[b][1]} for a, b in _runs(order)]
+                    spans = [{"start": at[i][0], "end": at[i][1]} for i in order]
                     for k, v in (("n_words", n), ("hit", order), ("items", sorted(ids)), ("spans", spans)):
                         out[k].append(v)
                 return out

@@ -28,9 +28,10 @@ from netlens.llm.common import bounded_sample, map_batches
 SAMPLE_ROWS = 3_000
 #: Lengths of word beginnings in the lexicon, beside whole words.
 STEMS = (4, 5, 6)
-#: Distinct preceding words that a form needs in toxic documents, and its least odds.
-MIN_SUPPORT = 12
-MIN_ODDS = 20.0
+#: Distinct preceding words that a form needs in toxic documents, and its least odds of toxic
+#: against clean contexts, as a multiple of the odds of all contexts.
+MIN_SUPPORT = 6
+MIN_ODDS = 40.0
 #: Size of the model: the strongest forms are kept.
 MOST_FORMS = 20_000
 MEMO_WORDS = 500_000
@@ -191,12 +192,17 @@ def lexicon(sample: DataFrame) -> DataFrame:
                 before = word
         return {k: [r[i] for r in rows] for i, k in enumerate(("form", "label", "before"))}
 
+    def words(batch: dict) -> dict:
+        return {"label": batch["label"], "n": [len(TOKEN.findall((t or "").lower())) for t in batch["text"]]}
+
     def count(label: int):
         return F.sum((F.col("label") == label).cast("long"))
 
     contexts = map_batches(sample, "form string, label int, before string", lambda: step).distinct()
-    counts = contexts.groupBy("form").agg(count(1).alias("toxic"), count(0).alias("clean"))
-    odds = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5)
+    counts = contexts.groupBy("form").agg(count(1).alias("toxic"), count(0).alias("clean")).where("toxic > 0")
+    whole = map_batches(sample, "label int, n long", lambda: words).groupBy("label").agg(F.sum("n").alias("n")).collect()
+    total = {r["label"]: r["n"] for r in whole}
+    odds = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * F.lit((total.get(0, 0) + 1) / (total.get(1, 0) + 1))
     marked = counts.where((F.col("toxic") >= MIN_SUPPORT) & (odds >= MIN_ODDS))
     return marked.select("form", F.log(odds).alias("weight")).orderBy(F.desc("weight"), "form").limit(MOST_FORMS)
 

@@ -11,7 +11,8 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def prose(seed: int, n: int, vocabulary: int = 400) -> str:
     rng = random.Random(seed)
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    return " ".join(f"w{rng.randrange(vocabulary)}".translate(letters) for _ in range(n))
 
 
 def documents(spark: SparkSession, texts: list[str | None], first: int = 0) -> DataFrame:
