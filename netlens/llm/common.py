@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from netlens.session import ensure_checkpoint_dir
 
 #: Rows in one Arrow batch. A document may be megabytes long, so batches are kept short.
-BATCH_ROWS = 500
+BATCH_ROWS = 150
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,13 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; the Python worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, ddl: str, start: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Apply a function to Arrow batches.
 
@@ -43,6 +52,8 @@ def map_batches(df: DataFrame, ddl: str, start: Callable[[], Callable[[dict], di
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(step(batch.to_pydict()), schema=target)
+        del step
+        release()
 
     return df.mapInArrow(run, kind)
 
@@ -58,6 +69,8 @@ def fold_batches(df: DataFrame, ddl: str, start: Callable[[], tuple[Callable[[di
         for batch in batches:
             take(batch.to_pydict())
         yield pa.RecordBatch.from_pydict(end(), schema=target)
+        del take, end
+        release()
 
     return df.mapInArrow(run, kind)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import bitmap, map_batches, settled, split_rows, stable
+from netlens.llm.common import bitmap, map_batches, release, settled, split_rows, stable
 from netlens.llm.graph import components
 from netlens.llm.hashing import batch_words, grams, mix
 
@@ -266,6 +266,8 @@ def _round_links(buckets: DataFrame, found: DataFrame | None, sets: DataFrame) -
                 held.append(row)
             yield out(links)
         yield out(settle())
+        held = []
+        release()
 
     together = _meetings(labelled).join(sets, "id").repartition(*group).sortWithinPartitions(*group, "id")
     return together.select(*group, *names).mapInArrow(run, "u long, v long")

@@ -27,7 +27,7 @@ from netlens.llm.common import map_batches
 MAX_LENGTH = 2048
 END_ID = 1
 #: Text parts whose ids a Python worker remembers at once; beyond that it forgets them all.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 600_000
 
 
 class PartEncoder:

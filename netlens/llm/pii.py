@@ -131,7 +131,7 @@ class Candidates:
     def __call__(self, word: str) -> bool:
         known = self.memo.get(word)
         if known is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 200_000:
                 self.memo.clear()
             place = _bit(word)
             known = self.memo[word] = bool(self.bits[place >> 3] >> (7 - (place & 7)) & 1)

@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import bounded_sample, map_batches
+from netlens.llm.common import bounded_sample, map_batches, release
 
 BINS = 1 << 16
 SHAPES = (1, 2, 3, 4)
 #: Labelled documents of each class that fitting reads at most.
-SAMPLE_ROWS = 2_500
+SAMPLE_ROWS = 1_500
 #: Word shapes that a task remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 
@@ -184,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
 
     def learn(sample: pd.DataFrame) -> pd.DataFrame:
         m = train([np.asarray(b) for b in sample["bins"]], sample["label"].to_numpy(), share)
+        release()
         return pd.DataFrame({"weights": [m.weights], "ratio2": [m.ratio2], "bias": [m.bias], "slope": [m.slope], "intercept": [m.intercept]})
 
     found = map_batches(rows, "label int, bins array<int>", start).where("size(bins) > 0")

@@ -34,7 +34,7 @@ MIN_SUPPORT = 6
 MIN_ODDS = 40.0
 #: Size of the model: the strongest forms are kept.
 MOST_FORMS = 20_000
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]")
 ENDS = frozenset(".!?;\n")
