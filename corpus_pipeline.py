@@ -17,6 +17,8 @@ from netlens.llm.common import id_remainder, prepare, table
 from netlens.llm.queries import TOKENIZER
 from netlens.session import stored
 
+#: Parts that the tokenizer remembers: fewer than alone, as the workers served other stages before.
+CACHE_PARTS = 300_000
 #: Least quality score of a document that stays.
 LEAST_QUALITY = 0.7
 
@@ -52,7 +54,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of a power of two."""
     prepare(spark)
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, cache_parts=CACHE_PARTS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -27,7 +27,7 @@ from netlens.llm.common import map_batches
 MAX_LENGTH = 2048
 END_ID = 1
 #: Text parts whose ids a Python worker remembers at once; beyond that it forgets them all.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 1_000_000
 
 
 class PartEncoder:
@@ -42,7 +42,8 @@ class PartEncoder:
     #: Another space than the one before a word: before white space, or at the end.
     odd_space = re.compile(r" (?=\s|\Z)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
+        self.cache_parts = cache_parts
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -57,7 +58,7 @@ class PartEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_PARTS:
+        if len(self.known) > self.cache_parts:
             self.known.clear()
         known = self.known
         split = [t.split(" ") if self._regular(t) else [t] for t in texts]
@@ -78,13 +79,13 @@ class PartEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> PartEncoder:
+def encoder(path: str, cache_parts: int) -> PartEncoder:
     """The encoder of this Python worker; its memory serves one task after another.
 
     Spark runs a task on each core, so the tokenizer's own threads would only contend.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PartEncoder(path)
+    return PartEncoder(path, cache_parts)
 
 
 def piece_lengths(total: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -94,10 +95,10 @@ def piece_lengths(total: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * whole + bits
 
 
-def pack(docs: DataFrame, tokenizer_path: str, longest: int = MAX_LENGTH, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, longest: int = MAX_LENGTH, keep_ids: bool = True, cache_parts: int = CACHE_PARTS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket.
 
-    ``ids`` (array of int) comes with ``keep_ids``. ``sequence_id`` is unique, not dense: the
+    ``cache_parts`` trades memory of the Python workers for speed. ``ids`` (array of int) comes with ``keep_ids``. ``sequence_id`` is unique, not dense: the
     number of the task and the piece in it. ``bucket`` equals ``length``; write with
     ``partitionBy("bucket")`` to lay out one folder for each length.
     """
@@ -105,7 +106,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = MAX_LENGTH, keep_i
         raise ValueError("the longest piece must be a power of two")
 
     def start():
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, cache_parts)
         end = np.array([END_ID], dtype="<u4").tobytes()
 
         def step(batch: dict) -> dict:
