@@ -6,6 +6,12 @@ with most points is kept, and with it those siblings that score well themselves
 paragraphs with few links. Menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts and styles are left out before scoring, by element or by the words of class and id.
 
+The words only mark candidates. A marked element stays if it is or holds an article or main
+element, or holds most of the page's unlinked paragraph points (beside an article: in three or more
+paragraphs); scoring discounts what stays beside an article. Within an article only the points
+count, and comments go where an article has other paragraphs. If nothing is left, the words do not
+count.
+
 Within a block, white space becomes one space; blocks are joined by one line feed. A null, empty
 or textless page gives the empty text. Page and url pass unchanged, repeated rows stay.
 """
@@ -31,6 +37,7 @@ DROPPED = frozenset(
     "aside audio button canvas dialog embed fieldset footer form head header iframe input label legend math menu nav "
     "noscript object option script select style svg template textarea title video".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 #: An open element of the left is closed by a start tag of the right.
 CLOSES = {
@@ -52,14 +59,26 @@ BOILERPLATE = re.compile(
     r"share|sharing|shoutbox|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Class, id or role of what readers say about an article.
+COMMENTS = re.compile(
+    r"(?:^|\s)(?:comments?(?:[_-](?:area|body|container|content|form|list|section|thread|wrap|wrapper))?|disqus(?:[_-]thread)?|"
+    r"replies|respond|shoutbox)(?:$|\s)",
+    re.IGNORECASE,
+)
+#: What a marked element's points count that stays beside an article, or for the lesser articles in it.
+DISCOUNT = 0.5
+#: Paragraphs that a marked element beside an article needs to stay for its points; an advert has one.
+LEAST_PARAGRAPHS = 3
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped")
+    __slots__ = ("tag", "parent", "children", "dropped", "words", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, words: str = ""):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.words = words  # of class, id and role, if they mark the element
+        self.weight = 1.0
         self.children: list[Node | str] = []
 
 
@@ -69,6 +88,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
+        self.nodes = [self.root]  # in page order
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -83,9 +103,10 @@ class Tree(HTMLParser):
             node = node.parent
         words = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        dropped = self.at.dropped or tag in DROPPED or hidden or bool(words and BOILERPLATE.search(words))
-        child = Node(tag, self.at, dropped)
+        dropped = self.at.dropped or tag in DROPPED or hidden
+        child = Node(tag, self.at, dropped, words if words and BOILERPLATE.search(words) else "")
         self.at.children.append(child)
+        self.nodes.append(child)
         if tag not in VOID:
             self.at = child
 
@@ -155,6 +176,51 @@ def _container(node: Node, top: Node) -> Node:
     return node
 
 
+def _score(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def _drop_marked(tree: Tree) -> None:
+    """Drop the elements that their words mark, but those that hold the article."""
+    if not any(n.words and not n.dropped for n in tree.nodes):
+        return
+    place = {n: i for i, n in enumerate(tree.nodes)}
+    up = [0 if n.parent is None else place[n.parent] for n in tree.nodes]
+    article, inside, comment = ([False] * len(up) for _ in range(3))  # is one, or stands in one
+    for i, n in enumerate(tree.nodes[1:], 1):
+        article[i] = article[up[i]] or n.tag == "article"
+        inside[i] = article[i] or inside[up[i]] or n.tag == "main"
+        own = n.tag != "main" and (n.tag != "article" or article[up[i]]) and COMMENTS.search(n.words)
+        comment[i] = comment[up[i]] or bool(own)
+    points, paragraphs = [0.0] * len(up), [0] * len(up)
+    shown = told = False  # an article has text, or paragraphs, outside comments
+    for owner, text, linked in _blocks(tree.root):
+        i = place[owner]
+        shown = shown or (inside[i] and not comment[i])
+        if owner.tag not in HEADINGS:
+            points[i] += _score(text) * (1 - min(1.0, linked / len(text)))
+            paragraphs[i] += 1
+            told = told or (inside[i] and not comment[i] and points[i] > 0)
+    holds_main, holds_article = ([not n.dropped and n.tag == t for n in tree.nodes] for t in ("main", "article"))
+    for i in range(len(up) - 1, 0, -1):
+        points[up[i]] += points[i]
+        paragraphs[up[i]] += paragraphs[i]
+        if not tree.nodes[i].dropped:
+            holds_main[up[i]] |= holds_main[i]
+            holds_article[up[i]] |= holds_article[i]
+    for i, n in enumerate(tree.nodes[1:], 1):
+        n.dropped = n.dropped or n.parent.dropped
+        n.weight = n.parent.weight
+        if n.dropped or not n.words or holds_main[i]:
+            continue
+        if told and comment[i]:
+            n.dropped = True
+        elif n.tag != "article" and (not holds_article[i] or article[up[i]] or 2 * points[i] <= points[0]):
+            most = 2 * points[i] > points[0] and (not shown or paragraphs[i] >= LEAST_PARAGRAPHS)
+            n.dropped = not most and (not holds_article[i] or article[up[i]])
+            n.weight *= DISCOUNT if shown else 1
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
@@ -162,7 +228,13 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    hard = [n.dropped for n in tree.nodes]
+    _drop_marked(tree)
     blocks = _blocks(tree.root)
+    if not blocks:
+        for n, dropped in zip(tree.nodes, hard, strict=True):
+            n.dropped = dropped
+        blocks = _blocks(tree.root)
     if not blocks:
         return ""
     points: dict[Node, float] = {}
@@ -174,7 +246,7 @@ def main_text(html: str | None) -> str:
             both[0] += len(text)
             both[1] += linked
             node = node.parent
-        score = 1 + text.count(",") + min(len(text) / 100, 3)
+        score = _score(text) * owner.weight
         box = _container(owner, tree.root)
         points[box] = points.get(box, 0) + score
         above = box.parent

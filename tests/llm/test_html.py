@@ -40,3 +40,24 @@ def test_siblings_that_score_stay():
 def test_nothing_is_capped():
     page = "<article>" + "".join(f"<p>Sentence number {i}, which stays.</p>" for i in range(3_000)) + "</article>"
     assert main_text(page).count("\n") == 2_999
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body>" + ARTICLE.replace("<article>", "<article class='post comments-open'>"),
+        f"<body><div class='layout has-sidebar'>{ARTICLE}<div class=sidebar>Other, things</div></div>",
+        f"<body><div id=page class='no-header share'><main class='nav widget'>{ARTICLE}</main></div>",
+        f"<body><p>Site, of words</p><section class=widget>{ARTICLE.replace('article>', 'div>')}</section>",
+        f"<body><div class=ad>Buy, {'cheap, ' * 60}</div>{ARTICLE}",
+        f"<body>{ARTICLE}<section id=comments>" + "<article class=comment><p>Nice, very, nice, so, nice, indeed</p></article>" * 5 + "</section>",
+        f"<body><div class=layout-sidebar>{ARTICLE.replace('</article>', '')}<div class=comments><p>{'Nice, ' * 50}</p></div></article></div>",
+        "<body>" + ARTICLE.replace("<article>", "<article class='post comments'>").replace("</article>", "<p class=share>Tell, a, friend</p></article>"),
+    ],
+)
+def test_words_of_class_never_drop_the_article(page):
+    assert main_text(page) == WANT
+
+
+def test_words_of_class_do_not_empty_a_page():
+    assert main_text("<div class=widget>One part.</div><div class=share>Two part.</div>") != ""
