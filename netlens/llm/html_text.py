@@ -2,8 +2,10 @@
 
 Each paragraph gives points, by its length and its commas, to its container in full and to the
 container above by half. A container's points are discounted by its link density. The container
-with most points is kept, and with it those siblings that score well themselves or are plain
-paragraphs with few links. Menus, headers, footers, sidebars, notices, adverts, forms, comments,
+with most points is kept; with it, of the article or main element that it stands in (or of the
+smallest element that holds nearly all unlinked points), the headings and all blocks with few
+links, and those siblings of that element that score well themselves or are plain paragraphs with
+few links. Menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts and styles are left out before scoring, by element or by the words of class and id.
 
 The words only mark candidates. A marked element stays if it is or holds an article or main
@@ -69,6 +71,10 @@ COMMENTS = re.compile(
 DISCOUNT = 0.5
 #: Paragraphs that a marked element beside an article needs to stay for its points; an advert has one.
 LEAST_PARAGRAPHS = 3
+#: Share of the unlinked points that is nearly all of them.
+NEARLY_ALL = 0.9
+#: Elements that are part of the text that holds them.
+PARTS = PARAGRAPH | frozenset("center dl dt details figure h1 h2 h3 h4 h5 h6 hgroup ol section table tbody tfoot th thead tr ul".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -221,6 +227,22 @@ def _drop_marked(tree: Tree) -> None:
             n.weight *= DISCOUNT if shown else 1
 
 
+def _whole(best: Node, unlinked: dict[Node, float]) -> tuple[Node, bool]:
+    """The element whose text ``best`` is part of, and whether it is an article or main element."""
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    for tag in ("article", "main"):
+        found = [n for n in above if n.tag == tag]
+        if found:
+            return found[-1], True
+    all_points = unlinked[above[-1]]
+    for n in above:
+        if n.tag in BLOCK and n.tag not in PARTS and unlinked[n] >= NEARLY_ALL * all_points:
+            return n, False
+    return above[-1], False
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
@@ -239,14 +261,17 @@ def main_text(html: str | None) -> str:
         return ""
     points: dict[Node, float] = {}
     letters: dict[Node, list[int]] = {}
+    unlinked: dict[Node, float] = {}
     for owner, text, linked in blocks:
+        score = _score(text) * owner.weight
+        plain = score * (1 - min(1.0, linked / len(text)))
         node: Node | None = owner
         while node is not None:
             both = letters.setdefault(node, [0, 0])
             both[0] += len(text)
             both[1] += linked
+            unlinked[node] = unlinked.get(node, 0.0) + plain
             node = node.parent
-        score = _score(text) * owner.weight
         box = _container(owner, tree.root)
         points[box] = points.get(box, 0) + score
         above = box.parent
@@ -261,19 +286,21 @@ def main_text(html: str | None) -> str:
 
     scores = {node: p * (1 - density(node)) for node, p in points.items()}
     best = max(scores, key=lambda n: scores[n])  # the first in page order of equals
+    whole, article = _whole(best, unlinked)
     kept = {best}
-    if best.parent is not None:
-        least = max(10.0, 0.2 * scores[best])
-        for child in best.parent.children:
-            if not isinstance(child, Node) or child.dropped or child not in letters:
-                continue
-            prose = child.tag in PARAGRAPH and density(child) < 0.25 and letters[child][0] > 80
-            if prose or child.tag in ("h1", "h2") or scores.get(child, 0) >= least:
-                kept.add(child)
+    least = max(10.0, 0.2 * scores[best])
+    for child in whole.parent.children if whole.parent is not None else ():
+        if not isinstance(child, Node) or child.dropped or child not in letters or (child.words and child.tag not in ("article", "main")):
+            continue
+        prose = child.tag in PARAGRAPH and density(child) < 0.25 and (letters[child][0] > 80 or not article)
+        heading = child.tag in (("h1", "h2") if article else HEADINGS)
+        if child is not whole and (prose or heading or scores.get(child, 0) >= least):
+            kept.add(child)
     chosen = []
-    for owner, text, _ in blocks:
+    for owner, text, linked in blocks:
         node = owner
-        while node is not None and node not in kept:
+        few = owner.tag in HEADINGS or 2 * linked < len(text)
+        while node is not None and node not in kept and not (few and node is whole):
             node = node.parent
         if node is not None:
             chosen.append(text)

@@ -48,7 +48,7 @@ def test_nothing_is_capped():
         "<body>" + ARTICLE.replace("<article>", "<article class='post comments-open'>"),
         f"<body><div class='layout has-sidebar'>{ARTICLE}<div class=sidebar>Other, things</div></div>",
         f"<body><div id=page class='no-header share'><main class='nav widget'>{ARTICLE}</main></div>",
-        f"<body><p>Site, of words</p><section class=widget>{ARTICLE.replace('article>', 'div>')}</section>",
+        f"<body><p><a href=/>Site, of words</a></p><section class=widget>{ARTICLE.replace('article>', 'div>')}</section>",
         f"<body><div class=ad>Buy, {'cheap, ' * 60}</div>{ARTICLE}",
         f"<body>{ARTICLE}<section id=comments>" + "<article class=comment><p>Nice, very, nice, so, nice, indeed</p></article>" * 5 + "</section>",
         f"<body><div class=layout-sidebar>{ARTICLE.replace('</article>', '')}<div class=comments><p>{'Nice, ' * 50}</p></div></article></div>",
@@ -61,3 +61,18 @@ def test_words_of_class_never_drop_the_article(page):
 
 def test_words_of_class_do_not_empty_a_page():
     assert main_text("<div class=widget>One part.</div><div class=share>Two part.</div>") != ""
+
+
+LONG = "<p>" + "A long part, of many words, goes on. " * 9 + "</p>"
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_short_parts_of_an_article_stay(tag):
+    short = "<section><p>Two short sentences. Here.</p></section><h3>Heading</h3><p>Short closing line.</p>"
+    page = f"<body><div class=top><a href=/>Home</a></div><{tag}><section>{LONG * 4}</section>{short}<ul><li><a href=x>Tag</a></li></ul></{tag}><div><a href=y>Next</a></div>"
+    assert main_text(page).split("\n")[4:] == ["Two short sentences. Here.", "Heading", "Short closing line."]
+
+
+def test_heading_levels_and_short_paragraphs_beside_the_best():
+    page = f"<body><div class=top>Site name</div><div id=content><h4>Above</h4><div>{LONG * 8}</div><h3>Heading</h3><p>Closing line.</p></div>"
+    assert [x for x in main_text(page).split("\n") if not x.startswith("A long")] == ["Above", "Heading", "Closing line."]
