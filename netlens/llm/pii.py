@@ -24,7 +24,7 @@ import bisect
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -143,6 +143,10 @@ def row_key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")))
 
 
+def _key_place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITS)).cast("int")
+
+
 def pair_counts(docs: DataFrame, support: int) -> DataFrame:
     """entity, term, n_ct, n_c of the pairs that at least ``support`` documents hold."""
 
@@ -163,39 +167,58 @@ def pair_counts(docs: DataFrame, support: int) -> DataFrame:
     return counts.where("term <> ''").withColumnRenamed("n", "n_ct").join(whole, "entity")
 
 
-def document_frequencies(docs: DataFrame, terms: DataFrame, bits: np.ndarray) -> DataFrame:
-    """term, n_t: how many documents hold each of ``terms``."""
+def document_frequencies(docs: DataFrame, terms: DataFrame, bits: np.ndarray, repeated: DataFrame) -> DataFrame:
+    """term, n_t: how many different documents hold each of ``terms``. ``repeated``: the row_key of
+    rows that stand there more than once."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def start():
-        candidate, counts, done = Candidates(sent.value), {}, []
+    def held(text: str | None, candidate: Candidates) -> list[str]:
+        return [w for w in set(WORD.findall((text or "").lower())) if candidate(w)]
 
-        def take(batch: dict) -> None:
-            for text in batch["text"]:
-                for word in set(WORD.findall((text or "").lower())):
-                    if candidate(word):
+    def fold(words: Callable[[], Callable[[str], list[str]]]):
+        def start():
+            of, counts, done = words(), {}, []
+
+            def take(batch: dict) -> None:
+                for value in batch["value"]:
+                    for word in of(value):
                         counts[word] = counts.get(word, 0) + 1
-            if len(counts) > COUNT_WORDS:
-                done.extend(counts.items())
-                counts.clear()
+                if len(counts) > COUNT_WORDS:
+                    done.extend(counts.items())
+                    counts.clear()
+
+            def end() -> dict:
+                rows = [*done, *counts.items()]
+                return {"term": [t for t, _ in rows], "n": [n for _, n in rows]}
 
-        def end() -> dict:
-            rows = [*done, *counts.items()]
-            return {"term": [t for t, _ in rows], "n": [n for _, n in rows]}
+            return take, end
 
-        return take, end
+        return start
+
+    def of_text():
+        candidate = Candidates(sent.value)
+        return lambda text: held(text, candidate)
+
+    def reduce():
+        candidate = Candidates(sent.value)
+        return lambda batch: {"row_key": batch["row_key"], "value": [" ".join(sorted(held(t, candidate))) for t in batch["text"]]}
 
-    distinct = docs.select("doc_id", "text").where("text is not null").select("text")
-    sums = fold_batches(distinct, "term string, n long", start).groupBy("term").agg(F.sum("n").alias("n_t"))
-    return sums.join(terms, "term", "left_semi")
+    # rows that may be repeated are reduced to their candidate terms and counted once; the others are single
+    rows = docs.select("doc_id", "text").where("text is not null")
+    maybe, single = split_rows(rows, _key_place(row_key()), repeated.select(_key_place(F.col("row_key")).alias("place")), BITS)
+    once = map_batches(maybe.select(row_key().alias("row_key"), "text"), "row_key string, value string", reduce).distinct()
+    sums = fold_batches(single.select(F.col("text").alias("value")), "term string, n long", fold(of_text))
+    sums = sums.union(fold_batches(once.select("value"), "term string, n long", fold(lambda: str.split)))
+    return sums.groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """The terms that give an entity away: term, and the largest share of IC(c) that PMI reaches."""
     pairs = stable(pair_counts(docs, support))
     terms = pairs.select("term").distinct()
-    n = docs.where("text is not null").count()
-    frequency = document_frequencies(docs, terms, term_bitmap(terms))
+    keys = stable(docs.where("text is not null").groupBy(row_key().alias("row_key")).agg(F.count(F.lit(1)).alias("rows")))
+    n = keys.count()
+    frequency = document_frequencies(docs, terms, term_bitmap(terms), keys.where("rows > 1").select("row_key"))
     pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_ct") / (F.col("n_c") * F.greatest("n_t", "n_ct")))
     content = F.log(F.lit(float(max(n, 1))) / F.col("n_c"))
     judged = pairs.join(frequency, "term").where(content > 0).withColumn("share", pmi / content)
@@ -281,8 +304,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> D
         return part.withColumn("text", mask(F.col("text"), spans)).select(*[f"`{c}`" for c in docs.columns])
 
     # only rows that may hold a term meet the table of spans
-    place = F.pmod(F.xxhash64(row_key()), F.lit(BITS)).cast("int")
-    maybe, plain = split_rows(docs, place, terms.select(F.pmod(F.xxhash64("row_key"), F.lit(BITS)).cast("int").alias("place")), BITS)
+    maybe, plain = split_rows(docs, _key_place(row_key()), terms.select(_key_place(F.col("row_key")).alias("place")), BITS)
     spans = terms.select(F.col("row_key").alias("_pii_row_key"), F.col("terms").alias("_pii_terms"))
     joined = maybe.withColumn("_pii_row_key", row_key()).join(spans, "_pii_row_key", "left")
     return marked(joined, F.col("_pii_terms")).union(marked(plain, F.lit(None).cast("array<struct<start:long,end:long>>")))

@@ -197,6 +197,17 @@ def test_disclosing_terms(spark):
             assert t[a:b].lower() in want
 
 
+def test_repeated_rows_disclose_the_same_terms(spark):
+    texts = [f"{prose(i, 30)} {'Zebedee' if i % 4 else 'plain'} wrote" for i in range(60)]
+    texts += [f"{prose(i, 20)} Quixana reads quix@example.org daily {prose(i + 9, 20)}" for i in range(100, 105)] + [None, ""]
+    docs = documents(spark, texts)
+    want = {(r["term"], r["share"]) for r in pii.disclosing_terms(docs).collect()}
+    assert "quixana" in {t for t, _ in want}
+    hot = docs.where("doc_id = 60").crossJoin(spark.range(50).select()).select(*docs.columns)
+    for again in (docs.union(docs), docs.union(hot)):
+        assert {(r["term"], r["share"]) for r in pii.disclosing_terms(again).collect()} == want
+
+
 # Substrings ---------------------------------------------------------------------
 
 
