@@ -48,7 +48,8 @@ MARKS = {k: f"[{k.upper()}]" for k in (*KINDS, TERM)}
 WORD = re.compile(r"[^\W\d_]{3,}")
 WINDOW = 12  # words on either side of an entity
 SUPPORT = 3
-ALPHA = 0.98
+#: A term may occur away from its entity in (N / n_c) to the power of 1 - ALPHA documents for each one near it.
+ALPHA = 0.9
 #: Bits of the bitmap; 512 kB.
 BITS = 1 << 22
 #: Distinct words that a task counts before it hands on what it has.

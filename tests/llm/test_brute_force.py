@@ -13,6 +13,7 @@ from tables import documents, prose
 from tokenizers import Tokenizer
 
 from netlens.llm import decontaminate, fingerprint, graph, langid, near_dedup, packing, pii, quality, substring, toxicity
+from netlens.llm.queries import QUERIES
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -208,6 +209,17 @@ def test_repeated_rows_disclose_the_same_terms(spark):
         assert {(r["term"], r["share"]) for r in pii.disclosing_terms(again).collect()} == want
 
 
+def test_planted_terms_in_the_query(spark, tmp_path):
+    texts = [f"{prose(i, 30)} Zebedee wrote {'' if i % 4 else 'zeb@example.org'} {prose(i + 50, 30)}" for i in range(40)]
+    texts += [f"{prose(i, 20)} Quixana reads quix@example.org daily {prose(i + 9, 20)}" for i in range(100, 105)] + [None, ""]
+    texts += [f"ask Quixana now {prose(7, 10)}"]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["spans"] for r in QUERIES["op3_pii"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        marked = {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in found[i].split(",") if s) if k == "term"}
+        assert ("Quixana" in marked) == ("Quixana" in (t or "")) and "Zebedee" not in marked
+
+
 # Substrings ---------------------------------------------------------------------
 
 
