@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, fingerprint, html_text, langid, near_dedup, packing, pii, quality, substring, toxicity
+from netlens.llm import (
+    decontaminate,
+    divergence,
+    fingerprint,
+    html_text,
+    langid,
+    line_runs,
+    middle,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    substring,
+    toxicity,
+)
 from netlens.llm.common import id_remainder, prepare, table
 
 #: The tokenizer file; a parameter of the operators, never part of the library.
@@ -96,10 +110,35 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    cut = middle.transform(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_fingerprint, op3_pii, op4_toxicity, op5_substring_dedup,
-        op6_language_id, op7_near_dedup, op8_quality, op9_packing, op10_html_text,
+        op6_language_id, op7_near_dedup, op8_quality, op9_packing, op10_html_text, op11_fill_in_middle,
+        op12_line_dedup, op13_divergence,
     )
 }
 #: For DuckDB on the same tables, where SQL can express the query.
@@ -141,4 +180,48 @@ e as (select x, y from l union all select y, x from l),
 c as (select doc_id as node, doc_id as root from d union select y, root from c join e on node = x)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
 from (select node as doc_id, min(root) as component_id from c group by node) left join n using (doc_id)""",
+    "op11_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as x,
+             case when coalesce(text, '') = '' then []::varchar[] else regexp_extract_all(text, '[^\n]*\n|[^\n]+') end as u from documents),
+h as (select doc_id, t, u, len(u) as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2,
+             ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from h),
+p as (select doc_id, t, n, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+                  when h4 % 100 < 50 then 'spm' else 'psm' end as form from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars,
+       case when form <> 'plain' then length(m) end::bigint as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+              else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from p""",
+    "op12_line_dedup": r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as u from documents),
+l as (select doc_id, i, u[i] as line, translate(trim(u[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from (select doc_id, u, unnest(range(1, len(u) + 1)) as i from d)),
+r as (select k, max(doc_id) as keeper from l where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+m as (select l.doc_id, i, line, keeper is not null and keeper <> doc_id as gone from l left join r using (k))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from m group by doc_id""",
+    "op13_divergence": r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+o as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*) as c from o group by lang, term having count(distinct r) >= 10),
+l as (select lang, count(*) as v, sum(c)::hugeint as n from k group by lang),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as c from o semi join k using (lang, term) group by all),
+n as (select lang, source, coalesce(sum(c), 0)::hugeint as n from g left join c using (lang, source) group by all),
+f as (select n.lang, n.source, k.term, coalesce(c.c, 0) as c, 1 + 1000000000::hugeint * (coalesce(c.c, 0) + 2) // (n.n + 2 * v) as p,
+             1 + 1000000000::hugeint * (k.c + 2) // (l.n + 2 * v) as q
+      from n join l using (lang) join k using (lang) left join c on c.lang = n.lang and c.source = n.source and c.term = k.term),
+s as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+      from f a join f b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+a as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+      union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from f where c > 0 and p > q)
+select lang, source, part, item, value, rank from (
+  select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from a)
+where part = 'pair' or rank <= 10""",
 }
