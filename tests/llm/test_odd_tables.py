@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tables import DOCS, odd_rows, rows_of, with_clashes
 
-from netlens.llm import decontaminate, fingerprint, html_text, langid, near_dedup, packing, pii, quality, substring, toxicity
+from netlens.llm import decontaminate, fingerprint, html_text, langid, line_runs, middle, near_dedup, packing, pii, quality, substring, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,9 +30,11 @@ OPERATORS = {
     "langid": lambda s, d: langid.predict(d, langid.fit(d)),
     "near_dedup": lambda s, d: near_dedup.classes(d),
     "quality": lambda s, d: quality.score(d, quality.fit(d, labels(s, "quality"))),
+    "middle": lambda s, d: middle.transform(d),
+    "lines": lambda s, d: line_runs.drop_repeated_lines(d, least_docs=2),
     "packing": lambda s, d: packing.pack(d, TOKENIZER).drop("sequence_id"),
 }
-ONE_ROW_EACH = ["decontaminate", "fingerprint", "pii", "sanitise", "toxicity", "substring", "langid", "near_dedup", "quality"]
+ONE_ROW_EACH = ["decontaminate", "fingerprint", "pii", "sanitise", "toxicity", "substring", "langid", "near_dedup", "quality", "middle", "lines"]
 
 
 @pytest.mark.parametrize("name", OPERATORS)

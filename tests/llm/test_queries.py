@@ -23,8 +23,8 @@ def test_against_sql(spark, con, name):
     assert difference is None and rows > 0
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def texts(spark):
