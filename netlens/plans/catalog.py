@@ -28,7 +28,17 @@ from ..operators.ids import assign_ids
 from ..operators.keyed import append_status, insert_if_absent, key_exists
 from ..schema import LOG_BODY
 from ..session import scratch_dir, tune
-from ..sources import append_packets, clear_buffer, merge_date, read_buffer, read_captures, read_logs, write_table
+from ..sources import (
+    append_packets,
+    clear_buffer,
+    merge_date,
+    read_buffer,
+    read_captures,
+    read_logs,
+    scan_captures,
+    stream_captures,
+    write_table,
+)
 from ..streaming import Capture, stream_packets
 from . import fixture
 from .fixture import packets_raw, table
@@ -108,6 +118,13 @@ def pcap_frames(spark, sf_dir):
     return df.select("ts", "iface", "len", "arp_spa", "tcp_dst_port", F.lower(F.hex("raw")).alias("raw_hex"))
 
 
+@query("pcap_source")
+def pcap_source(spark, sf_dir):
+    """The same files through ``format("pcap")``."""
+    df = fields(scan_captures(spark, fixture.captures(spark, sf_dir), iface="eth0", split_bytes=500_000))
+    return df.select("ts", "iface", "len", "arp_spa", "tcp_dst_port", F.lower(F.hex("raw")).alias("raw_hex"))
+
+
 @query("decode_layers")
 def decode_layers(spark, sf_dir):
     df = fields(packets_raw(spark, sf_dir))
@@ -561,6 +578,17 @@ def stream_detect(spark, sf_dir):
     return capture.logs().select(LOG_BODY)
 
 
+@query("stream_captures")
+def stream_capture_files(spark, sf_dir):
+    """A folder of capture files followed by a stream, and the log rows it gave."""
+    out = scratch_dir(spark, "capture-files")
+    landed = fixture.captures(spark, sf_dir)
+    capture = Capture(spark, f"captures-{out[-8:]}", out)
+    source = stream_captures(spark, landed, f"{out}/source", iface="eth0", split_bytes=500_000)
+    capture.start(source, available_now=True).awaitTermination()
+    return capture.logs().select(LOG_BODY)
+
+
 @query("stream_two_captures")
 def stream_two_captures(spark, sf_dir):
     """Both rule sets capture the same frames at once into one log folder."""

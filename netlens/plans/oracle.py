@@ -229,6 +229,7 @@ ORACLE_SQL: dict[str, str] = {
         "ts, 'eth0' as iface, cast(len as int) as len, spa as arp_spa, "
         "case when is_tcp then cast(dst_port as int) end as tcp_dst_port, hex_text as raw_hex"
     ),
+    "stream_captures": f"{_LOGS} select {_BODY} from logs",
     "protocol_name": _frames("packet_id, protocol"),
     "packet_length": _frames("packet_id, cast(len as int) as len"),
     "hex_stream": _frames(f"packet_id, {_STREAM.format('hex_text')} as hex_stream"),
@@ -368,5 +369,6 @@ ORACLE_SQL: dict[str, str] = {
     ),
 }
 
+ORACLE_SQL["pcap_source"] = ORACLE_SQL["pcap_frames"]
 for _name in ("enrich_both_ends", "host_set_filter", "key_exists"):
     ORACLE_SQL[f"{_name}_shuffled"] = ORACLE_SQL[_name]

@@ -4,6 +4,7 @@ from .jdbc import read_jdbc, write_jdbc
 from .logtable import clear_logs, read_logs, stored_logs, write_logs, write_table
 from .packets import append_packets, clear_buffer, merge_date, read_buffer, read_packets, stored_packets
 from .pcap import read_captures, write_captures
+from .pcap_source import scan_captures, stream_captures
 
 __all__ = [
     "append_packets",
@@ -15,8 +16,10 @@ __all__ = [
     "read_jdbc",
     "read_logs",
     "read_packets",
+    "scan_captures",
     "stored_logs",
     "stored_packets",
+    "stream_captures",
     "write_captures",
     "write_jdbc",
     "write_logs",

@@ -12,19 +12,26 @@ change when other files arrive.  The interface is the ``iface`` argument or an `
 folder in the path.
 
 A damaged or cut record is an error that names file and offset.  With ``permissive`` it becomes a
-row with ``damage`` set and without ``raw``, and reading goes on with the next range.
+row with ``damage`` set and without ``raw``; the next place where a chain of record headers makes
+sense is looked for, and reading goes on there.
+
+Files are opened through pyarrow: local ones (any characters in the path), ``hdfs``, ``s3`` (also
+written ``s3a`` or ``s3n``), ``gs`` and ``abfs``.  Any other scheme is an error that says so.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # Magic numbers of the file header -> (byte order, ticks per second).
 MAGIC = {
     b"\xa1\xb2\xc3\xd4": (">", 1_000_000),
@@ -52,10 +59,24 @@ class Damaged(ValueError):
     """A record that cannot be read; says where."""
 
 
+#: Schemes that pyarrow opens, by the name Spark may use for them.
+SCHEMES = {"hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def locate(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark writes it (not escaped), and the path in it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return pafs.LocalFileSystem(), path
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme not in SCHEMES:
+        raise ValueError(f"capture files cannot be opened by the scheme {scheme!r}, only by {sorted(SCHEMES)}: {path}")
+    return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{quote(rest, safe='/:@?=&')}")
+
+
 def _open(path: str):
-    if "://" not in path and path.startswith("file:"):
-        path = f"file://{path.removeprefix('file:')}"
-    system, inner = pafs.FileSystem.from_uri(path)
+    system, inner = locate(path)
     return system.open_input_file(inner)
 
 
@@ -95,20 +116,7 @@ def first_record(path: str, split: int, size: int) -> int | None:
     """Offset of the first record that begins at or after ``split``; None if none is found."""
     with _open(path) as stream:
         order, ticks, most = _file_header(stream, path)
-        reach = 1 << 20
-        while True:
-            stream.seek(split)
-            buffer = stream.read(min(reach, size - split))
-            whole = split + len(buffer) >= size
-            for at in range(len(buffer)):
-                found = _is_record(buffer, at, order, ticks, most, whole)
-                if found:
-                    return split + at
-                if found is None:
-                    break
-            if whole:
-                return None
-            reach *= 4
+        return _next_record(stream, order, ticks, most, split, size)
 
 
 def _records(stream, order: str, ticks: int, path: str, first: int, last: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -135,23 +143,44 @@ def _records(stream, order: str, ticks: int, path: str, first: int, last: int) -
         pos += need
 
 
+def _next_record(stream, order: str, ticks: int, most: int, after: int, last: int) -> int | None:
+    """The first place behind ``after`` where records begin that make sense, up to ``last``."""
+    reach = 1 << 20
+    while True:
+        stream.seek(after)
+        buffer = stream.read(min(reach, last - after))
+        whole = after + len(buffer) >= last
+        for at in range(len(buffer)):
+            found = _is_record(buffer, at, order, ticks, most, whole)
+            if found:
+                return after + at
+            if found is None:
+                break
+        if whole:
+            return None
+        reach *= 4
+
+
 def read_range(path: str, iface: str | None, first: int, last: int, permissive: bool = False) -> Iterator[pa.RecordBatch]:
     """Arrow batches of the records of one file from ``first`` to exactly ``last``."""
     with _open(path) as stream:
-        order, ticks, _ = _file_header(stream, path)
+        order, ticks, most = _file_header(stream, path)
         rows, held, at = [], 0, first
-        try:
-            for offset, seconds, fraction, frame in _records(stream, order, ticks, path, first, last):
-                rows.append((seconds * 1_000_000 + fraction * 1_000_000 // ticks, frame, offset, None))
-                at = offset + RECORD_HEADER + len(frame)
-                held += len(frame)
-                if held >= BATCH_BYTES:
-                    yield _batch(rows, iface, path)
-                    rows, held = [], 0
-        except Damaged as e:
-            if not permissive:
-                raise
-            rows.append((None, None, at, str(e)))
+        while at is not None:
+            try:
+                for offset, seconds, fraction, frame in _records(stream, order, ticks, path, at, last):
+                    rows.append((seconds * 1_000_000 + fraction * 1_000_000 // ticks, frame, offset, None))
+                    at = offset + RECORD_HEADER + len(frame)
+                    held += len(frame)
+                    if held >= BATCH_BYTES:
+                        yield _batch(rows, iface, path)
+                        rows, held = [], 0
+                at = None
+            except Damaged as e:
+                if not permissive:
+                    raise
+                rows.append((None, None, at, str(e)))
+                at = _next_record(stream, order, ticks, most, at + 1, last)
         if rows:
             yield _batch(rows, iface, path)
 
@@ -222,7 +251,8 @@ def read_captures(
             for row in batch.to_pylist():
                 yield from read_range(row["file"], row["iface"], row["first"], row["last"], permissive)
 
-    ranges = capture_ranges(spark, path, iface, split_bytes).where("first < last")
+    # listing and placing run once: counting and reading both take the stored ranges
+    ranges = stored(capture_ranges(spark, path, iface, split_bytes).where("first < last"), "ranges")
     packets = ranges.repartition(_pieces(ranges), "file", "first").mapInArrow(read, ROWS)
     return packets.select(F.xxhash64("file", "offset").alias("packet_id"), "ts", "iface", "raw", "file", "offset", "damage")
 
@@ -231,7 +261,7 @@ def write_captures(packets: DataFrame, path: str) -> None:
     """Write packets (ts, raw) as capture files, one per task, to a folder that executors reach."""
 
     def write(number: int, rows) -> None:
-        system, inner = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        system, inner = locate(path)
         system.create_dir(inner, recursive=True)
         with system.open_output_stream(f"{inner}/capture-{number:06d}.pcap") as out:
             out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 18, LINK_ETHERNET))

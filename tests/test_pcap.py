@@ -7,6 +7,7 @@ from conftest import SF_DIR
 
 from netlens.operators.decode import fields
 from netlens.plans.fixture import packets_raw
+from netlens.sources import pcap, scan_captures
 from netlens.sources.pcap import capture_ranges, list_captures, read_captures, write_captures
 
 EPOCH = datetime.datetime(1970, 1, 1)
@@ -124,10 +125,61 @@ def test_damaged_length_in_the_middle(spark, tmp_path):
     with open(path, "r+b") as f:
         f.seek(24 + 3 * 76 + 8)
         f.write(struct.pack("<I", 0x7FFFFFFF))
-    with pytest.raises(Exception, match="damaged or cut record at byte 252"):
-        read_captures(spark, path).count()
-    df = read_captures(spark, path, permissive=True)
-    assert df.filter("damage is null").count() == 3 and df.filter("damage is not null").count() == 1
+    for read in (read_captures, scan_captures):
+        with pytest.raises(Exception, match="damaged or cut record at byte 252"):
+            read(spark, path).count()
+        df = read(spark, path, permissive=True)
+        assert content(df.filter("damage is null")) == [(ts, bytes([i]) * 60) for i in range(10) if i != 3]
+        assert [r["offset"] for r in df.filter("damage is not null").collect()] == [252]
+
+
+def test_damage_loses_one_record_of_many(spark, captures, tmp_path):
+    rows = captures[1][:3_000]
+    path = str(tmp_path / "many" / "x.pcap")
+    write_pcap(path, rows)
+    places = [r["offset"] for r in read_captures(spark, path).select("offset").orderBy("offset").collect()]
+    hit = [500, 501, 1_700]
+    with open(path, "r+b") as f:
+        for i in hit:
+            f.seek(places[i] + 4)
+            f.write(b"\xff" * 12)
+    want = sorted(r for i, r in enumerate(rows) if i not in hit)
+    for split_bytes in (10**9, 300_000):
+        df = read_captures(spark, path, split_bytes=split_bytes, permissive=True)
+        assert content(df.filter("damage is null")) == want
+        # two damaged records in a row are one stretch
+        assert sorted(r["offset"] for r in df.filter("damage is not null").collect()) == [places[500], places[1_700]]
+
+
+def test_paths_with_spaces_and_signs(spark, captures, tmp_path):
+    rows = captures[1][:200]
+    folder = str(tmp_path / "a folder (1) 50% é#x")
+    write_pcap(f"{folder}/my capture?.pcap", rows)
+    for read in (read_captures, scan_captures):
+        assert content(read(spark, folder)) == sorted(rows)
+    other = f"{folder}/written here"
+    write_captures(read_captures(spark, folder), other)
+    assert content(scan_captures(spark, other)) == sorted(rows)
+
+
+def test_other_file_systems(monkeypatch):
+    asked = []
+    monkeypatch.setattr(pcap, "pafs", type("fs", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(lambda u: asked.append(u) or (None, u))})}))
+    pcap.locate("s3a://bucket/a b.pcap")
+    pcap.locate("hdfs://host:8020/x#y/z.pcap")
+    assert asked == ["s3://bucket/a%20b.pcap", "hdfs://host:8020/x%23y/z.pcap"]
+    with pytest.raises(ValueError, match="cannot be opened by the scheme 'viewfs'"):
+        pcap.locate("viewfs://cluster/x.pcap")
+
+
+@pytest.mark.parametrize("split_bytes", [100_000, 10**12])
+def test_the_data_source_reads_the_same(spark, captures, split_bytes):
+    root, _ = captures
+    a, b = read_captures(spark, root), scan_captures(spark, root, split_bytes=split_bytes)
+    assert a.columns == b.columns
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    with pytest.raises(Exception, match="no capture files at"):
+        scan_captures(spark, "/tmp/no-such-folder-here").collect()
 
 
 def test_bad_files_are_errors(spark, tmp_path):
