@@ -245,9 +245,8 @@ def block_sums(rows: pd.DataFrame) -> pd.DataFrame:
             out["source"] += [groups["source"][i]] * len(others)
             out["other"] += list(groups["source"][others])
             out["value"] += value.tolist()
-    out = pd.DataFrame(out)
-    out.insert(0, "lang", rows["lang"].iloc[0])
-    return out
+    out["lang"] = [rows["lang"].iloc[0]] * len(out["value"])
+    return pd.DataFrame(out).astype({"lang": object, "source": object, "other": object, "value": "int64"})
 
 
 def pair_values(groups: DataFrame, kept: DataFrame, block_terms: int = BLOCK_TERMS, tile_groups: int = TILE_GROUPS) -> DataFrame:
