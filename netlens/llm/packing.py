@@ -79,41 +79,42 @@ class PartEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ranks = merge_ranks(path, self.tokenizer)
         self.fast = ranks and tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        plain, fast = PLAIN.fullmatch, self.fast
-        if fast is None:
-            plain = lambda text: None
-        out = [array("I", fast.encode_ordinary(t)).tobytes() if plain(t) else None for t in texts]
-        slow = [i for i, ids in enumerate(out) if ids is None]
-        found = self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False) if slow else []
-        for i, e in zip(slow, found, strict=True):
-            out[i] = array("I", e.ids).tobytes()
-        return out
-
-    def _special(self, text: str) -> bytes | None:
-        """The ids of a text that holds a special token's text; None for any other."""
-        if not any(s in text for s in self.special):
-            return None
+        self.known = _Memory(self._encode)
+
+    def _encode(self, text: str) -> bytes:
+        """The ids of a text that holds no special token's text, or goes to the tokenizer anyway."""
+        if self.fast and PLAIN.fullmatch(text):
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
+        return self._slowly(text)
+
+    def _slowly(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _text(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._slowly(text)
+        if self.odd_space.search(text):
+            return self._encode(text)
+        first, *parts = text.split(" ")
+        return self._encode(first) + b"".join(map(self.known.__getitem__, parts))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.cache_parts:
             self.known.clear()
-        known = self.known
-        done = [self._special(t) for t in texts]
-        split = [[""] if ids is not None else [t] if self.odd_space.search(t) else t.split(" ") for t, ids in zip(texts, done, strict=True)]
-        first = self._encode([parts[0] for parts in split])
-        new: set[str] = set()
-        for parts in split:
-            del parts[0]
-            new.update(p for p in parts if p not in known)
-        order = list(new)
-        known.update(zip(order, self._encode([f" {p}" for p in order]), strict=True))
-        every = zip(done, first, split, strict=True)
-        return [ids if ids is not None else head + b"".join(map(known.__getitem__, parts)) for ids, head, parts in every]
+        return list(map(self._text, texts))
+
+
+class _Memory(dict):
+    """Ids of parts; a part that is asked for the first time is encoded behind a space."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.encode(f" {part}")
+        return ids
 
 
 @functools.cache
