@@ -20,7 +20,7 @@ from ..functions import (
     printable,
     trusted_issuer,
 )
-from ..operators import filters, logs, rules, views
+from ..operators import bindings, filters, flood, logs, rules, views
 from ..operators.arp import arp_untrusted
 from ..operators.decode import fields, protocol_name, resolve_ips
 from ..operators.enrich import enrich_both_ends, enrich_ip
@@ -39,7 +39,7 @@ from ..sources import (
     stream_captures,
     write_table,
 )
-from ..streaming import Capture, stream_packets
+from ..streaming import Capture, alerts, stream_packets
 from . import fixture
 from .fixture import packets_raw, table
 
@@ -578,6 +578,63 @@ def stream_detect(spark, sf_dir):
     return capture.logs().select(LOG_BODY)
 
 
+#: Windows of the SYN rates: wide, as the events lie minutes apart.
+RATE = {"window": "2 hours", "slide": "1 hour", "least": 5}
+
+
+@query("syn_half_open")
+def syn_half_open(spark, sf_dir):
+    return flood.half_open(fixture.connection_frames(spark, sf_dir))
+
+
+@query("syn_rates")
+def syn_rates(spark, sf_dir):
+    return flood.syn_rates(fixture.connection_frames(spark, sf_dir), **RATE)
+
+
+@query("stream_syn_rates")
+def stream_rates(spark, sf_dir):
+    """The same rates from a stream of the frames."""
+    return _streamed(spark, fixture.connection_frames(spark, sf_dir), "syn-rates", lambda packets: alerts.stream_syn_rates(packets, **RATE))
+
+
+@query("mac_history")
+def mac_history(spark, sf_dir):
+    return bindings.mac_history(fixture.claim_frames(spark, sf_dir))
+
+
+@query("mac_in_force")
+def mac_in_force(spark, sf_dir):
+    """The binding of every packet's source address at its time."""
+    found = bindings.mac_in_force(fixture.claim_frames(spark, sf_dir))
+    return found.where("ipv4_src is not null").select("packet_id", "ipv4_src", "bound_mac", "bound_since", "mac_differs")
+
+
+@query("stream_mac_changes")
+def stream_changes(spark, sf_dir):
+    """The changes of bindings from a stream of the frames."""
+    alerts.use_rocksdb(spark)
+    return _streamed(spark, fixture.claim_frames(spark, sf_dir), "mac-changes", alerts.stream_mac_changes, "packet_id % 2 = 1")
+
+
+def _streamed(spark: SparkSession, frames: DataFrame, purpose: str, make: Callable[[DataFrame], DataFrame], last: str = "true") -> DataFrame:
+    """What a stream appends while frames land in three lots, one after another in time; it is
+    started again for each. A frame (one with ``last``) that is days later closes what still waits."""
+    out, at = scratch_dir(spark, purpose), F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = frames.select(F.percentile_approx(at, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).first()["q"]
+    lot = F.lit(0)
+    for bound in bounds:
+        lot = lot + (at >= bound).cast("int")
+    lots = [frames.where(lot == i) for i in range(3)]
+    lots.append(frames.where(last).orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(30))))
+    for part in lots:
+        part.write.mode("append").parquet(f"{out}/landing")
+        rows = make(stream_packets(spark, f"{out}/landing"))
+        writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/rows")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
 @query("stream_captures")
 def stream_capture_files(spark, sf_dir):
     """A folder of capture files followed by a stream, and the log rows it gave."""

@@ -86,6 +86,36 @@ extended as (
     end as extended_hex from headers)
 """
 
+# Connections: a SYN of every event, its SYN-ACK, and an ACK in time, late (fifth of them) or never (another fifth).
+# One destination has a third of all.  CTE steps, with the field values, and the frame as hex text.
+STEPS_SQL = """
+with e as (
+  select event_id, ts, user_id, case when event_id % 3 = 0 then 1 else user_id % 40 + 2 end as dn,
+    1024 + event_id % 50000 as client_port from events),
+a as (
+  select event_id * 4 as packet_id, ts, 2 as flags, e.* exclude (ts) from e
+  union all select event_id * 4 + 1, ts + interval '1' second, 18, e.* exclude (ts) from e
+  union all select event_id * 4 + 2, ts + interval '2' second, 16, e.* exclude (ts) from e where event_id % 5 > 1
+  union all select event_id * 4 + 3, ts + interval '45' second, 24, e.* exclude (ts) from e where event_id % 5 <> 1),
+steps as (
+  select *, lpad(hex(user_id % 250 + 1), 2, '0') as u, lpad(hex(dn), 2, '0') as d, lpad(hex(user_id % 4), 2, '0') as n,
+    case flags when 18 then 443 else client_port end as src_port, case flags when 18 then client_port else 443 end as dst_port
+  from a)
+"""
+STEP_FRAME = """concat('02000000C8', d, '0200000000', u, '0800', '45000028', '0000400040060000',
+  case flags when 18 then concat('C0A801', d, '0A00', n, u) else concat('0A00', n, u, 'C0A801', d) end,
+  lpad(hex(src_port), 4, '0'), lpad(hex(dst_port), 4, '0'), '0000000100000000', '50', lpad(hex(flags), 2, '0'), 'FFFF00000000')"""
+
+# ARP announcements: the address of an event's user, or (every third) one hot address; the MAC moves with time.
+ARP_SQL = """
+with claims as (
+  select event_id * 2 + 1 as packet_id, ts,
+    case when event_id % 3 = 0 then 0 else user_id % 4 end as net, case when event_id % 3 = 0 then 1 else user_id % 250 + 1 end as octet,
+    (user_id % 2 + event_id // 700) % 256 as mac from events)
+"""
+ARP_FRAME = """concat('FFFFFFFFFFFF', '0200000000', lpad(hex(mac), 2, '0'), '0806', '0001080006040001',
+  '0200000000', lpad(hex(mac), 2, '0'), '0A00', lpad(hex(net), 2, '0'), lpad(hex(octet), 2, '0'), '000000000000', 'C0A80101')"""
+
 # Hosts in several spellings of IPv6, and as upper-case text.
 HOSTS_IPV6_SQL = """
 select concat('2001:DB8::', upper(hex(s_suppkey))) as ip from supplier
@@ -162,6 +192,28 @@ def packets_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packets(spark, _written(spark, sf_dir, "packets-extended", _variant(EXTENDED_SQL, "extended")))
 
 
+def build_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = STEPS_SQL.replace("e.* exclude (ts)", "event_id, user_id, dn, client_port")
+    return spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({STEP_FRAME}) as raw from steps", "events")
+
+
+def connection_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TCP connections, most of them answered, some half-open."""
+    return read_packets(spark, _written(spark, sf_dir, "connections", build_steps))
+
+
+def build_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = ARP_SQL.replace("//", "div")
+    claims = spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({ARP_FRAME}) as raw from claims", "events")
+    data = build_frames(spark, sf_dir).where("packet_id % 20 <> 0").withColumn("packet_id", F.col("packet_id") * 2)  # no ARP frames
+    return claims.unionByName(data.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(1))))
+
+
+def claim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ARP claims of addresses, and a second after each event its frame."""
+    return read_packets(spark, _written(spark, sf_dir, "claims", build_claims))
+
+
 def build_long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, repeated to over 65,536 bytes, as an IPv4 TCP payload (total length 0)."""
     docs = table(spark, sf_dir, "documents")

@@ -6,7 +6,7 @@ never the bytes, so a decoded value is compared with an independent one.
 
 from __future__ import annotations
 
-from .fixture import EXTENDED_SQL, FRAMES_SQL, HOSTS_SQL, SOURCES_SQL
+from .fixture import ARP_SQL, EXTENDED_SQL, FRAMES_SQL, HOSTS_SQL, SOURCES_SQL, STEPS_SQL
 
 # Known field values per frame; null where the layer is absent.
 _KNOWN = (
@@ -176,6 +176,37 @@ judged as (
   from batch)
 """
 
+_STEPS = (
+    STEPS_SQL.rstrip()
+    + """,
+flows as (
+  select packet_id, ts, flags, event_id, '10.0.' || (user_id % 4) || '.' || (user_id % 250 + 1) as client, client_port,
+    '192.168.1.' || dn as server from steps),
+opened as (
+  select packet_id, ts, client as src_ip, cast(client_port as int) as src_port, server as dst_ip, cast(443 as int) as dst_port
+  from flows s where flags = 2 and not exists (
+    select 1 from flows a where a.flags in (16, 24) and a.client = s.client and a.client_port = s.client_port
+      and a.server = s.server and a.ts > s.ts and a.ts <= s.ts + interval 30 second)),
+rates as (
+  select unnest([time_bucket(interval 1 hour, ts) - interval 1 hour, time_bucket(interval 1 hour, ts)]) as window_start,
+    dst_ip, src_ip from opened)
+"""
+)
+_RATES = (
+    f"{_STEPS} select window_start, window_start + interval 2 hour as window_end, dst_ip, count(*) as n_half_open, "
+    "count(distinct src_ip) as n_sources from rates group by window_start, dst_ip having count(*) >= 5"
+)
+_CLAIMS = (
+    ARP_SQL.rstrip()
+    + """,
+seen as (
+  select packet_id, ts, '10.0.' || net || '.' || octet as ip, '02:00:00:00:00:' || lower(lpad(hex(mac), 2, '0')) as mac from claims),
+changed as (
+  select * from (select *, lag(mac) over (partition by ip order by ts, packet_id) as previous from seen)
+  where previous is null or previous <> mac)
+"""
+)
+
 _IN_HOSTS = "in (select ip from hosts)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -363,6 +394,20 @@ ORACLE_SQL: dict[str, str] = {
     "stream_snapshot": _frames(
         "packet_id, cast(len as int) as len, src_ip, (select count(*) from events) as seen_running"
     ),
+    "syn_half_open": f"{_STEPS} select * from opened",
+    "syn_rates": _RATES,
+    "stream_syn_rates": _RATES,
+    "mac_history": (
+        f"{_CLAIMS} select ip, mac, previous, ts as valid_from, lead(ts) over (partition by ip order by ts, packet_id) as valid_to from changed"
+    ),
+    "mac_in_force": (
+        f"{_CLAIMS}, {FRAMES_SQL.strip().removeprefix('with ')}, "
+        "p as (select packet_id * 2 as packet_id, ts + interval 1 second as ts, '10.0.' || (user_id % 4) || '.' || (user_id % 250 + 1) as ip, "
+        "'02:00:00:00:00:' || lower(u) as eth_src from frames where kind = 'ipv4') "
+        "select p.packet_id, p.ip as ipv4_src, c.mac as bound_mac, c.ts as bound_since, coalesce(c.mac <> eth_src, false) as mac_differs "
+        "from p asof left join changed c on p.ip = c.ip and p.ts >= c.ts"
+    ),
+    "stream_mac_changes": f"{_CLAIMS} select ip, mac, previous, ts, packet_id from changed",
     "buffer_clear": _frames("packet_id, cast(len as int) as len, src_ip, cast(0 as int) as left"),
     "packet_buffer": _frames(
         "packet_id, cast(len as int) as len, src_ip, dst_ip, 'eth0' as iface, raw_hex"
