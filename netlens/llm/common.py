@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -75,13 +75,34 @@ def fold_batches(df: DataFrame, ddl: str, start: Callable[[], tuple[Callable[[di
     return df.mapInArrow(run, kind)
 
 
-def bounded_sample(df: DataFrame, column: str, values: list, bound: int, key: str = "doc_id") -> DataFrame:
-    """At most ``bound`` rows of each value, spread evenly by a hash of the key; the same rows each time."""
-    order = (F.xxhash64(key), F.col(key))
-    parts = [df.where(F.col(column) == F.lit(v)).orderBy(*order).limit(bound) for v in values]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+def bounded_sample(df: DataFrame, column: str, bound: int, key: str = "doc_id", parts: int = 64) -> DataFrame:
+    """At most ``bound`` rows of each value: those with the smallest hash of the key, the same each time.
+
+    One pass for all values. Ranked in ``parts`` of each value first, so that a value with a third
+    of all rows is no single task; what a value's last task sees is ``parts`` times ``bound`` rows.
+    """
+    part, rank = free_names(df, "_part", "_rank")
+    rows = df.withColumn(part, F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(parts)))
+    for by in ([column, part], [column]):
+        over = Window.partitionBy(*by).orderBy(F.xxhash64(key), key)
+        rows = rows.withColumn(rank, F.row_number().over(over)).where(F.col(rank) <= bound)
+    return rows.drop(part, rank)
+
+
+def one_label(labels: DataFrame) -> DataFrame:
+    """doc_id, label of the rows with an id and a label 0 or 1; of an id with both, the smaller."""
+    known = labels.where("doc_id is not null and label in (0, 1)")
+    return known.groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 

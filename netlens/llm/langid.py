@@ -2,13 +2,13 @@
 
 Texts are lower-cased, what is no letter becomes a space, and all n-grams of one to three
 characters are hashed into a fixed number of bins. Fitting sums the bins of a bounded sample for
-each language in Spark; the model, one log-probability for each language and bin, has a fixed
-size and is broadcast. Scoring gathers the rows of a whole batch at once and adds them up by
+each language in Spark; the model, one log-probability for each language and bin, takes 64 kB a
+language and is broadcast. Scoring gathers the rows of a whole batch at once and adds them up by
 document.
 
 A text that is null or has no letter is ``und`` with score 0. Equal scores give the language
-first in the alphabet. Rows with a null language teach nothing. With no row to learn from, every
-text is ``und``.
+first in the alphabet. Rows with a null language teach nothing, a repeated row teaches as often as
+the sample has it. With no row to learn from, every text is ``und``.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ BINS = 1 << 14
 LENGTHS = (1, 2, 3)
 #: Documents of each language that fitting reads at most.
 SAMPLE_ROWS = 3_000
-#: The model grows with the languages; more distinct values are taken for a wrong column.
-MOST_LANGUAGES = 1_000
 UNKNOWN = "und"
 # Odd multipliers of the hash, by position in the n-gram.
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -86,15 +84,13 @@ class LanguageModel:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, smoothing: float = 0.5) -> LanguageModel:
     """Learn from the rows of ``docs`` (doc_id, text, lang) whose language is known."""
     known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null")
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = known.groupBy("lang").count().collect()  # a row for each language
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return LanguageModel([], np.zeros((BINS, 0), np.float32), np.zeros(0))
     place = {v: i for i, v in enumerate(languages)}
-    chosen = bounded_sample(known, "lang", languages, sample_rows)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
+    chosen = bounded_sample(known, "lang", sample_rows)
+    rows = docs.select("doc_id", "text", "lang").join(chosen.distinct(), ["doc_id", "lang"], "left_semi")
 
     def start():
         sums = np.zeros((len(languages), BINS), dtype=np.int64)

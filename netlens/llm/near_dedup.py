@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import bitmap, map_batches, release, settled, split_rows, stable
+from netlens.llm.common import bitmap, free_names, map_batches, release, settled, split_rows, stable
 from netlens.llm.graph import components
 from netlens.llm.hashing import batch_words, grams, mix
 
@@ -306,13 +306,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat the kept id with equal text one stays; rows without an id all stay.
     """
-    found = classes(docs.select("doc_id", "text")).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
-    found = stable(found.agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("kept").alias("_kept")))
-    special = found.where("_rows > 1 or not _kept")
+    own_id, rows, kept = free_names(docs, "_id", "_rows", "_kept")
+    found = classes(docs.select("doc_id", "text")).where("doc_id is not null").groupBy(F.col("doc_id").alias(own_id))
+    found = stable(found.agg(F.count(F.lit(1)).alias(rows), F.bool_or("kept").alias(kept)))
+    special = found.where((F.col(rows) > 1) | ~F.col(kept))
     place = _place(F.col("doc_id").cast("long"))
-    maybe, plain = split_rows(docs, place, special.select(_place(F.col("_id")).alias("place")), PICK_BITS)
-    joined = maybe.join(found.where("_kept"), F.col("doc_id").cast("long") == F.col("_id"))
+    maybe, plain = split_rows(docs, place, special.select(_place(F.col(own_id)).alias("place")), PICK_BITS)
+    joined = maybe.join(found.where(F.col(kept)), F.col("doc_id").cast("long") == F.col(own_id))
     names = [f"`{c}`" for c in docs.columns]
-    again = joined.where("_rows > 1").dropDuplicates(["doc_id", "text"])
+    again = joined.where(F.col(rows) > 1).dropDuplicates(["doc_id", "text"])
     no_id = maybe.where("doc_id is null")
-    return plain.select(*names).union(joined.where("_rows = 1").select(*names)).union(again.select(*names)).union(no_id.select(*names))
+    return plain.select(*names).union(joined.where(F.col(rows) == 1).select(*names)).union(again.select(*names)).union(no_id.select(*names))

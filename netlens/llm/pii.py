@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import bitmap, fold_batches, map_batches, split_rows, stable
+from netlens.llm.common import bitmap, fold_batches, free_names, map_batches, split_rows, stable
 
 # The base patterns. A lookbehind keeps long runs from being tried at every letter.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -99,6 +99,11 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def term_of(word: str) -> str:
+    """A word as it is counted. Words are found before they are lowered: some letters become two."""
+    return word.lower()
+
+
 def near_terms(text: str | None, window: int = WINDOW) -> set[tuple[str, str]]:
     """(entity, term) of the words around each base finding, those inside findings left out."""
     spans = base_spans(text)
@@ -110,7 +115,7 @@ def near_terms(text: str | None, window: int = WINDOW) -> set[tuple[str, str]]:
     for kind, a, b in spans:
         entity = f"{kind}:{text[a:b].lower()}"
         i = bisect.bisect_left(starts, a)
-        out.update((entity, m.group().lower()) for m in words[max(0, i - window) : i + window])
+        out.update((entity, term_of(m.group())) for m in words[max(0, i - window) : i + window])
     return out
 
 
@@ -174,7 +179,7 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, bits: np.ndarray, re
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def held(text: str | None, candidate: Candidates) -> list[str]:
-        return [w for w in set(WORD.findall((text or "").lower())) if candidate(w)]
+        return [t for t in set(map(term_of, set(WORD.findall(text or "")))) if candidate(t)]
 
     def fold(words: Callable[[], Callable[[str], list[str]]]):
         def start():
@@ -236,7 +241,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
         def step(batch: dict) -> dict:
             rows = []
             for key, text in zip(batch["row_key"], batch["text"], strict=True):
-                hits = [(m.group().lower(), *m.span()) for m in WORD.finditer(text) if candidate(m.group().lower())]
+                hits = [(t, *m.span()) for m in WORD.finditer(text) if candidate(t := term_of(m.group()))]
                 if hits:
                     spans = base_spans(text)
                     rows += [(key, *h) for h in hits if not any(h[1] < b and a < h[2] for _, a, b in spans)]
@@ -306,6 +311,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> D
 
     # only rows that may hold a term meet the table of spans
     maybe, plain = split_rows(docs, _key_place(row_key()), terms.select(_key_place(F.col("row_key")).alias("place")), BITS)
-    spans = terms.select(F.col("row_key").alias("_pii_row_key"), F.col("terms").alias("_pii_terms"))
-    joined = maybe.withColumn("_pii_row_key", row_key()).join(spans, "_pii_row_key", "left")
-    return marked(joined, F.col("_pii_terms")).union(marked(plain, F.lit(None).cast("array<struct<start:long,end:long>>")))
+    key, found = free_names(docs, "_row_key", "_terms")
+    spans = terms.select(F.col("row_key").alias(key), F.col("terms").alias(found))
+    joined = maybe.withColumn(key, row_key()).join(spans, key, "left")
+    return marked(joined, F.col(found)).union(marked(plain, F.lit(None).cast("array<struct<start:long,end:long>>")))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import bounded_sample, map_batches, release
+from netlens.llm.common import bounded_sample, map_batches, one_label, release
 
 BINS = 1 << 16
 SHAPES = (1, 2, 3, 4)
@@ -166,12 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
     At most ``sample_rows`` labelled documents of each class are used; they are spread by a hash
     of the id. The bounded sample is fitted by one task.
     """
-    known = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", "label")
+    known = one_label(labels)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return constant(0.99 if 1 in counts else 0.01 if counts else 0.5)
     share = counts[1] / sum(counts.values())
-    chosen = bounded_sample(known, "label", [0, 1], sample_rows).dropDuplicates(["doc_id"])
+    chosen = bounded_sample(known, "label", sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def start():

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import bounded_sample, map_batches
+from netlens.llm.common import bounded_sample, map_batches, one_label
 
 #: Labelled documents of each class that fitting reads at most.
 SAMPLE_ROWS = 3_000
@@ -209,11 +209,11 @@ def lexicon(sample: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1); bounded sample of each class."""
-    known = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", "label")
+    known = one_label(labels)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return ToxicityModel({}, PRIOR)
-    chosen = bounded_sample(known, "label", [0, 1], sample_rows).dropDuplicates(["doc_id"])
+    chosen = bounded_sample(known, "label", sample_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     forms = {r["form"]: r["weight"] for r in lexicon(sample).collect()}
     sent = docs.sparkSession.sparkContext.broadcast(forms)

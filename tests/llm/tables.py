@@ -44,7 +44,8 @@ def with_clashes(df: DataFrame) -> DataFrame:
     """The same rows with columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["score", "n_words", "row_key", "text_hash", "bands", "key", "label", "bucket", "id", "component", "spans", "hit", "terms", "start"]
+    names = ["score", "n_words", "row_key", "text_hash", "bands", "key", "label", "bucket", "id", "component", "spans", "hit", "terms", "start",
+             "_rows", "_id", "_kept", "_pii_terms", "_row_key", "_terms", "_part", "_rank", "gone", "parts", "total"]
     return df.select("*", *[F.lit(7).alias(n) for n in names])
 
 
