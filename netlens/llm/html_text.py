@@ -10,9 +10,13 @@ scripts and styles are left out before scoring, by element or by the words of cl
 
 The words only mark candidates. A marked element stays if it is or holds an article or main
 element, or holds most of the page's unlinked paragraph points (beside an article: in three or more
-paragraphs); scoring discounts what stays beside an article. Within an article only the points
-count, and comments go where an article has other paragraphs. If nothing is left, the words do not
-count.
+paragraphs); scoring discounts what stays beside an article. Forms, asides and headers are
+candidates in the same way, always with three or more paragraphs: some pages stand in one form. The
+controls in them go. Within an article only the points count. Comments go where an article has
+other paragraphs, and beside one where any unmarked element has, whatever their points. If
+nothing is left, the words do not count.
+
+Every step is linear in the page, however deep its elements nest.
 
 Within a block, white space becomes one space; blocks are joined by one line feed. A null, empty
 or textless page gives the empty text. Page and url pass unchanged, repeated rows stay.
@@ -21,6 +25,7 @@ or textless page gives the empty text. Page and url pass unchanged, repeated row
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -36,9 +41,11 @@ BLOCK = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset(
-    "aside audio button canvas dialog embed fieldset footer form head header iframe input label legend math menu nav "
-    "noscript object option script select style svg template textarea title video".split()
+    "audio button canvas dialog embed footer head iframe input label legend math menu nav noscript object option "
+    "script select style svg template textarea title video".split()
 )
+#: Left out as well, but for one that holds the article.
+CANDIDATES = frozenset("aside fieldset form header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 #: An open element of the left is closed by a start tag of the right.
@@ -52,6 +59,8 @@ CLOSES = {
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "option": frozenset(["option", "optgroup"]),
 }
+#: By tag: the open elements that its start closes.
+CLOSED_BY = {tag: frozenset(k for k, v in CLOSES.items() if tag in v) for tag in frozenset().union(*CLOSES.values())}
 #: Implied ends do not reach beyond these.
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 #: Words of class, id and role that mark what is no article text.
@@ -79,11 +88,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "words", "weight")
+    __slots__ = ("tag", "parent", "children", "dropped", "words", "marked", "weight", "place")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, words: str = ""):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, words: str = "", place: int = 0):
+        self.tag, self.parent, self.dropped, self.place = tag, parent, dropped, place
         self.words = words  # of class, id and role, if they mark the element
+        self.marked = bool(words) or tag in CANDIDATES
         self.weight = 1.0
         self.children: list[Node | str] = []
 
@@ -95,38 +105,55 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
         self.nodes = [self.root]  # in page order
+        self.open: Counter[str] = Counter()
+
+    def up(self) -> list[int]:
+        """Place of each node's parent; the root is its own."""
+        return [0 if n.parent is None else n.parent.place for n in self.nodes]
+
+    def _close(self, node: Node) -> None:
+        """End all open elements up to and with ``node``."""
+        last = node.parent
+        while self.at is not last:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
             return
-        node = self.at
-        while node.parent is not None and (node.tag == tag or node.tag not in SCOPE or node.tag in CLOSES):
-            if tag in CLOSES.get(node.tag, ()):
-                self.at = node.parent
-                break
-            if node.tag in SCOPE:
-                break
-            node = node.parent
+        closed = CLOSED_BY.get(tag, frozenset())
+        if any(self.open[t] for t in closed):
+            node = self.at
+            while node.parent is not None and (node.tag == tag or node.tag not in SCOPE or node.tag in CLOSES):
+                if node.tag in closed:
+                    self._close(node)
+                    break
+                if node.tag in SCOPE:
+                    break
+                node = node.parent
         words = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         dropped = self.at.dropped or tag in DROPPED or hidden
-        child = Node(tag, self.at, dropped, words if words and BOILERPLATE.search(words) else "")
+        child = Node(tag, self.at, dropped, words if words and BOILERPLATE.search(words) else "", len(self.nodes))
         self.at.children.append(child)
         self.nodes.append(child)
         if tag not in VOID:
+            self.open[tag] += 1
             self.at = child
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         node = self.at
         while node.parent is not None and node.tag != tag:
             if node.tag in ("article", "main", "td", "th") and tag not in BLOCK:
                 return
             node = node.parent
         if node.parent is not None:
-            self.at = node.parent
+            self._close(node)
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -137,13 +164,13 @@ def _blocks(top: Node) -> list[tuple[Node, str, int]]:
     found: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     linked = 0
-    owner = top
+    owners = [top]  # the open block elements
 
     def end():
         nonlocal linked
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            found.append((owner, text, linked))
+            found.append((owners[-1], text, linked))
         parts.clear()
         linked = 0
 
@@ -152,11 +179,9 @@ def _blocks(top: Node) -> list[tuple[Node, str, int]]:
     while stack:
         node, i, link = stack.pop()
         if i == len(node.children):
-            if node.tag in BLOCK or node is top:
+            if node is owners[-1]:
                 end()
-                owner = stack[-1][0] if stack else top
-                while owner.tag not in BLOCK and owner.parent is not None and owner is not top:
-                    owner = owner.parent
+                owners.pop()
             continue
         stack.append((node, i + 1, link))
         child = node.children[i]
@@ -168,18 +193,19 @@ def _blocks(top: Node) -> list[tuple[Node, str, int]]:
         elif not child.dropped:
             if child.tag in BLOCK:
                 end()
-                owner = child
+                owners.append(child)
             stack.append((child, 0, link or child.tag == "a"))
     return found
 
 
-def _container(node: Node, top: Node) -> Node:
-    """The element that holds a paragraph; a block that is no paragraph holds its own text."""
-    while node.tag in PARAGRAPH and node.parent is not None and node is not top:
-        node = node.parent
-        while node.tag not in BLOCK and node.parent is not None:
-            node = node.parent
-    return node
+def _containers(tree: Tree, up: list[int]) -> tuple[list[int], list[int]]:
+    """For each node the element that holds it as a paragraph (a block that is no paragraph holds its
+    own text), and the block element above it."""
+    above, box = [0] * len(up), [0] * len(up)
+    for i, n in enumerate(tree.nodes[1:], 1):
+        above[i] = up[i] if tree.nodes[up[i]].tag in BLOCK or up[i] == 0 else above[up[i]]
+        box[i] = box[above[i]] if n.tag in PARAGRAPH else i
+    return box, above
 
 
 def _score(text: str) -> float:
@@ -187,26 +213,29 @@ def _score(text: str) -> float:
 
 
 def _drop_marked(tree: Tree) -> None:
-    """Drop the elements that their words mark, but those that hold the article."""
-    if not any(n.words and not n.dropped for n in tree.nodes):
+    """Drop the elements that their words or tags mark, but those that hold the article."""
+    if not any(n.marked and not n.dropped for n in tree.nodes):
         return
-    place = {n: i for i, n in enumerate(tree.nodes)}
-    up = [0 if n.parent is None else place[n.parent] for n in tree.nodes]
-    article, inside, comment = ([False] * len(up) for _ in range(3))  # is one, or stands in one
+    up = tree.up()
+    article, inside, comment, marked = ([False] * len(up) for _ in range(4))  # is one, or stands in one
     for i, n in enumerate(tree.nodes[1:], 1):
         article[i] = article[up[i]] or n.tag == "article"
         inside[i] = article[i] or inside[up[i]] or n.tag == "main"
         own = n.tag != "main" and (n.tag != "article" or article[up[i]]) and COMMENTS.search(n.words)
         comment[i] = comment[up[i]] or bool(own)
+        marked[i] = marked[up[i]] or n.marked
     points, paragraphs = [0.0] * len(up), [0] * len(up)
-    shown = told = False  # an article has text, or paragraphs, outside comments
+    shown = told = other = False  # an article has text, or paragraphs, outside comments; unmarked elements have paragraphs
     for owner, text, linked in _blocks(tree.root):
-        i = place[owner]
-        shown = shown or (inside[i] and not comment[i])
+        i = owner.place
+        by_article = inside[i] and not comment[i]
+        shown = shown or (by_article and not (marked[i] and owner.tag in CANDIDATES))
         if owner.tag not in HEADINGS:
-            points[i] += _score(text) * (1 - min(1.0, linked / len(text)))
+            own_points = _score(text) * (1 - min(1.0, linked / len(text)))
+            points[i] += own_points
             paragraphs[i] += 1
-            told = told or (inside[i] and not comment[i] and points[i] > 0)
+            told = told or (by_article and own_points > 0)
+            other = other or (not marked[i] and own_points > 0)
     holds_main, holds_article = ([not n.dropped and n.tag == t for n in tree.nodes] for t in ("main", "article"))
     for i in range(len(up) - 1, 0, -1):
         points[up[i]] += points[i]
@@ -217,17 +246,18 @@ def _drop_marked(tree: Tree) -> None:
     for i, n in enumerate(tree.nodes[1:], 1):
         n.dropped = n.dropped or n.parent.dropped
         n.weight = n.parent.weight
-        if n.dropped or not n.words or holds_main[i]:
+        if n.dropped or not n.marked or holds_main[i]:
             continue
-        if told and comment[i]:
+        if comment[i] and (told or (other and not inside[i])):
             n.dropped = True
         elif n.tag != "article" and (not holds_article[i] or article[up[i]] or 2 * points[i] <= points[0]):
-            most = 2 * points[i] > points[0] and (not shown or paragraphs[i] >= LEAST_PARAGRAPHS)
+            enough = paragraphs[i] >= LEAST_PARAGRAPHS or (not shown and n.tag not in CANDIDATES)
+            most = 2 * points[i] > points[0] and enough
             n.dropped = not most and (not holds_article[i] or article[up[i]])
             n.weight *= DISCOUNT if shown else 1
 
 
-def _whole(best: Node, unlinked: dict[Node, float]) -> tuple[Node, bool]:
+def _whole(best: Node, unlinked: list[float]) -> tuple[Node, bool]:
     """The element whose text ``best`` is part of, and whether it is an article or main element."""
     above = [best]
     while above[-1].parent is not None:
@@ -236,9 +266,8 @@ def _whole(best: Node, unlinked: dict[Node, float]) -> tuple[Node, bool]:
         found = [n for n in above if n.tag == tag]
         if found:
             return found[-1], True
-    all_points = unlinked[above[-1]]
     for n in above:
-        if n.tag in BLOCK and n.tag not in PARTS and unlinked[n] >= NEARLY_ALL * all_points:
+        if n.tag in BLOCK and n.tag not in PARTS and unlinked[n.place] >= NEARLY_ALL * unlinked[0]:
             return n, False
     return above[-1], False
 
@@ -250,61 +279,57 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    hard = [n.dropped for n in tree.nodes]
+    nodes, up = tree.nodes, tree.up()
+    hard = [n.dropped or n.tag in CANDIDATES for n in nodes]
     _drop_marked(tree)
     blocks = _blocks(tree.root)
     if not blocks:
-        for n, dropped in zip(tree.nodes, hard, strict=True):
+        for n, dropped in zip(nodes, hard, strict=True):
             n.dropped = dropped
         blocks = _blocks(tree.root)
     if not blocks:
         return ""
-    points: dict[Node, float] = {}
-    letters: dict[Node, list[int]] = {}
-    unlinked: dict[Node, float] = {}
+    box, block_above = _containers(tree, up)
+    points, letters, links, unlinked = ([0.0] * len(nodes) for _ in range(4))
+    scored: dict[int, None] = {}  # in page order of the first paragraph
     for owner, text, linked in blocks:
+        i = owner.place
         score = _score(text) * owner.weight
-        plain = score * (1 - min(1.0, linked / len(text)))
-        node: Node | None = owner
-        while node is not None:
-            both = letters.setdefault(node, [0, 0])
-            both[0] += len(text)
-            both[1] += linked
-            unlinked[node] = unlinked.get(node, 0.0) + plain
-            node = node.parent
-        box = _container(owner, tree.root)
-        points[box] = points.get(box, 0) + score
-        above = box.parent
-        while above is not None and above.tag not in BLOCK:
-            above = above.parent
-        if above is not None:
-            points[above] = points.get(above, 0) + score / 2
-
-    def density(node: Node) -> float:
-        all_letters, linked = letters[node]
-        return min(1.0, linked / max(1, all_letters))
-
-    scores = {node: p * (1 - density(node)) for node, p in points.items()}
-    best = max(scores, key=lambda n: scores[n])  # the first in page order of equals
-    whole, article = _whole(best, unlinked)
-    kept = {best}
+        letters[i] += len(text)
+        links[i] += linked
+        unlinked[i] += score * (1 - min(1.0, linked / len(text)))
+        points[box[i]] += score
+        scored.setdefault(box[i])
+        if box[i]:
+            points[block_above[box[i]]] += score / 2
+            scored.setdefault(block_above[box[i]])
+    for i in range(len(nodes) - 1, 0, -1):
+        for sums in (letters, links, unlinked):
+            sums[up[i]] += sums[i]
+
+    def density(i: int) -> float:
+        return min(1.0, links[i] / max(1.0, letters[i]))
+
+    scores = {i: points[i] * (1 - density(i)) for i in scored}
+    best = max(scores, key=lambda i: scores[i])  # the first in page order of equals
+    whole, article = _whole(nodes[best], unlinked)
+    kept = [False] * len(nodes)
+    kept[best] = True
     least = max(10.0, 0.2 * scores[best])
     for child in whole.parent.children if whole.parent is not None else ():
-        if not isinstance(child, Node) or child.dropped or child not in letters or (child.words and child.tag not in ("article", "main")):
+        if not isinstance(child, Node) or child.dropped or not letters[child.place] or (child.marked and child.tag not in ("article", "main")):
             continue
-        prose = child.tag in PARAGRAPH and density(child) < 0.25 and (letters[child][0] > 80 or not article)
+        i = child.place
+        prose = child.tag in PARAGRAPH and density(i) < 0.25 and (letters[i] > 80 or not article)
         heading = child.tag in (("h1", "h2") if article else HEADINGS)
-        if child is not whole and (prose or heading or scores.get(child, 0) >= least):
-            kept.add(child)
-    chosen = []
-    for owner, text, linked in blocks:
-        node = owner
-        few = owner.tag in HEADINGS or 2 * linked < len(text)
-        while node is not None and node not in kept and not (few and node is whole):
-            node = node.parent
-        if node is not None:
-            chosen.append(text)
-    return "\n".join(chosen)
+        if child is not whole and (prose or heading or scores.get(i, 0) >= least):
+            kept[i] = True
+    in_whole = [n is whole for n in nodes]
+    for i in range(1, len(nodes)):
+        kept[i] = kept[i] or kept[up[i]]
+        in_whole[i] = in_whole[i] or in_whole[up[i]]
+    few = [(n.tag in HEADINGS or 2 * linked < len(text)) and in_whole[n.place] for n, text, linked in blocks]
+    return "\n".join(text for (n, text, _), stays in zip(blocks, few, strict=True) if stays or kept[n.place])
 
 
 def extract(pages: DataFrame) -> DataFrame:
