@@ -189,6 +189,32 @@ def decode_fields(df: DataFrame) -> DataFrame:
     ).drop("_flags", "_data", "_end", "_type", "_net")
 
 
+def tcp_segments(df: DataFrame) -> DataFrame:
+    """TCP packets of raw or stored form with what reassembly needs, read from ``raw``.
+
+    Columns: packet_id, ts, src_ip, src_port, dst_ip, dst_port, seq, syn, payload (null if none).
+    """
+    places = {"v4": "ipv4_ihl is not null", "src_port": "tcp_src_port", "dst_port": "tcp_dst_port", "flags": "_flags",
+              "net": "_net", "l4": "_l4", "data": "_data", "last": "_end"}
+    fence = ", ".join(f"{text} as {name}" for name, text in places.items())
+    placed = _numbers(df.select("packet_id", "ts", "raw")).select("packet_id", "ts", "raw", F.expr(f"inline(array(struct({fence})))"))
+
+    def address(v4: str, v6: str) -> str:
+        return f"if(v4, {ipv4_text('raw', f'net + {v4}')}, {ipv6_text('raw', f'net + {v6}')})"
+
+    return placed.where("src_port is not null").select(
+        "packet_id",
+        "ts",
+        F.expr(address("12", "8")).alias("src_ip"),
+        "src_port",
+        F.expr(address("16", "24")).alias("dst_ip"),
+        "dst_port",
+        F.expr("cast(conv(hex(substring(raw, l4 + 4, 4)), 16, 10) as bigint)").alias("seq"),
+        F.expr("flags & 2 = 2").alias("syn"),
+        F.expr("if(last >= data, substring(raw, data, last - data + 1), null)").alias("payload"),
+    )
+
+
 def has_layer(layer: str) -> Column:
     """True where ``layer`` is present (flat form); never null."""
     return F.col(LAYER_MARK[layer]).isNotNull()

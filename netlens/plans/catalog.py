@@ -20,7 +20,7 @@ from ..functions import (
     printable,
     trusted_issuer,
 )
-from ..operators import bindings, filters, flood, logs, rules, views
+from ..operators import bindings, certificates, filters, flood, logs, rules, tcp, views
 from ..operators.arp import arp_untrusted
 from ..operators.decode import fields, protocol_name, resolve_ips
 from ..operators.enrich import enrich_both_ends, enrich_ip
@@ -635,6 +635,30 @@ def _streamed(spark: SparkSession, frames: DataFrame, purpose: str, make: Callab
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")
 
 
+@query("tcp_streams")
+def tcp_streams(spark, sf_dir):
+    """Documents put together again from their segments."""
+    parts = tcp.streams(fixture.document_streams(spark, sf_dir)).groupBy("src_ip", "connection")
+    whole = parts.agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), "")
+    return whole.select("src_ip", "connection", (F.length(joined) / 2).cast("long").alias("n_bytes"), F.sha2(F.unhex(joined), 256).alias("sha256"))
+
+
+@query("tls_certificates")
+def tls_certificates(spark, sf_dir):
+    found = certificates.judged_certificates(fixture.handshakes(spark, sf_dir))
+    shown = ["src_ip", "dst_port", "issuer", "issuer_cn", "subject", "serial", "not_before", "not_after", "chain", "shown_at"]
+    return found.select(*shown, F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("rule_certificate_flow")
+def rule_certificate_flow(spark, sf_dir):
+    """The certificate rule over whole handshakes: the packets of flows with a bad certificate."""
+    marked = certificates.with_certificates(fixture.handshakes(spark, sf_dir))
+    own = [("certificate", lambda: F.col("certificate_reasons").isNotNull())]
+    return rules.anomalies(marked, own).select("packet_id", F.array_join("certificate_reasons", ",").alias("reasons"))
+
+
 @query("stream_captures")
 def stream_capture_files(spark, sf_dir):
     """A folder of capture files followed by a stream, and the log rows it gave."""

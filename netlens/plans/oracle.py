@@ -207,6 +207,22 @@ changed as (
 """
 )
 
+_HANDSHAKES = """
+with c as (
+  select c_custkey as k, case when c_custkey % 11 = 0 then c_name else 'TrustedCA' || c_nationkey end as issuer_cn, c_name,
+    c_custkey % 11 <> 0 and c_nationkey in (1, 2, 3) as trusted, timestamp '2024-03-01' + (c_custkey % 1000) * interval 1 minute as begun
+  from customer),
+shown as (
+  select k, '10.' || (k // 65536 % 256) || '.' || (k // 256 % 256) || '.' || (k % 256) as src_ip, cast(1024 + k % 50000 as int) as dst_port,
+    'O=Example, CN=' || issuer_cn as issuer, issuer_cn, 'O=Example, CN=' || c_name as subject, '01' || lower(lpad(hex(k), 8, '0')) as serial,
+    case when k % 7 = 0 then timestamp '2025-01-01' else timestamp '2023-01-01' end as not_before,
+    case when k % 5 = 0 then timestamp '2023-12-31 23:59:59' else timestamp '2051-12-31 23:59:59' end as not_after,
+    cast(2 as int) as chain, begun + interval 1 millisecond as shown_at,
+    array_to_string(list_filter([case when not trusted then 'issuer' end, case when k % 11 = 0 then 'self_signed' end,
+      case when k % 5 = 0 then 'expired' end, case when k % 7 = 0 then 'not_yet_valid' end], lambda x: x is not null), ',') as reasons
+  from c)
+"""
+
 _IN_HOSTS = "in (select ip from hosts)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -408,6 +424,16 @@ ORACLE_SQL: dict[str, str] = {
         "from p asof left join changed c on p.ip = c.ip and p.ts >= c.ts"
     ),
     "stream_mac_changes": f"{_CLAIMS} select ip, mac, previous, ts, packet_id from changed",
+    "tcp_streams": (
+        "select '10.' || (doc_id // 65536 % 256) || '.' || (doc_id // 256 % 256) || '.' || (doc_id % 256) as src_ip, "
+        "cast(1 - doc_id % 2 as bigint) as connection, cast(strlen(text) as bigint) as n_bytes, sha256(text) as sha256 "
+        "from documents where text <> ''"
+    ),
+    "tls_certificates": f"{_HANDSHAKES} select * exclude (k) from shown",
+    "rule_certificate_flow": (
+        f"{_HANDSHAKES} select unnest(range(k * 10, k * 10 + 5)) as packet_id, "
+        "array_to_string(list_sort(string_split(reasons, ',')), ',') as reasons from shown where reasons <> ''"
+    ),
     "buffer_clear": _frames("packet_id, cast(len as int) as len, src_ip, cast(0 as int) as left"),
     "packet_buffer": _frames(
         "packet_id, cast(len as int) as len, src_ip, dst_ip, 'eth0' as iface, raw_hex"
