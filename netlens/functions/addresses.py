@@ -46,3 +46,11 @@ def normal_ip(text: Column) -> Column:
     zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
     filled = F.when(whole.contains("::"), F.concat(left, zeros, right)).otherwise(left)
     return F.when(lower.contains(":"), F.array_join(filled, ":")).otherwise(F.trim(text))
+
+
+def ip_bits(ip: Column) -> Column:
+    """The bits of an address in decoded form as text, 32 or 128 of them; null for any other text."""
+    quad = F.array_join(F.transform(F.split(ip, r"\."), lambda g: F.lpad(F.conv(g, 10, 2), 8, "0")), "")
+    groups = F.array_join(F.transform(F.split(ip, ":"), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    one = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+    return F.when(ip.rlike(rf"^(?:{one}\.){{3}}{one}$"), quad).when(ip.rlike(r"^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"), groups)

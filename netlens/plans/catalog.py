@@ -20,7 +20,7 @@ from ..functions import (
     printable,
     trusted_issuer,
 )
-from ..operators import bindings, certificates, filters, flood, logs, rules, tcp, views
+from ..operators import bindings, certificates, filters, flood, logs, prefixes, rules, tcp, views
 from ..operators.arp import arp_untrusted
 from ..operators.decode import fields, protocol_name, resolve_ips
 from ..operators.enrich import enrich_both_ends, enrich_ip
@@ -551,6 +551,22 @@ def enrich_ends_shuffled(spark, sf_dir):
     )
 
 
+@query("match_prefixes")
+def match_networks(spark, sf_dir):
+    """The longest of nested networks that a source address lies in."""
+    df = resolve_ips(packets_raw(spark, sf_dir))
+    found = prefixes.match_prefixes(df, "sourceIp", fixture.networks(spark, sf_dir), ["label"])
+    return found.select("packet_id", F.col("sourceIp").alias("ip_address"), "label")
+
+
+@query("match_ranges")
+def match_ranges(spark, sf_dir):
+    """Networks given as ranges of addresses."""
+    nets = prefixes.ranges_to_prefixes(fixture.address_ranges(spark, sf_dir))
+    found = prefixes.match_prefixes(resolve_ips(packets_raw(spark, sf_dir)), "sourceIp", nets, ["label"])
+    return found.where("label is not null").select("packet_id", "label")
+
+
 @query("geo_fields")
 def geo_answers(spark, sf_dir):
     geo = fixture.lookups(spark, sf_dir).geo.withColumn("g", geo_fields(F.col("geo_json")))

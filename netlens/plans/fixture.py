@@ -127,6 +127,22 @@ select concat('10.0.', cast(s_suppkey % 4 as string), '.', cast(s_suppkey as str
 union select concat('192.168.1.', cast(n_nationkey as string)) from nation
 """
 
+# Networks of several sizes, one inside another, and of both kinds: label and prefix.
+NETWORKS_SQL = """
+select 'all' as label, '10.0.0.0/8' as prefix
+union all select concat('net ', cast(n_nationkey % 4 as string)), concat('10.0.', cast(n_nationkey % 4 as string), '.0/24') from nation where n_nationkey < 4
+union all select concat('part ', cast(n_nationkey as string)), concat('10.0.', cast(n_nationkey % 4 as string), '.', cast(n_nationkey * 8 as string), '/',
+  cast(26 + n_nationkey % 5 as string)) from nation
+union all select 'docs', '2001:DB8::/32'
+union all select concat('six ', cast(n_nationkey as string)), concat('2001:db8::', lower(hex(n_nationkey * 16)), '/124') from nation where n_nationkey < 12
+"""
+
+# Ranges of addresses, both ends included: label, first and last.
+RANGES_SQL = """
+select concat('range ', cast(n_nationkey as string)) as label, concat('10.0.', cast(n_nationkey % 4 as string), '.', cast(n_nationkey * 9 + 1 as string)) as first,
+  concat('10.0.', cast(n_nationkey % 4 as string), '.', cast(n_nationkey * 9 + 9 + n_nationkey % 3 as string)) as last from nation
+"""
+
 # Every source address with its last octet.
 SOURCES_SQL = """
 select distinct kind,
@@ -366,6 +382,14 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(spark, sf_dir, HOSTS_SQL, "supplier", "nation")
 
 
+def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_sql(spark, sf_dir, NETWORKS_SQL, "nation")
+
+
+def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_sql(spark, sf_dir, RANGES_SQL, "nation")
+
+
 def build_lookups(spark: SparkSession, sf_dir: str) -> Lookups:
     """Lookup tables with deliberate gaps (see FIXTURES.md, section 4)."""
     text = FRAMES_SQL[: FRAMES_SQL.index("c as (")].rstrip().rstrip(",") + SOURCES_SQL

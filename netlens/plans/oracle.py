@@ -6,7 +6,7 @@ never the bytes, so a decoded value is compared with an independent one.
 
 from __future__ import annotations
 
-from .fixture import ARP_SQL, EXTENDED_SQL, FRAMES_SQL, HOSTS_SQL, SOURCES_SQL, STEPS_SQL
+from .fixture import ARP_SQL, EXTENDED_SQL, FRAMES_SQL, HOSTS_SQL, NETWORKS_SQL, RANGES_SQL, SOURCES_SQL, STEPS_SQL
 
 # Known field values per frame; null where the layer is absent.
 _KNOWN = (
@@ -434,6 +434,23 @@ ORACLE_SQL: dict[str, str] = {
         f"{_HANDSHAKES} select unnest(range(k * 10, k * 10 + 5)) as packet_id, "
         "array_to_string(list_sort(string_split(reasons, ',')), ',') as reasons from shown where reasons <> ''"
     ),
+    "match_prefixes": (
+        f"{_KNOWN}, nets as ({NETWORKS_SQL}), "
+        "n as (select *, string_split(prefix, '/')[1] as net, cast(string_split(prefix, '/')[2] as int) as size from nets), "
+        "hit as (select packet_id, label, size from t join n on kind = 'ipv4' and not contains(net, ':') and "
+        "(cast(string_split(src_ip, '.')[1] as bigint) * 16777216 + cast(string_split(src_ip, '.')[2] as bigint) * 65536 "
+        "+ cast(string_split(src_ip, '.')[3] as bigint) * 256 + cast(string_split(src_ip, '.')[4] as bigint)) // (1::bigint << (32 - size)) = "
+        "(cast(string_split(net, '.')[1] as bigint) * 16777216 + cast(string_split(net, '.')[2] as bigint) * 65536 "
+        "+ cast(string_split(net, '.')[3] as bigint) * 256 + cast(string_split(net, '.')[4] as bigint)) // (1::bigint << (32 - size)) "
+        "union all select packet_id, label, size from t join n on kind = 'ipv6' and (size = 32 or (contains(net, '::') and size = 124 and "
+        "un // 16 = cast('0x' || string_split(net, '::')[2] as int) // 16))) "
+        "select t.packet_id, src_ip as ip_address, arg_max(label, size) as label from t left join hit using (packet_id) group by t.packet_id, src_ip"
+    ),
+    "match_ranges": (
+        f"{_KNOWN}, spans as (select label, string_split(first, '.') as a, string_split(last, '.') as z from ({RANGES_SQL})), "
+        "hit as (select packet_id, label, cast(z[4] as int) - cast(a[4] as int) as size, cast(a[4] as int) as begin, cast(z[4] as int) as stop from t join spans on kind = 'ipv4' "
+        "and string_split(src_ip, '.')[3] = a[3] and un between cast(a[4] as int) and cast(z[4] as int)) select packet_id, label from hit"
+    ),
     "buffer_clear": _frames("packet_id, cast(len as int) as len, src_ip, cast(0 as int) as left"),
     "packet_buffer": _frames(
         "packet_id, cast(len as int) as len, src_ip, dst_ip, 'eth0' as iface, raw_hex"
