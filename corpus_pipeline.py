@@ -18,7 +18,7 @@ from netlens.llm.queries import TOKENIZER
 from netlens.session import stored
 
 #: Parts that the tokenizer remembers: fewer than alone, as the workers served other stages before.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 100_000
 #: Least quality score of a document that stays.
 LEAST_QUALITY = 0.7
 
