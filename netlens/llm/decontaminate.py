@@ -4,8 +4,11 @@ Words are runs of ASCII letters (lower-cased), digits and characters beyond ASCI
 a window of ``width`` consecutive words of a benchmark item; a shorter item is one window. Each
 document is scanned once; hits are word positions, and character offsets of the original text.
 
-The automaton is broadcast. A benchmark with more windows than one automaton may hold is cut into
-shards by a hash of the window, each shard scans all documents, and hits are united by document.
+Every word of the benchmark has a code of two or more letters, as many as its words need, so a
+window is a short string whatever its words are, and a word that the benchmark does not have is
+one fixed code. The automaton runs over codes; a match that does not begin with a code's first
+letter is none. It is built once in each Python worker from one broadcast. Both grow with the
+benchmark (about 1.5 kB a window), never with the documents.
 
 Null or empty text has no words and no hits. Repeated documents are scanned row by row, items
 that repeat (same id or same text) count once each by id; items with a null id or no word are
@@ -14,10 +17,9 @@ left out. An empty benchmark gives no hits.
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
-from collections.abc import Callable
+from dataclasses import dataclass
 
 import ahocorasick
 import pandas as pd
@@ -28,12 +30,13 @@ from pyspark.sql import functions as F
 from netlens.llm.common import map_batches
 
 WIDTH = 10
-#: Windows in one automaton; about 4 kB of memory each.
-SHARD_WINDOWS = 30_000
+#: Letters of a code; the last one stands for words that the benchmark does not have.
+LETTERS = "".join(map(chr, range(33, 126)))
+OTHER = "~"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Automata of this Python worker by the id of their broadcast, the last one only.
-_BUILT: dict[str, ahocorasick.Automaton] = {}
+#: The automaton of this Python worker by name, the last one only.
+_BUILT: dict[str, Matcher] = {}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -57,84 +60,102 @@ def patterns(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.groupBy("window").agg(F.first("n").alias("n"), F.collect_set("item_id").alias("items"))
 
 
-def _automaton(key: str, rows: list) -> ahocorasick.Automaton:
-    if key not in _BUILT:
+@dataclass(frozen=True)
+class Windows:
+    """All windows of a benchmark in codes."""
+
+    name: str  # of the automaton
+    width: int  # letters of a code
+    codes: dict[bytes, str]
+    rows: list[tuple[str, int, list[str]]]  # window, n, items
+
+
+class Matcher:
+    """The automaton of all windows."""
+
+    def __init__(self, windows: Windows):
+        self.width, self.codes = windows.width, windows.codes
+        self.other = OTHER * windows.width
+        self.automaton = ahocorasick.Automaton()
+        for window, n, items in windows.rows:
+            self.automaton.add_word(window, (n, items))
+        self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, set[int], set[str]]:
+        """Number of words, positions of hit words, ids of items."""
+        found = words(text)
+        hit: set[int] = set()
+        items: set[str] = set()
+        if len(self.automaton) and found:
+            code, other = self.codes.get, self.other
+            for end, (n, ids) in self.automaton.iter("".join([code(w, other) for w in found])):
+                last, rest = divmod(end + 1, self.width)
+                if not rest:
+                    hit.update(range(last - n, last))
+                    items.update(ids)
+        return len(found), hit, items
+
+
+def _matcher(sent: Broadcast) -> Matcher:
+    name = sent.value.name
+    if name not in _BUILT:
         _BUILT.clear()
-        built = ahocorasick.Automaton()
-        for window, n, items in rows:
-            built.add_word(window, (n, items))
-        built.make_automaton()
-        _BUILT[key] = built
-    return _BUILT[key]
-
-
-def _scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int, set[int], set[str]]:
-    """Number of words, positions of hit words, ids of items."""
-    found = words(text)
-    hit: set[int] = set()
-    items: set[str] = set()
-    if len(automaton) and found:
-        line = f" {b' '.join(found).decode('utf-8', 'surrogatepass')} "
-        spaces = at = 0
-        for end, (n, ids) in automaton.iter(line):
-            spaces += line.count(" ", at, end + 1)
-            at = end + 1
-            last = spaces - 2
-            hit.update(range(last - n + 1, last + 1))
-            items.update(ids)
-    return len(found), hit, items
+        _BUILT[name] = Matcher(sent.value)
+    return _BUILT[name]
 
 
 RESULT = "n_words long, hit array<long>, items array<string>, spans array<struct<start:long,end:long>>"
 
 
-def automata(items: DataFrame, width: int, shard_windows: int) -> list[tuple[Broadcast, str]]:
-    """The windows of each shard, broadcast, and the name of its automaton. A shard is bounded."""
-    every = patterns(items, width)
-    shards = max(1, math.ceil(every.count() / shard_windows))
-    sent = []
-    for shard in range(shards):
-        own = every.where(F.pmod(F.xxhash64("window"), F.lit(shards)) == shard)
-        rows = [(r["window"], r["n"], r["items"]) for r in own.collect()]
-        sent.append((items.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex))
-    return sent
+def code_width(n: int) -> int:
+    """Letters that codes of ``n`` words need, two at least."""
+    width = 2
+    while len(LETTERS) ** width < n:
+        width += 1
+    return width
 
 
-def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+def _code(i: int, width: int) -> str:
+    out = []
+    for _ in range(width):
+        i, digit = divmod(i, len(LETTERS))
+        out.append(LETTERS[digit])
+    return "".join(out)
+
+
+def windows_of(items: DataFrame, width: int = WIDTH) -> Broadcast:
+    """The windows of the benchmark, broadcast."""
+    rows = patterns(items, width).collect()
+    split = [r["window"].encode("utf-8", "surrogatepass").split() for r in rows]
+    every = sorted({w for found in split for w in found})
+    letters = code_width(len(every))
+    codes = {w: _code(i, letters) for i, w in enumerate(every)}
+    coded = [("".join(codes[w] for w in found), r["n"], r["items"]) for found, r in zip(split, rows, strict=True)]
+    return items.sparkSession.sparkContext.broadcast(Windows(uuid.uuid4().hex, letters, codes, coded))
+
+
+def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_words, hit (word positions), items (ids, sorted), spans
     (offsets of each hit word in the original text, end exclusive)."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    found = []
-    for sent, name in automata(items, width, shard_windows):
-
-        def start(sent=sent, name=name):
-            automaton = _automaton(name, sent.value)
-
-            def step(batch: dict) -> dict:
-                out: dict[str, list] = {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"]} | {k: [] for k in ("n_words", "hit", "items", "spans")}
-                for text in batch["text"]:
-                    n, hit, ids = _scan(text, automaton)
-                    order = sorted(hit)
-                    at = [m.span() for m in WORD.finditer(text)] if order else []
-                    spans = [{"start": at[i][0], "end": at[i][1]} for i in order]
-                    for k, v in (("n_words", n), ("hit", order), ("items", sorted(ids)), ("spans", spans)):
-                        out[k].append(v)
-                return out
-
-            return step
-
-        found.append(map_batches(rows, f"doc_id long, text_hash long, {RESULT}", start))
-    if len(found) == 1:
-        return found[0].drop("text_hash")
-    united = found[0]
-    for other in found[1:]:
-        united = united.unionByName(other)
-    # equal rows of the table are scanned alike, so they may meet and part again
-    same = united.groupBy("doc_id", "text_hash", "n_words").agg(
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit", "items", "spans")],
-        (F.count(F.lit(1)) / len(found)).cast("int").alias("rows"),
-    )
-    return same.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).drop("row", "rows", "text_hash")
+    sent = windows_of(items, width)
+
+    def start():
+        matcher = _matcher(sent)
+
+        def step(batch: dict) -> dict:
+            out: dict[str, list] = {"doc_id": batch["doc_id"]} | {k: [] for k in ("n_words", "hit", "items", "spans")}
+            for text in batch["text"]:
+                n, hit, ids = matcher.scan(text)
+                order = sorted(hit)
+                at = [m.span() for m in WORD.finditer(text)] if order else []
+                spans = [{"start": at[i][0], "end": at[i][1]} for i in order]
+                for k, v in (("n_words", n), ("hit", order), ("items", sorted(ids)), ("spans", spans)):
+                    out[k].append(v)
+            return out
+
+        return step
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), f"doc_id long, {RESULT}", start)
 
 
 def item_list(items: Column) -> Column:
@@ -142,17 +163,13 @@ def item_list(items: Column) -> Column:
     return F.array_join(items, ",")
 
 
-def _clean(sent: Broadcast, name: str) -> Callable[[Column], Column]:
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no window of the benchmark."""
+    sent = windows_of(items, width)
+
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        automaton = _automaton(name, sent.value)
-        return pd.Series([not _scan(t, automaton)[2] for t in texts], dtype=bool)
+        matcher = _matcher(sent)
+        return pd.Series([not matcher.scan(t)[2] for t in texts], dtype=bool)
 
-    return clean
-
-
-def keep_clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that hold no window of the benchmark."""
-    for sent, name in automata(items, width, shard_windows):
-        docs = docs.where(_clean(sent, name)(F.col("text")))
-    return docs
+    return docs.where(clean(F.col("text")))

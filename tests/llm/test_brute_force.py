@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from netlens.llm import decontaminate, fingerprint, graph, langid, near_dedup, packing, pii, quality, substring, toxicity
 from netlens.llm.queries import QUERIES
 
+LETTERS = decontaminate.LETTERS
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -38,8 +39,10 @@ def brute_hits(text, items, width):
     return len(w), sorted(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("shard_windows", [10_000, 7])
-def test_decontamination(spark, shard_windows):
+@pytest.mark.parametrize("letters", [LETTERS, "ab"])
+def test_decontamination(spark, letters, monkeypatch):
+    """Also with codes of many letters, where matches may begin inside a code."""
+    monkeypatch.setattr(decontaminate, "LETTERS", letters)
     rng = random.Random(5)
     items = [(i, prose(100 + i, rng.randrange(1, 30), 40)) for i in range(12)] + [(12, "Éa, the THE"), (13, items_text := prose(100, 25, 40)), (1, items_text)]
     texts = [prose(i, rng.randrange(0, 80), 40) for i in range(30)]
@@ -48,7 +51,7 @@ def test_decontamination(spark, shard_windows):
     texts += [None, "", "éa THE the Éa (the) the", texts[0], texts[0]]
     docs = documents(spark, texts)
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: r for r in decontaminate.scan(docs, table, 4, shard_windows).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.scan(docs, table, 4).collect()}
     assert len(got) == len(texts)
     for i, text in enumerate(texts):
         n, hit, ids = brute_hits(text, items, 4)
@@ -56,10 +59,18 @@ def test_decontamination(spark, shard_windows):
         covered = " ".join(text[s["start"] : s["end"]] for s in got[i]["spans"]) if text else ""
         assert sum(s["end"] > s["start"] for s in got[i]["spans"]) == len(got[i]["spans"])
         assert len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", covered)) == len(hit)
-    clean = {r["doc_id"] for r in decontaminate.keep_clean(docs, table, 4, shard_windows).collect()}
+    clean = {r["doc_id"] for r in decontaminate.keep_clean(docs, table, 4).collect()}
     assert clean == {i for i, t in enumerate(texts) if not brute_hits(t, items, 4)[1]}
 
 
+def test_one_scan_however_many_windows(spark):
+    items = spark.createDataFrame([(i, prose(i, 400, 5_000)) for i in range(100)], "item_id long, text string")
+    plan = decontaminate.keep_clean(documents(spark, ["a"]), items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    sent = decontaminate.windows_of(items).value
+    assert len(sent.rows) == 100 * 391 and {len(w) for w, _, _ in sent.rows} == {20}
+
+
 # Fingerprints -------------------------------------------------------------------
 
 
