@@ -3,10 +3,11 @@
 A text's k-mers are runs of ``k`` words, numbered by their occurrence, so that repetition counts.
 Each numbered k-mer is hashed once; the hash deals it to one of ``bins`` sketches and orders it
 there. A sketch keeps its ``depth`` minimal k-mers, puts them back into text order and hashes the
-tuple: moved text changes it, as it changes the edit distance. A fingerprint is the list of its
-sketches. Texts with fewer k-mers than bins leave sketches out.
+tuple: moved text changes it, as it changes the edit distance. A sketch with fewer k-mers takes the
+minimal ones of the next sketches, round the circle, so that short texts have all sketches and each
+keeps an order. A fingerprint is the list of its sketches.
 
-Two fingerprints agree in a share r of the sketches that either has. As all ``depth`` k-mers must
+Two fingerprints agree in a share r of the sketches. As all ``depth`` k-mers must
 agree, r estimates J to the power of depth, J being the share of k-mers in common among all, and
 ``likeness`` is 2 J / (1 + J): the share of text that they have in common.
 
@@ -28,6 +29,8 @@ from netlens.llm.common import text_of
 K = 3
 BINS = 64
 DEPTH = 2
+#: Parts of the ids, equal in rows, that are dealt to buckets each in its own measure.
+SEGMENTS = 64
 #: Documents that share a bucket of neighbouring ids, about.
 BUCKET_ROWS = 128
 #: Buckets that share a bucket of the second level.
@@ -62,16 +65,28 @@ def fingerprint(text: Column, k: int = K, bins: int = BINS, depth: int = DEPTH)
             ),
         )
 
-    def sketch(t: Column, a: Column, end: Column) -> Column:
-        least = F.slice(t, a + 1, F.least(F.lit(depth), end - a))
+    def tuple_hash(t: Column, a: Column) -> Column:
+        """Of the ``depth`` k-mers from ``a`` on, round the circle, in text order."""
+        n = F.size(t)
+        least = F.transform(F.sequence(F.lit(0), F.least(F.lit(depth), n) - 1), lambda j: F.get(t, F.pmod(a + j, n)))
         ordered = F.array_sort(F.transform(least, lambda x: F.struct(x["p"].alias("p"), x["v"].alias("v"))))
-        tuple_hash = F.xxhash64(F.transform(ordered, lambda x: x["v"]))
-        return (F.get(t, a)["b"] * 65536 + tuple_hash.bitwiseAND(65535)).cast("int")
+        return F.xxhash64(F.transform(ordered, lambda x: x["v"])).bitwiseAND(65535)
+
+    def filled(first: Column, last: Column, hashed: Column) -> Column:
+        """One tuple for the sketches ``first`` to ``last``."""
+        own = let(hashed, lambda h: F.transform(F.sequence(first, last), lambda b: (b * 65536 + h).cast("int")))
+        return F.when(first <= last, own).otherwise(F.array().cast("array<int>"))
 
     def sketches(t: Column) -> Column:
         n = F.size(t)
         starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(t, i)["b"] != F.get(t, i - 1)["b"]))
-        return let(starts, lambda at: F.transform(at, lambda a, r: sketch(t, a, F.coalesce(F.get(at, r + 1), n))))
+
+        def run(at: Column, a: Column, r: Column) -> Column:
+            before = F.when(r == 0, F.lit(-1)).otherwise(F.get(t, F.get(at, F.greatest(r - 1, F.lit(0))))["b"])
+            return filled(before + 1, F.get(t, a)["b"], tuple_hash(t, a))
+
+        runs = let(starts, lambda at: F.flatten(F.transform(at, lambda a, r: run(at, a, r))))
+        return F.concat(runs, filled(F.get(t, n - 1)["b"] + 1, F.lit(bins - 1), tuple_hash(t, F.lit(0))))
 
     def grams(h: Column) -> Column:
         count = F.greatest(F.size(h) - k, F.lit(0))
@@ -100,6 +115,33 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda v: F.lpad(F.hex(v), 8, "0")), "")
 
 
+def bucket_of(ids: list[int], n: int, doc_id: Column, text_hash: Column) -> Column:
+    """Buckets that rise with (doc_id, text_hash), of about ``BUCKET_ROWS`` rows; null for a null id.
+
+    ``ids`` are quantiles of the ``n`` ids. Between two of them ids are dealt evenly; an id that is
+    several of them, so often it stands in the table, is dealt by the hash of the text.
+    """
+    rows_each = n / max(1, len(ids) - 1)
+    out, first = F.when(doc_id.isNull(), F.lit(None).cast("long")), 0
+    values = sorted(set(ids))
+
+    def dealt(share: Column, buckets: int) -> Column:
+        return F.lit(first) + F.least(F.greatest(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("long")
+
+    for low, high in zip(values, [*values[1:], None]):
+        often = ids.count(low)
+        if often > 1:
+            buckets = max(1, round(often * rows_each / BUCKET_ROWS))
+            out = out.when(doc_id == low, dealt(text_hash.cast("double") / F.lit(2.0**64) + 0.5, buckets))
+            first += buckets
+        if high is not None:
+            buckets = max(1, round(rows_each / BUCKET_ROWS))
+            share = (doc_id.cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low) or 1.0)
+            out = out.when(doc_id < high, dealt(share, buckets))
+            first += buckets
+    return out.otherwise(F.lit(first))
+
+
 def next_buckets(buckets: DataFrame) -> DataFrame:
     """bucket and the next lower one there is; after the lowest, the highest. Two levels of
     windows, so that one task sees one row in ``BUCKET_ROWS`` times ``BUCKET_GROUP`` documents."""
@@ -120,14 +162,12 @@ def with_edits(docs: DataFrame, k: int = K, bins: int = BINS, depth: int = DEPTH
     The edited text is the document with its last half, floor(n_chars / 2) code points, replaced
     by as many first ones of the next document in descending order of id.
     """
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
-    low = span["lo"] or 0
-    width = max(1, ((span["hi"] or 0) - low + 1) * BUCKET_ROWS // max(span["n"], 1))
+    shares = F.array(*[F.lit(i / SEGMENTS) for i in range(SEGMENTS + 1)])
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    found = given.agg(F.percentile_approx("doc_id", shares).alias("ids"), F.count("doc_id").alias("n")).first()
     text_hash = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn(
-        "bucket",
-        F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), -1 - F.pmod(text_hash, F.lit(NULL_BUCKETS))),
-    )
+    no_id = -1 - F.pmod(text_hash, F.lit(NULL_BUCKETS))
+    rows = given.withColumn("bucket", F.coalesce(bucket_of(found["ids"] or [], found["n"], F.col("doc_id"), text_hash), no_id))
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), text_hash.desc())
     dealt = rows.withColumns({"next_text": F.lead("text").over(order), "rank": F.row_number().over(order)})
     after = next_buckets(rows.select("bucket").distinct())

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -83,7 +84,13 @@ def brute_fingerprint(text, k, bins, depth, hashed):
         number = seen[gram] = seen.get(gram, -1) + 1
         v = hashed[gram, number]
         out.setdefault(v % bins, []).append((v, place))
-    return {b: tuple(v for v, _ in sorted(sorted(vs)[:depth], key=lambda x: x[1])) for b, vs in out.items()}
+    circle = [(v, place) for b in sorted(out) for v, place in sorted(out[b])]
+    found, at = {}, 0
+    for b in range(bins):
+        taken = [circle[(at + j) % len(circle)] for j in range(min(depth, len(circle)))]
+        found[b] = tuple(v for v, _ in sorted(taken, key=lambda x: x[1]))
+        at += len(out.get(b, []))
+    return found
 
 
 def test_fingerprint_follows_its_definition(spark):
@@ -108,6 +115,33 @@ def test_fingerprint_follows_its_definition(spark):
         assert r["fp"] == [b * 65536 + short[s] for b, s in sorted(want[r["doc_id"]].items())]
 
 
+def test_order_counts_in_short_texts(spark):
+    """Half replaced: about half alike; halves swapped: less alike than equal, at any length."""
+    for n in (20, 40, 80, 400):
+        pairs = []
+        for seed in range(60):
+            w, other = prose(seed, n, 100_000).split(), prose(1_000 + seed, n, 100_000).split()
+            pairs += [(n, "half", " ".join(w), " ".join(w[: n // 2] + other[n // 2 :])), (n, "swap", " ".join(w), " ".join(w[n // 2 :] + w[: n // 2]))]
+        df = spark.createDataFrame(pairs, "n int, kind string, a string, b string")
+        like = fingerprint.likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b")))
+        mean = {r["kind"]: r["x"] for r in df.groupBy("kind").agg(F.avg(like).alias("x")).collect()}
+        assert 0.28 < mean["half"] < 0.6 and 0.5 < mean["swap"] < 0.9, (n, mean)
+
+
+@pytest.mark.parametrize("ids", [[*range(500), 1 << 60], [s << 40 | c for s in range(20) for c in range(100)], [7] * 900 + list(range(600)), [-(1 << 63), (1 << 63) - 1, 0, 5]])
+def test_buckets_of_ids_stay_small_and_in_order(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 8)
+    df = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    found = df.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / 64) for i in range(65)])).alias("q"), F.count("*").alias("n")).first()
+    bucket = fingerprint.bucket_of(found["q"], found["n"], F.col("doc_id"), F.xxhash64("text"))
+    rows = df.select("doc_id", F.xxhash64("text").alias("h"), bucket.alias("b")).orderBy("doc_id", "h").collect()
+    assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
+    assert max(Counter(r["b"] for r in rows).values()) <= 40
+    if len(ids) < 2_000:
+        edits = fingerprint.with_edits(df).select("edited").count()
+        assert edits == len(ids)
+
+
 def test_edits_and_neighbours(spark):
     texts = {i * 37 % 1000 - 50: prose(i, 5 + i % 60) + "é" * (i % 3) for i in range(700)} | {7_000_000: "", 7_000_001: "abc"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
