@@ -1,16 +1,25 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read a clause word by word. The insult transducer's lexicon, whole words
-and word beginnings with a weight, is learned from labelled documents: the log-odds of a form in
-toxic against clean documents. Its support counts distinct preceding words, so a text that was
-copied a thousand times supports its words once. Threat, target, negation and reported-speech
-transducers have fixed words. Composed, they turn each insult of a clause into one of four paths
-(plain, targeted, negated, reported) and a threat with a target into a fifth. A document's score
-is a logistic function of the path weights of its clauses; its coefficients start from prior
-values and are fitted on the sample.
+Five transducers read a clause word by word, one behind the other: insult, threat, target, negation
+and reported speech. Each takes the symbols that the one before puts out and adds an attribute to
+those that it accepts, so an insult can come out as negated and targeted at once; composed, they
+are one transducer, whose states are built as they are met.
+
+The insult transducer's lexicon, whole words and word beginnings with a weight, is learned from
+labelled documents: the log-odds of a form in toxic against clean documents. Its support counts
+distinct preceding words, so a text that was copied a thousand times supports its words once. The
+threat transducer accepts a verb of harm behind a subject and a modal or a form of going to
+("I will", "werde ich"), or as an order at a clause's beginning, and gives it its weight; a verb
+of harm alone is none. Target, negation and report have fixed words.
+
+A match is sorted by its strongest attribute: denied (negated) before reported before aimed
+(targeted), for insults and threats apart; a threat without a target is none. A document's score is a logistic function of the
+weights of its matches by kind; its coefficients start from prior values and are fitted on
+the sample.
 
 A null or empty text, and one without a match, gets the score of the intercept. With no row of
-one of the classes the lexicon is empty and the prior coefficients hold.
+one of the classes the lexicon is empty and the prior coefficients hold. Of an id with both
+labels the smaller counts; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -36,76 +45,117 @@ MIN_ODDS = 40.0
 MOST_FORMS = 20_000
 MEMO_WORDS = 200_000
 
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]")
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.!?;\n]")
+#: Other apostrophes, read as the plain one.
+APOSTROPHES = str.maketrans(dict.fromkeys("’‘ʼ＇`´", "'"))
 ENDS = frozenset(".!?;\n")
 # Words of the grammar in English, German, French and Spanish.
-THREAT = frozenset(
-    "kill hurt destroy shoot stab burn strangle murder beat punish töten umbringen verletzen zerstören erschießen "
-    "tuer blesser détruire frapper brûler matar herir destruir golpear quemar".split()
+HARM = frozenset(
+    "kill hurt destroy shoot stab burn strangle murder beat punish töten umbringen verletzen zerstören erschießen verbrennen "
+    "tuer blesser détruire frapper brûler tuerai blesserai détruirai matar herir destruir golpear quemar mataré heriré".split()
 )
+MODAL = frozenset("will would shall should gonna going must want 'll werde werden wird will vais va allons voy va vamos quiero".split())
+SELF = frozenset("i we he they someone somebody ich wir er jemand je nous il yo nosotros él alguien voy vamos quiero".split())
 TARGET = frozenset(
     "you your yours yourself u du dich dir dein deine ihr euch tu toi te vous votre vos tú ti usted ustedes vosotros "
     "he she they him her them".split()
 )
 NEGATION = frozenset(
-    "not no never neither nor isn't aren't wasn't don't doesn't cannot nicht kein keine niemals nie ne pas jamais "
-    "aucun nunca jamás ningún".split()
+    "not no never neither nor cannot cant dont nicht kein keine niemals nie ne pas jamais aucun nunca jamás ningún".split()
 )
 REPORT = frozenset(
     "said says say told called quoted wrote claims claimed reported sagte sagt schrieb nannte dit disait écrit appelé "
     "dijo dice escribió llamó".split()
 )
 #: Words after a negation that it reaches.
-REACH = 3
-PATHS = ("plain", "targeted", "negated", "reported", "threat")
+REACH = 6
+KINDS = ("insult", "threat")
+WAYS = ("plain", "targeted", "negated", "reported")
+PATHS = (*(f"insult_{way}" for way in WAYS), *(f"threat_{way}" for way in WAYS[1:]))
 #: Prior coefficients: the intercept, then one of each path.
-PRIOR = np.array([-3.0, 4.0, 6.0, 1.0, 1.0, 4.0])
+PRIOR = np.array([-3.0, 4.0, 6.0, 1.0, 1.0, 4.0, 0.5, 0.5])
 
 
-@dataclass
+@dataclass(frozen=True)
 class Transducer:
-    """States and arcs: (state, symbol) to (next state, output). What has no arc stays, without output."""
-
-    arcs: dict[tuple[str, str], tuple[str, str]]
-    start: str = "0"
-    rest: dict[str, str] = field(default_factory=dict)  # next state on any other symbol
+    """Reads sets of marks and puts out sets of marks.
 
-    def step(self, state: str, symbol: str) -> tuple[str, str]:
-        return self.arcs.get((state, symbol), (self.rest.get(state, state), ""))
+    ``arcs`` are tried in order: (state, mark that must be there, next state, mark that is added). A
+    symbol that no arc of the state takes passes unchanged, to the state ``rest`` (or the same).
+    """
 
+    arcs: tuple[tuple[str, str, str, str], ...]
+    rest: dict[str, str] = field(default_factory=dict)
+    start: str = "0"
 
-#: Symbols: I insult, T threat, Y target, N negation, R report, O any other word.
-TARGETS = Transducer({("0", "Y"): ("seen", ""), ("seen", "I"): ("seen", "targeted"), ("seen", "T"): ("seen", "threat"), ("0", "T"): ("threat", ""), ("threat", "Y"): ("seen", "threat")})
+    def step(self, state: str, symbol: frozenset) -> tuple[str, frozenset]:
+        for at, mark, to, added in self.arcs:
+            if at == state and mark in symbol:
+                return to, symbol | {added} if added else symbol
+        return self.rest.get(state, state), symbol
+
+
+#: An insult is what the lexicon says.
+INSULTS = Transducer((("0", "lexicon", "0", "insult"),))
+#: A verb of harm behind self and modal (or modal and self), a few words between; or first in the clause.
+THREATS = Transducer(
+    (
+        ("0", "harm", "in", "threat"), ("0", "promise", "ready", ""), ("0", "self", "self", ""), ("0", "modal", "modal", ""),
+        ("in", "promise", "ready", ""), ("in", "self", "self", ""), ("in", "modal", "modal", ""),
+        ("self", "modal", "ready", ""), ("self", "self", "self", ""), ("modal", "promise", "ready", ""), ("modal", "self", "ready", ""), ("modal", "modal", "modal", ""),
+        ("ready", "harm", "ready", "threat"), ("ready", "self", "ready", ""),
+    ),
+    rest={"0": "in"},
+)
+#: A target before or behind the match, in the clause. What comes first marks what follows.
+TARGETS = Transducer((("0", "target", "seen", ""), ("seen", "insult", "seen", "targeted"), ("seen", "threat", "seen", "targeted")))
 NEGATIONS = Transducer(
-    {(s, "N"): ("1", "") for s in ["0", *map(str, range(1, REACH + 1))]} | {(str(s), "I"): (str(s), "negated") for s in range(1, REACH + 1)},
+    tuple((str(s), "negation", "1", "") for s in range(REACH + 1))
+    + tuple((str(s), kind, str(s), "negated") for s in range(1, REACH + 1) for kind in KINDS),
     rest={str(s): str(s + 1) if s < REACH else "0" for s in range(1, REACH + 1)},
 )
-REPORTS = Transducer({("0", "R"): ("said", ""), ("said", "I"): ("said", "reported")})
+REPORTS = Transducer((("0", "report", "said", ""), *((("said", kind, "said", "reported")) for kind in KINDS)))
 
 
 class Grammar:
-    """The composition of the transducers, its product states built as they are met."""
+    """The transducers in sequence as one, its states and arcs built as they are met."""
 
-    parts = (NEGATIONS, REPORTS, TARGETS)
+    parts = (INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS)
 
     def __init__(self):
-        self.table: dict[tuple[tuple[str, ...], str], tuple[tuple[str, ...], str]] = {}
+        self.table: dict[tuple[tuple[str, ...], frozenset], tuple[tuple[str, ...], frozenset]] = {}
 
-    def step(self, state: tuple[str, ...], symbol: str) -> tuple[tuple[str, ...], str]:
+    def step(self, state: tuple[str, ...], symbol: frozenset) -> tuple[tuple[str, ...], frozenset]:
         key = (state, symbol)
         if key not in self.table:
-            moves = [part.step(s, symbol) for part, s in zip(self.parts, state, strict=True)]
-            outputs = [out for _, out in moves if out]
-            self.table[key] = (tuple(s for s, _ in moves), outputs[0] if outputs else "plain" if symbol == "I" else "")
+            moved = []
+            for part, own in zip(self.parts, state, strict=True):
+                own, symbol = part.step(own, symbol)
+                moved.append(own)
+            self.table[key] = (tuple(moved), symbol)
         return self.table[key]
 
-    def paths(self, clause: list[tuple[str, float]]) -> dict[str, float]:
-        """Summed weight of each path of one clause, given as symbols and weights."""
-        state, found = tuple(p.start for p in self.parts), dict.fromkeys(PATHS, 0.0)
+    def read(self, clause: list[tuple[frozenset, float]]) -> list[tuple[frozenset, float]]:
+        """The clause as it comes out, with its weights."""
+        state, out = tuple(p.start for p in self.parts), []
         for symbol, weight in clause:
-            state, output = self.step(state, symbol)
-            if output:
-                found[output] += weight
+            state, symbol = self.step(state, symbol)
+            out.append((symbol, weight))
+        # a target behind the match: the same transducer, from the end
+        own = TARGETS.start
+        for i in range(len(out) - 1, -1, -1):
+            own, symbol = TARGETS.step(own, out[i][0])
+            out[i] = (symbol, out[i][1])
+        return out
+
+    def paths(self, clause: list[tuple[frozenset, float]]) -> dict[str, float]:
+        """Summed weight of each path of one clause."""
+        found = dict.fromkeys(PATHS, 0.0)
+        for symbol, weight in self.read(clause):
+            for kind in KINDS:
+                if kind in symbol and (kind == "insult" or "targeted" in symbol):
+                    way = next((w for w in ("negated", "reported", "targeted") if w in symbol), "plain")
+                    found[f"{kind}_{way}"] += weight if kind == "insult" else 1.0
         return found
 
 
@@ -121,17 +171,23 @@ class Reader:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.grammar, self.memo = lexicon, Grammar(), {}
 
-    def symbol(self, word: str) -> tuple[str, float]:
+    def symbol(self, word: str) -> tuple[frozenset, float]:
+        """Classes of a word, and its weight if it is in the lexicon."""
         if word in ENDS:
-            return ("END", 0.0)
+            return (frozenset(["end"]), 0.0)
         forms = [word, *[f"{word[:n]}*" for n in STEMS if len(word) > n]]
         weight = max((self.lexicon.get(f, 0.0) for f in forms), default=0.0)
-        if weight:
-            return ("I", weight)
-        for symbol, known in (("T", THREAT), ("Y", TARGET), ("N", NEGATION), ("R", REPORT)):
-            if word in known:
-                return (symbol, 1.0)
-        return ("O", 0.0)
+        stem, _, short = word.partition("'")
+        marks = {"lexicon"} if weight else set()
+        for mark, known in (("harm", HARM), ("modal", MODAL), ("self", SELF), ("target", TARGET), ("negation", NEGATION), ("report", REPORT)):
+            if word in known or (short and (stem in known or f"'{short}" in known)):
+                marks.add(mark)
+        if word.endswith("n't"):  # isn't, won't, shouldn't
+            marks.add("negation")
+            marks |= {"modal"} if word[:-3] in ("wo", "would", "should", "sha", "must") else set()
+        if {"self", "modal"} <= marks:  # I'll, voy
+            marks.add("promise")
+        return (frozenset(marks), weight)
 
     def features(self, text: str | None) -> np.ndarray:
         """One value for each path, growing with the logarithm of its weight."""
@@ -139,22 +195,22 @@ class Reader:
         if len(memo) > MEMO_WORDS:
             memo.clear()
         symbols = []
-        for word in TOKEN.findall((text or "").lower()):
+        for word in TOKEN.findall((text or "").lower().translate(APOSTROPHES)):
             s = memo.get(word)
             if s is None:
                 s = memo[word] = self.symbol(word)
             symbols.append(s)
         sums = np.zeros(len(PATHS))
-        clause: list[tuple[str, float]] = []
+        clause: list[tuple[frozenset, float]] = []
         hot = False
         for s in symbols:
-            if s[0] == "END":
+            if "end" in s[0]:
                 if hot:
                     sums += list(self.grammar.paths(clause).values())
                 clause, hot = [], False
             else:
                 clause.append(s)
-                hot = hot or s[0] in "IT"
+                hot = hot or "lexicon" in s[0] or "harm" in s[0]
         if hot:
             sums += list(self.grammar.paths(clause).values())
         return np.log1p(sums)
@@ -184,7 +240,7 @@ def lexicon(sample: DataFrame) -> DataFrame:
         rows = set()
         for text, label in zip(batch["text"], batch["label"], strict=True):
             before = ""
-            for word in TOKEN.findall((text or "").lower()):
+            for word in TOKEN.findall((text or "").lower().translate(APOSTROPHES)):
                 if word in ENDS:
                     continue
                 if len(word) > 2:

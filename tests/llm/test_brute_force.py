@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -471,15 +472,78 @@ def test_language_held_out(spark, given):
 # Grammar and dual coordinate descent --------------------------------------------
 
 
-def test_grammar_paths():
-    reader = toxicity.Reader({"idiot": 3.0, "lowe*": 2.0})
-    got = [dict(zip(toxicity.PATHS, reader.features(t), strict=True)) for t in ("An idiot. Fine", "you idiot", "he is not an idiot", "they said idiot", "I will kill you", "kill. you", "LOWEI x", "")]
-    assert got[0]["plain"] == pytest.approx(math.log(4)) and got[1]["targeted"] == pytest.approx(math.log(4))
-    assert got[2]["negated"] > 0 and got[2]["plain"] == 0
-    assert got[3]["reported"] > 0
-    assert got[4]["threat"] > 0 and got[5]["threat"] == 0
-    assert got[6]["plain"] == pytest.approx(math.log(3))
-    assert not any(got[7].values())
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("An idiot. Fine", {"insult_plain": 3}),
+        ("you idiot", {"insult_targeted": 3}),
+        ("what an idiot you are", {"insult_targeted": 3}),
+        ("he is not an idiot", {"insult_negated": 3}),
+        ("I don’t think you are an idiot", {"insult_negated": 3}),
+        ("I didn't call you an idiot", {"insult_negated": 3}),
+        ("they said you are an idiot", {"insult_reported": 3}),
+        ("not today but you are such a big fat idiot", {"insult_targeted": 3}),
+        ("LOWEI x", {"insult_plain": 2}),
+        ("I will kill you", {"threat_targeted": 1}),
+        ("I'll kill you", {"threat_targeted": 1}),
+        ("Kill him now", {"threat_targeted": 1}),
+        ("we are going to hurt you, idiot", {"threat_targeted": 1, "insult_targeted": 3}),
+        ("I will not hurt you", {"threat_negated": 1}),
+        ("I won't hurt you", {"threat_negated": 1}),
+        ("he said he would kill you", {"threat_reported": 1}),
+        ("ich werde dich töten", {"threat_targeted": 1}),
+        ("je vais te tuer", {"threat_targeted": 1}),
+        ("te voy a matar", {"threat_targeted": 1}),
+        ("kill. you", {}),
+        ("you beat the record", {}),
+        ("the process will kill time", {}),
+        ("", {}),
+        (None, {}),
+    ],
+)
+def test_grammar_paths(text, want):
+    found = dict(zip(toxicity.PATHS, toxicity.Reader({"idiot": 3.0, "lowe*": 2.0}).features(text), strict=True))
+    assert {k: v for k, v in found.items() if v} == {k: pytest.approx(math.log1p(v)) for k, v in want.items()}
+
+
+def test_transducers_run_one_behind_the_other():
+    """Attributes add up, and the composed machine is the same as one transducer after another."""
+    reader = toxicity.Reader({"idiot": 3.0})
+    words = ["you", "idiot", "not", "said", "i", "will", "kill", "house", "no", "won't", "him"]
+    rng = random.Random(4)
+    for _ in range(2_000):
+        clause = [reader.symbol(rng.choice(words)) for _ in range(rng.randrange(1, 9))]
+        marks = [set(s) for s, _ in clause]
+        for part in toxicity.Grammar.parts:
+            state = part.start
+            for i, m in enumerate(marks):
+                state, out = part.step(state, frozenset(m))
+                marks[i] = set(out)
+        seen = False
+        for i in reversed(range(len(marks))):
+            if seen and marks[i] & {"insult", "threat"}:
+                marks[i].add("targeted")
+            seen = seen or "target" in marks[i]
+        assert [set(s) for s, _ in reader.grammar.read(clause)] == marks
+    both = reader.grammar.read([reader.symbol(w) for w in ("you", "are", "not", "an", "idiot")])[-1][0]
+    assert {"insult", "targeted", "negated"} <= both
+
+
+def test_language_scores_are_plain_sums(spark):
+    docs = documents(spark, [prose(i, 40) for i in range(40)]).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "aa").otherwise("bb"))
+    model = langid.fit(docs)
+    for text in ("abc Def, ghé", "x", prose(77, 30)):
+        points = [" ", *[c if c.isalpha() else " " for c in text.lower()], " "]
+        total = model.log_prior.astype(float).copy()
+        for n in langid.LENGTHS:
+            for i in range(len(points) - n + 1):
+                h = n
+                for j in range(n):
+                    h = ((h ^ ord(points[i + j])) * int(langid.MULTIPLIERS[j])) % (1 << 32)
+                total += model.log_prob[(h ^ (h >> 15)) & (langid.BINS - 1)]
+        (name,), (score,) = model.predict([text])
+        share = np.exp(total - total.max())
+        assert name == model.languages[int(total.argmax())] and score == pytest.approx(share.max() / share.sum(), rel=1e-4)
 
 
 def test_copies_support_a_word_once(spark):
