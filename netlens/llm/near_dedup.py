@@ -6,10 +6,12 @@ chance of 3 in 10 million. All samples are also folded into an odd sketch, a bit
 sample flips one bit; the population count of two sketches' XOR estimates their similarity, and
 candidates far below the threshold are dropped. What is left is confirmed on the full sets.
 
-Equal sets meet first, by a 128-bit hash, and one document stands for them. Bands are taken in
-three rounds, and components are found after each. A round only looks at buckets that still hold
+Equal sets meet first, by a 128-bit hash, and one document stands for them. Buckets of the first
+band with several blocks of members then take one linear pass: each block is compared inside and
+with one other block, so a large group of near copies is one component after it. Bands are taken
+in three rounds, and components are found after each. A round only looks at buckets that still hold
 members of different components. Members outside a bucket's largest component are compared with
-each other there, in blocks of bounded size; those of the largest component stay at home, in blocks
+each other there, in blocks of bounded size (in rows and in bytes of sets); those of the largest component stay at home, in blocks
 of their component, and are visited by the outsiders that share a bucket with the block, once for
 all bands. A comparison goes by the sketches, and by the full sets where these allow a link; one
 link is handed on for each two components it joins. So no pairs are listed, a group of near copies
@@ -43,8 +45,9 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Least estimated similarity of a candidate: seven standard deviations below 0.75.
 LEAST_ESTIMATE = 0.5
-#: Members of one bucket in one block; two blocks at most meet in a task.
+#: Members of one bucket in one block, about, and bytes of their sets; two blocks at most meet in a task.
 BLOCK = 500
+BLOCK_BYTES = 64 << 20
 #: Bands of each round, up to and without.
 ROUNDS = ((0, 1), (1, 4), (4, BANDS))
 #: Bits of the bitmap that picks the documents whose sets are needed.
@@ -188,9 +191,14 @@ def join_block(
     return links
 
 
+def _weight(n_shingles: Column) -> Column:
+    """What a member counts in its block: one, and more if its set is large."""
+    return F.lit(1.0) + n_shingles * (8.0 * BLOCK / BLOCK_BYTES)
+
+
 def _parts(n: str) -> Column:
-    """Number of blocks that ``n`` rows take."""
-    return F.ceil(F.col(n) / BLOCK).cast("int")
+    """Number of blocks that members of this weight take."""
+    return F.ceil(F.col(n) / (1.0 + BLOCK)).cast("int")
 
 
 def _block(parts: str) -> Column:
@@ -201,9 +209,22 @@ def _every(parts: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
 
+def _linear(buckets: DataFrame) -> DataFrame:
+    """Meetings of buckets (key, id, w) with more than one block, as in ``_meetings``: each block by
+    itself and with the bucket's first one, which grows with the members and no faster."""
+    large = buckets.groupBy("key").agg(F.sum("w").alias("n")).withColumn("parts", _parts("n")).where("parts > 1").select("key", "parts")
+    open_, tasks = settled(buckets.join(large, "key").withColumn("own", _block("parts")))
+    first = open_.where("own = 0").withColumn("c", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    inside = open_.select("key", F.col("own").alias("b"), F.col("own").alias("c"), "own", "id")
+    across = open_.where("own > 0").select("key", F.lit(0).alias("b"), F.col("own").alias("c"), "own", "id")
+    across = across.union(first.select("key", F.lit(0).alias("b"), "c", "own", "id"))
+    every = inside.union(across).coalesce(tasks)
+    return every.select(F.lit(2).alias("kind"), F.col("key").alias("a"), "b", "c", "own", "id", F.col("id").alias("component"))
+
+
 def _meetings(labelled: DataFrame) -> DataFrame:
     """Which members meet in a round: group (kind, a, b, c), own, id, component. ``labelled`` has
-    key, id and component. Members of one group with the same ``own`` need no comparison where
+    key, id, w and component. Members of one group with the same ``own`` need no comparison where
     there are two values of it."""
     counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
@@ -212,20 +233,20 @@ def _meetings(labelled: DataFrame) -> DataFrame:
     outside, inside = open_.where("component <> largest"), open_.where("component = largest")
 
     # outsiders of a bucket among themselves
-    among = outside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    among = outside.groupBy("key").agg(F.sum("w").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     among = outside.join(among.where("lo < hi").select("key", _parts("n").alias("parts")), "key").coalesce(tasks)
     among = among.withColumn("own", _block("parts")).withColumn("other", _every("parts"))
     blocks = [F.least("own", "other").alias("b"), F.greatest("own", "other").alias("c")]
     among = among.select(F.lit(0).alias("kind"), F.col("key").alias("a"), *blocks, "own", "id", "component")
 
     # blocks of largest components, and their visitors
-    home = inside.select("id", "component").distinct().coalesce(tasks)
-    sizes = home.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", _parts("n").alias("parts"))
+    home = inside.select("id", "component", "w").distinct().coalesce(tasks)
+    sizes = home.groupBy("component").agg(F.sum("w").alias("n")).select("component", _parts("n").alias("parts"))
     home = home.join(sizes, "component").withColumn("block", _block("parts")).select("id", "component", "block").coalesce(tasks)
     near = inside.select("key", "id").join(home.select("id", "block"), "id").select("key", "block").coalesce(tasks).distinct()
-    visits = outside.join(near.coalesce(tasks), "key").select(F.col("largest").alias("a"), F.col("block").alias("b"), "id", "component")
+    visits = outside.join(near.coalesce(tasks), "key").select(F.col("largest").alias("a"), F.col("block").alias("b"), "id", "component", "w")
     visits, _ = settled(visits.coalesce(tasks).distinct())
-    guests = visits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b", _parts("n").alias("parts"))
+    guests = visits.groupBy("a", "b").agg(F.sum("w").alias("n")).select("a", "b", _parts("n").alias("parts"))
     visits = visits.join(guests, ["a", "b"]).withColumn("c", _block("parts"))
     home = home.select("id", "component", F.col("component").alias("a"), F.col("block").alias("b")).join(guests, ["a", "b"]).withColumn("c", _every("parts"))
     group = [F.lit(1).alias("kind"), "a", "b", "c"]
@@ -235,11 +256,16 @@ def _meetings(labelled: DataFrame) -> DataFrame:
 
 
 def _round_links(buckets: DataFrame, found: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between members of different components that share a bucket (key, id)."""
+    """Links (u, v) between members of different components that share a bucket (key, id, w)."""
     if found is None:
         labelled = buckets.withColumn("component", F.col("id"))
     else:
         labelled = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return _links(_meetings(labelled), sets)
+
+
+def _links(meetings: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that the meetings' blocks give."""
     group = ("kind", "a", "b", "c")
     names = ("id", "component", "own", "sketch", "set")
 
@@ -269,7 +295,7 @@ def _round_links(buckets: DataFrame, found: DataFrame | None, sets: DataFrame) -
         held = []
         release()
 
-    together = _meetings(labelled).join(sets, "id").repartition(*group).sortWithinPartitions(*group, "id")
+    together = meetings.join(sets, "id").repartition(*group).sortWithinPartitions(*group, "id")
     return together.select(*group, *names).mapInArrow(run, "u long, v long")
 
 
@@ -279,17 +305,19 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = stable(signatures(docs))
     stands, _ = settled(rows.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id")))
     members = rows.join(stands.withColumnRenamed("set_hash", "h"), (F.col("doc_id") == F.col("id")) & (F.col("set_hash") == F.col("h")))
-    members, _ = settled(members.select("id", "set_hash", "bands", "sketch").dropDuplicates(["id"]), 20_000)
+    members = members.select("id", "set_hash", "bands", "sketch", _weight(F.col("n_shingles")).alias("w"))
+    members, _ = settled(members.dropDuplicates(["id"]), 20_000)
 
-    keyed = members.select(F.posexplode("bands").alias("band", "key"), "id")
+    keyed = members.select(F.posexplode("bands").alias("band", "key"), "id", "w")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets, _ = settled(keyed.join(shared, "key", "left_semi"))
     wanted = members.select("id", "set_hash").join(buckets.select("id").distinct(), "id", "left_semi")
     sets, _ = settled(_sets(docs, wanted).join(members.select("id", "sketch"), "id"), 10_000)
 
-    found = None
+    links = stable(_links(_linear(buckets.where("band = 0").select("key", "id", "w")), sets))
+    found = None if links.isEmpty() else settled(components(links))[0]
     for first, end in ROUNDS:
-        own = buckets.where((F.col("band") >= first) & (F.col("band") < end)).select("key", "id")
+        own = buckets.where((F.col("band") >= first) & (F.col("band") < end)).select("key", "id", "w")
         links = _round_links(own, found, sets)
         if found is not None:
             links = links.union(found.select("node", "component"))

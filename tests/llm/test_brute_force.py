@@ -356,6 +356,32 @@ def test_near_duplicates(spark, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def test_twenty_thousand_near_copies(spark):
+    """All of them differ by a word; meetings grow with the members, and one class comes out."""
+    base = prose(5, 100, 4_000).split()
+    rng = random.Random(7)
+    texts = []
+    for i in range(20_000):
+        own = list(base)
+        own[rng.randrange(100)] = f"x{i}"
+        texts.append(" ".join(own))
+    docs = documents(spark, texts)
+    got = near_dedup.classes(docs)
+    assert got.where("component_id <> 0 or n_shingles <> 96").isEmpty() and got.where("kept").count() == 1
+
+    buckets = spark.range(20_000).select(F.lit(1).cast("long").alias("key"), "id", F.lit(1.0).alias("w"))
+    meetings = near_dedup._linear(buckets)
+    assert meetings.count() < 3 * 20_000 + 1_000
+    sizes = meetings.groupBy("a", "b", "c").count().agg(F.max("count")).first()[0]
+    assert sizes < 3 * near_dedup.BLOCK
+
+
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 8 * 1_000)
+    rows = spark.range(40).select(F.lit(1).cast("long").alias("key"), "id", near_dedup._weight(F.lit(500)).alias("w"))
+    assert near_dedup._linear(rows).select("c").distinct().count() >= 10
+
+
 def test_odd_sketch_estimates_high_similarity():
     import numpy as np
 
