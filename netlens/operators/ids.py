@@ -37,19 +37,24 @@ def assign_ids(df: DataFrame, last_id: int, order_by: list[str] | None = None, i
     )
 
 
-def number_in_place(df: DataFrame, first: int, id_col: str = "id") -> DataFrame:
+def number_in_place(df: DataFrame, first: int, id_col: str = "id", counts: DataFrame | None = None) -> DataFrame:
     """Add ids ``first, first + 1, ...`` in the order of the partitions; no row is moved or written.
 
     Counts and rows are computed apart, so ``df`` must give the same partitions each time: stored
-    or cached rows, filtered and projected only.
+    or cached rows, filtered and projected only.  ``counts`` takes ``partition_counts`` known before.
     """
     ranked = df.withColumns(
         {"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(_ROW_BITS)}
     )
-    counts = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
+    counts = partition_counts(df) if counts is None else counts
     starts = _starts(counts, [F.col("_part")]).select(F.col("_part").alias("_of"), "_start")
     return (
         ranked.join(F.broadcast(starts), F.col("_part") == F.col("_of"))
         .withColumn(id_col, F.lit(first) + F.col("_start") + F.col("_pos"))
         .drop("_part", "_pos", "_start", "_of")
     )
+
+
+def partition_counts(df: DataFrame) -> DataFrame:
+    """``_part, _n``: rows of each partition, a row for each task."""
+    return df.groupBy(F.spark_partition_id().alias("_part")).agg(F.count("*").alias("_n"))

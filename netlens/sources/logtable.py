@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ids import number_in_place
-from ..operators.logs import LOG_COLUMNS, validate_logs, with_defaults
+from ..operators.logs import LOG_COLUMNS, validate_logs, violations, with_defaults
 from ..schema import LOGS
 
 #: Layout of an id, from high to low: batch (28 bits), writer (4 bits), position in the batch.
 POSITION_BITS, WRITER_BITS, BATCH_BITS = 31, 4, 28
+#: Log rows of one batch.
+MOST_ROWS = (1 << POSITION_BITS) - 1
 
 _PARTS = [
     T.StructField("dt", T.DateType()),
@@ -38,14 +40,22 @@ def first_id(batch: int, writer: int) -> int:
     return (batch << WRITER_BITS | writer) << POSITION_BITS
 
 
-def write_logs(df: DataFrame, path: str, source: str, batch: int = 0, writer: int = 0) -> DataFrame:
+def write_logs(df: DataFrame, path: str, source: str, batch: int = 0, writer: int = 0, rejects: str | None = None) -> DataFrame:
     """Write one batch of new log rows under new ids; returns the rejected rows.
 
     ``df`` is evaluated more than once and must give the same partitions each time (stored or
-    cached rows).  Sources that share a folder take different writer numbers.
+    cached rows).  Sources that share a folder take different writer numbers.  Rows are counted
+    first: a batch with more of them than ids have positions for is an error, and nothing is
+    written.  Rejected rows are also written to ``rejects``, if that is given and there are any.
     """
+    first = first_id(batch, writer) + 1
     valid, rejected = validate_logs(df)
-    rows = with_defaults(number_in_place(valid.drop("id"), first_id(batch, writer) + 1)).select(LOG_COLUMNS)
+    marked = df.select(F.spark_partition_id().alias("_part"), (F.size(violations(df.columns)) == 0).alias("_valid"))
+    found = marked.groupBy("_part").agg(F.count_if("_valid").alias("_n"), F.count("*").alias("_all")).collect()  # one row for each task
+    if sum(r["_n"] for r in found) > MOST_ROWS:
+        raise ValueError(f"batch {batch} has more than {MOST_ROWS} rows; cut it into smaller ones")
+    counts = df.sparkSession.createDataFrame([(r["_part"], r["_n"]) for r in found], "_part int, _n long")
+    rows = with_defaults(number_in_place(valid.drop("id"), first, counts=counts)).select(LOG_COLUMNS)
     parts = {"dt": F.to_date("timestamp"), "writer": F.lit(writer), "source": F.lit(source), "batch": F.lit(batch)}
     (
         rows.withColumns(parts)
@@ -54,6 +64,8 @@ def write_logs(df: DataFrame, path: str, source: str, batch: int = 0, writer: in
         .partitionBy(*parts)
         .parquet(path)
     )
+    if rejects is not None and any(r["_n"] < r["_all"] for r in found):
+        rejected.write.mode("overwrite").parquet(rejects)
     return rejected
 
 

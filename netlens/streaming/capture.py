@@ -104,8 +104,7 @@ class Capture:
             try:
                 append_packets(packets, f"{self.out}/packets", f"{source}-{batch_id}")
                 rows = log_records(packets, self.rules, **self.rule_options)
-                rejected = write_logs(rows, self.log_path, source, batch_id, self.writer)
-                rejected.write.mode("overwrite").parquet(f"{self.out}/rejected/batch={batch_id}")
+                write_logs(rows, self.log_path, source, batch_id, self.writer, f"{self.out}/rejected/batch={batch_id}")
             finally:
                 packets.unpersist()
 
@@ -123,8 +122,10 @@ class Capture:
     def logs(self) -> DataFrame:
         return read_logs(self.spark, self.log_path)
 
-    def rejected(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.out}/rejected")
+    def rejected(self) -> DataFrame | None:
+        """Rows that broke a column constraint; None if there were none so far."""
+        folder = f"{self.out}/rejected"
+        return self.spark.read.parquet(folder) if files.exists(self.spark, folder) else None
 
     def clear(self) -> None:
         """Empty the packet buffer; the log table is not touched."""
