@@ -189,12 +189,10 @@ def decode_fields(df: DataFrame) -> DataFrame:
     ).drop("_flags", "_data", "_end", "_type", "_net")
 
 
-def tcp_segments(df: DataFrame) -> DataFrame:
-    """TCP packets of raw or stored form with what reassembly needs, read from ``raw``.
-
-    Columns: packet_id, ts, src_ip, src_port, dst_ip, dst_port, seq, syn, payload (null if none).
-    """
-    places = {"v4": "ipv4_ihl is not null", "src_port": "tcp_src_port", "dst_port": "tcp_dst_port", "flags": "_flags",
+def _transport(df: DataFrame) -> DataFrame:
+    """TCP and UDP packets with addresses, ports and what the transport header says, read from ``raw``."""
+    places = {"v4": "ipv4_ihl is not null", "proto": "_proto", "src_port": "coalesce(tcp_src_port, udp_src_port)",
+              "dst_port": "coalesce(tcp_dst_port, udp_dst_port)", "flags": "_flags", "size": "len",
               "net": "_net", "l4": "_l4", "data": "_data", "last": "_end"}
     fence = ", ".join(f"{text} as {name}" for name, text in places.items())
     placed = _numbers(df.select("packet_id", "ts", "raw")).select("packet_id", "ts", "raw", F.expr(f"inline(array(struct({fence})))"))
@@ -202,19 +200,35 @@ def tcp_segments(df: DataFrame) -> DataFrame:
     def address(v4: str, v6: str) -> str:
         return f"if(v4, {ipv4_text('raw', f'net + {v4}')}, {ipv6_text('raw', f'net + {v6}')})"
 
-    return placed.where("src_port is not null").select(
+    ends = {"src_ip": address("12", "8"), "dst_ip": address("16", "24")}
+    return placed.where("src_port is not null").withColumns({name: F.expr(text) for name, text in ends.items()})
+
+
+def tcp_segments(df: DataFrame) -> DataFrame:
+    """TCP packets of raw or stored form with what reassembly needs.
+
+    Columns: packet_id, ts, src_ip, src_port, dst_ip, dst_port, seq, syn, payload (null if none).
+    """
+    return _transport(df).where("proto = 6").select(
         "packet_id",
         "ts",
-        F.expr(address("12", "8")).alias("src_ip"),
-        "src_port",
-        F.expr(address("16", "24")).alias("dst_ip"),
-        "dst_port",
+        *("src_ip", "src_port", "dst_ip", "dst_port"),
         F.expr("cast(conv(hex(substring(raw, l4 + 4, 4)), 16, 10) as bigint)").alias("seq"),
         F.expr("flags & 2 = 2").alias("syn"),
         F.expr("if(last >= data, substring(raw, data, last - data + 1), null)").alias("payload"),
     )
 
 
+def transport_packets(df: DataFrame) -> DataFrame:
+    """TCP and UDP packets of raw or stored form: packet_id, ts, proto, the four ends, size (bytes of
+    the frame), opens (a SYN without ACK) and closes (a FIN or RST); both false for UDP."""
+    return _transport(df).select(
+        *("packet_id", "ts", "proto", "src_ip", "src_port", "dst_ip", "dst_port", "size"),
+        F.expr("coalesce(flags & 18 = 2, false)").alias("opens"),
+        F.expr("coalesce(flags & 5 > 0, false)").alias("closes"),
+    )
+
+
 def has_layer(layer: str) -> Column:
     """True where ``layer`` is present (flat form); never null."""
     return F.col(LAYER_MARK[layer]).isNotNull()

@@ -20,7 +20,7 @@ from ..functions import (
     printable,
     trusted_issuer,
 )
-from ..operators import bindings, certificates, filters, flood, logs, prefixes, rules, tcp, views
+from ..operators import bindings, certificates, filters, flood, logs, prefixes, rules, sessions, tcp, views
 from ..operators.arp import arp_untrusted
 from ..operators.decode import fields, protocol_name, resolve_ips
 from ..operators.enrich import enrich_both_ends, enrich_ip
@@ -614,6 +614,12 @@ def stream_rates(spark, sf_dir):
     return _streamed(spark, fixture.connection_frames(spark, sf_dir), "syn-rates", lambda packets: alerts.stream_syn_rates(packets, **RATE))
 
 
+@query("flow_sessions")
+def flow_sessions(spark, sf_dir):
+    """Sessions of flows in both directions; pauses of hours, as the events lie minutes apart."""
+    return sessions.sessions(fixture.chat_frames(spark, sf_dir), idle=12 * 3_600, width=6 * 3_600)
+
+
 @query("mac_history")
 def mac_history(spark, sf_dir):
     return bindings.mac_history(fixture.claim_frames(spark, sf_dir))

@@ -106,6 +106,19 @@ STEP_FRAME = """concat('02000000C8', d, '0200000000', u, '0800', '45000028', '00
   case flags when 18 then concat('C0A801', d, '0A00', n, u) else concat('0A00', n, u, 'C0A801', d) end,
   lpad(hex(src_port), 4, '0'), lpad(hex(dst_port), 4, '0'), '0000000100000000', '50', lpad(hex(flags), 2, '0'), 'FFFF00000000')"""
 
+# Packets of a few flows, in both directions, with SYN, FIN and RST between; one flow has a third of all.
+CHATS_SQL = """
+with chats as (
+  select event_id as packet_id, ts, case when event_id % 3 = 0 then 1 else user_id % 40 + 2 end as client,
+    case when event_id % 3 = 0 then 1000 else 1000 + user_id % 3 end as port, event_id // 3 % 2 as reply,
+    case event_id // 3 % 13 when 0 then 2 when 4 then 17 when 7 then 4 when 8 then 18 else 16 end as flags, event_id % 5 = 4 as is_udp
+  from events)
+"""
+CHAT_FRAME = """concat('02000000C801', '020000000001', '0800', '45000028', '0000400040', case when is_udp then '11' else '06' end, '0000',
+  case when reply = 1 then concat('C0A80101', '0A0000', lpad(hex(client), 2, '0')) else concat('0A0000', lpad(hex(client), 2, '0'), 'C0A80101') end,
+  case when reply = 1 then concat('01BB', lpad(hex(port), 4, '0')) else concat(lpad(hex(port), 4, '0'), '01BB') end,
+  case when is_udp then '00080000' else concat('0000000100000000', '50', lpad(hex(flags), 2, '0'), 'FFFF00000000') end)"""
+
 # ARP announcements: the address of an event's user, or (every third) one hot address; the MAC moves with time.
 ARP_SQL = """
 with claims as (
@@ -218,6 +231,15 @@ def connection_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packets(spark, _written(spark, sf_dir, "connections", build_steps))
 
 
+def build_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = CHATS_SQL.replace("//", "div")
+    return spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({CHAT_FRAME}) as raw from chats", "events")
+
+
+def chat_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_packets(spark, _written(spark, sf_dir, "chats", build_chats))
+
+
 def build_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = ARP_SQL.replace("//", "div")
     claims = spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({ARP_FRAME}) as raw from claims", "events")

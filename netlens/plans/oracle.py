@@ -6,7 +6,7 @@ never the bytes, so a decoded value is compared with an independent one.
 
 from __future__ import annotations
 
-from .fixture import ARP_SQL, EXTENDED_SQL, FRAMES_SQL, HOSTS_SQL, NETWORKS_SQL, RANGES_SQL, SOURCES_SQL, STEPS_SQL
+from .fixture import ARP_SQL, CHATS_SQL, EXTENDED_SQL, FRAMES_SQL, HOSTS_SQL, NETWORKS_SQL, RANGES_SQL, SOURCES_SQL, STEPS_SQL
 
 # Known field values per frame; null where the layer is absent.
 _KNOWN = (
@@ -451,6 +451,20 @@ ORACLE_SQL: dict[str, str] = {
         "hit as (select packet_id, label, cast(z[4] as int) - cast(a[4] as int) as size, cast(a[4] as int) as begin, cast(z[4] as int) as stop from t join spans on kind = 'ipv4' "
         "and string_split(src_ip, '.')[3] = a[3] and un between cast(a[4] as int) and cast(z[4] as int)) select packet_id, label from hit"
     ),
+    "flow_sessions": (
+        CHATS_SQL.rstrip() + """,
+p as (select *, cast(case when is_udp then 17 else 6 end as int) as proto, not is_udp and flags = 2 as opens, not is_udp and flags in (17, 4) as closes from chats),
+c as (select *, coalesce(sum(closes::int) over w, 0) as n_closed, lag(ts) over (partition by proto, client, port order by ts, packet_id) as last_ts
+      from p window w as (partition by proto, client, port order by ts, packet_id rows between unbounded preceding and 1 preceding)),
+s as (select *, coalesce(last_value(case when opens then n_closed end ignore nulls) over w, 0) as at_syn
+      from c window w as (partition by proto, client, port order by ts, packet_id rows between unbounded preceding and 1 preceding)),
+n as (select *, sum((last_ts is null or ts > last_ts + interval 12 hour or (opens and n_closed > at_syn))::int)
+        over (partition by proto, client, port order by ts, packet_id) as session from s)
+select proto, '10.0.0.' || client as low_ip, cast(port as int) as low_port, '192.168.1.1' as high_ip, cast(443 as int) as high_port,
+  cast(session as bigint) as session, min(ts) as first_ts, max(ts) as last_ts, count(*) as n_packets,
+  cast(sum(case when is_udp then 42 else 54 end) as bigint) as n_bytes, count(*) filter (reply = 0) as n_from_low, bool_or(opens) as opened, bool_or(closes) as closed
+from n group by proto, client, port, session"""
+    ),
     "buffer_clear": _frames("packet_id, cast(len as int) as len, src_ip, cast(0 as int) as left"),
     "packet_buffer": _frames(
         "packet_id, cast(len as int) as len, src_ip, dst_ip, 'eth0' as iface, raw_hex"
