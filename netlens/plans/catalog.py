@@ -31,7 +31,11 @@ from ..session import scratch_dir, tune
 from ..sources import (
     append_packets,
     clear_buffer,
+    end_of,
+    log_page,
     merge_date,
+    packet_page,
+    packets_since,
     read_buffer,
     read_captures,
     read_logs,
@@ -744,6 +748,39 @@ def buffer_clear(spark, sf_dir):
     return read_buffer(spark, out).select("packet_id", "len", "src_ip", F.lit(left).alias("left"))
 
 
+@query("packet_page")
+def third_page(spark, sf_dir):
+    """The third page of 300 packets, each begun behind the one before."""
+    out = scratch_dir(spark, "paged")
+    append_packets(packets_raw(spark, sf_dir), out)
+    cursor = None
+    for _ in range(2):
+        cursor = end_of(packet_page(spark, out, cursor, 300))
+    return packet_page(spark, out, cursor, 300).select("packet_id", "ts", "len", "src_ip")
+
+
+@query("log_page")
+def second_log_page(spark, sf_dir):
+    """The second page of 200 log rows."""
+    path = scratch_dir(spark, "log-page")
+    write_table(base_logs(spark, sf_dir), path)
+    last = log_page(spark, path, 0, 200).agg(F.max("id")).first()[0]
+    return log_page(spark, path, last, 200).select(SHOWN)
+
+
+@query("stream_new_packets")
+def stream_new_packets(spark, sf_dir):
+    """A capture looked at after its first batch: later looks read what is new."""
+    out = scratch_dir(spark, "new-packets")
+    frames = packets_raw(spark, sf_dir)
+    capture = Capture(spark, f"new-{out[-8:]}", out)
+    for part in (frames.filter("packet_id % 2 = 0"), frames.filter("packet_id % 2 = 1")):
+        part.write.mode("append").parquet(f"{out}/landing")
+        running = capture.start(stream_packets(spark, f"{out}/landing"), available_now=True)
+        running.awaitTermination()
+    return packets_since(spark, f"{out}/packets", str(running.id), 0).select("packet_id", "len", "src_ip")
+
+
 @query("packet_buffer")
 def packet_buffer(spark, sf_dir):
     """Frames through the stored form: append, then read header columns back."""

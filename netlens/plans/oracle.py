@@ -465,6 +465,9 @@ select proto, '10.0.0.' || client as low_ip, cast(port as int) as low_port, '192
   cast(sum(case when is_udp then 42 else 54 end) as bigint) as n_bytes, count(*) filter (reply = 0) as n_from_low, bool_or(opens) as opened, bool_or(closes) as closed
 from n group by proto, client, port, session"""
     ),
+    "packet_page": f"{_KNOWN} select packet_id, ts, cast(len as int) as len, src_ip from t order by ts, packet_id limit 300 offset 600",
+    "log_page": f"{_LOGS} select id, {_BODY} from logs where id between 201 and 400",
+    "stream_new_packets": _frames("packet_id, cast(len as int) as len, src_ip", "packet_id % 2 = 1"),
     "buffer_clear": _frames("packet_id, cast(len as int) as len, src_ip, cast(0 as int) as left"),
     "packet_buffer": _frames(
         "packet_id, cast(len as int) as len, src_ip, dst_ip, 'eth0' as iface, raw_hex"
