@@ -47,7 +47,7 @@ MEMO_WORDS = 200_000
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.!?;\n]")
 #: Other apostrophes, read as the plain one.
-APOSTROPHES = str.maketrans(dict.fromkeys("’‘ʼ＇`´", "'"))
+APOSTROPHES = "’‘ʼ＇`´"
 ENDS = frozenset(".!?;\n")
 # Words of the grammar in English, German, French and Spanish.
 HARM = frozenset(
@@ -165,6 +165,15 @@ class ToxicityModel:
     coefficients: np.ndarray
 
 
+def tokens(text: str | None) -> list[str]:
+    """Words in lower case, and the signs that end clauses."""
+    lower = (text or "").lower()
+    for sign in APOSTROPHES:
+        if sign in lower:
+            lower = lower.replace(sign, "'")
+    return TOKEN.findall(lower)
+
+
 class Reader:
     """Path weights of whole texts under a lexicon."""
 
@@ -195,24 +204,21 @@ class Reader:
         if len(memo) > MEMO_WORDS:
             memo.clear()
         symbols = []
-        for word in TOKEN.findall((text or "").lower().translate(APOSTROPHES)):
+        for word in tokens(text):
             s = memo.get(word)
             if s is None:
-                s = memo[word] = self.symbol(word)
+                marks, weight = self.symbol(word)
+                # 2 ends a clause, 1 makes it worth reading
+                s = memo[word] = (marks, weight, 2 if "end" in marks else int("lexicon" in marks or "harm" in marks))
             symbols.append(s)
         sums = np.zeros(len(PATHS))
-        clause: list[tuple[frozenset, float]] = []
-        hot = False
-        for s in symbols:
-            if "end" in s[0]:
-                if hot:
-                    sums += list(self.grammar.paths(clause).values())
-                clause, hot = [], False
-            else:
-                clause.append(s)
-                hot = hot or "lexicon" in s[0] or "harm" in s[0]
-        if hot:
-            sums += list(self.grammar.paths(clause).values())
+        kinds = bytes([s[2] for s in symbols])
+        at = kinds.find(1)
+        while at >= 0:
+            begin, end = kinds.rfind(2, 0, at) + 1, kinds.find(2, at)
+            end = len(kinds) if end < 0 else end
+            sums += list(self.grammar.paths([s[:2] for s in symbols[begin:end]]).values())
+            at = kinds.find(1, end)
         return np.log1p(sums)
 
 
@@ -240,7 +246,7 @@ def lexicon(sample: DataFrame) -> DataFrame:
         rows = set()
         for text, label in zip(batch["text"], batch["label"], strict=True):
             before = ""
-            for word in TOKEN.findall((text or "").lower().translate(APOSTROPHES)):
+            for word in tokens(text):
                 if word in ENDS:
                     continue
                 if len(word) > 2:
@@ -249,7 +255,7 @@ def lexicon(sample: DataFrame) -> DataFrame:
         return {k: [r[i] for r in rows] for i, k in enumerate(("form", "label", "before"))}
 
     def words(batch: dict) -> dict:
-        return {"label": batch["label"], "n": [len(TOKEN.findall((t or "").lower())) for t in batch["text"]]}
+        return {"label": batch["label"], "n": [len(tokens(t)) for t in batch["text"]]}
 
     def count(label: int):
         return F.sum((F.col("label") == label).cast("long"))
