@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the
 columns of ``documents`` unchanged in name and type, but for the last, which returns pieces. Each
 result is written as Parquet and read again by the next stage.
+
+Null and empty texts go through all stages where the quality model keeps them: they have no
+near-duplicate, no benchmark passage and nothing to mask, and pack as one end id. Rows that repeat
+an id and a text become one in the second stage; rows without an id all stay there. Other columns
+pass, whatever their names. An empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
