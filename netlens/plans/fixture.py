@@ -170,9 +170,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table (a single file) dealt out to all cores, before larger rows are built of it."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+
+
+def spark_sql(spark: SparkSession, sf_dir: str, text: str, *names: str, read=table) -> DataFrame:
     """Run SQL over driver tables, without registering views."""
-    frames = {name: table(spark, sf_dir, name) for name in names}
+    frames = {name: read(spark, sf_dir, name) for name in names}
     for name in names:
         text = text.replace(f"from {name}", f"from {{{name}}}")
     return spark.sql(text, **frames)
@@ -182,25 +187,23 @@ def build_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = FRAMES_SQL.replace("//", "div") + (
         "select packet_id, ts, 'eth0' as iface, unhex(raw_hex) as raw from frames"
     )
-    return spark_sql(spark, sf_dir, text, "events")
+    return spark_sql(spark, sf_dir, text, "events", read=spread)
 
 
 def _variant(text: str, column: str):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         select = f"select packet_id, ts, 'eth0' as iface, unhex({column}_hex) as raw from {column}"
-        return spark_sql(spark, sf_dir, (FRAMES_SQL.rstrip() + text + select).replace("//", "div"), "events")
+        return spark_sql(spark, sf_dir, (FRAMES_SQL.rstrip() + text + select).replace("//", "div"), "events", read=spread)
 
     return build
 
 
 def _written(spark: SparkSession, sf_dir: str, name: str, build) -> str:
-    """Folder of a derived table, written once per application and input."""
+    """Folder of a derived table, written once per application and input; a capture lies in many files."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _FOLDERS:
         folder = scratch_dir(spark, name)
-        # The driver tables are single files; a capture lies in many.
-        parts = spark.sparkContext.defaultParallelism
-        build(spark, sf_dir).repartition(parts).write.parquet(folder)
+        build(spark, sf_dir).write.parquet(folder)
         _FOLDERS[key] = folder
     return _FOLDERS[key]
 
@@ -223,7 +226,7 @@ def packets_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = STEPS_SQL.replace("e.* exclude (ts)", "event_id, user_id, dn, client_port")
-    return spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({STEP_FRAME}) as raw from steps", "events")
+    return spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({STEP_FRAME}) as raw from steps", "events", read=spread)
 
 
 def connection_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +236,7 @@ def connection_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = CHATS_SQL.replace("//", "div")
-    return spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({CHAT_FRAME}) as raw from chats", "events")
+    return spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({CHAT_FRAME}) as raw from chats", "events", read=spread)
 
 
 def chat_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +245,7 @@ def chat_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = ARP_SQL.replace("//", "div")
-    claims = spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({ARP_FRAME}) as raw from claims", "events")
+    claims = spark_sql(spark, sf_dir, f"{text} select packet_id, ts, 'eth0' as iface, unhex({ARP_FRAME}) as raw from claims", "events", read=spread)
     data = build_frames(spark, sf_dir).where("packet_id % 20 <> 0").withColumn("packet_id", F.col("packet_id") * 2)  # no ARP frames
     return claims.unionByName(data.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(1))))
 
@@ -272,7 +275,7 @@ def _at(key: Column, order: Column) -> Column:
 
 def build_document_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as TCP payloads of 1,000 bytes, out of order, every fifth one twice; every second stream with its SYN."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.hex(F.col("text").cast("binary")).alias("text"))
+    docs = spread(spark, sf_dir, "documents").select("doc_id", F.hex(F.col("text").cast("binary")).alias("text"))
     number = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 2000).cast("int"))
     parts = docs.where("length(text) > 0").select("doc_id", "text", F.explode(number).alias("i"))
     parts = parts.select("doc_id", F.col("i").cast("long").alias("i"), F.substring("text", F.col("i") * 2000 + 1, F.lit(2000)).alias("part"))
@@ -312,7 +315,7 @@ def build_handshakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda value: F.hex(value.cast("binary"))
     sized = lambda value: F.concat(F.lpad(F.hex(F.length(value) / 2), 6, "0"), value)
     key = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit("TrustedCA"), F.col("c_nationkey").cast("string")).alias("ca"))
+    rows = spread(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit("TrustedCA"), F.col("c_nationkey").cast("string")).alias("ca"))
     rows = rows.withColumns(
         {
             "issuer": _common_name(F.when(key % 11 == 0, F.col("c_name")).otherwise(F.col("ca"))),
@@ -359,7 +362,7 @@ def handshakes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, repeated to over 65,536 bytes, as an IPv4 TCP payload (total length 0)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(spark, sf_dir, "documents")
     body = F.expr("repeat(text, cast(70000 div length(text) + 1 as int))").cast("binary")
     header = F.lit("02000000C801020000000001080045000000000040004006" + "00000A000001C0A80101" + "01BB1F9000000001000000005018FFFF00000000")
     return docs.select(
@@ -379,7 +382,8 @@ def captures(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, "captures")
     if key not in _FOLDERS:
         folder = scratch_dir(spark, "captures")
-        write_captures(packets_raw(spark, sf_dir).repartition(3, "packet_id"), folder)
+        files = max(3, spark.sparkContext.defaultParallelism)
+        write_captures(packets_raw(spark, sf_dir).repartition(files, "packet_id"), folder)
         _FOLDERS[key] = folder
     return _FOLDERS[key]
 
@@ -461,7 +465,7 @@ def build_page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Total length 0 (as written by offloading hardware) where 16 bits are too few.
     """
-    page = table(spark, sf_dir, "pages")
+    page = spread(spark, sf_dir, "pages")
     body = F.concat(
         F.when(F.col("page_id") % 2 == 0, "HTTP/1.1 200 OK\n").otherwise(""), F.col("html")
     ).cast("binary")

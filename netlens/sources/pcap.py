@@ -3,9 +3,11 @@
 Spark lists the files, through whatever file system the path names (its default one for a path
 without scheme).  Large files are read in ranges of about ``split_bytes``.  A first job finds, for
 each split, where a record begins: the place from which a long chain of record headers makes
-sense.  A second job reads every range from its first record to the next range's; a range that
-does not end exactly there is an error, so a mistaken place is never passed over in silence.  No
-file is walked by one task, and only a few kilobytes are read twice.
+sense.  Records need not lie in order of time; a header's time must lie within ``SPAN`` of the file's
+first one.  The search begins a little before the split, so that a chain that was entered by chance
+has met the true one there, and ends with the split.  A second job reads every range from its first
+record to the next range's; a range that does not end exactly there is an error, so a mistaken place is
+never passed over in silence.  No file is walked by one task, and only a few kilobytes are read twice.
 
 ``file`` and ``offset`` identify a packet; ``packet_id`` is a 64-bit hash of both and so does not
 change when other files arrive.  The interface is the ``iface`` argument or an ``iface=<name>``
@@ -27,7 +29,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -43,10 +45,16 @@ FILE_HEADER, RECORD_HEADER, LINK_ETHERNET = 24, 16, 1
 
 BATCH_BYTES = 8 * 1024 * 1024
 SPLIT_BYTES = 128 * 1024 * 1024
+#: Bytes of a task that reads ranges smaller than that; starting a task takes longer than reading a small range.
+TASK_BYTES = 16 * 1024 * 1024
 #: No Ethernet capture has longer records; a header that says so is damaged.
 MOST_BYTES = 1 << 28
 #: Record headers in a row that make a place count as the beginning of a record.
 CHAIN = 64
+#: Seconds that a file's records lie at most from its first one; a file of which that is not so is read in fewer ranges.
+SPAN = 10 * 365 * 86_400
+#: Bytes before a split in which the search for its first record begins.
+LOOK_BACK = 65_536
 
 PACKETS = "packet_id long, ts timestamp_ntz, iface string, raw binary, file string, offset long, damage string"
 ARROW = pa.schema(
@@ -92,10 +100,25 @@ def _file_header(stream, path: str) -> tuple[str, int, int]:
     return order, ticks, min(snaplen or MOST_BYTES, MOST_BYTES)
 
 
-def _is_record(buffer: bytes, at: int, order: str, ticks: int, most: int, whole: bool) -> bool | None:
+def _times(stream, order: str, ticks: int, most: int) -> tuple[int, int] | None:
+    """Earliest and latest second of the file's records, by its first one.
+
+    None if that cannot be told, or if fractions of a second would pass as seconds.
+    """
+    stream.seek(FILE_HEADER)
+    head = stream.read(RECORD_HEADER)
+    if len(head) < RECORD_HEADER:
+        return None
+    seconds, fraction, kept, size = struct.unpack(order + "IIII", head)
+    if not (fraction < ticks <= seconds - SPAN and 0 < kept <= min(size, most) and size <= MOST_BYTES):
+        return None
+    return seconds - SPAN, seconds + SPAN
+
+
+def _is_record(buffer: bytes, at: int, order: str, ticks: int, most: int, whole: bool, times: tuple[int, int] | None = None) -> bool | None:
     """Does a chain of plausible records begin here?  None: the buffer is too short to tell.
 
-    ``whole``: the buffer ends with the file.
+    ``whole``: the buffer ends with the file.  Without ``times`` neighbours lie within a week.
     """
     unpack = struct.Struct(order + "IIII").unpack_from
     near = None
@@ -105,18 +128,32 @@ def _is_record(buffer: bytes, at: int, order: str, ticks: int, most: int, whole:
         if at + RECORD_HEADER > len(buffer):
             return False if whole else None
         seconds, fraction, kept, size = unpack(buffer, at)
-        in_time = near is None or abs(seconds - near) <= 7 * 86_400
+        in_time = times[0] <= seconds <= times[1] if times else near is None or abs(seconds - near) <= 7 * 86_400
         if not (in_time and fraction < ticks and 0 < kept <= min(size, most) and size <= MOST_BYTES):
             return False
         near, at = seconds, at + RECORD_HEADER + kept
     return True
 
 
-def first_record(path: str, split: int, size: int) -> int | None:
-    """Offset of the first record that begins at or after ``split``; None if none is found."""
+def first_record(path: str, split: int, size: int, until: int | None = None) -> int | None:
+    """Offset of the first record that begins at or after ``split`` (and before ``until``); None if none is found."""
+    until = size if until is None else min(until, size)
     with _open(path) as stream:
         order, ticks, most = _file_header(stream, path)
-        return _next_record(stream, order, ticks, most, split, size)
+        times = _times(stream, order, ticks, most)
+        before = split - LOOK_BACK
+        if before > FILE_HEADER:
+            found = _next_record(stream, order, ticks, most, before, size, times, split)
+        else:
+            found = FILE_HEADER
+        # an earlier record leads here, if its followers do
+        while found is not None and found < split:
+            stream.seek(found)
+            head = stream.read(RECORD_HEADER)
+            found = found + RECORD_HEADER + struct.unpack(order + "IIII", head)[2] if len(head) == RECORD_HEADER else None
+        if found is not None and found < size and _next_record(stream, order, ticks, most, found, size, times, found + 1) is not None:
+            return found if found < until else None
+        return _next_record(stream, order, ticks, most, split, size, times, until)
 
 
 def _records(stream, order: str, ticks: int, path: str, first: int, last: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -143,28 +180,33 @@ def _records(stream, order: str, ticks: int, path: str, first: int, last: int) -
         pos += need
 
 
-def _next_record(stream, order: str, ticks: int, most: int, after: int, last: int) -> int | None:
-    """The first place behind ``after`` where records begin that make sense, up to ``last``."""
-    reach = 1 << 20
-    while True:
+def _next_record(
+    stream, order: str, ticks: int, most: int, after: int, last: int, times: tuple[int, int] | None, until: int | None = None
+) -> int | None:
+    """The first place from ``after`` on, and before ``until``, where records begin that make sense up to ``last``."""
+    reach, until = 1 << 17, last if until is None else min(until, last)
+    while after < until:
         stream.seek(after)
         buffer = stream.read(min(reach, last - after))
         whole = after + len(buffer) >= last
-        for at in range(len(buffer)):
-            found = _is_record(buffer, at, order, ticks, most, whole)
+        for at in range(min(len(buffer), until - after)):
+            found = _is_record(buffer, at, order, ticks, most, whole, times)
             if found:
                 return after + at
             if found is None:
                 break
-        if whole:
+        else:
             return None
-        reach *= 4
+        # go on at the place that needs more bytes than were read
+        after, reach = after + at, reach if at else reach * 4
+    return None
 
 
 def read_range(path: str, iface: str | None, first: int, last: int, permissive: bool = False) -> Iterator[pa.RecordBatch]:
     """Arrow batches of the records of one file from ``first`` to exactly ``last``."""
     with _open(path) as stream:
         order, ticks, most = _file_header(stream, path)
+        times = _times(stream, order, ticks, most) if permissive else None
         rows, held, at = [], 0, first
         while at is not None:
             try:
@@ -180,7 +222,7 @@ def read_range(path: str, iface: str | None, first: int, last: int, permissive:
                 if not permissive:
                     raise
                 rows.append((None, None, at, str(e)))
-                at = _next_record(stream, order, ticks, most, at + 1, last)
+                at = _next_record(stream, order, ticks, most, at + 1, last, times)
         if rows:
             yield _batch(rows, iface, path)
 
@@ -222,12 +264,12 @@ def capture_ranges(spark: SparkSession, path: str, iface: str | None = None, spl
                         _file_header(stream, row["file"])
                     first = FILE_HEADER
                 else:
-                    first = first_record(row["file"], row["split"], row["size"])
+                    first = first_record(row["file"], row["split"], row["size"], row["split"] + split_bytes)
                 if first is not None:
                     rows.append(row | {"first": first})
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema.append(pa.field("first", pa.int64())))
 
-    pieces = _pieces(splits)
+    pieces = _pieces(splits, F.least(F.col("size") - F.col("split"), F.lit(split_bytes)))
     starts = splits.repartition(pieces, "file", "split").mapInArrow(place, "file string, iface string, size long, split long, first long")
     # the next range's first record, or the end of the file: a window over one file's splits
     distinct = starts.select("file", "iface", "size", "first").distinct()
@@ -235,8 +277,11 @@ def capture_ranges(spark: SparkSession, path: str, iface: str | None = None, spl
     return distinct.withColumn("last", F.coalesce(after, F.col("size"))).select("file", "iface", "first", "last")
 
 
-def _pieces(rows: DataFrame) -> int:
-    return max(1, rows.count())
+def _pieces(rows: DataFrame, size: Column) -> int:
+    """Tasks for ranges of so many bytes: one each, but a task of many small ranges takes ``TASK_BYTES``."""
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    least = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(n, max(least, total // TASK_BYTES)))
 
 
 def read_captures(
@@ -253,7 +298,7 @@ def read_captures(
 
     # listing and placing run once: counting and reading both take the stored ranges
     ranges = stored(capture_ranges(spark, path, iface, split_bytes).where("first < last"), "ranges")
-    packets = ranges.repartition(_pieces(ranges), "file", "first").mapInArrow(read, ROWS)
+    packets = ranges.repartition(_pieces(ranges, F.col("last") - F.col("first")), "file", "first").mapInArrow(read, ROWS)
     return packets.select(F.xxhash64("file", "offset").alias("packet_id"), "ts", "iface", "raw", "file", "offset", "damage")
 
 

@@ -1,5 +1,6 @@
 import datetime
 import os
+import random
 import struct
 
 import pytest
@@ -191,3 +192,62 @@ def test_bad_files_are_errors(spark, tmp_path):
     text.write_text("this is no capture file, only text")
     with pytest.raises(Exception, match="not a capture file"):
         read_captures(spark, str(text)).count()
+
+
+def spans_of_records(path, rows):
+    """Offsets at which the records of ``rows`` begin."""
+    places = [24]
+    for _, frame in rows:
+        places.append(places[-1] + 16 + len(frame))
+    return places[:-1]
+
+
+def test_records_out_of_order_in_time(spark, captures, tmp_path):
+    """Neighbours weeks apart: every split finds its record near by, and none looks through the file."""
+    rows = list(captures[1])
+    random.Random(3).shuffle(rows)
+    path = str(tmp_path / "mixed" / "x.pcap")
+    write_pcap(path, rows)
+    places, size = spans_of_records(path, rows), os.path.getsize(path)
+    for split in range(300_000, size, 300_000):
+        assert pcap.first_record(path, split, size, split + 300_000) == min(p for p in places if p >= split)
+    assert capture_ranges(spark, path, split_bytes=300_000).count() == -(-size // 300_000)
+    for read in (read_captures, scan_captures):
+        assert content(read(spark, path, split_bytes=300_000)) == sorted(rows)
+    with open(path, "r+b") as f:
+        f.seek(places[4_000] + 4)
+        f.write(b"\xff" * 12)
+    df = read_captures(spark, path, permissive=True)
+    assert content(df.where("damage is null")) == sorted(r for i, r in enumerate(rows) if i != 4_000)
+
+
+def test_the_search_ends_with_its_split(tmp_path):
+    """Nothing but bytes that are no records behind the first one: the next splits find nothing, and say so."""
+    path = str(tmp_path / "zeros.pcap")
+    write_pcap(path, [(datetime.datetime(2024, 1, 1), b"\0" * 2_000_000)])
+    size = os.path.getsize(path)
+    looked = []
+    real, pcap._is_record = pcap._is_record, lambda *a, **b: looked.append(1) or real(*a, **b)
+    try:
+        assert pcap.first_record(path, 500_000, size, 510_000) is None
+    finally:
+        pcap._is_record = real
+    assert len(looked) <= 10_000 + pcap.LOOK_BACK
+
+
+def test_a_chain_entered_by_chance_meets_the_true_one(tmp_path):
+    """Bytes that look like a header and lead to a true record: not taken if they lie before the split's first record."""
+    ts = datetime.datetime(2024, 1, 1)
+    false = struct.pack("<IIII", 1_704_067_200, 0, 1_000 - 116, 1_000 - 116)
+    rows = [(ts, b"p" * 100 + false + b"q" * (1_000 - 116)) for _ in range(400)]
+    path = str(tmp_path / "led.pcap")
+    write_pcap(path, rows)
+    places, size = spans_of_records(path, rows), os.path.getsize(path)
+    for split in (places[200] + 1, places[200] + 110, places[200] + 116, places[201]):
+        assert pcap.first_record(path, split, size) == places[201]
+
+
+def test_many_small_ranges_share_a_task(spark, captures):
+    df = read_captures(spark, captures[0], split_bytes=20_000)
+    assert df.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert content(df) == sorted(captures[1])
