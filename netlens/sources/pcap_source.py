@@ -40,10 +40,12 @@ from .pcap import (
     RECORD_HEADER,
     ROWS,
     SPLIT_BYTES,
+    TASK_BYTES,
     Damaged,
     _file_header,
     _is_record,
     _open,
+    _times,
     first_record,
     locate,
     read_range,
@@ -53,6 +55,8 @@ from .pcap import (
 TAIL_BYTES = 4 * 1024 * 1024
 #: Steps after which the log is summed up.
 SUMMED_EVERY = 20
+#: Tasks of a step from which on small neighbouring parts share one.
+TASKS = 256
 
 
 @dataclass
@@ -68,15 +72,14 @@ class CaptureRange(InputPartition):
     exact: int = FILE_HEADER  # beginning of that range
 
     def read(self) -> Iterator[pa.RecordBatch]:
-        first, last = (self._placed(at) for at in (self.low, self.high))
-        if first < last:
-            yield from read_range(self.file, self.iface, first, last, self.permissive)
+        first = self._placed(self.low, self.high)
+        if first is not None and first < self.end:
+            last = self._placed(self.high)
+            yield from read_range(self.file, self.iface, first, self.end if last is None else last, self.permissive)
 
-    def _placed(self, at: int) -> int:
-        if at in (self.exact, self.end):
-            return at
-        found = first_record(self.file, at, self.end)
-        return self.end if found is None else found
+    def _placed(self, at: int, until: int | None = None) -> int | None:
+        """The first record from there on; without one before ``until`` the part is read with an earlier one."""
+        return at if at in (self.exact, self.end) else first_record(self.file, at, self.end, until)
 
 
 def cut(file: str, iface: str | None, first: int, last: int, split_bytes: int, permissive: bool) -> list[CaptureRange]:
@@ -85,6 +88,33 @@ def cut(file: str, iface: str | None, first: int, last: int, split_bytes: int, p
     return [CaptureRange(file, iface, a, b, last, permissive, first) for a, b in zip(edges, edges[1:])]
 
 
+@dataclass
+class Neighbours(InputPartition):
+    """Parts of one file that one task reads one after another."""
+
+    parts: list[CaptureRange]
+
+    @property
+    def file(self) -> str:
+        return self.parts[0].file
+
+    def read(self) -> Iterator[pa.RecordBatch]:
+        for part in self.parts:
+            yield from part.read()
+
+
+def dealt(parts: list[CaptureRange]) -> list[Neighbours]:
+    """Parts as tasks: each its own, unless there are more than ``TASKS`` of less than ``TASK_BYTES``."""
+    most = min(TASK_BYTES, sum(p.high - p.low for p in parts) // TASKS)
+    tasks: list[Neighbours] = []
+    for part in parts:
+        if tasks and tasks[-1].file == part.file and part.high - tasks[-1].parts[0].low <= most:
+            tasks[-1].parts.append(part)
+        else:
+            tasks.append(Neighbours([part]))
+    return tasks
+
+
 def whole_end(path: str, at: int, size: int, permissive: bool) -> int:
     """End of the last whole record of the file's first ``size`` bytes; one ends at ``at``."""
     with _open(path) as stream:
@@ -92,8 +122,8 @@ def whole_end(path: str, at: int, size: int, permissive: bool) -> int:
         unpack = struct.Struct(order + "IIII").unpack_from
         if size - at > TAIL_BYTES:
             stream.seek(size - TAIL_BYTES)
-            buffer = stream.read(TAIL_BYTES)
-            tail = (i for i in range(TAIL_BYTES // 2) if _is_record(buffer, i, order, ticks, most, whole=False))
+            buffer, times = stream.read(TAIL_BYTES), _times(stream, order, ticks, most)
+            tail = (i for i in range(TAIL_BYTES // 2) if _is_record(buffer, i, order, ticks, most, False, times))
             at = next((size - TAIL_BYTES + i for i in tail), at)
         stream.seek(at)
         while at + RECORD_HEADER <= size:
@@ -142,13 +172,14 @@ class CaptureReader(DataSourceReader):
         o = self.options
         # at least one range of each file, so that a file that is none is found out
         sizes = [(file, max(size, FILE_HEADER + 1)) for file, size in o.listed()]
-        return [part for file, size in sizes for part in cut(file, o.interface(file), FILE_HEADER, size, o.split_bytes, o.permissive)]
+        return dealt([part for file, size in sizes for part in cut(file, o.interface(file), FILE_HEADER, size, o.split_bytes, o.permissive)])
 
-    def read(self, partition: CaptureRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Neighbours) -> Iterator[pa.RecordBatch]:
         with _open(partition.file) as stream:
             _file_header(stream, partition.file)
-            partition.end = stream.size()
-        partition.high = min(partition.high, partition.end)
+            end = stream.size()
+        for part in partition.parts:
+            part.end, part.high = end, min(part.high, end)
         yield from partition.read()
 
 
@@ -190,9 +221,9 @@ class CaptureStreamReader(DataSourceStreamReader):
         for version in range(start["version"] + 1, end["version"] + 1):
             for file, (first, last) in self._read(f"{version}.json").items():
                 parts += cut(file, o.interface(file), first, last, o.split_bytes, o.permissive)
-        return parts
+        return dealt(parts)
 
-    def read(self, partition: CaptureRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Neighbours) -> Iterator[pa.RecordBatch]:
         yield from partition.read()
 
     def commit(self, end: dict) -> None:
