@@ -21,6 +21,8 @@ from ..sources.packets import append_packets, clear_buffer, read_buffer, stored_
 
 #: Writer numbers of the two rule sets, so that both may log to one folder.
 WRITERS = {"base": 0, "ip": 1}
+#: Tasks that write a batch, at most, for each core.
+TASKS_PER_CORE = 4
 
 
 def stream_packets(
@@ -100,7 +102,9 @@ class Capture:
                 if other is not None:
                     raise RuntimeError(f"writer {self.writer} of {self.log_path} is taken by the source {other}")
             checked.add(source)
-            packets = stored_packets(host_filter(batch, host)).persist(StorageLevel.MEMORY_AND_DISK)
+            # every task writes a file of each date that it meets: many small tasks would write very many
+            few = batch.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+            packets = stored_packets(host_filter(few, host)).persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 append_packets(packets, f"{self.out}/packets", f"{source}-{batch_id}")
                 rows = log_records(packets, self.rules, **self.rule_options)

@@ -136,3 +136,42 @@ def test_the_log_is_asked_for(spark, tmp_path):
     pcap_source.register(spark)
     with pytest.raises(Exception, match="needs the option log"):
         spark.readStream.format("pcap").load(str(tmp_path)).writeStream.format("noop").start().awaitTermination()
+
+
+def test_small_parts_share_a_task(tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(pcap_source, "TASKS", 10)
+    write_pcap(str(tmp_path / "in" / "a.pcap"), rows[:2_000])
+    write_pcap(str(tmp_path / "in" / "b.pcap"), rows[2_000:2_100])
+    source = reader(tmp_path / "in", tmp_path / "log", split_bytes="10000")
+    tasks = source.partitions({"version": 0}, source.latestOffset())
+    assert len(tasks) <= 14 and max(len(t.parts) for t in tasks) > 5
+    assert all(t.file == p.file for t in tasks for p in t.parts)
+    got = [(r["ts"], r["raw"]) for t in tasks for b in source.read(t) for r in b.to_pylist()]
+    assert got == rows[:2_100]
+
+
+def test_the_end_of_a_file_out_of_order_in_time(tmp_path, rows, monkeypatch):
+    """The last whole record is found near the file's end, with no walk from its beginning."""
+    monkeypatch.setattr(pcap_source, "TAIL_BYTES", 200_000)
+    mixed = rows[::2] + rows[1::2]
+    mixed = [mixed[i * 7 % len(mixed)] for i in range(2_001)]
+    path = str(tmp_path / "a.pcap")
+    write_pcap(path, mixed)
+    size, tried = os.path.getsize(path), []
+    real = pcap_source._is_record
+    monkeypatch.setattr(pcap_source, "_is_record", lambda *a: tried.append(1) or real(*a))
+    assert pcap_source.whole_end(path, 24, size - 1, False) == size - 16 - len(mixed[-1][1])
+    assert len(tried) < 5_000
+
+
+def test_a_batch_of_many_parts_is_written_in_few_files(spark, tmp_path, rows, monkeypatch):
+    from netlens.streaming import capture
+
+    monkeypatch.setattr(capture, "TASKS_PER_CORE", 1)
+    write_pcap(str(tmp_path / "in" / "a.pcap"), rows)
+    run = Capture(spark, f"few-{uuid.uuid4().hex[:8]}", str(tmp_path / "out"))
+    run.start(stream_captures(spark, str(tmp_path / "in"), str(tmp_path / "log"), iface="eth0", split_bytes=20_000), available_now=True).awaitTermination()
+    assert run.packets().count() == len(rows)
+    dates = run.packets().select("dt").distinct().count()
+    files = sum(f.endswith(".parquet") for _, _, names in os.walk(tmp_path / "out" / "packets") for f in names)
+    assert files <= dates * spark.sparkContext.defaultParallelism
