@@ -700,7 +700,8 @@ def stream_capture_files(spark, sf_dir):
 def stream_two_captures(spark, sf_dir):
     """Both rule sets capture the same frames at once into one log folder."""
     out = scratch_dir(spark, "two-captures")
-    packets_raw(spark, sf_dir).write.parquet(f"{out}/landing")
+    # as many files, and so batches, whatever their size
+    packets_raw(spark, sf_dir).coalesce(spark.sparkContext.defaultParallelism).write.parquet(f"{out}/landing")
     both = [Capture(spark, f"{r}-{out[-8:]}", f"{out}/{r}", rules=r, logs=f"{out}/logs") for r in ("base", "ip")]
     running = [c.start(stream_packets(spark, f"{out}/landing", max_files=3), available_now=True) for c in both]
     for query_ in running:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.filters import host_filter, select_interface, truncate_snaplen
@@ -21,7 +22,7 @@ from ..sources.packets import append_packets, clear_buffer, read_buffer, stored_
 
 #: Writer numbers of the two rule sets, so that both may log to one folder.
 WRITERS = {"base": 0, "ip": 1}
-#: Tasks that write a batch, at most, for each core.
+#: Tasks that read a batch, at most, for each core.
 TASKS_PER_CORE = 4
 
 
@@ -102,9 +103,10 @@ class Capture:
                 if other is not None:
                     raise RuntimeError(f"writer {self.writer} of {self.log_path} is taken by the source {other}")
             checked.add(source)
-            # every task writes a file of each date that it meets: many small tasks would write very many
+            # every task writes a file of each date that it meets, so a date's frames come together first
             few = batch.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
-            packets = stored_packets(host_filter(few, host)).persist(StorageLevel.MEMORY_AND_DISK)
+            dated = few.withColumn("_dt", F.to_date("ts")).hint("rebalance", "_dt", "iface").drop("_dt")
+            packets = stored_packets(host_filter(dated, host)).persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 append_packets(packets, f"{self.out}/packets", f"{source}-{batch_id}")
                 rows = log_records(packets, self.rules, **self.rule_options)
