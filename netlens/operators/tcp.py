@@ -44,8 +44,8 @@ def _signed(difference: Column) -> Column:
     return F.pmod(difference + half, F.lit(1 << 32)) - half
 
 
-def unrolled(segments: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``segments`` with ``connection`` and ``place``, a byte count that never wraps."""
+def _in_buckets(segments: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Segments unrolled inside their buckets (stored), and what is carried into each bucket of a flow."""
     order = F.struct("ts", "packet_id")
     inside = Window.partitionBy(*FLOW, "_bucket").orderBy("ts", "packet_id")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -87,9 +87,18 @@ def unrolled(segments: DataFrame, width: int = WIDTH) -> DataFrame:
         F.coalesce(F.sum(F.col("opened") + F.col("_own")).over(earlier), F.lit(0)).alias("_connections"),
         "_own",
     )
+    return rows, carried
+
+
+def _connection() -> Column:
+    return F.col("_connections") + F.col("_opened") + F.when(F.col("_syn_seen"), F.col("_own")).otherwise(0)
+
+
+def unrolled(segments: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``segments`` with ``connection`` and ``place``, a byte count that never wraps."""
+    rows, carried = _in_buckets(segments, width)
     joined = rows.join(carried, [*FLOW, "_bucket"])
-    connection = F.col("_connections") + F.col("_opened") + F.when(F.col("_syn_seen"), F.col("_own")).otherwise(0)
-    return joined.select(*segments.columns, connection.alias("connection"), (F.col("_base") + F.col("_moved")).alias("place"))
+    return joined.select(*segments.columns, _connection().alias("connection"), (F.col("_base") + F.col("_moved")).alias("place"))
 
 
 def pieces(segments: DataFrame, limit: int | None = None, width: int = WIDTH) -> DataFrame:
@@ -97,14 +106,20 @@ def pieces(segments: DataFrame, limit: int | None = None, width: int = WIDTH) ->
 
     With ``limit`` only the first so many bytes of a connection.
     """
-    placed = unrolled(segments, width).withColumn("_from", F.col("place") + F.col("syn").cast("long"))
+    rows, carried = _in_buckets(segments, width)
+    rows = rows.withColumn("_from", F.col("_moved") + F.col("syn").cast("long"))
     full = F.coalesce(F.length("payload"), F.lit(0)) > 0
-    order = F.struct("ts", "packet_id")
-    starts = placed.groupBy(*FLOW, "connection").agg(
-        F.coalesce(F.min_by("_from", F.when(F.col("syn"), order)), F.min(F.when(full, F.col("_from")))).alias("_start")
-    )
-    data = placed.where(full).join(starts, [*FLOW, "connection"])
-    data = data.withColumn("_at", F.col("_from") - F.col("_start")).withColumn("_end", F.col("_at") + F.length("payload"))
+    # one row for each connection in a bucket: what it adds to the segments there, and where the connection begins
+    local = [*FLOW, "_bucket", "_opened", "_syn_seen"]
+    opening = F.when(F.col("syn"), F.struct("ts", "packet_id", "_from"))
+    parts = rows.groupBy(*local).agg(F.min(opening).alias("_syn"), F.min(F.when(full, F.col("_from"))).alias("_least"))
+    parts = parts.join(carried, [*FLOW, "_bucket"]).withColumn("connection", _connection())
+    whole = Window.partitionBy(*FLOW, "connection")
+    opening = F.when(F.col("_syn").isNotNull(), F.struct("_syn.ts", "_syn.packet_id", (F.col("_syn._from") + F.col("_base")).alias("_from")))
+    start = F.coalesce(F.min(opening).over(whole)["_from"], F.min(F.col("_least") + F.col("_base")).over(whole))
+    # so that the payloads are joined once
+    data = rows.where(full).join(parts.select(*local, "connection", "_base", start.alias("_start")), local)
+    data = data.withColumn("_at", F.col("_from") + F.col("_base") - F.col("_start")).withColumn("_end", F.col("_at") + F.length("payload"))
     data = data.where(F.col("_end") > 0)
     if limit is not None:
         data = data.where(F.col("_at") < limit).withColumn("_end", F.least(F.col("_end"), F.lit(limit)))

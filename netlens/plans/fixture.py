@@ -203,7 +203,7 @@ def _written(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _FOLDERS:
         folder = scratch_dir(spark, name)
-        build(spark, sf_dir).write.parquet(folder)
+        build(spark, sf_dir).write.option("compression", "zstd").parquet(folder)
         _FOLDERS[key] = folder
     return _FOLDERS[key]
 

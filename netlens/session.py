@@ -84,5 +84,5 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     that what is small is also known to be small.
     """
     folder = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
