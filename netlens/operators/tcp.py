@@ -114,11 +114,11 @@ def pieces(segments: DataFrame, limit: int | None = None, width: int = WIDTH) ->
     opening = F.when(F.col("syn"), F.struct("ts", "packet_id", "_from"))
     parts = rows.groupBy(*local).agg(F.min(opening).alias("_syn"), F.min(F.when(full, F.col("_from"))).alias("_least"))
     parts = parts.join(carried, [*FLOW, "_bucket"]).withColumn("connection", _connection())
-    whole = Window.partitionBy(*FLOW, "connection")
     opening = F.when(F.col("_syn").isNotNull(), F.struct("_syn.ts", "_syn.packet_id", (F.col("_syn._from") + F.col("_base")).alias("_from")))
-    start = F.coalesce(F.min(opening).over(whole)["_from"], F.min(F.col("_least") + F.col("_base")).over(whole))
+    start = F.coalesce(F.min(opening)["_from"], F.min(F.col("_least") + F.col("_base")))
+    parts = parts.join(parts.groupBy(*FLOW, "connection").agg(start.alias("_start")), [*FLOW, "connection"])
     # so that the payloads are joined once
-    data = rows.where(full).join(parts.select(*local, "connection", "_base", start.alias("_start")), local)
+    data = rows.where(full).join(parts.select(*local, "connection", "_base", "_start"), local)
     data = data.withColumn("_at", F.col("_from") + F.col("_base") - F.col("_start")).withColumn("_end", F.col("_at") + F.length("payload"))
     data = data.where(F.col("_end") > 0)
     if limit is not None:

@@ -5,13 +5,16 @@ import random
 import struct
 
 import pytest
+from conftest import SF_DIR
 from frames import ACK, SYN, eth, ipv4, ipv6, packets, tcp
 from pyspark.sql import functions as F
 
 from netlens.functions import tls
 from netlens.operators import rules
 from netlens.operators.certificates import judged_certificates, with_certificates
-from netlens.operators.tcp import CHUNK, heads, streams
+from netlens.operators.decode import tcp_segments
+from netlens.operators.tcp import CHUNK, heads, pieces, streams
+from netlens.plans import fixture
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -190,3 +193,18 @@ def test_the_rule_fires_on_a_handshake_in_pieces(spark):
     hit = rules.anomalies(with_certificates(df), own)
     assert sorted(r["packet_id"] for r in hit.select("packet_id").collect()) == [i for i in range(30) if want[5_000 + i // 6]]
     assert with_certificates(df).count() == len(frames)
+
+
+def test_payloads_are_joined_once(spark):
+    """The last join has the payloads, and the stored rows go straight into it."""
+    found = pieces(tcp_segments(fixture.document_streams(spark, SF_DIR)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    last = next(line for line in plan.split("\n") if "Join Inner" in line)
+    assert "_opened" in last and "_syn_seen" in last
+
+
+def test_frames_are_built_after_they_are_dealt_out(spark):
+    """The source rows go through the shuffle, not the larger frames."""
+    for build in (fixture.build_long_frames, fixture.build_document_streams, fixture.build_handshakes, fixture.build_frames):
+        plan = build(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Repartition") > plan.index("AS raw")
