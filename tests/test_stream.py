@@ -3,6 +3,7 @@ import uuid
 
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
 from netlens.operators.logs import LOG_COLUMNS, validate_logs
 from netlens.operators.views import log_records
@@ -169,3 +170,12 @@ def test_merge_keeps_the_rows_of_a_date(spark, tmp_path):
     assert sorted(before, key=lambda r: r["packet_id"]) == sorted(read_buffer(spark, path).drop("batch").collect(), key=lambda r: r["packet_id"])
     names = {p.name for p in (tmp_path / "buffer" / "dt=2024-01-05" / "iface=eth0").iterdir() if p.is_dir()}
     assert names == {"batch=merged"}
+
+
+def test_a_date_of_a_batch_is_one_file(spark, tmp_path, landing):
+    run = capture(spark, tmp_path)
+    run.start(stream_packets(spark, landing), available_now=True).awaitTermination()
+    assert run.packets().count() == 10_000
+    for folder, rows in (("packets", run.packets()), ("logs", run.logs())):
+        dates = rows.select(F.to_date("ts" if folder == "packets" else "timestamp")).distinct().count()
+        assert dates > 1 and sum(1 for _ in (tmp_path / "out" / folder).rglob("*.parquet")) == dates
