@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trusted_issuer
-from ..functions.tls import CERTIFICATES, certificates
+from ..functions.tls import certificates
 from .decode import fields
 from .lookup import lookup_join
 from .rules import TLS_PORT
-from .tcp import CHUNK, FLOW, heads
+from .tcp import CHUNK, FLOW, HEAD_ARROW, as_batches, head_pieces, head_rows
 
 #: Bytes of a server's side in which its certificates are looked for.
 LIMIT = 4 * CHUNK
 
+TEXTS = ["issuer", "issuer_cn", "subject", "serial"]
+SHOWN = "src_ip string, src_port int, dst_ip string, dst_port int, connection long, issuer string, issuer_cn string, subject string, serial string, not_before string, not_after string, chain int, shown_at timestamp_ntz"
+ARROW = pa.schema([*list(HEAD_ARROW)[:5], *[(n, pa.string()) for n in (*TEXTS, "not_before", "not_after")], ("chain", pa.int32()), ("shown_at", pa.timestamp("us"))])
+
+
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The server's own certificate and how many were shown, of the heads with a readable one."""
+
+    def rows() -> Iterator[tuple]:
+        for *own, head, seen in head_rows(batches):
+            if shown := certificates(head):
+                yield *own, *shown[0].values(), len(shown), seen
+
+    return as_batches(rows(), ARROW, 1_000)
+
 
 def shown_certificates(packets: DataFrame, port: int = TLS_PORT, limit: int = LIMIT) -> DataFrame:
     """One row for each connection in which a server showed a certificate: flow (from the server),
     connection, issuer, issuer_cn, subject, serial, not_before, not_after of the server's own, chain
     (how many were shown), shown_at (its first packet)."""
-    first = heads(packets, limit, where=F.col("src_port") == port)
-    read = F.pandas_udf(certificates, CERTIFICATES)
-    found = first.withColumn("_shown", read("head")).where(F.size("_shown") > 0)
-    own = F.col("_shown")[0]
-    texts = [own[n].alias(n) for n in ("issuer", "issuer_cn", "subject", "serial")]
-    times = [own[n].cast("timestamp_ntz").alias(n) for n in ("not_before", "not_after")]
-    return found.select(*FLOW, "connection", *texts, *times, F.size("_shown").alias("chain"), F.col("seen").alias("shown_at"))
+    found = head_pieces(packets, limit, where=F.col("src_port") == port).mapInArrow(_shown, SHOWN)
+    times = [F.col(n).cast("timestamp_ntz").alias(n) for n in ("not_before", "not_after")]
+    return found.select(*FLOW, "connection", *TEXTS, *times, "chain", "shown_at")
 
 
 def judged_certificates(packets: DataFrame, port: int = TLS_PORT, limit: int = LIMIT) -> DataFrame:

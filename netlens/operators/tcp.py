@@ -8,7 +8,8 @@ third of all packets is many small windows.
 
 A segment's place in its connection gives the chunks of ``CHUNK`` bytes it belongs to.  Each chunk is
 filled by one pass over its segments in order of capture: of bytes that come twice the first
-stay.  A task holds one chunk, however long a connection is and however often a segment is repeated.
+stay.  A task holds one chunk, however long a connection is and however often a segment is repeated;
+where only the first bytes of connections are asked for, it holds those of one connection.
 
 One direction of a connection is one stream.  Without a SYN in the capture (connection 0) it
 begins at the least byte seen.  Bytes before the beginning are left out; a gap stays a gap.
@@ -16,9 +17,13 @@ begins at the least byte seen.  Bytes before the beginning are left out; a gap s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime
+import itertools
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +42,9 @@ ARROW = pa.schema(
      ("connection", pa.int64()), ("offset", pa.int64()), ("data", pa.binary()), ("seen", pa.timestamp("us"))]
 )
 
+HEAD = STREAM.replace("offset long, data binary", "head binary")
+HEAD_ARROW = pa.schema([*list(ARROW)[:5], ("head", pa.binary()), ("seen", pa.timestamp("us"))])
+
 
 def _signed(difference: Column) -> Column:
     """A difference of sequence numbers as the nearest signed step."""
@@ -46,7 +54,6 @@ def _signed(difference: Column) -> Column:
 
 def _in_buckets(segments: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """Segments unrolled inside their buckets (stored), and what is carried into each bucket of a flow."""
-    order = F.struct("ts", "packet_id")
     inside = Window.partitionBy(*FLOW, "_bucket").orderBy("ts", "packet_id")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -54,26 +61,31 @@ def _in_buckets(segments: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
     rows = segments.withColumn("_bucket", bucket_of(F.col("ts"), width))
     rows = rows.withColumns(
-        {"_step": F.coalesce(_signed(F.col("seq") - F.lag("seq").over(inside)), F.lit(0)), "_known": F.last(syn_seq, ignorenulls=True).over(before)}
+        {
+            "_step": F.coalesce(_signed(F.col("seq") - F.lag("seq").over(inside)), F.lit(0)),
+            "_known": F.last(syn_seq, ignorenulls=True).over(before),
+            "_first": F.first("seq").over(so_far),
+            "_first_syn": F.first(syn_seq, ignorenulls=True).over(so_far),
+            "_more": F.lead(F.lit(True), 1, False).over(inside),
+        }
     )
-    opens = F.col("syn") & F.col("_known").isNotNull() & (F.col("_known") != F.col("seq"))
+    differs = F.col("_known").isNotNull() & (F.col("_known") != F.col("seq"))
     rows = rows.withColumns(
         {
             "_moved": F.sum("_step").over(so_far),
-            "_opened": F.sum(opens.cast("long")).over(so_far),
+            "_opened": F.sum((F.col("syn") & differs).cast("long")).over(so_far),
             "_syn_seen": F.col("syn") | F.col("_known").isNotNull(),
+            "_begins": F.col("syn") & (F.col("_known").isNull() | differs),
+            "_size": F.coalesce(F.length("payload"), F.lit(0)),
         }
     )
+    # a bucket's last row says what the bucket hands on
+    last = {"first_seq": "_first", "last_seq": "seq", "moved": "_moved", "opened": "_opened", "first_syn": "_first_syn"}
+    last_syn = F.coalesce(syn_seq, F.col("_known")).alias("last_syn")
+    rows = rows.withColumn("_ends", F.when(~F.col("_more"), F.struct(*[F.col(c).alias(n) for n, c in last.items()], last_syn)))
     # decoded, shuffled and sorted once: what follows reads the stored rows, most of it without the payload
-    rows = stored(rows.drop("_step", "_known"), "tcp-segments")
-    sums = rows.groupBy(*FLOW, "_bucket").agg(
-        F.min_by("seq", order).alias("first_seq"),
-        F.max_by("seq", order).alias("last_seq"),
-        F.max_by("_moved", order).alias("moved"),
-        F.max("_opened").alias("opened"),
-        F.min_by("seq", F.when(F.col("syn"), order)).alias("first_syn"),
-        F.max_by("seq", F.when(F.col("syn"), order)).alias("last_syn"),
-    )
+    rows = stored(rows.drop("_step", "_known", "_first", "_first_syn", "_more"), "tcp-segments")
+    sums = rows.where(F.col("_ends").isNotNull()).select(*FLOW, "_bucket", "_ends.*")
     over = Window.partitionBy(*FLOW).orderBy("_bucket")
     earlier = over.rowsBetween(Window.unboundedPreceding, -1)
     jump = F.coalesce(_signed(F.col("first_seq") - F.lag("last_seq").over(over)) + F.lag("moved").over(over), F.lit(0))
@@ -108,18 +120,18 @@ def pieces(segments: DataFrame, limit: int | None = None, width: int = WIDTH) ->
     """
     rows, carried = _in_buckets(segments, width)
     rows = rows.withColumn("_from", F.col("_moved") + F.col("syn").cast("long"))
-    full = F.coalesce(F.length("payload"), F.lit(0)) > 0
+    full = F.col("_size") > 0
     # one row for each connection in a bucket: what it adds to the segments there, and where the connection begins
-    local = [*FLOW, "_bucket", "_opened", "_syn_seen"]
-    opening = F.when(F.col("syn"), F.struct("ts", "packet_id", "_from"))
-    parts = rows.groupBy(*local).agg(F.min(opening).alias("_syn"), F.min(F.when(full, F.col("_from"))).alias("_least"))
+    local = ["_bucket", "_opened", "_syn_seen"]
+    parts = rows.groupBy(*FLOW, *local).agg(F.max(F.when(F.col("_begins"), F.col("_from"))).alias("_syn"), F.min(F.when(full, F.col("_from"))).alias("_least"))
     parts = parts.join(carried, [*FLOW, "_bucket"]).withColumn("connection", _connection())
-    opening = F.when(F.col("_syn").isNotNull(), F.struct("_syn.ts", "_syn.packet_id", (F.col("_syn._from") + F.col("_base")).alias("_from")))
-    start = F.coalesce(F.min(opening)["_from"], F.min(F.col("_least") + F.col("_base")))
-    parts = parts.join(parts.groupBy(*FLOW, "connection").agg(start.alias("_start")), [*FLOW, "connection"])
+    syn = F.col("_syn") + F.col("_base")
+    start = F.coalesce(F.min_by(syn, F.when(syn.isNotNull(), F.col("_bucket"))), F.min(F.col("_least") + F.col("_base")))
+    parts = parts.groupBy(*FLOW, "connection").agg(start.alias("_start"), F.collect_list(F.struct(*local, "_base")).alias("_parts"))
+    parts = parts.select(*FLOW, "connection", "_start", F.inline("_parts"))
     # so that the payloads are joined once
-    data = rows.where(full).join(parts.select(*local, "connection", "_base", "_start"), local)
-    data = data.withColumn("_at", F.col("_from") + F.col("_base") - F.col("_start")).withColumn("_end", F.col("_at") + F.length("payload"))
+    data = rows.where(full).join(parts, [*FLOW, *local])
+    data = data.withColumn("_at", F.col("_from") + F.col("_base") - F.col("_start")).withColumn("_end", F.col("_at") + F.col("_size"))
     data = data.where(F.col("_end") > 0)
     if limit is not None:
         data = data.where(F.col("_at") < limit).withColumn("_end", F.least(F.col("_end"), F.lit(limit)))
@@ -133,14 +145,20 @@ def pieces(segments: DataFrame, limit: int | None = None, width: int = WIDTH) ->
 
 
 class _Chunk:
-    """Bytes of one chunk and which of them are there."""
+    """Bytes of one chunk, or of a connection's first few, and which of them are there."""
 
     def __init__(self):
-        self.data, self.there = bytearray(CHUNK), bytearray(CHUNK)
+        self.data, self.there = bytearray(), bytearray()
 
     def put(self, at: int, piece: bytes) -> None:
         """Fill in what is not there yet."""
-        i, end = at, at + len(piece)
+        i, end, size = at, at + len(piece), len(self.data)
+        if end > size:
+            new = max(at, size)
+            for kept, more in ((self.data, piece[new - at :]), (self.there, b"\x01" * (end - new))):
+                kept.extend(bytes(new - size))
+                kept.extend(more)
+            end = min(end, size)
         while i < end:
             gap = self.there.find(0, i, end)
             if gap < 0:
@@ -155,35 +173,59 @@ class _Chunk:
         at = self.there.find(1)
         while at >= 0:
             end = self.there.find(0, at)
-            end = CHUNK if end < 0 else end
+            end = len(self.data) if end < 0 else end
             yield at, bytes(self.data[at:end])
             at = self.there.find(1, end)
 
+    def head(self) -> bytes:
+        """The bytes up to the first gap."""
+        end = self.there.find(0)
+        return bytes(self.data if end < 0 else self.data[:end])
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks from pieces that come sorted by chunk."""
-    key, chunk, seen, done = None, None, None, []
-
-    def settle() -> None:
-        if key is not None:
-            done.extend((*key[:5], key[5] * CHUNK + at, data, seen) for at, data in chunk.runs())
-
-    def batch() -> pa.RecordBatch:
-        columns = [pa.array([r[i] for r in done], f.type) for i, f in enumerate(ARROW)]
-        done.clear()
-        return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
+def _put_together(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, datetime.datetime, _Chunk]]:
+    """Pieces sorted by ``names``, then in order of capture: the values of the names, when they were first seen, the bytes."""
+    key, seen, chunk = None, None, None
     for rows in batches:
-        names = [*FLOW, "connection", "chunk", "at", "piece", "ts"]
-        for *own, at, piece, ts in zip(*[rows.column(n).to_pylist() for n in names], strict=True):
+        size = rows.num_rows
+        if not size:
+            continue
+        columns, changes = [rows.column(n) for n in names], np.zeros(size - 1, bool)
+        for c in columns:
+            changes |= pc.not_equal(c.slice(1), c.slice(0, size - 1)).to_numpy(zero_copy_only=False)
+        begins = [0, *(np.flatnonzero(changes) + 1).tolist()]
+        *values, times = [c.take(pa.array(begins)).to_pylist() for c in (*columns, rows.column("ts"))]
+        places, parts = rows.column("at").to_pylist(), rows.column("piece").to_pylist()
+        for own, ts, begin, end in zip(zip(*values, strict=True), times, begins, [*begins[1:], size], strict=True):
             if own != key:
-                settle()
-                key, chunk, seen = own, _Chunk(), ts
-                if len(done) >= 100:
-                    yield batch()
-            chunk.put(at, piece)
-    settle()
-    yield batch()
+                if key is not None:
+                    yield key, seen, chunk
+                key, seen, chunk = own, ts, _Chunk()
+            for i in range(begin, end):
+                chunk.put(places[i], parts[i])
+    if key is not None:
+        yield key, seen, chunk
+
+
+def as_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 100) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of ``size``."""
+    for some in itertools.batched(rows, size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _put_together(batches, [*FLOW, "connection", "chunk"])
+    return as_batches(((*own[:5], own[5] * CHUNK + at, data, seen) for own, seen, chunk in found for at, data in chunk.runs()), ARROW)
+
+
+def head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of ``heads``, from ``head_pieces`` in a task."""
+    for own, seen, chunk in _put_together(batches, [*FLOW, "connection"]):
+        yield *own, chunk.head(), seen
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return as_batches(head_rows(batches), HEAD_ARROW)
 
 
 def streams(packets: DataFrame, limit: int | None = None, where: Column | None = None, width: int = WIDTH) -> DataFrame:
@@ -195,13 +237,20 @@ def streams(packets: DataFrame, limit: int | None = None, where: Column | None =
     segments = tcp_segments(packets)
     cut = pieces(segments if where is None else segments.where(where), limit, width)
     key = [*FLOW, "connection", "chunk"]
-    return cut.repartition(*key).sortWithinPartitions(*key, "ts", "packet_id").mapInArrow(_filled, STREAM)
+    return cut.repartition(*key).sortWithinPartitions(*key, "ts", "packet_id").mapInArrow(_stretches, STREAM)
+
+
+def head_pieces(packets: DataFrame, limit: int = 4 * CHUNK, where: Column | None = None, width: int = WIDTH) -> DataFrame:
+    """The pieces of the first ``limit`` bytes, those of a connection together in order of capture,
+    for ``head_rows`` in a function of ``mapInArrow``; ``at`` counts from the beginning of the connection."""
+    segments = tcp_segments(packets)
+    cut = pieces(segments if where is None else segments.where(where), limit, width)
+    cut = cut.withColumn("at", F.col("chunk") * CHUNK + F.col("at")).drop("chunk")
+    key = [*FLOW, "connection"]
+    return cut.repartition(*key).sortWithinPartitions(*key, "ts", "packet_id")
 
 
 def heads(packets: DataFrame, limit: int = 4 * CHUNK, where: Column | None = None, width: int = WIDTH) -> DataFrame:
     """The first bytes of every stream up to its first gap, at most ``limit``: flow, connection,
     head, seen (its first segment)."""
-    parts = streams(packets, limit, where, width).groupBy(*FLOW, "connection")
-    parts = parts.agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("_parts"), F.min("seen").alias("seen"))
-    head = F.aggregate("_parts", F.lit(b""), lambda so_far, part: F.when(F.length(so_far) == part["offset"], F.concat(so_far, part["data"])).otherwise(so_far))
-    return parts.select(*FLOW, "connection", head.alias("head"), "seen")
+    return head_pieces(packets, limit, where, width).mapInArrow(_heads, HEAD)

@@ -255,13 +255,12 @@ def claim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packets(spark, _written(spark, sf_dir, "claims", build_claims))
 
 
-def _tcp_frame(server: Column, seq: Column, flags: str, payload_hex: Column, server_port: str, client_port: Column) -> Column:
-    """A frame from ``10.<server, three bytes>`` to 192.168.1.1, as hex text."""
-    size = F.lpad(F.hex(F.lit(40) + F.length(payload_hex) / 2), 4, "0")
+def _tcp_frame(server: Column, seq: Column, flags: Column, payload: Column, server_port: str, client_port: Column) -> Column:
+    """A frame from ``10.<server, three bytes>`` to 192.168.1.1."""
     wide = lambda value, digits: F.lpad(F.hex(value), digits, "0")
-    head = [F.lit("02000000C80102000000000108004500"), size, F.lit("00004000400600000A"), wide(server % 16777216, 6), F.lit("C0A80101")]
-    tcp = [F.lit(server_port), wide(client_port, 4), wide(F.pmod(seq, F.lit(1 << 32)), 8), F.lit("00000000" + "50" + flags + "FFFF00000000")]
-    return F.concat(*head, *tcp, payload_hex)
+    head = [F.lit("02000000C80102000000000108004500"), wide(F.length(payload) + 40, 4), F.lit("00004000400600000A"), wide(server % 16777216, 6), F.lit("C0A80101")]
+    tcp = [F.lit(server_port), wide(client_port, 4), wide(F.pmod(seq, F.lit(1 << 32)), 8), F.lit("0000000050"), flags, F.lit("FFFF00000000")]
+    return F.concat(F.unhex(F.concat(*head, *tcp)), payload)
 
 
 #: Number of a stream's first byte, less one: some wrap within the stream.
@@ -275,22 +274,21 @@ def _at(key: Column, order: Column) -> Column:
 
 def build_document_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as TCP payloads of 1,000 bytes, out of order, every fifth one twice; every second stream with its SYN."""
-    docs = spread(spark, sf_dir, "documents").select("doc_id", F.hex(F.col("text").cast("binary")).alias("text"))
-    number = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 2000).cast("int"))
+    docs = spread(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    number = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1000).cast("int"))
     parts = docs.where("length(text) > 0").select("doc_id", "text", F.explode(number).alias("i"))
-    parts = parts.select("doc_id", F.col("i").cast("long").alias("i"), F.substring("text", F.col("i") * 2000 + 1, F.lit(2000)).alias("part"))
+    parts = parts.select("doc_id", F.col("i").cast("long").alias("i"), F.substring("text", F.col("i") * 1000 + 1, F.lit(1000)).alias("part"))
     again = parts.where("i % 5 = 0").withColumn("late", F.lit(5_000))
-    opening = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(-1).cast("long").alias("i"), F.lit("").alias("part"), F.lit(0).alias("late"))
+    opening = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(-1).cast("long").alias("i"), F.lit(b"").alias("part"), F.lit(0).alias("late"))
     every = parts.withColumn("late", F.lit(0)).unionByName(again).unionByName(opening)
     seq = _first_seq(F.col("doc_id")) + F.when(F.col("i") >= 0, F.col("i") * 1000 + 1).otherwise(0)
     order = F.when(F.col("i") < 0, 0).otherwise(F.col("i") * 7919 % 1009 + 1 + F.col("late"))
-    plain = _tcp_frame(F.col("doc_id"), seq, "18", F.col("part"), "0050", F.lit(2000))
-    opens = _tcp_frame(F.col("doc_id"), seq, "12", F.col("part"), "0050", F.lit(2000))
+    flags = F.when(F.col("i") < 0, F.lit("12")).otherwise(F.lit("18"))
     return every.select(
         (F.col("doc_id") * 1_000_000 + (F.col("i") + 1) * 10 + F.col("late") / 5_000).cast("long").alias("packet_id"),
         _at(F.col("doc_id"), order).alias("ts"),
         F.lit("eth0").alias("iface"),
-        F.unhex(F.when(F.col("i") < 0, opens).otherwise(plain)).alias("raw"),
+        _tcp_frame(F.col("doc_id"), seq, flags, F.col("part"), "0050", F.lit(2000)).alias("raw"),
     )
 
 
@@ -298,61 +296,69 @@ def document_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packets(spark, _written(spark, sf_dir, "document-streams", build_document_streams))
 
 
+def _octets(text: str) -> Column:
+    return F.lit(bytes.fromhex(text))
+
+
+def _sized(value: Column, digits: int) -> Column:
+    """Length of a value, as so many hex digits in bytes."""
+    return F.unhex(F.lpad(F.hex(F.length(value)), digits, "0"))
+
+
 def _tlv(tag: str, *content: Column) -> Column:
-    """A DER element as hex text."""
-    body = F.concat(*content)
-    size = F.length(body) / 2
-    return F.concat(F.lit(tag), F.when(size < 128, F.lpad(F.hex(size), 2, "0")).otherwise(F.concat(F.lit("82"), F.lpad(F.hex(size), 4, "0"))), body)
+    """A DER element; its content is computed once, however deep elements are nested."""
+    size = lambda body: F.when(F.length(body) < 128, _sized(body, 2)).otherwise(F.concat(_octets("82"), _sized(body, 4)))
+    return F.transform(F.array(F.concat(*content)), lambda body: F.concat(_octets(tag), size(body), body))[0]
 
 
 def _common_name(name: Column) -> Column:
-    one = lambda oid, text: _tlv("31", _tlv("30", F.lit(f"0603{oid}"), _tlv("0C", text)))
-    return _tlv("30", one("55040A", F.hex(F.lit("Example").cast("binary"))), one("550403", F.hex(name.cast("binary"))))
+    one = lambda oid, text: _tlv("31", _tlv("30", _octets(f"0603{oid}"), _tlv("0C", text)))
+    return _tlv("30", one("55040A", F.lit(b"Example")), one("550403", name.cast("binary")))
 
 
 def build_handshakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A TLS server for each customer: its certificate in segments that overlap, come out of order and twice."""
-    text = lambda value: F.hex(value.cast("binary"))
-    sized = lambda value: F.concat(F.lpad(F.hex(F.length(value) / 2), 6, "0"), value)
+    text = lambda value: F.lit(value.encode())
+    sized = lambda value: F.concat(_sized(value, 6), value)
     key = F.col("c_custkey")
     rows = spread(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit("TrustedCA"), F.col("c_nationkey").cast("string")).alias("ca"))
     rows = rows.withColumns(
         {
             "issuer": _common_name(F.when(key % 11 == 0, F.col("c_name")).otherwise(F.col("ca"))),
             "subject": _common_name(F.col("c_name")),
-            "begin": text(F.when(key % 7 == 0, F.lit("250101000000Z")).otherwise(F.lit("230101000000Z"))),
-            "end": text(F.when(key % 5 == 0, F.lit("231231235959Z")).otherwise(F.lit("20511231235959Z"))),
+            "begin": _tlv("17", F.when(key % 7 == 0, text("250101000000Z")).otherwise(text("230101000000Z"))),
+            "end": F.when(key % 5 == 0, _tlv("17", text("231231235959Z"))).otherwise(_tlv("18", text("20511231235959Z"))),
         }
     )
-    rows = rows.withColumn("validity", _tlv("30", _tlv("17", F.col("begin")), F.when(key % 5 == 0, _tlv("17", F.col("end"))).otherwise(_tlv("18", F.col("end")))))
-    algorithm, bits = F.lit("300D06092A864886F70D01010B0500"), lambda n: F.lit("0382" + f"{n:04X}" + "00" * n)
-    serial = _tlv("02", F.concat(F.lit("01"), F.lpad(F.hex(key), 8, "0")))
-    rows = rows.withColumn("signed", _tlv("30", F.lit("A003020102"), serial, algorithm, F.col("issuer"), F.col("validity"), F.col("subject"), bits(400)))
+    rows = rows.withColumn("validity", _tlv("30", F.col("begin"), F.col("end")))
+    algorithm, bits = _octets("300D06092A864886F70D01010B0500"), lambda n: _octets("0382" + f"{n:04X}" + "00" * n)
+    serial = _tlv("02", _octets("01"), F.unhex(F.lpad(F.hex(key), 8, "0")))
+    rows = rows.withColumn("signed", _tlv("30", _octets("A003020102"), serial, algorithm, F.col("issuer"), F.col("validity"), F.col("subject"), bits(400)))
     rows = rows.withColumn("certificate", _tlv("30", F.col("signed"), algorithm, bits(257)))
-    rows = rows.withColumn("message", F.concat(F.lit("0B"), sized(sized(F.concat(sized(F.col("certificate")), sized(F.col("certificate")))))))
-    record = lambda value: F.concat(F.lit("160303"), F.lpad(F.hex(F.length(value) / 2), 4, "0"), value)
-    hello = F.lit("02000046" + "00" * 70)
-    halves = [F.substring("message", 1, 1000), F.substring("message", F.lit(1001), F.length("message"))]
-    rows = rows.withColumn("stream", F.concat(record(hello), *map(record, halves), F.lit("16030300040E000000" + "1703030010" + "AB" * 16)))
-    third = (F.length("stream") / 6).cast("int")
-    cut = lambda low, high: F.substring("stream", low * 2 + 1, (high - low) * 2)
+    rows = rows.withColumn("certificates", F.concat(sized(F.col("certificate")), sized(F.col("certificate"))))
+    rows = rows.withColumn("listed", sized(F.col("certificates"))).withColumn("message", F.concat(_octets("0B"), sized(F.col("listed"))))
+    record = lambda value: F.concat(_octets("160303"), _sized(value, 4), value)
+    hello = _octets("02000046" + "00" * 70)
+    halves = [F.substring("message", 1, 500), F.substring("message", F.lit(501), F.length("message"))]
+    rows = rows.withColumn("stream", F.concat(record(hello), *map(record, halves), _octets("16030300040E000000" + "1703030010" + "AB" * 16)))
+    third = (F.length("stream") / 3).cast("int")
+    cut = lambda low, high: F.substring("stream", low + 1, high - low)
     segment = lambda order, at, part, flags="18": F.struct(F.lit(order).alias("order"), at.cast("long").alias("at"), part.alias("part"), F.lit(flags).alias("flags"))
-    zero, size = F.lit(0), (F.length("stream") / 2).cast("int")
+    zero, size = F.lit(0), F.length("stream")
     sent = [
-        segment(0, F.lit(-1), F.lit(""), "12"),
+        segment(0, F.lit(-1), F.lit(b""), "12"),
         segment(1, third, cut(third, third * 2)),
         segment(2, zero, cut(zero, third)),
         segment(3, zero, cut(zero, third)),
-        segment(4, third * 2 - 50, F.concat(F.lit("FF" * 50), cut(third * 2, size))),
+        segment(4, third * 2 - 50, F.concat(_octets("FF" * 50), cut(third * 2, size))),
     ]
     rows = rows.select("c_custkey", F.explode(F.array(*sent)).alias("s")).select("c_custkey", "s.*")
     client = F.lit(1024) + key % 50000
-    frame = lambda flags: _tcp_frame(key, _first_seq(key) + F.col("at") + 1, flags, F.col("part"), "01BB", client)
     return rows.select(
         (key * 10 + F.col("order")).alias("packet_id"),
         _at(key % 1000, F.col("order")).alias("ts"),
         F.lit("eth0").alias("iface"),
-        F.unhex(F.when(F.col("flags") == "12", frame("12")).otherwise(frame("18"))).alias("raw"),
+        _tcp_frame(key, _first_seq(key) + F.col("at") + 1, F.col("flags"), F.col("part"), "01BB", client).alias("raw"),
     )
 
 

@@ -96,6 +96,42 @@ def test_a_hot_flow_against_its_bytes(spark):
     assert bytes(head["head"]) == data[:100_000]
 
 
+def test_heads_are_the_beginnings_of_streams(spark):
+    """Over several chunks, with repeats, gaps, lost beginnings and ports used again."""
+    rng = random.Random(8)
+    frames = []
+    for port in range(1_000, 1_012):
+        data, first, at, lost = rng.randbytes(rng.randrange(1, 200_000)), rng.randrange(1 << 32), 0, rng.choice([0, 0, 0, 1])
+        if port % 3:
+            frames.append((rng.random(), segment(first - 1, flags=SYN, dst=port)))
+        while at < len(data):
+            size = rng.randrange(1, 9_000)
+            if not lost and rng.random() > 0.01:
+                for _ in range(rng.choice([1, 1, 2])):
+                    frames.append((1 + at / 50 + rng.random() * 300, segment(first + at, data[at : at + size], dst=port)))
+            at, lost = at + size, 0
+        frames += [(9_000, segment(first - 5, flags=SYN, dst=port)), (9_001, segment(first - 4, b"again", dst=port))]
+    df = timed(spark, frames)
+    for limit in (100, CHUNK, 100_000, 4 * CHUNK):
+        want = {}
+        for r in sorted(streams(df, limit).collect(), key=lambda r: (r["dst_port"], r["connection"], r["offset"])):
+            head, seen = want.get((r["dst_port"], r["connection"]), (b"", r["seen"]))
+            head += bytes(r["data"]) if len(head) == r["offset"] else b""
+            want[r["dst_port"], r["connection"]] = head, min(seen, r["seen"])
+        got = {(r["dst_port"], r["connection"]): (bytes(r["head"]), r["seen"]) for r in heads(df, limit).collect()}
+        assert got == want and len(want) >= 12
+    assert any(not head for head, _ in got.values()) and any(len(head) > CHUNK for head, _ in got.values())
+
+
+def test_stored_segments_are_read_three_times(spark):
+    """For what buckets hand on, for where connections begin, and for the payloads, which come last."""
+    found = streams(timed(spark, [(0, segment(5, b"x"))]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.split("\n") if "Relation [" in line]
+    assert len(scans) == 3
+    assert plan.count("Window ") == 2
+
+
 def test_packets_are_decoded_and_sorted_once(spark):
     """What follows the stored segments has windows over buckets only, one row each."""
     plan = streams(timed(spark, [(0, segment(5, b"x"))]))._jdf.queryExecution().optimizedPlan().toString()
@@ -195,6 +231,38 @@ def test_the_rule_fires_on_a_handshake_in_pieces(spark):
     assert with_certificates(df).count() == len(frames)
 
 
+def test_heads_are_read_where_they_are_put_together(spark):
+    """Pieces are shuffled once more; certificates are read in the task that has the bytes."""
+    frames = [(0, segment(5, records(HELLO + message(cert("Unknown")))))]
+    plan = judged_certificates(timed(spark, frames))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    assert "Aggregate" not in above and "Repartition" not in above
+
+
+def test_times_of_certificates():
+    """Usual ones are read without ``strptime``; the others as before."""
+    for text, want in (("230102030405Z", "2023-01-02 03:04:05"), ("991231235959Z", "1999-12-31 23:59:59")):
+        assert str(tls._time(0x17, text.encode())) == want
+    for text in ("20240229000000Z", "00010101000000Z", "2024022900000Z", "20240229000000z"):
+        assert tls._time(0x18, text.encode()) == datetime.datetime.strptime(text, "%Y%m%d%H%M%SZ")
+    for text in ("20230229000000Z", "20231301000000Z", "00000101000000Z", "20230101240000Z", "20230101000060Z", "20230101000061Z", "20230101000000", "2023010100000000Z"):
+        with pytest.raises(ValueError):
+            tls._time(0x18, text.encode())
+
+
+def test_content_of_nested_elements_is_computed_once(spark):
+    """And not once for each use of its length."""
+    body = fixture._tlv("31", fixture._tlv("30", fixture._tlv("0C", F.upper("name").cast("binary"))))
+    found = spark.createDataFrame([("ab",), ("x" * 200,), (None,)], "name string").select(body.alias("der"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
+    inner = der(0x0C, b"AB")
+    assert [r["der"] if r["der"] is None else bytes(r["der"]) for r in found.collect()] == [
+        der(0x31, der(0x30, inner)), b"\x31\x82\x00\xd0\x30\x82\x00\xcc\x0c\x82\x00\xc8" + b"X" * 200, None,
+    ]
+
+
 def test_payloads_are_joined_once(spark):
     """The last join has the payloads, and the stored rows go straight into it."""
     found = pieces(tcp_segments(fixture.document_streams(spark, SF_DIR)))
