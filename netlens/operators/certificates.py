@@ -62,11 +62,9 @@ def with_certificates(packets: DataFrame, port: int = TLS_PORT, limit: int = LIM
     A rule of one's own can read it: ``("certificate", lambda: F.col("certificate_reasons").isNotNull())``.
     """
     wrong = judged_certificates(packets, port, limit).where(F.size("reasons") > 0)
-    server, client = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")), F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
-    wrong = wrong.select(F.to_json(F.array(server, client)).alias("_flow"), F.explode("reasons").alias("_reason"))
+    wrong = wrong.select(F.concat_ws(" ", *FLOW).alias("_flow"), F.explode("reasons").alias("_reason"))
     wrong = wrong.groupBy("_flow").agg(F.array_sort(F.collect_set("_reason")).alias("certificate_reasons"))
     flat = fields(packets)
-    source = F.struct(F.coalesce("ipv4_src", "ipv6_src").alias("ip"), F.col("tcp_src_port").alias("port"))
-    target = F.struct(F.coalesce("ipv4_dst", "ipv6_dst").alias("ip"), F.col("tcp_dst_port").alias("port"))
-    flow = F.when(F.col("tcp_src_port") == port, F.to_json(F.array(source, target))).when(F.col("tcp_dst_port") == port, F.to_json(F.array(target, source)))
+    source, target = [F.coalesce("ipv4_src", "ipv6_src"), "tcp_src_port"], [F.coalesce("ipv4_dst", "ipv6_dst"), "tcp_dst_port"]
+    flow = F.when(F.col("tcp_src_port") == port, F.concat_ws(" ", *source, *target)).when(F.col("tcp_dst_port") == port, F.concat_ws(" ", *target, *source))
     return lookup_join(flat.withColumn("_at", flow), wrong, "_at", "_flow", "packet_id").drop("_at")

@@ -231,6 +231,19 @@ def test_the_rule_fires_on_a_handshake_in_pieces(spark):
     assert with_certificates(df).count() == len(frames)
 
 
+def test_flows_are_compared_as_plain_text(spark):
+    """Both directions, both kinds of addresses, no JSON for each packet; ports alone make no flow."""
+    shown = records(HELLO + message(cert("Unknown")))
+    ask = lambda port: tcp(ACK, port, 443, b"q")
+    frames = [
+        (0, segment(5, shown, dst=700, v6=True)), (1, segment(5, shown, dst=701)),
+        (2, asked(701)), (3, asked(700)), (4, eth(0x0800, ipv4(6, ask(701), src="192.168.1.8", dst="10.0.0.5"))), (5, segment(5, dst=700, v6=True)), (6, eth(0x0806, bytes(28))),
+    ]
+    found = with_certificates(timed(spark, frames))
+    assert "to_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["packet_id"]: r["certificate_reasons"] for r in found.collect()} == {i: ["issuer"] if i in (0, 1, 2, 5) else None for i in range(7)}
+
+
 def test_heads_are_read_where_they_are_put_together(spark):
     """Pieces are shuffled once more; certificates are read in the task that has the bytes."""
     frames = [(0, segment(5, records(HELLO + message(cert("Unknown")))))]
