@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings that can be changed while a session runs.  The JVM does not compile
 # methods beyond 8000 bytes; with this limit Spark splits a long projection into
 # several methods instead (the full decode ran two to three times faster).
-RUNTIME_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# Spark's parquet reader holds a batch of rows in one array, doubled as it fills:
+# 4096 frames, its default, of 64 kB are more than an executor has for a task.
+RUNTIME_SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
+}
 
 #: Folders given out by ``scratch_dir`` and not removed yet.
 _SCRATCH: list[str] = []

@@ -1,5 +1,6 @@
 """What the physical plans must and must not contain."""
 
+import hashlib
 import re
 
 import pytest
@@ -13,6 +14,7 @@ from netlens.operators.enrich import Lookups, enrich_both_ends, enrich_ip
 from netlens.operators.filters import host_filter, host_set_filter
 from netlens.operators.keyed import key_exists
 from netlens.operators.views import log_records, packet_view, readable_payload
+from netlens.plans.catalog import QUERIES
 from netlens.plans.fixture import hosts, lookups, packets_raw
 from netlens.sources import append_packets, read_buffer
 
@@ -127,3 +129,21 @@ def test_a_date_lists_that_date_only(spark, tmp_path):
 def test_host_set_is_two_broadcast_joins(spark):
     text = plan(host_set_filter(packets_raw(spark, SF_DIR), hosts(spark, SF_DIR)).select("packet_id"))
     assert text.count("BroadcastHashJoin") == 2 and "NestedLoop" not in text
+
+
+def read_batches(node) -> int:
+    """Batches that the scans of a plan gave, once it has run."""
+    own = node.metrics().get("numInputBatches")
+    below = [node.children().apply(i) for i in range(node.children().size())]
+    return (own.get().value() if own.isDefined() else 0) + sum(map(read_batches, below))
+
+
+def test_long_frames_are_read_in_small_batches(spark, tmp_path):
+    """The reader holds a batch in one array: 300 frames of 70 kB in each of eight files are not one batch each."""
+    text = F.concat(F.lit("document "), F.col("id").cast("string"), F.lit(" \u00e9"))
+    spark.range(2400).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["long_frames"](spark, str(tmp_path))
+    found = {r["doc_id"]: tuple(r)[1:] for r in df.collect()}
+    bodies = {i: (t := f"document {i} \u00e9").encode() * (70000 // len(t) + 1) for i in range(2400)}
+    assert found == {i: (len(b) + 54, len(b), hashlib.sha256(b).hexdigest()) for i, b in bodies.items()}
+    assert sum(map(len, bodies.values())) / read_batches(df._jdf.queryExecution().executedPlan()) < 15e6
